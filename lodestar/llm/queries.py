@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, licenses, mixing, quality, secrets, tiff
+from lodestar.llm import bpe, licenses, mixing, neardup, quality, secrets, tiff
 from lodestar.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +40,6 @@ def op10_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op3_host_rules, op4_byte_bpe, op6_secret_links, op8_pivotal_mix, op10_license_positions)}
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_order_minhash, op3_host_rules, op4_byte_bpe, op6_secret_links, op8_pivotal_mix, op10_license_positions)}
 
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -12,6 +16,25 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
 
+_sent: set[str] = set()
+
+
+def send_package(context: SparkContext) -> None:
+    """Give this package to the Python workers, once for each application, so that it need not be installed on their machines."""
+    if context.applicationId in _sent:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.realpath(__file__))))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lodestar-")), "lodestar.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(os.path.join(top, "lodestar")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, top))
+    context.addPyFile(path)
+    _sent.add(context.applicationId)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """df.select(columns), each row given to start()'s function, which yields rows of schema.
 
@@ -19,6 +42,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[],
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    send_package(df.sparkSession.sparkContext)
     kind: StructType = _parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
