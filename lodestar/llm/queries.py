@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, licenses, mixing, neardup, quality, secrets, tiff
+from lodestar.llm import bpe, html, licenses, mixing, neardup, quality, secrets, tiff, toxicity, warc
 from lodestar.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,18 +28,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op5_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents")).drop("text_key", "found")
 
 
+def op7_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_order_minhash, op3_host_rules, op4_byte_bpe, op6_secret_links, op8_pivotal_mix, op10_license_positions)}
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_order_minhash, op3_host_rules, op4_byte_bpe, op5_toxicity_gbt, op6_secret_links, op7_text_blocks, op8_pivotal_mix, op9_warc_shards, op10_license_positions)}
 
-ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op9_warc_shards": warc.ORACLE}

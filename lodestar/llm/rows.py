@@ -39,6 +39,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[],
     """df.select(columns), each row given to start()'s function, which yields rows of schema.
 
     start is called once in each task, so that tables and models are set up there.
+    If its function has a finish, that yields rows after the task's last row.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -62,6 +63,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[],
                         if len(held) >= BATCH_ROWS or weight >= BATCH_BYTES:
                             yield out()
                             held, weight = [], 0
+        held.extend(getattr(each, "finish", tuple)())
         if held:
             yield out()
 
