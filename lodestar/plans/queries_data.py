@@ -1,4 +1,441 @@
 """Registered queries of landing, normalization, gates, decisions, lifecycle and validation."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.functions.columns import fail_if_any
+from lodestar.operators import decisions, gates, lifecycle, normalize, validate
+from lodestar.plans.day import Day
+from lodestar.plans.oracles import sql
+from lodestar.sources import landing
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None):
+    """Register a function of a Day under name, with what it is held against."""
+
+    def wrap(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Day.of(spark, sf_dir))
+        if oracle is not None:
+            ORACLES[name] = sql(oracle)
+        return f
+
+    return wrap
+
+
+# landing
+
+
+@register("a1_filtered_scan", "select o_orderkey, o_totalprice from orders where o_custkey in (1, 2, 3, 5, 8, 13) and o_orderdate >= timestamp '1996-01-01' and o_orderdate <= timestamp '2000-12-31'")
+def _(d: Day):
+    return landing.scan(d.spark, f"{d.sf_dir}/orders.parquet", [1, 2, 3, 5, 8, 13], "1996-01-01", "2000-12-31", key="o_custkey", day="o_orderdate").select("o_orderkey", "o_totalprice")
+
+
+@register("a2_single_value", "select case when min(trade_date) = max(trade_date) then min(trade_date) end as trade_date from bars where trade_date = date '1999-05-05'")
+def _(d: Day):
+    return landing.single_value(d.view("bars").where("trade_date = date '1999-05-05'"), "trade_date")
+
+
+@register("a4_latest_partition", "select entity, close from bars where trade_date = (select max(trade_date) from bars where trade_date <= date '2001-06-30')")
+def _(d: Day):
+    return landing.latest_partition(d.view("bars"), d.as_of, "trade_date").select("entity", "close")
+
+
+_old, _new = "select entity, trade_date, close from bars where entity % 2 = 0", "select entity, trade_date, close * 2 as close, volume from bars where trade_date >= date '2001-01-01' and entity % 3 = 0"
+
+
+@register("a5_keyed_merge", f"select entity, trade_date, round(close, 4) as close, cast(null as double) as volume from ({_old}) o where not exists (select 1 from ({_new}) n where n.entity = o.entity and n.trade_date = o.trade_date) union all select entity, trade_date, round(close, 4), volume from ({_new})")
+def _(d: Day):
+    bars = d.view("bars")
+    old = bars.where("entity % 2 = 0").select("entity", "trade_date", "close")
+    new = bars.where("trade_date >= date '2001-01-01' and entity % 3 = 0").select("entity", "trade_date", (F.col("close") * 2).alias("close"), "volume")
+    return landing.merge(old, new, ["entity", "trade_date"]).withColumn("close", F.round("close", 4))
+
+
+@register("a6_fold_payloads", "select entity, close, cast(null as double) as amount, 1 as part from bars where trade_date = date '2000-03-01' union all select entity, null, amount, 2 from bars where trade_date = date '2000-03-02'")
+def _(d: Day):
+    bars = d.view("bars")
+    a = bars.where("trade_date = date '2000-03-01'").select("entity", "close", F.lit(1).alias("part"))
+    return landing.fold([a, bars.where("trade_date = date '2000-03-02'").select("entity", "amount", F.lit(2).alias("part"))])
+
+
+@register("a7_block_identity_merge", "select identity, arg_max(value, struct_pack(b := batch, s := seq)) as value, min(struct_pack(b := batch, s := seq)).s as first_seq from (select event_type || ':' || cast(user_id as varchar) as identity, value, cast(event_id % 3 as int) as batch, event_id as seq from events) group by identity")
+def _(d: Day):
+    blocks = d.view("events").select((F.col("event_id") % 3).cast("int").alias("batch"), F.col("event_id").alias("seq"), "event_type", "user_id", "value")
+    out = landing.newest_blocks(blocks, F.concat_ws(":", "event_type", "user_id"))
+    return out.select("identity", "value", F.col("first_seen.seq").alias("first_seq"))
+
+
+@register("a8_landing_plan", "select s_suppkey as entity from supplier where s_suppkey not in (select entity from bars where trade_date = date '2001-06-29')")
+def _(d: Day):
+    return landing.missing(d.view("securities"), d.view("bars"), "2001-06-29")
+
+
+@register("a9_range_coverage", "select entity from bars group by entity having min(trade_date) <= date '1995-02-01' and max(trade_date) >= date '2001-10-15'")
+def _(d: Day):
+    return landing.range_coverage(d.view("bars"), "1995-02-01", "2001-10-15")
+
+
+@register("a10_bar_sufficiency", "select s.entity, count(b.close) as n, count(b.close) >= 450 as enough from securities s left join bars b on b.entity = s.entity and b.trade_date <= date '2001-06-30' group by s.entity")
+def _(d: Day):
+    return landing.sufficiency(d.view("bars"), d.view("securities"), d.as_of, 450)
+
+
+@register("a12_gated_compaction", "select p_type, count(*) as n from part where p_size % 5 <> 2 group by p_type")
+def _(d: Day):
+    parts = d.view("part").withColumn("part", F.col("p_size") % 5)
+    status = d.spark.range(4).select(F.col("id").cast("int").alias("part"), F.when(F.col("id") == 2, "FAILED").otherwise("SUCCESS").alias("status"))
+    return landing.compact(parts, status).groupBy("p_type").agg(F.count("*").alias("n"))
+
+
+@register("a13_distinct_entities", "select distinct c_mktsegment as entity from customer where c_mktsegment <> ''")
+def _(d: Day):
+    found = d.view("customer").where("c_mktsegment <> ''").select(F.col("c_mktsegment").alias("entity")).distinct()
+    if found.isEmpty():
+        raise ValueError("an empty population")
+    return found
+
+
+@register("a15_requested_gap", "select distinct s_suppkey as entity from supplier where s_suppkey not in (select entity from dividends where ex_date >= date '2001-11-01')")
+def _(d: Day):
+    return landing.gap(d.view("securities"), d.view("dividends").where("ex_date >= date '2001-11-01'"))
+
+
+@register("a16_gap_ledger", "select round, count(*) as landed, cast((select count(*) from supplier) - sum(count(*)) over (order by round) as bigint) as missing from (select entity, min(year(trade_date) * 12 + month(trade_date)) as round from bars group by entity) group by round")
+def _(d: Day):
+    landed = d.view("bars").select("entity", (F.year("trade_date") * 12 + F.month("trade_date")).cast("long").alias("round"))
+    return landing.gap_ledger(d.view("securities"), landed)
+
+
+@register("a17_listing_union", "select cast(s_suppkey as varchar) || '.S' as entity, s_name as name, contains(s_name, '7') as is_flagged from supplier union all select cast(c_custkey as varchar) || '.C', c_name, contains(c_name, '7') from customer")
+def _(d: Day):
+    parts = [(d.view("supplier"), "s_suppkey", "s_name", "S"), (d.view("customer"), "c_custkey", "c_name", "C")]
+    return landing.fold([df.select(F.concat(F.col(k).cast("string"), F.lit(f".{x}")).alias("entity"), F.col(n).alias("name"), F.contains(F.col(n), F.lit("7")).alias("is_flagged")) for df, k, n, x in parts])
+
+
+@register("a21_ledger_append", "select o_orderkey as record_id, 'new' as kind from orders where o_orderkey % 10 = 3 union all select o_orderkey, 'conflict' from orders where o_orderkey % 10 = 4")
+def _(d: Day):
+    orders = d.view("orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("body"))
+    ledger = orders.where("record_id % 10 <> 3")
+    sent = orders.where("record_id % 10 in (3, 4, 5)").withColumn("body", F.when(F.col("record_id") % 10 == 4, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    new, bad = landing.append_ledger(ledger, sent)
+    return new.select("record_id", F.lit("new").alias("kind")).unionByName(bad.select("record_id", F.lit("conflict").alias("kind")))
+
+
+@register("a24_freshness", "select 'bars' as dataset, count(*) as n, min(trade_date) as first, max(trade_date) as last, cast(0 as bigint) as unreadable from bars union all select 'documents', count(*), null, null, count(*) from documents")
+def _(d: Day):
+    return landing.freshness({"bars": (d.view("bars"), "trade_date"), "documents": (d.view("documents"), "lang")})
+
+
+@register("a26_equivalence", "select 'rows' as check, count(*) as a_value, count(*) filter (entity % 10 <> 0) as b_value, false as same from bars union all select 'duplicate_keys', 0, 0, true union all select 'nulls.close', 0, 0, true union all select 'rows_only_here', count(*) filter (entity % 10 = 0), 0, false from bars")
+def _(d: Day):
+    bars = d.view("bars").select("entity", "trade_date", "close")
+    out = landing.equivalence(bars, bars.where("entity % 10 <> 0"), ["entity", "trade_date"])
+    return out.where(F.col("check").isin("rows", "duplicate_keys", "nulls.close", "rows_only_here"))
+
+
+@register("a18_snapshot_fingerprint", "select count(*) as n from panel")
+def _(d: Day):
+    a, b = landing.fingerprint(d.panel), landing.fingerprint(d.panel.repartition(7))
+    fail_if_any(a.join(F.broadcast(b.select(F.col("digest").alias("other")))).where("digest <> other"), "the digest depends on the order of rows")
+    return a.select("n")
+
+
+# normalization
+
+_cell = "case l_linenumber % 7 when 0 then ' - ' when 1 then 'abc' when 2 then 'inf' when 3 then 'N/A' when 4 then ' ' || cast(l_linenumber as varchar) || ' ' else cast(cast(l_quantity as int) as varchar) end"
+
+
+def _raw(d: Day) -> DataFrame:
+    n = F.col("l_linenumber") % 7
+    cell = F.when(n == 0, " - ").when(n == 1, "abc").when(n == 2, "inf").when(n == 3, "N/A").when(n == 4, F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(" "))).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    entity = F.when(F.col("l_orderkey") % 31 == 0, "").otherwise(F.col("l_suppkey").cast("string"))
+    day = F.when(F.col("l_orderkey") % 29 == 0, "not-a-date").otherwise(F.col("l_shipdate").cast("date").cast("string"))
+    return d.view("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), entity.alias("entity"), day.alias("trade_date"), cell.alias("close"))
+
+
+@register("b1_cell_classification", f"select row, case when lower(trim(cell)) in ('-', 'n/a') or cell = 'abc' or cell = 'inf' then null else cast(trim(cell) as double) end as value, case cell when 'abc' then 'unparsable' when 'inf' then 'not_finite' end as reason from (select l_orderkey * 10 + l_linenumber as row, {_cell} as cell from lineitem) where cell not in ('abc', 'inf') or true".replace("cast(trim(cell) as double)", "try_cast(trim(cell) as double)"))
+def _(d: Day):
+    value, reason = normalize.classify(F.col("close"))
+    return _raw(d).select("row", value.alias("value"), reason.alias("reason"))
+
+
+@register("b2_bar_failures", f"select reason, count(*) as n from (select case when l_orderkey % 31 = 0 then 'entity_missing' when l_orderkey % 29 = 0 then 'date_invalid' when cell = 'abc' then 'unparsable' when cell = 'inf' then 'not_finite' end as reason from (select l_orderkey, {_cell} as cell from lineitem)) where reason is not null group by reason")
+def _(d: Day):
+    _, failures = normalize.bars(_raw(d), ["close"])
+    return failures.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@register("b3_flags", "select s_suppkey as entity, s_suppkey % 4 < 2 as flag from supplier")
+def _(d: Day):
+    n = F.col("s_suppkey") % 4
+    cell = F.when(n == 0, " TRUE ").when(n == 1, "是").when(n == 2, "no").otherwise("0")
+    return d.view("supplier").select(F.col("s_suppkey").alias("entity"), normalize.flag(cell).alias("flag"))
+
+
+@register("b4_statement_unpivot", "select metric, count(*) as n, count(value) as valued from observations group by metric")
+def _(d: Day):
+    from lodestar.plans import testbed
+
+    return testbed.observations(d.spark, d.sf_dir).groupBy("metric").agg(F.count("*").alias("n"), F.count("value").alias("valued"))
+
+
+@register("b5_availability_time", "select distinct announce_date, epoch_ms(cast(announce_date as timestamp)) / 1000 + 7 * 3600 as seconds from observations".replace("epoch_ms(cast(announce_date as timestamp)) / 1000", "date_diff('day', date '1970-01-01', announce_date) * 86400"))
+def _(d: Day):
+    rows = d.view("statements_wide").select("announce_date").distinct()
+    return rows.select("announce_date", F.unix_seconds(normalize.available_at(F.col("announce_date"))).alias("seconds"))
+
+
+@register("b6_entity_codes", "select s_suppkey as entity, case s_suppkey % 4 when 0 then lpad(cast(s_suppkey as varchar), 6, '0') || '.SH' when 1 then lpad(cast(s_suppkey as varchar), 6, '0') || '.SZ' when 2 then lpad(cast(s_suppkey as varchar), 6, '0') || '.BJ' end as canonical from supplier")
+def _(d: Day):
+    prefix = F.element_at(F.array(F.lit("sh"), F.lit("SZ"), F.lit("bj"), F.lit("xx")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    code = F.concat(prefix, F.lpad(F.col("s_suppkey").cast("string"), 6, "0"))
+    return d.view("supplier").select(F.col("s_suppkey").alias("entity"), normalize.canonical(code).alias("canonical"))
+
+
+_some = "trade_date >= date '2001-06-25' and trade_date <= date '2001-06-30'"
+
+
+def _blocks(d: Day) -> DataFrame:
+    rows = d.view("bars").where(_some)
+    line = F.concat_ws(" | ", F.lit(""), F.col("trade_date").cast("string"), F.col("volume").cast("long").cast("string"), F.lit("--"))
+    body = F.array_join(F.array_sort(F.collect_list(F.concat(F.trim(line), F.lit(" |")))), "\n")
+    text = F.concat(F.lit("prose before\n\n**note**: first\n**count**: "), F.count("*").cast("string"), F.lit("\n| date | volume | other |\n|---|---|---|\n"), body, F.lit("\nprose after\n**note**: last | x\n"))
+    return rows.groupBy("entity").agg(text.alias("text")).select(F.col("entity").alias("doc_id"), "text")
+
+
+@register("b7_markdown_tables", f"select entity as doc_id, cast(trade_date as varchar) as cell, 'date' as header from bars where {_some} union all select entity, cast(cast(volume as bigint) as varchar), 'volume' from bars where {_some} union all select entity, '--', 'other' from bars where {_some}")
+def _(d: Day):
+    return normalize.table_cells(_blocks(d)).select("doc_id", "cell", "header")
+
+
+@register("b8_bold_pairs", f"select entity as doc_id, 'note' as key, 'last | x' as value from bars where {_some} group by entity union all select entity, 'count', cast(count(*) as varchar) from bars where {_some} group by entity")
+def _(d: Day):
+    return normalize.bold_pairs(_blocks(d))
+
+
+@register("b12_flatten_answer", "select c_custkey as doc_id, 't' as type, c_mktsegment as desc, cast(c_custkey as varchar) as content from customer union all select c_custkey, 'u', null, 'x' from customer")
+def _(d: Day):
+    inner = F.array(F.struct(F.lit("t").alias("type"), F.col("c_mktsegment").alias("desc"), F.col("c_custkey").cast("string").alias("content")), F.struct(F.lit("u").alias("type"), F.lit(None).cast("string").alias("desc"), F.lit("x").alias("content")))
+    whole = F.to_json(F.struct(F.struct(F.struct(inner.alias("apiRecall")).alias("apiData")).alias("data")))
+    return normalize.flatten_answer(d.view("customer").select(F.col("c_custkey").alias("doc_id"), whole.alias("json")))
+
+
+# gates
+
+_dirty = """(select entity, trade_date, case when (entity * 7 + day(trade_date)) % 53 = 0 then null when (entity + day(trade_date)) % 61 = 0 then -close else close end as close, case when (entity + day(trade_date)) % 47 = 0 then -volume else volume end as volume from bars
+  union all select entity, trade_date, close, volume from bars where (entity * 3 + day(trade_date)) % 59 = 0)"""
+_issues = f"(select entity, trade_date, unnest(list_filter([case when close is null then 'close_missing' end, case when close <= 0 then 'close_not_positive' end, case when volume < 0 then 'volume_negative' end, case when n > 1 then 'duplicate_primary_key' end], lambda x: x is not null)) as rule from (select *, count(*) over (partition by entity, trade_date) as n from {_dirty}))"
+
+
+def _dirty_bars(d: Day) -> DataFrame:
+    bars, day = d.view("bars").select("entity", "trade_date", "close", "volume"), F.dayofmonth("trade_date")
+    close = F.when((F.col("entity") * 7 + day) % 53 == 0, None).when((F.col("entity") + day) % 61 == 0, -F.col("close")).otherwise(F.col("close"))
+    volume = F.when((F.col("entity") + day) % 47 == 0, -F.col("volume")).otherwise(F.col("volume"))
+    return bars.withColumn("close", close).withColumn("volume", volume).unionByName(bars.where((F.col("entity") * 3 + day) % 59 == 0))
+
+
+@register("c1_bar_gate", f"select rule, count(*) as n from {_issues} group by rule")
+def _(d: Day):
+    return gates.bar_issues(_dirty_bars(d)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@register("c2_valid_rows", f"select entity, count(*) as n from {_dirty} b where not exists (select 1 from {_issues} i where i.entity = b.entity and i.trade_date = b.trade_date) group by entity")
+def _(d: Day):
+    dirty = _dirty_bars(d)
+    return gates.valid_bars(dirty, gates.bar_issues(dirty)).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+_obs = "(select * from observations union all select * from observations where entity % 10 = 3 and metric = 'roe_ttm')"
+_oissues = f"(select distinct entity, metric, report_period, case when n > 1 then 'duplicate_primary_key' when entity % 10 = 5 and metric = 'goodwill' then 'cell_unreadable' when value is null then 'value_missing' end as rule, case when n > 1 or (entity % 10 = 5 and metric = 'goodwill') then 'INVALID' else 'NULL' end as state from (select *, count(*) over (partition by entity, metric, report_period) as n from {_obs}))"
+
+
+def _dirty_observations(d: Day) -> tuple[DataFrame, DataFrame]:
+    from lodestar.plans import testbed
+
+    rows = testbed.observations(d.spark, d.sf_dir)
+    return rows.unionByName(rows.where("entity % 10 = 3 and metric = 'roe_ttm'")), rows.where("entity % 10 = 5 and metric = 'goodwill'").select("entity", "metric", "report_period")
+
+
+@register("c3_observation_gate", f"select rule, state, count(*) as n from {_oissues} where rule is not null group by rule, state")
+def _(d: Day):
+    return gates.observation_issues(*_dirty_observations(d)).groupBy("rule", "state").agg(F.count("*").alias("n"))
+
+
+@register("c4_usable_observations", f"select metric, count(*) as n from {_obs} o where not exists (select 1 from {_oissues} i where i.rule is not null and i.state = 'INVALID' and i.entity = o.entity and i.metric = o.metric and i.report_period = o.report_period) group by metric")
+def _(d: Day):
+    rows, failures = _dirty_observations(d)
+    return gates.usable_observations(rows, gates.observation_issues(rows, failures)).groupBy("metric").agg(F.count("*").alias("n"))
+
+
+@register("c5_point_in_time", "select count(*) as n from observations where announce_date > date '2001-06-30'")
+def _(d: Day):
+    from lodestar.plans import testbed
+
+    return gates.look_ahead(testbed.observations(d.spark, d.sf_dir), d.as_of)
+
+
+@register("c6_severity", f"select 'P2' as severity, count(*) as n, false as blocking from {_issues}")
+def _(d: Day):
+    return gates.by_severity(gates.bar_issues(_dirty_bars(d)))
+
+
+# decisions
+
+_intent = "(select l_orderkey * 10 + l_linenumber as id, cents / 100.0 / qty as entry, qty - 3 as quantity, cents / 100.0 / qty * (1 - (d - 1) / 100.0) as stop, 1000000.0 as nav, d, t, flag, entity, trade_date from line)"
+
+
+def _intents(d: Day) -> DataFrame:
+    price = F.col("cents").cast("double") / 100 / F.col("qty")
+    return d.view("line").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), price.alias("entry"), (F.col("qty") - 3).alias("quantity"), (price * (1 - (F.col("d") - 1) / F.lit(100))).alias("stop"), F.lit(1000000.0).alias("nav"), "d", "t", "flag")
+
+
+@register("m1_risk_columns", f"select array_to_string(list_filter([case when entry <= 0 then 'ENTRY' end, case when quantity <= 0 then 'QUANTITY' end, case when d <= 1 then 'STOP' end], lambda x: x is not null), ',') as violations, count(*) as n from {_intent} group by 1")
+def _(d: Day):
+    rows = decisions.risk_columns(_intents(d).withColumn("stop", F.when(F.col("d") <= 1, F.col("entry")).otherwise(F.col("stop"))))
+    return rows.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n"))
+
+
+_dims = "(select id, d / 10.0 as strength, case when t = 3 then null else t / 8.0 end as sector, case when flag = 'A' then 1.0 when flag = 'R' then 0.0 else 0.5 end as confirm, 1.2 as plan, d, t, flag from " + _intent + ")"
+
+
+def _dimensions(d: Day) -> DataFrame:
+    rows = _intents(d)
+    return rows.select("id", "d", "t", "flag", (F.col("d") / F.lit(10)).alias("strength"), F.when(F.col("t") != 3, F.col("t") / F.lit(8)).alias("sector"), F.when(F.col("flag") == "A", 1.0).when(F.col("flag") == "R", 0.0).otherwise(0.5).alias("confirm"), F.lit(1.2).alias("plan"))
+
+
+@register("m7_dimension_scores", f"select id, round(30 * strength + coalesce(20 * sector, 0) + 30 * confirm + 20, 4) as score, case when sector is null then 'sector' end as missing from {_dims}")
+def _(d: Day):
+    rows = decisions.dimension_scores(_dimensions(d), dict(decisions.PROFILES["EVENT"]))
+    return rows.select("id", F.round("score", 4).alias("score"), F.when(F.size("missing") > 0, F.array_join("missing", ",")).alias("missing"))
+
+
+def _checks() -> dict:
+    return {"FLAG": ("HARD", (F.col("flag") == "R") & (F.col("d") < 2)), "TAX": ("CONDITIONAL", F.col("t") > 6)}
+
+
+@register("m8_veto_rules", f"select case when flag = 'R' and d < 2 then 'FLAG' end as hard, case when t > 6 then 'TAX' end as conditional, count(*) as n from {_dims} group by 1, 2")
+def _(d: Day):
+    hard, conditional = decisions.vetoes(_checks())
+    return _dimensions(d).select(F.get(hard, F.lit(0)).alias("hard"), F.get(conditional, F.lit(0)).alias("conditional")).groupBy("hard", "conditional").agg(F.count("*").alias("n"))
+
+
+@register("m9_decision", f"select decision, count(*) as n from (select case when flag = 'R' and d < 2 then 'NO_TRADE' when sector is null then 'WAIT' when s >= 80 then case when t > 6 then 'WAIT' else 'TRADE' end when s >= 70 then 'WAIT' else 'NO_TRADE' end as decision from (select *, round(30 * strength + coalesce(20 * sector, 0) + 30 * confirm + 20, 6) as s from {_dims})) group by decision")
+def _(d: Day):
+    rows = decisions.dimension_scores(_dimensions(d), dict(decisions.PROFILES["EVENT"]))
+    hard, conditional = decisions.vetoes(_checks())
+    return rows.select(decisions.decide(F.round("score", 6), hard, conditional, F.col("missing")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@register("m10_replay_weights", f"select id, round(25 * strength + coalesce(15 * sector, 0) + 25 * confirm + 35, 4) as score from {_dims}")
+def _(d: Day):
+    return decisions.dimension_scores(_dimensions(d), dict(decisions.PROFILES["SWING"])).select("id", F.round("score", 4).alias("score"))
+
+
+@register("m3_confident_ratio", f"select id, round(strength * (0.5 + 0.5 * t / 8.0), 6) as ratio from {_dims}")
+def _(d: Day):
+    return _dimensions(d).select("id", F.round(decisions.confident(F.col("strength"), F.col("t") / F.lit(8)), 6).alias("ratio"))
+
+
+@register("m11_discipline", "select e.overridden, count(*) as n, count(r.pnl) as reviewed, count(*) filter (r.pnl > 0) as wins, round(count(*) filter (r.pnl > 0) / count(r.pnl), 6) as win_rate, round(cast(sum(cast(r.pnl as decimal(24,4))) as double) / count(r.pnl), 4) as mean_pnl from (select o_orderkey as execution_id, o_orderstatus = 'F' as overridden from orders) e left join (select l_orderkey as execution_id, round(sum(cents * (d - 5)) / 10000.0, 2) as pnl from line where l_orderkey % 3 = 0 group by l_orderkey) r using (execution_id) group by e.overridden")
+def _(d: Day):
+    done = d.view("orders").select(F.col("o_orderkey").alias("execution_id"), (F.col("o_orderstatus") == "F").alias("overridden"))
+    reviews = d.view("line").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("execution_id")).agg(F.round(F.sum(F.col("cents") * (F.col("d") - 5)).cast("double") / 10000, 2).alias("pnl"))
+    out = decisions.discipline(done, reviews)
+    return out.withColumn("win_rate", F.round("win_rate", 6)).withColumn("mean_pnl", F.round("mean_pnl", 4))
+
+
+# lifecycle
+
+
+def _events(d: Day) -> DataFrame:
+    return d.view("events").select(F.col("user_id").alias("entity"), "event_id", "ts", F.col("event_type").alias("state"))
+
+
+_place = lambda c: f"coalesce(list_position(['signup', 'view', 'click', 'purchase'], {c}), 0)"
+
+
+@register("n1_transition_validation", f"select verdict, count(*) as n from (select case when state = 'error' then 'RESERVED' when before is null then case when state = 'signup' then 'ACCEPTED' else 'NOT_FIRST' end when before = 'error' then 'AFTER_RESERVED' when {_place('state')} = {_place('before')} + 1 then 'ACCEPTED' else 'NOT_NEXT' end as verdict from (select event_type as state, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)) group by verdict")
+def _(d: Day):
+    return lifecycle.transitions(_events(d)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@register("n2_state_fold", f"select user_id as entity, ['signup', 'view', 'click', 'purchase'][list_reduce(list_prepend(cast(0 as bigint), list(cast({_place('event_type')} as bigint) order by ts, event_id)), lambda s, x: case when x = s + 1 then x else s end)] as state from events group by user_id")
+def _(d: Day):
+    return lifecycle.fold_states(_events(d)).select("entity", "state")
+
+
+_log = "(select o_orderkey as run_id, cast(o_orderdate as date) as day, case o_orderkey % 5 when 0 then 'FAILED' when 1 then 'BLOCKED' when 2 then 'RUNNING' else 'SUCCESS' end as status, case when o_orderkey % 5 = 2 and o_orderkey % 7 <> 0 then null else o_orderdate end as finished_at, case when o_orderkey % 5 in (0, 1) and o_orderkey % 11 <> 0 then 'e' end as error from orders)"
+
+
+def _runs(d: Day) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(k % 5 == 0, "FAILED").when(k % 5 == 1, "BLOCKED").when(k % 5 == 2, "RUNNING").otherwise("SUCCESS")
+    return d.view("orders").select(k.alias("run_id"), F.col("o_orderdate").cast("date").alias("day"), status.alias("status"), F.when(~((k % 5 == 2) & (k % 7 != 0)), F.col("o_orderdate")).alias("finished_at"), F.when((k % 5).isin(0, 1) & (k % 11 != 0), "e").alias("error"))
+
+
+@register("n3_run_log_invariants", f"select rule, count(*) as n from (select unnest(list_filter([case when (finished_at is not null) <> (status in ('SUCCESS', 'FAILED', 'BLOCKED')) then 'FINISHED' end, case when (error is not null) <> (status in ('FAILED', 'BLOCKED')) then 'ERROR' end], lambda x: x is not null)) as rule from {_log}) group by rule")
+def _(d: Day):
+    return lifecycle.run_violations(_runs(d)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@register("n4_stage_roll_up", f"select day, count(*) filter (status = 'FAILED') as failed, count(*) filter (status = 'BLOCKED') as blocked, bool_and(status = 'SUCCESS') as complete from {_log} group by day")
+def _(d: Day):
+    return lifecycle.roll_up(_runs(d))
+
+
+@register("a20_run_log_upsert", f"select run_id, case when run_id % 4 = 0 then 'RETRIED' else status end as status from {_log}")
+def _(d: Day):
+    log = _runs(d).select("run_id", "status")
+    return landing.merge(log, log.where("run_id % 4 = 0").withColumn("status", F.lit("RETRIED")), ["run_id"])
+
+
+@register("p1_trading_days", "select cast(x as date) as day from range(date '1995-01-01', date '2001-12-31', interval 1 day) t(x) where isodow(x) < 6 and cast(x as date) in (select trade_date from bars)")
+def _(d: Day):
+    return lifecycle.calendar(d.spark, "1995-01-01", "2001-12-30").join(d.view("bars").select(F.col("trade_date").alias("day")).distinct(), "day", "left_semi")
+
+
+@register("p2_nearest_trading_days", "select d.day, max(t.day) filter (t.day <= d.day) as latest, min(t.day) filter (t.day > d.day) as following from (select distinct trade_date as day from bars) d join (select cast(x as date) as day from range(date '1994-12-01', date '2002-02-01', interval 1 day) r(x) where isodow(x) < 6) t on t.day between d.day - 60 and d.day + 60 group by d.day")
+def _(d: Day):
+    return lifecycle.nearest_days(d.view("bars").select(F.col("trade_date").alias("day")), lifecycle.calendar(d.spark, "1994-12-01", "2002-01-31"))
+
+
+# validation of stored results
+
+
+@register("o1_record_checks", "select 'SCORE_RANGE' as rule, count(*) as n from res where score < 0 or score > 90 union all select 'UNKNOWN_FACTOR', count(*) from panel where factor not in (select factor from weights)")
+def _(d: Day):
+    scores = validate.outside(d.results, "score", 0.0, 90.0, "SCORE_RANGE")
+    names = validate.unknown(d.panel, "factor", d.weights.select("factor"), "UNKNOWN_FACTOR")
+    every = scores.select("rule").unionByName(names.select("rule"))
+    return validate.counted(every, ["SCORE_RANGE", "UNKNOWN_FACTOR"])
+
+
+@register("o2_cross_references", "select count(*) as n from weights w join res r using (strategy) left join inside p on p.entity = r.entity and p.factor = w.factor where r.eligible and p.factor is null")
+def _(d: Day):
+    cited = d.results.where("eligible").select("strategy", "entity").join(F.broadcast(d.weights.select("strategy", "factor")), "strategy")
+    return validate.dangling(cited, d.panel, ["entity", "factor"]).agg(F.count("*").alias("n"))
+
+
+@register("o3_candidate_semantics", "select 'CAP' as rule, cast(0 as bigint) as n union all select 'DUPLICATE', 0 union all select 'VETOED', 0 union all select 'PRIMARY', 0")
+def _(d: Day):
+    return validate.candidate_findings(d.candidates, d.qualified, 12)
+
+
+@register("o4_regime_checks", "select cast(1 as bigint) as n, true as known from br")
+def _(d: Day):
+    known = F.col("regime").isin("BULL", "RANGE_UP", "RANGE", "RANGE_DOWN", "BEAR")
+    return d.regime.agg(F.count("*").alias("n"), F.bool_and(known).alias("known"))
+
+
+@register("o5_evidence_availability", "select count(*) as n from lo where known > date '2001-06-30'")
+def _(d: Day):
+    from lodestar.operators import factors
+    from lodestar.plans import testbed
+
+    refs = factors.evidence(testbed.observations(d.spark, d.sf_dir), d.as_of).select(F.explode("refs").alias("r"))
+    return refs.where("r.period is not null").agg(F.count_if(F.col("r.known") > F.lit(d.as_of).cast("date")).alias("n"))
