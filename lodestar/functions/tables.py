@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir, or a temporary one where that is unset, read back."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, or in a temporary one where that is unset."""
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if top is None:
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestar-')}")
         top = context.getCheckpointDir()
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

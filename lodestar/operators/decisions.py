@@ -55,3 +55,47 @@ def discipline(executions: DataFrame, reviews: DataFrame) -> DataFrame:
     joined = executions.join(reviews, "execution_id", "left")
     pnl = F.col("pnl").cast("decimal(24,4)")
     return joined.groupBy("overridden").agg(F.count("*").alias("n"), F.count("pnl").alias("reviewed"), F.count_if(F.col("pnl") > 0).alias("wins"), F.try_divide(F.count_if(F.col("pnl") > 0), F.count("pnl")).alias("win_rate"), F.try_divide(F.sum(pnl).cast("double"), F.count("pnl")).alias("mean_pnl"))
+
+
+def context(intents: DataFrame, panel: DataFrame, qualified: DataFrame, chosen: DataFrame) -> DataFrame:
+    """intents with published, ret_20d and best: what is stored of their entities; nothing stored gives null."""
+    short = panel.where("factor = 'ret_20d' and status = 'VALUE'").select("entity", F.col("raw_value").alias("ret_20d"))
+    best = qualified.groupBy("entity").agg(F.max("rank_percentile").alias("best"))
+    held = chosen.select("entity", F.lit(True).alias("published"))
+    joined = intents.join(short, "entity", "left").join(best, "entity", "left").join(held, "entity", "left")
+    return joined.withColumn("published", F.coalesce("published", F.lit(False)))
+
+
+def _unit(c: Column) -> Column:
+    """c within 0 and 1; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+
+
+def _flag(c: Column) -> Column:
+    return F.when(c, 1.0).when(c.isNotNull(), 0.0)
+
+
+def event_ratios(evidence: DataFrame) -> DataFrame:
+    return evidence.select("entity", _unit(F.col("relative_strength") + 0.5).alias("strength"), _flag(F.col("industry_excess") > 0).alias("sector"), _flag(F.col("volume_ratio") > 1.05).alias("confirm"))
+
+
+def swing_ratios(evidence: DataFrame, qualified: DataFrame, validated: DataFrame) -> DataFrame:
+    best = qualified.groupBy("entity").agg(F.max("rank_percentile").alias("rank"))
+    v = F.col("validation")
+    held = validated.select("entity", F.when(v == "CONFIRMED", 1.0).when(v == "NEUTRAL", 0.5).when(v == "CONTRADICTED", 0.0).alias("validation"))
+    half = lambda c: F.when(F.col(c) > 0, 0.5).otherwise(0.0)
+    rows = evidence.select("entity", (half("ret_20d") + half("ret_60d")).alias("trend"), _unit(F.col("volume_ratio") / 2).alias("volume"))
+    return rows.join(best, "entity", "left").join(held, "entity", "left")
+
+
+def position_ratios(results: DataFrame) -> DataFrame:
+    """quality, growth and value: the best percentile among the strategies that speak for each."""
+    best = lambda *names: F.max(F.when(F.col("strategy").isin(*names), F.col("rank_percentile")))
+    return results.where("rank_percentile is not null").groupBy("entity").agg(best("quality").alias("quality"), best("growth", "garp").alias("growth"), best("value", "garp").alias("value"))
+
+
+def integrity(executions: DataFrame) -> DataFrame:
+    """id, rule: exactly one of plan and override; an override stays within its cap and is acknowledged."""
+    override = F.col("override_id").isNotNull()
+    checks = {"ONE_OF_PLAN_AND_OVERRIDE": F.col("plan_id").isNotNull() == override, "CAP": override & (F.col("amount") > F.col("cap")), "NOT_ACKNOWLEDGED": override & ~F.col("acknowledged")}
+    return executions.select("id", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]))).alias("rule"))

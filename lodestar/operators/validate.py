@@ -40,3 +40,17 @@ def candidate_findings(chosen: DataFrame, qualified: DataFrame, cap: int) -> Dat
     for p in parts[1:]:
         every = every.unionByName(p)
     return counted(every, ["CAP", "DUPLICATE", "VETOED", "PRIMARY"])
+
+
+def manifest_findings(log: DataFrame, stages: list[str]) -> DataFrame:
+    """rule, n: stages that are not known, known ones that never ran, and statuses that are not known."""
+    known = log.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage"))
+    strange = log.join(F.broadcast(known), "stage", "left_anti").select(F.lit("UNKNOWN_STAGE").alias("rule"))
+    absent = known.join(log.select("stage").distinct(), "stage", "left_anti").select(F.lit("MISSING_STAGE").alias("rule"))
+    wrong = log.where(~F.col("ok")).select(F.lit("STATUS").alias("rule"))
+    return counted(strange.unionByName(absent).unionByName(wrong), ["UNKNOWN_STAGE", "MISSING_STAGE", "STATUS"])
+
+
+def uncited(cited: DataFrame, column: str, declared: str) -> DataFrame:
+    """cited with bad: whether its version is not among the declared ones, a comma-joined set."""
+    return cited.withColumn("bad", ~F.array_contains(F.split(F.lit(declared), ","), F.col(column)))
