@@ -155,11 +155,11 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def verify(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs that are links."""
+    """a, b of the pairs that are links. The joins are by sorting at every size, as they must be at a large one."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    runs = settle(signed.select("node", "runs").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-runs")
-    first = pairs.join(runs.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
-    both = first.join(runs.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+    runs = settle(signed.select("node", "runs").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-runs")
+    first = pairs.hint("merge").join(runs.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
+    both = first.hint("merge").join(runs.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
 
     def row(a: int, b: int, x: bytes, y: bytes) -> Iterator[tuple]:
         found = similarity(unpack(x), unpack(y), least)
@@ -230,7 +230,7 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, rounds: int = ROUNDS, **
         rows = rows.join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
     rows = settle(rows.select("doc_id", "text_key", "component"), "near-rows")
     least_row = F.min(F.struct("doc_id", "text_key"))
-    heads = rows.groupBy("component").agg(least_row.alias("h"), F.count("*").alias("class_size"))
+    heads = settle(rows.groupBy("component").agg(least_row.alias("h"), F.count("*").alias("class_size")), "near-heads")
     joined = rows.join(heads, "component")
     return joined.select("doc_id", "text_key", F.col("h.doc_id").alias("class_id"), "class_size", F.struct("doc_id", "text_key").eqNullSafe(F.col("h")).alias("is_first"))
 
