@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -35,6 +37,34 @@ def send_package(context: SparkContext) -> None:
     _sent.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return memory that a task no longer uses to the system; workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def add_column(df: DataFrame, inputs: list[str], name: str, kind: str, start: Callable[[], Callable[..., object]]) -> DataFrame:
+    """df with one more column, start()'s function of the inputs; all other columns pass by unread."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    send_package(df.sparkSession.sparkContext)
+    whole = StructType([*df.schema.fields, *_parse_datatype_string(f"`{name}` {kind}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(whole)
+        each = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = [each(*row) for row in zip(*(part.column(c).to_pylist() for c in inputs))]
+                columns = [c.cast(f.type) for c, f in zip(part.columns, arrow)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, type=arrow.field(name).type)], schema=arrow)
+        give_back()
+
+    return df.mapInArrow(run, whole)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """df.select(columns), each row given to start()'s function, which yields rows of schema.
 
@@ -66,5 +96,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[],
         held.extend(getattr(each, "finish", tuple)())
         if held:
             yield out()
+        held = None
+        give_back()
 
     return df.select(*columns).mapInArrow(run, kind)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.rows import map_rows
+from lodestar.llm.rows import add_column
 from lodestar.llm.shared import settle
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most (about).
@@ -133,68 +132,88 @@ _NO_MARKS = {ord(c): None for c in "!?.,;:'\"()*#$%&@"}
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 
 
-def measure(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
-    """doc_id, text_key, features: one row for each row of docs(doc_id, text_key, text)."""
+def with_features(docs: DataFrame, learned: dict[str, float], text_col: str) -> DataFrame:
+    """docs with the array features."""
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def start():
         known = sent.value
-        return lambda doc_id, key, text: [(doc_id, key, features(text, known))]
+        return lambda text: features(text, known)
 
-    return map_rows(docs, ["doc_id", "text_key", "text"], "doc_id long, text_key long, features array<double>", start)
+    return add_column(docs, [text_col], "features", "array<double>", start)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text_key, held_out, score, predicted: one row for each row of docs.
+class Scorer:
+    """A lexicon, trees and calibration, fitted on labelled documents.
 
     Labels come only from rows that are not held out; of those about sample rows,
     chosen by a hash of their ids, are fitted on.  Null labels are left out; an id
-    labelled twice counts with its larger label.  Null text: empty.  Without labels
-    of both kinds every score is the share of label 1, or 0 where there are none.
+    labelled twice counts with its larger label.  Without labels of both kinds
+    every score is the share of label 1, or 0 where there are none.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("label"))
-    n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    # about sample rows of two numbers
-    texts = settle(picked.join(F.broadcast(drawn), "doc_id"), "toxicity-sample")
-    use = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1000)) >= int(CALIBRATION * 1000)
-    fit_on, learned = texts.where(use), {}
-    counts = fit_on.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
-    if counts.n:
-        learned = learn_lexicon(fit_on)
-    measured = settle(measure(picked, learned), "toxicity-features")
-    if not counts.n or counts.toxic in (0, counts.n):
-        scored = measured.withColumn("score", F.lit(float(counts.toxic or 0) / counts.n if counts.n else 0.0))
-    else:
-        scored = _fit(measure(texts, learned).join(F.broadcast(drawn), "doc_id"), measured)
-    scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
-    return scored.select("doc_id", "text_key", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-def _fit(sample: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with score, by trees and calibration fitted on sample(features, label)."""
-    sample = settle(sample.select("doc_id", "features", "label").coalesce(4), "toxicity-fit")
-    use = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1000)) >= int(CALIBRATION * 1000)
-    vector = lambda df: df.withColumn("x", array_to_vector("features"))
-    trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=3, seed=5, maxMemoryInMB=64)
-    model = trees.fit(vector(sample.where(use)).coalesce(4))
-    raw = lambda df: model.transform(vector(df)).withColumn("p", vector_to_array("probability")[1])
-    judged = settle(raw(sample.where(~use)).select("p", "label"), "toxicity-calibration")
-    kinds = judged.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
-    if kinds.low is None or kinds.low == kinds.high:
-        return raw(rows).select("doc_id", "text_key", F.col("p").alias("score"))
-    steps = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(judged)
-    # a little of the uncalibrated value keeps the order within a step
-    return steps.transform(raw(rows).select("doc_id", "text_key", "p")).select("doc_id", "text_key", (F.col("calibrated") * 0.98 + F.col("p") * 0.02).alias("score"))
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
+        self.id_col, self.text_col, self.learned, self.trees, self.steps = id_col, text_col, {}, None, None
+        picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+        known = labels.where(usable).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("label"))
+        n = known.count()
+        drawn = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+        # about sample rows of two numbers
+        texts = settle(picked.join(F.broadcast(drawn), "doc_id"), "toxicity-sample")
+        fit_on = texts.where(_fit_part())
+        counts = fit_on.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
+        self.share = float(counts.toxic) / counts.n if counts.n else 0.0
+        if not counts.n or counts.toxic in (0, counts.n):
+            return
+        self.learned = learn_lexicon(fit_on)
+        self._fit(settle(with_features(texts, self.learned, "text").select("doc_id", "features", "label").coalesce(4), "toxicity-fit"))
+
+    def _fit(self, sample: DataFrame) -> None:
+        trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=3, seed=5, maxMemoryInMB=64)
+        self.trees = trees.fit(_vector(sample.where(_fit_part())).coalesce(4))
+        judged = settle(self._raw(sample.where(~_fit_part())).select("p", "label"), "toxicity-calibration")
+        kinds = judged.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+        if kinds.low is not None and kinds.low != kinds.high:
+            self.steps = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(judged)
+
+    def _raw(self, rows: DataFrame) -> DataFrame:
+        return self.trees.transform(_vector(rows)).withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """docs with score, 0 to 1; no row leaves its partition. Null text: empty."""
+        if self.trees is None:
+            return docs.withColumn("score", F.lit(self.share))
+        rows = self._raw(with_features(docs, self.learned, self.text_col)).drop("features")
+        if self.steps is not None:
+            # a little of the uncalibrated value keeps the order within a step
+            rows = self.steps.transform(rows).withColumn("p", F.col("calibrated") * 0.98 + F.col("p") * 0.02).drop("calibrated")
+        return rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))).drop("p")
+
+
+def _fit_part() -> F.Column:
+    """Rows for trees and lexicon; the others are for calibration."""
+    return F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1000)) >= int(CALIBRATION * 1000)
+
+
+def _vector(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("x", array_to_vector("features"))
+
+
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted: one row for each row of docs. See Scorer."""
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = Scorer(docs, labels, id_col=id_col, text_col=text_col, sample=sample).score(picked.withColumnRenamed("text", text_col))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic."""
-    scores = score(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    keyed = docs.withColumn("_x", F.xxhash64(text_col))
-    return keyed.join(scores, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_k")), "left_anti").select(*docs.columns)
+    bare = docs.withColumnsRenamed({c: f"_{n}" for n, c in enumerate(docs.columns)})
+    at = docs.columns.index(text_col)
+    scored = Scorer(docs, labels, id_col=id_col, text_col=text_col).score(bare.withColumnRenamed(f"_{at}", text_col))
+    return scored.where("score < 0.5").withColumnRenamed(text_col, f"_{at}").select(*[F.col(f"_{n}").alias(c) for n, c in enumerate(docs.columns)])
