@@ -109,8 +109,13 @@ class _Writer:
 
     def __init__(self, folder: str, roll: int):
         self.folder, self.roll, self.shard, self.number, self.file = folder, roll, None, 0, None
+        self.mark: tuple = ()
 
-    def __call__(self, shard: int, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> Iterator[tuple]:
+    def __call__(self, shard: int, page_id: int | None, key: str, url: str | None, payload: bytes | None, response: int | None) -> Iterator[tuple]:
+        if payload is None:  # a mark stands before the records that it makes revisits
+            self.mark = page_id, key, response
+            return
+        refers_to = self.mark[2] if self.mark[:2] == (page_id, key) else None
         if shard != self.shard:
             yield from self.finish()
             self.shard, self.number = shard, 0
@@ -157,11 +162,14 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     before = F.sum("_bytes").over(Window.orderBy("_bin")) - F.col("_bytes")
     ranges = filled.select("_bin", F.floor(before / F.lit(range_bytes)).cast("long").alias("shard"))
 
-    typed = rows.withColumn("_key", digest).join(same, (F.col("_key") == F.col("_sha1")) & (size == F.col("_size")), "left")
-    refers = F.when(F.col("_response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_response")), F.col("_response"))
-    placed = typed.select("page_id", "url", "payload", "_key", refers.alias("refers_to"), bin_of.alias("_bin")).join(F.broadcast(ranges), "_bin")
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "_key", "url")
-    made = map_rows(ordered, ["shard", "page_id", "url", "payload", "refers_to"], "file string, range long, records long, bytes long, sha256 string", lambda: _Writer(folder, roll_bytes))
+    # payloads move once: revisits are found in a table of digests and sent along as marks, which sort before their records
+    slim = rows.select("page_id", digest.alias("_sha1"), size.alias("_size")).where(F.col("_size") >= LEAST)
+    marks = slim.join(same, ["_sha1", "_size"]).where(~F.col("page_id").eqNullSafe(F.col("_response"))).select("page_id", F.col("_sha1").alias("key"), "_response").distinct()
+    record_rows = rows.select("page_id", digest.alias("key"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("response"))
+    mark_rows = marks.select("page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("_response").alias("response"))
+    placed = record_rows.unionByName(mark_rows).withColumn("_bin", bin_of).join(F.broadcast(ranges), "_bin")
+    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "key", "kind", "url")
+    made = map_rows(ordered, ["shard", "page_id", "key", "url", "payload", "response"], "file string, range long, records long, bytes long, sha256 string", lambda: _Writer(folder, roll_bytes))
     made.write.parquet(f"{folder}/_manifest")
     return spark.read.schema(made.schema).parquet(f"{folder}/_manifest")
 
