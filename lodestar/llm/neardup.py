@@ -7,8 +7,13 @@ sketch are candidates, so candidates agree in runs and in their order, as
 documents of small edit distance do.
 
 A sketch's documents are not paired all with all: each meets two pivots of the
-sketch, so the pairs grow with the documents.  Later rounds choose other pivots
-in the sketches whose documents are not yet one class.  A pair is a link if
+sketch, so the pairs grow with the documents.  One pivot is the document whose
+sketches most others share, as the text that others are copies of does.  Later rounds choose other pivots
+in the sketches whose documents are not yet one class.  The documents of
+sketches that are still split then meet once more, by their rarest runs: of two
+that are a link, each has one of the other's runs among the fifth of its own
+that fewest documents have, so none of their links is lost, while a passage
+that many documents share brings none of them together.  A pair is a link if
 alignment in a band, as wide as the similarity allows, leaves M runs in common
 in order with M / (a + b - M) >= 0.8, a and b the numbers of runs.  Classes are
 the connected components of the links.
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm import words
 from lodestar.llm.rows import map_rows
@@ -36,8 +42,10 @@ RUN, SIMILAR = 5, 0.8
 #: Sketches of a document; runs in each, for documents of LONG runs or more and for those of fewer than SHORT.
 SKETCHES, LONG_ORDER, SHORT_ORDER = 24, 5, 2
 LONG, SHORT = 25, 32
-#: Rounds of pivots.
-ROUNDS = 3
+#: Rounds of pivots before the rest meets by its rarest runs.
+ROUNDS = 1
+#: Bytes kept of a run's hash.
+WIDTH = 5
 #: Hashes worked on at a time.
 BLOCK = 1 << 21
 
@@ -45,9 +53,14 @@ _ODD = words.mix64(np.arange(1, 4 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def label(runs: np.ndarray) -> np.ndarray:
+    """A hash of each run and how often it stood before."""
+    return words.mix64(runs + words.occurrence(runs).astype(np.uint64) * _STEP)
+
+
 def sketches(runs: np.ndarray, order: int, first: int) -> np.ndarray:
     """SKETCHES keys; each hashes the order runs that are smallest under its permutation, in text order."""
-    labelled = words.mix64(runs + words.occurrence(runs).astype(np.uint64) * _STEP)
+    labelled = label(runs)
     order = min(order, len(runs))
     step = max(1, BLOCK // len(runs))
     keys = []
@@ -66,14 +79,14 @@ def sketches(runs: np.ndarray, order: int, first: int) -> np.ndarray:
 
 
 def pack(runs: np.ndarray) -> bytes:
-    """24 bits of each run."""
-    return (runs & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """WIDTH bytes of each run."""
+    return runs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<u4")[:, 0]
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8")[:, 0]
 
 
 def sign(text: str | None) -> tuple[int, int, list[int], bytes]:
@@ -154,10 +167,10 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def verify(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+def verify(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
     """a, b of the pairs that are links. The joins are by sorting at every size, as they must be at a large one."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    runs = settle(signed.select("node", "runs").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-runs")
+    runs = runs.select("node", "runs").join(wanted.hint("merge"), "node", "left_semi")
     first = pairs.hint("merge").join(runs.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
     both = first.hint("merge").join(runs.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
 
@@ -169,6 +182,38 @@ def verify(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return map_rows(both, ["a", "b", "x", "y"], "a long, b long, similarity double", lambda: row)
 
 
+def rare_pairs(runs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of nodes(node, component) in different components that may be links.
+
+    Two texts of n and m labelled runs that are a link share least * n and least *
+    m of them or more.  So in any order of runs that both keep, a shared one is
+    among the first n - least * n + 1 of the one and likewise of the other.
+    The order is by how many of the nodes have a run, fewest first; runs that one node
+    alone has come before all others and need only be counted.  What two texts
+    share beyond the first runs of the one whose end comes first is at most the
+    rest of that one, so they must also share enough of their first runs.
+    """
+
+    def row(node: int, n: int, packed: bytes) -> Iterator[tuple]:
+        yield node, n, label(unpack(packed)).view(np.int64).tolist()
+
+    labelled = map_rows(runs.join(nodes, "node", "left_semi"), ["node", "n", "runs"], "node long, n int, runs array<long>", lambda: row)
+    runs = settle(labelled.select("node", "n", F.explode("runs").alias("run")), "near-rare")
+    common = runs.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    placed = runs.join(common, "run").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "run")))
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    first = settle(placed.where(F.col("place") + F.col("alone") <= first).select("node", "n", "run").join(nodes, "node"), "near-first")
+    mixed = first.groupBy("run").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("run")
+    first = first.join(mixed, "run", "left_semi")
+    x = first.select("run", F.col("node").alias("a"), F.col("n").alias("x"), F.col("component").alias("c"))
+    y = first.select("run", F.col("node").alias("b"), F.col("n").alias("y"), F.col("component").alias("d"))
+    met = x.join(y, "run").where((F.col("c") < F.col("d")) & (F.least("x", "y") >= least * F.greatest("x", "y")))
+    both = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("x") + F.col("y")).alias("sum"), F.first(F.greatest("x", "y")).alias("most"))
+    beyond = F.ceil(F.col("most") * least - 1e-9) - 1
+    return both.where(F.col("shared") + beyond >= F.col("sum") * (least / (1 + least)) - 1e-9).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that links lead to, for each node of links(a, b).
 
@@ -198,29 +243,41 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, rounds: int = ROUNDS, **
     """
     signed = settle(signatures(docs, **columns), "near-signed")
     keyed = signed.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    sizes = signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
-    members = settle(keyed.join(shared, "key").distinct(), "near-members")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
+    members = settle(keyed.join(shared, "key").select("node", "key", "size", "low").distinct(), "near-members")
+    runs = signed.where("n > 0").select("node", "n", "runs").dropDuplicates(["node"]).join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    runs = settle(runs, "near-runs")
+    sizes = runs.select("node", "n")
+    reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
     links = labels = tested = None
-    for k in range(rounds):
-        if k == 0:
-            met = members.select("node", F.explode(F.array("low", "high")).alias("pivot"))
-        else:
-            named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    for k in range(rounds + 1):
+        if k:
+            named = members.select("key", "node")
+            if labels is None:
+                named = named.withColumn("component", F.col("node"))
+            else:
+                named = named.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
             turned = F.col("node").bitwiseXOR(F.xxhash64(F.lit(k), "key"))
             split = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min(turned).alias("p")).where("c < d")
+        if k == 0:
+            central = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).alias("top"))
+            met = members.join(central, "key").select("node", F.explode(F.array("low", "top.node")).alias("pivot"))
+        elif k < rounds:
             split = split.select("key", F.col("p").bitwiseXOR(F.xxhash64(F.lit(k), "key")).alias("pivot"))
-            own = labels.select(F.col("node").alias("pivot"), F.col("component").alias("_c"))
-            met = named.join(split.join(own, "pivot", "left").select("key", "pivot", F.coalesce("_c", "pivot").alias("_c")), "key").where("component != _c")
+            own = named.select(F.col("node").alias("pivot"), F.col("component").alias("_c")).distinct()
+            met = named.join(split.join(own, "pivot"), "key").where("component != _c")
+        else:
+            rest = settle(named.join(split, "key", "left_semi").select("node", "component").distinct(), "near-rest")
+            met = rare_pairs(runs, rest, least).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
         pairs = met.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b")
         pairs = settle(sized.where(F.least("x", "y") >= least * F.greatest("x", "y")).select("a", "b"), "near-pairs")
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.union(pairs)
-        new = settle(verify(pairs, signed, least), "near-links")
+        new = settle(verify(pairs, runs, least), "near-links")
         links = new if links is None else links.union(new)
         labels = components(links)
     rows = signed.select("doc_id", "text_key", "node")
