@@ -1,11 +1,12 @@
 """License scan by a positional index of rare words.
 
 One pass finds the words of the license vocabulary in each document, with their
-places and the key phrases that begin there.  The rarest of a document's license
-words, by inverse document frequency over all documents, are looked up in the
-postings of the templates; each posting votes for the place at which its
-template would start.  A template is reported where enough words agree on one
-start and all of the template's mandatory phrases stand in the document.
+places and the key phrases that begin there.  The rarest words of each template,
+by document frequency over all documents, are its anchors: as many as make sure
+that no place where enough words agree goes without one.  Anchors found give the
+places at which their template may start, and all words of the template vote on
+these.  A template is reported where enough words agree on one start and all of
+the template's mandatory phrases stand in the document.
 
 Only DataFrame and SQL functions are used.
 """
@@ -47,9 +48,7 @@ TEMPLATES = (
 #: Words too common to say anything about a license.
 COMMON = frozenset("a an and any are as at be by can for from in is it of on or that the this to use was with work you".split())
 
-#: How many of a document's license words are looked up, rarest first; the share of a
-#: template's looked up words that must agree on one start.
-RAREST = 12
+#: The share of a template's words that must agree on one start.
 AGREE = 0.6
 
 
@@ -98,13 +97,25 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return words.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.expr(hit).alias("hits"))
 
 
-def _lookup(spark: SparkSession) -> DataFrame:
-    """template, label, w, at, n: the postings; n is the number of the template's vocabulary words. As many rows as TEMPLATES has words."""
+def _lookup(spark: SparkSession, agree: float) -> DataFrame:
+    """template, label, w, at, n, bit, anchors, needed: the postings. As many rows as TEMPLATES has words.
+
+    n is the number of the template's vocabulary words and bit that of the word
+    among them; anchors is how many of them at least one vote of any agreement is
+    among; needed has the bits of the mandatory phrases.
+    """
+    number = {p: n for n, p in enumerate(_phrases())}
     rows = []
-    for t, (label, text, _) in enumerate(TEMPLATES):
+    for t, (label, text, mandatory) in enumerate(TEMPLATES):
         ws = words_of(text)
-        n = len({w for w in ws if w not in COMMON})
-        rows += [f"named_struct('template', {t}, 'label', '{label}', 'w', '{w}', 'at', {at}L, 'n', {n})" for at, w in enumerate(ws) if w not in COMMON]
+        own = sorted({w for w in ws if w not in COMMON})
+        n = len(own)
+        least = next((v for v in range(1, n + 1) if v / n >= agree), n + 1)
+        needed = sum(1 << number[p] for p in mandatory)
+        rows += [
+            f"named_struct('template', {t}, 'label', '{label}', 'w', '{w}', 'at', {at}L, 'n', {n}, 'bit', {1 << own.index(w)}L, 'anchors', {n - least + 1}, 'needed', {needed}L)"
+            for at, w in enumerate(ws) if w not in COMMON
+        ]
     return spark.range(1).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
@@ -114,7 +125,7 @@ def _first_of(phrase_bit: int, phrase: str) -> str:
     return f"transform(filter(hits, h -> h.phrases & {phrase_bit}L != 0), h -> h.i - {at})"
 
 
-def find(docs: DataFrame, *, rarest: int = RAREST, agree: float = AGREE, **columns) -> DataFrame:
+def find(docs: DataFrame, *, agree: float = AGREE, **columns) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, template_start: one row for each row of docs.
 
     score: the largest share of a reported template's words found in place, 0 if
@@ -132,16 +143,16 @@ def find(docs: DataFrame, *, rarest: int = RAREST, agree: float = AGREE, **colum
     base = found.select("row", "doc_id", "n_words", F.expr(places).alias("_at"), F.expr(f"array_compact(array({named}))").alias("_base"))
 
     hits = found.where(F.size("hits") > 0).select("row", F.expr(seen).alias("seen"), F.explode("hits").alias("h")).select("row", "seen", "h.w", "h.i")
-    rows = found.agg(F.count("*").alias("n_rows"))
-    seen_in = hits.groupBy("w", "row").agg(F.lit(1)).groupBy("w").agg(F.count("*").alias("df"))
-    idf = seen_in.join(F.broadcast(rows)).select("w", F.log((F.col("n_rows") + 1.0) / (F.col("df") + 1.0)).alias("idf"))  # as many rows as the vocabulary has words, times 1
-    words = hits.groupBy("row", "w").agg(F.first("seen").alias("seen"), F.array_sort(F.collect_list("i")).alias("at")).join(F.broadcast(idf), "w")
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "w"))
-    looked = words.withColumn("_r", place).where(F.col("_r") <= rarest).select("row", "seen", "w", F.explode("at").alias("i"))
-    votes = looked.join(F.broadcast(_lookup(spark)), "w").groupBy("row", "template", "label", "n", (F.col("i") - F.col("at")).alias("start")).agg(F.count_distinct("w").alias("votes"), F.first("seen").alias("seen"))
-    needed = F.expr("element_at(array(" + ", ".join(f"{sum(1 << number[p] for p in ps)}L" for _, _, ps in TEMPLATES) + "), template + 1)")
-    share = F.least(F.lit(1.0), F.col("votes") / F.least(F.col("n"), F.lit(rarest)))
-    agreed = votes.withColumn("share", share).where((F.col("share") >= agree) & (F.col("seen").bitwiseAND(needed) == needed))
+    words = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w"))
+    frequency = words.groupBy("w").agg(F.count("*").alias("df"))
+    place = F.dense_rank().over(Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    # frequency has as many rows as the vocabulary has words
+    postings = _lookup(spark, agree).join(F.broadcast(frequency), "w", "left").withColumn("anchor", place <= F.col("anchors"))
+    posted = hits.join(F.broadcast(postings), "w").where(F.col("seen").bitwiseAND(F.col("needed")) == F.col("needed")).withColumn("start", F.col("i") - F.col("at"))
+    key = ["row", "template", "start"]
+    candidates = posted.where("anchor").select(*key).distinct()
+    votes = posted.join(candidates, key, "left_semi").groupBy(*key, "label", "n").agg(F.bit_count(F.bit_or("bit")).alias("votes"))
+    agreed = votes.withColumn("share", F.col("votes") / F.col("n")).where(F.col("share") >= agree)
     reported = agreed.groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("share").alias("score"), F.min("start").alias("template_start"))
 
     every = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))))

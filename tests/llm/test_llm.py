@@ -455,6 +455,38 @@ def test_scattered_license_words_are_no_notice(spark):
     assert r.labels == "" and r.score == 0.0
 
 
+def test_several_notices_in_one_document(spark):
+    notice = {n: text for n, (_, text, _) in enumerate(licenses.TEMPLATES)}
+    both = f"{notice[6]}. {notice[10]}."
+    mit = f"{notice[0]}. {notice[2]}."
+    every = " x ".join(notice.values())
+    # license, under and mit are the frequent words here
+    docs = [(1, both), (2, mit), (3, every), *((n, "under no mit and no license") for n in range(4, 40))]
+    found = {r.doc_id: r for r in licenses.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found[1].labels == "bsd,gpl,gpl-text" and found[1].score == 1.0 and found[1].template_start == 0
+    assert found[2].labels == "mit,mit-notice,mit-text" and found[2].score == 1.0
+    assert set(found[3].labels.split(",")) == {label for label, *_ in licenses.TEMPLATES} | {label for _, label in licenses.BASE}
+    assert all(found[n].labels == "" for n in range(4, 40))
+
+
+def test_agreement_as_if_every_start_were_counted(spark):
+    rng = random.Random(4)
+    docs = []
+    for n in range(60):
+        pieces = [w if rng.random() < 0.75 else "x" for t in rng.sample(licenses.TEMPLATES, 3) for w in licenses.words_of(t[1])]
+        docs.append((n, " ".join(pieces + [p for t in rng.sample(licenses.TEMPLATES, 6) for p in t[2]])))
+    for r in licenses.find(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        text, want, score = licenses.words_of(docs[r.doc_id][1]), set(filter(None, r.base_labels.split(","))), 0.0
+        for label, template, phrases in licenses.TEMPLATES:
+            ws = licenses.words_of(template)
+            own = {w for w in ws if w not in licenses.COMMON}
+            most = max(len({w for k, w in enumerate(ws) if w in own and 0 <= s + k < len(text) and text[s + k] == w}) for s in range(-len(ws), len(text)))
+            if most / len(own) >= licenses.AGREE and all(f" {p} " in f" {' '.join(text)} " for p in phrases):
+                want.add(label)
+                score = max(score, most / len(own))
+        assert set(filter(None, r.labels.split(","))) == want and r.score == score
+
+
 # helpers
 
 
