@@ -23,6 +23,8 @@ from lodestar.llm.shared import settle
 
 #: Parts further apart than this, in characters from start to start, are not of one credential.
 SCOPE = 300
+#: A longer weak part counts as a part from each so many characters on.
+LONG = 200
 
 #: The patterns of the base scan, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_id", "linked_endpoint")
@@ -32,11 +34,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: Weak parts.
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/=_-])")
 SHORT = re.compile(r"""(?i:\b(?:password|passwd|passphrase|pwd|secret|auth))["']?\x20*[:=]\x20*["']?([^\s"',;]{6,})""", re.ASCII)
-LOGIN = re.compile(r"""(?i:\b(?:user|username|login|client_?id|account_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,64})""", re.ASCII)
-ENDPOINT = re.compile(r"""(?i:\b(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ssh)://[^\s"'<>]{4,200})|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,3}\.amazonaws\.com\b""", re.ASCII)
+LOGIN = re.compile(r"""(?i:\b(?:user|username|login|client_?id|account_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,}+)""", re.ASCII)
+ENDPOINT = re.compile(r"""(?i:\b(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ssh)://[^\s"'<>]{4,}+)|(?<![A-Za-z0-9-])(?<![A-Za-z0-9-]\.)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.amazonaws\.com\b""", re.ASCII)
+#: A random string needs a third of its characters to be different ones, up to this length; letters and digits of base64 are too few for more.
+VARIED = 96
 SECRET, ID, PLACE = 0, 1, 2
+#: Where an address's query or other text may begin, where its host ends, and what stands before a piece of a path.
+TAIL, AFTER_HOST, PATH = re.compile("[?#&,;]"), re.compile("[/?#&,;]"), ".:@%~"
 
 
 def base(text: str) -> list[tuple[int, int, int]]:
@@ -51,14 +57,25 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 
 def _looks_random(x: str) -> bool:
-    return any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x) and len(set(x)) * 3 >= len(x.rstrip("="))
+    return any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x) and len(set(x)) * 3 >= min(len(x.rstrip("=")), VARIED)
+
+
+def _first(pattern: re.Pattern, text: str, start: int, end: int) -> int:
+    m = pattern.search(text, start, end)
+    return m.start() if m else end
 
 
 def weak(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """role, start and end of weak parts that no base span and no earlier part overlaps."""
+    """role, start and end of weak parts that no base span and no earlier part overlaps.
+
+    An address runs to its natural end, so parts may stand within: named ones after
+    its host, and random strings that do not look like a piece of a path.  Base spans
+    in its query, or in what follows without a space, leave the address a part.
+    """
     busy = sorted((s, e) for _, s, e in taken)
     found: list[tuple[int, int, int]] = []
     drafts = [(SECRET, *m.span()) for m in RANDOM.finditer(text) if _looks_random(m[0])]
+    bare = {d[1] for d in drafts}
     if ":" in text or "=" in text:
         drafts += [(SECRET, *m.span(1)) for m in SHORT.finditer(text)]
         drafts += [(ID, *m.span(1)) for m in LOGIN.finditer(text)]
@@ -67,12 +84,19 @@ def weak(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     if not drafts:
         return found
     drafts.sort(key=lambda x: (x[1], x[0], -x[2]))
-    n, last = 0, -1
+    n, last, host, address = 0, -1, -1, -1
     for role, start, end in drafts:
         while n < len(busy) and busy[n][1] <= start:
             n += 1
-        if start >= last and not (n < len(busy) and busy[n][0] < end):
-            found.append((role, start, end))
+        hidden = start < last or (n < len(busy) and busy[n][0] < (_first(TAIL, text, start, end) if role == PLACE else end))
+        if start < address:
+            hidden |= role == PLACE or start < host or (start in bare and text[start - 1] in PATH)
+        if hidden:
+            continue
+        found.append((role, start, end))
+        if role == PLACE:
+            host, address = _first(AFTER_HOST, text, text.find("://", start, end) + 3 if "://" in text[start:end] else start, end), end
+        else:
             last = end
     return found
 
@@ -94,14 +118,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """row, kind, start, end of the weak parts with a complement in scope."""
     some = found.where(F.size("weak") > 0)
-    weak_parts = some.select("row", F.explode("weak").alias("p")).select("row", "p.role", "p.start", "p.end")
-    base_parts = some.where(F.size("base") > 0).select("row", F.explode("base").alias("p")).select("row", F.when(F.col("p.kind") == 1, ID).otherwise(SECRET).alias("role"), "p.start")
-    bin_of = F.floor(F.col("start") / scope)
-    ends = weak_parts.select("row", "role", "start").unionByName(base_parts).groupBy("row", "role", bin_of.alias("bin")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    weak_parts = some.select("row", F.explode("weak").alias("p")).select("row", "p.role", "p.start", "p.end", F.expr(f"explode(sequence(p.start, greatest(p.start, p.`end` - 1), {LONG}L))").alias("at"))
+    base_parts = some.where(F.size("base") > 0).select("row", F.explode("base").alias("p")).select("row", F.when(F.col("p.kind") == 1, ID).otherwise(SECRET).alias("role"), F.col("p.start").alias("at"))
+    bin_of = F.floor(F.col("at") / scope)
+    ends = weak_parts.select("row", "role", "at").unionByName(base_parts).groupBy("row", "role", bin_of.alias("bin")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     asks = weak_parts.withColumn("bin", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)))
     other = ends.withColumnRenamed("role", "other")
     complements = F.when(F.col("role") == SECRET, F.col("other") != SECRET).otherwise(F.col("other") == SECRET)
-    near = (F.col("first") <= F.col("start") + scope) & (F.col("last") >= F.col("start") - scope)
+    near = (F.col("first") <= F.col("at") + scope) & (F.col("last") >= F.col("at") - scope)
     met = asks.join(other, ["row", "bin"]).where(complements & near)
     return met.select("row", (F.col("role") + 3).alias("kind"), "start", "end").distinct()
 

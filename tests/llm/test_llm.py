@@ -320,6 +320,27 @@ def test_weak_parts_need_a_complement(spark):
     assert out == {1: [], 2: ["linked_id", "linked_secret"], 3: [], 4: ["linked_endpoint", "linked_secret"], 5: [], 6: ["access", "linked_secret"]}
 
 
+def test_long_parts_are_whole(spark):
+    mixed = "".join(random.Random(6).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1000))
+    url_safe = mixed[:20] + "_" + mixed[20:40] + "-" + mixed[40:60]
+    parts = {1: mixed[:120], 2: mixed, 3: url_safe, 4: "ghp_" + mixed[:36], 5: mixed[:100] + "=="}
+    cases = {n: (f"user: bob {x} end", ["bob", x]) for n, x in parts.items()}
+    client, url, host = "n" * 100, "https://db.example.com/" + "x" * 400, "a.b.c.d.e.s3.us-east-1.amazonaws.com"
+    cases |= {n: (f"{before}{x} pwd: hunter22", [x, "hunter22"]) for n, before, x in ((6, "client_id: ", client), (7, "", url), (8, "", host))}
+    # parts in a long address, after its first 200 characters
+    cases[9] = (f"{url}?pwd=hunter22", [f"{url}?pwd=hunter22", "hunter22"])
+    cases[10] = (f"{url},user:bob,{mixed[:50]}", [f"{url},user:bob,{mixed[:50]}", "bob", mixed[:50]])
+    cases[11] = (f"{url}?token={'k' * 20}", [f"{url}?token={'k' * 20}", f"token={'k' * 20}"])
+    cases[12] = (f"https://example.com/{mixed[:60]} only", [])
+    cases[13] = (f"{mixed} user: bob", [mixed, "bob"])
+    df = spark.createDataFrame([(n, text) for n, (text, _) in cases.items()], "doc_id long, text string")
+    for r in secrets.find(df).collect():
+        text, want = cases[r.doc_id]
+        assert [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in r.spans.split(",") if s)] == want, r.doc_id
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[2] == "user: [secret] [secret] end" and clean[7] == "[secret] pwd: [secret]" and clean[9] == "[secret]"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefghijklmnop end", "x"), (2, None, "y"), (3, "plain", "z"), (1, "é token=abcdefghijklmnop end", "x")], "doc_id long, text string, kind string")
     out = secrets.redact(df)
