@@ -30,18 +30,27 @@ HINT = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
+#: Of these, what holds texts of others, so that an article in it is none of the page's.
+OTHERS = frozenset("aside footer dialog complementary contentinfo alert alertdialog".split())
+OTHER_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|disqus|replies|reply|respond|related|recommended)(?:[\s_-]|$)", re.I)
 BODY_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text)(?:[\s_-]|$)", re.I)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"\S+")
 _SPACES = re.compile(r"\s+")
-#: Region of a block: in something around the article, unknown, in the article.
-AWAY, UNKNOWN, INSIDE = -1, 0, 1
+#: The end of a form, and what shows that a form goes round a page.
+_FORM_END = re.compile("</form", re.I)
+_PAGE_PART = re.compile(r"""<(?:article|main|nav|header|footer|aside)\b|role=["']?main\b|\b__VIEWSTATE\b""", re.I)
+#: Region of a block: in something around the article, unknown, in the article. OTHER, texts of others, is AWAY in a block.
+OTHER, AWAY, UNKNOWN, INSIDE = -2, -1, 0, 1
 
 
-def _region(tag: str, attributes: str, outer: int) -> int:
-    """The region that an element opens within the region outer."""
+def _region(tag: str, attributes: str, outer: int, wraps: bool = False, release: bool = False) -> int:
+    """The region that an element opens within the region outer.
+
+    wraps: a form round the page.  release: articles count within OTHER as well.
+    """
     about, role, hidden = "", "", False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -51,22 +60,32 @@ def _region(tag: str, attributes: str, outer: int) -> int:
             role = value.lower()
         elif (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display:\s*none", value)):
             hidden = True
-    if tag in AROUND or role in ROLES or hidden or HINT.search(about):
-        return AWAY
+    if hidden:
+        return OTHER
+    if tag == "main" or role == "main":
+        return INSIDE
+    if tag in OTHERS or role in OTHERS or (tag != "body" and not wraps and OTHER_HINT.search(about)):
+        # an article's own hint holds in any case
+        return OTHER
+    if (tag == "article" and role not in ROLES) or role == "article":
+        return INSIDE if release or outer != OTHER else OTHER
+    if tag != "body" and not wraps and (tag in AROUND or role in ROLES or HINT.search(about)):
+        return min(outer, AWAY)
     if tag == "header" and outer != INSIDE:
-        return AWAY
-    if outer != AWAY and (tag in ARTICLE or role in ("main", "article") or (tag in ("div", "section") and BODY_HINT.search(about))):
+        return min(outer, AWAY)
+    if outer > AWAY and tag in ("div", "section") and BODY_HINT.search(about):
         return INSIDE
     return outer
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int]]:
+def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]]:
     """Text, words, link density and region of each block with a word, in page order."""
     found: list[tuple[str, int, float, int]] = []
     text: list[str] = []
     linked, links, at, size = 0, 0, 0, len(page)
     stack: list[tuple[str, int]] = []
     region = UNKNOWN
+    form_end = page_part = -1
 
     def close() -> None:
         nonlocal linked
@@ -75,7 +94,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             text.clear()
             if joined:
                 n = joined.count(" ") + 1
-                found.append((joined, n, min(1.0, linked / n), region))
+                found.append((joined, n, min(1.0, linked / n), max(region, AWAY)))
         linked = 0
 
     while at < size:
@@ -123,11 +142,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             links += 1
         elif tag in BOXES and not m[3].endswith("/"):
             if tag in ("p", "span"):
-                inner = _region(tag, m[3], region) if m[3] else region
+                inner = _region(tag, m[3], region, release=release) if m[3] else region
                 if inner == region:
                     continue
             else:
-                inner = _region(tag, m[3], region)
+                if tag == "form":
+                    if form_end < at:
+                        form_end = ends.start() if (ends := _FORM_END.search(page, at)) else size
+                    if page_part < at:
+                        page_part = part.start() if (part := _PAGE_PART.search(page, at)) else size
+                inner = _region(tag, m[3], region, tag == "form" and page_part < form_end, release)
             stack.append((tag, region))
             region = inner
     close()
@@ -150,6 +174,7 @@ LABELLED = (
     (("aside", 30, 0, 0), ("aside", 12, 0, 0), ("article", 4, 4, 1), ("article", 2, 2, 1), ("article", 9, 8, 1), ("article", 1, 1, 1), ("article", 12, 6, 1), ("footer", 11, 0, 0), ("footer", 50, 0, 0)),
     (("form", 6, 0, 0), ("main", 3, 3, 1), ("main", 10, 10, 1), ("main", 2, 1, 1), ("main", 5, 5, 1), ("aside", 18, 0, 0), ("aside", 70, 1, 0), ('div class="advert"', 16, 0, 0)),
     (("nav", 3, 3, 0), ("div", 12, 0, 1), ("div", 40, 0, 1), ('div class="related"', 14, 12, 0), ('div class="related"', 9, 9, 0), ("div", 3, 2, 0), ("div", 5, 5, 0)),
+    (('div class="page nav-open"', 3, 3, 0), ('div class="page nav-open"', 100, 0, 1), ('div class="page nav-open"', 140, 4, 1), ('div class="page nav-open"', 90, 1, 1), ('div class="page nav-open"', 110, 100, 0), ("footer", 8, 2, 0)),
 )
 
 
@@ -193,10 +218,17 @@ def decide(node, row: np.ndarray) -> int:
     return node
 
 
+def _kept(found: list[tuple[str, int, float, int]]) -> list[str]:
+    return [b[0] for b, row in zip(found, features(found)) if decide(tree(), row)]
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The article's blocks joined by line ends; how many there are, and how many blocks in all."""
     found = blocks(page or "")
-    kept = [b[0] for b, row in zip(found, features(found)) if decide(tree(), row)]
+    kept = _kept(found)
+    if not kept:
+        found = blocks(page or "", release=True)
+        kept = _kept(found)
     return "\n".join(kept), len(kept), len(found)
 
 

@@ -361,6 +361,28 @@ def test_main_text_of_pages(spark):
         html.main_text(broken)
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<body class='single has-sidebar'>", ""), ("<body><div class='layout nav-open'>", "</div>"), ("<body><form id=f action=x>", "</form>"), ("<body><nav><a href=x>Home</a>", ""),
+        ("<body class='search'><div class='menu'>", "</div>"), ("<body><aside>", ""), ("<body><div class='with-comments'>", "</div>"),
+    ],
+)
+def test_wrappers_do_not_hide_the_article(before, after):
+    for tag in ("article", "main"):
+        page = f"<html>{before}<{tag}><h1>Head</h1><p>First para with some words.<p>Short.</{tag}>{after}<section class='comments'><article><p>Nice post!</p></article></section><footer>me</footer></html>"
+        assert html.main_text(page)[0].startswith("Head\nFirst para with some words.\nShort.")
+        if "aside" not in before and "comments" not in before:
+            assert html.main_text(page)[0].endswith("Short.")
+
+
+def test_long_blocks_away_from_any_article():
+    long = "word " * 150
+    assert html.main_text(f"<body><div class='layout nav-open'><p><a href=x>Home</a></p><p>{long}</p><p>{long}</p></div></body>")[0] == f"{long.strip()}\n{long.strip()}"
+    assert html.main_text(f"<form><input name='__VIEWSTATE'><div id=content><p>Short.</p><p>{long}</p></div></form>")[0] == f"Short.\n{long.strip()}"
+    assert html.main_text(f"<nav><p><a href=x>{long}</a></p></nav>")[0] == ""
+
+
 def test_articles_of_the_pages_table(spark):
     import html as library
 
