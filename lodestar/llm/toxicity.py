@@ -27,6 +27,8 @@ SAMPLE = 12_000
 LEXICON, BEGINNING = 3000, 5
 #: A learned entry stands in this many toxic documents at least, and exceeds what its frequency lets expect by so many standard deviations.
 LEAST_TOXIC, DEVIATIONS = 4, 3.5
+#: The odds of toxic against other documents with a learned entry are this many times those of all documents at least.
+LIFT = 4
 #: Share of the sample kept for calibration.
 CALIBRATION = 0.25
 #: Trees and their depth.
@@ -69,7 +71,9 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
         return {}
     rate = total.toxic / total.n
     expected = (F.col("toxic") + F.col("other")) * rate
-    sure = (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") - expected >= DEVIATIONS * F.sqrt(expected + 1)) & (F.col("toxic") / (F.col("toxic") + F.col("other")) >= 4 * rate)
+    # both can be reached at any share of toxic labels
+    unlikely = F.col("toxic") - expected >= DEVIATIONS * F.sqrt(expected * (1 - rate) + 1)
+    sure = (F.col("toxic") >= LEAST_TOXIC) & unlikely & ((F.col("toxic") + 0.5) / (F.col("other") + 0.5) >= LIFT * rate / (1 - rate))
     found = lexicon_counts(texts).where(sure).orderBy(F.desc("toxic"), "entry").limit(LEXICON).collect()
     clean = total.n - total.toxic
     return {r.entry: min(8.0, math.log((r.toxic + 0.5) / (total.toxic + 1)) - math.log((r.other + 0.5) / (clean + 1))) for r in found}

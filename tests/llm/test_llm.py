@@ -292,6 +292,13 @@ def test_features_see_insults_and_disguise():
     assert toxicity.features(None, {}) == toxicity.features("", {}) == [0.0] * len(toxicity.NAMES)
 
 
+@pytest.mark.parametrize("toxic", [100, 200, 500, 900])
+def test_lexicon_at_any_share_of_toxic_labels(spark, toxic):
+    rows_ = [(n, "gemeinsam " + ("schurke" if n < toxic and n % 2 else "blume" if n >= toxic else "stein"), float(n < toxic)) for n in range(1000)]
+    learned = toxicity.learn_lexicon(spark.createDataFrame(rows_, "doc_id long, text string, label double"))
+    assert learned["schurke"] > 0 and learned["schur*"] > 0 and not {"gemeinsam", "blume"} & set(learned)
+
+
 # 6 secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
