@@ -6,17 +6,24 @@ its own permutation, and keeps their order in the text.  Documents that share a
 sketch are candidates, so candidates agree in runs and in their order, as
 documents of small edit distance do.
 
-A sketch's documents are not paired all with all: each meets two pivots of the
-sketch, so the pairs grow with the documents.  One pivot is the document whose
-sketches most others share, as the text that others are copies of does.  Later rounds choose other pivots
-in the sketches whose documents are not yet one class.  The documents of
-sketches that are still split then meet once more, by their rarest runs: of two
-that are a link, each has one of the other's runs among the fifth of its own
-that fewest documents have, so none of their links is lost, while a passage
-that many documents share brings none of them together.  A pair is a link if
-alignment in a band, as wide as the similarity allows, leaves M runs in common
-in order with M / (a + b - M) >= 0.8, a and b the numbers of runs.  Classes are
-the connected components of the links.
+A sketch's documents are not paired all with all: each meets two of them, one by
+chance and the hub, the one that most others share sketches with, as the text
+that others are copies of does.  A pair is a link if alignment in a band, as wide
+as the similarity allows, leaves M runs in common in order with
+M / (a + b - M) >= 0.8, a and b the numbers of runs.
+
+Two documents of a sketch that are then not in one class may still be a link.
+What they share is what they share of the hub, at most what the one with less of
+it has, and runs that the hub lacks.  Where the former is too little they share
+some of the latter, and so one of the first of them in any fixed order, as a
+prefix filter says.  So these documents are grouped anew, by hub and such a run.
+Copies with edits of their own share none, nor do texts that have but a passage
+in common with the hub.  Groups of a few documents are paired; a larger one gets
+a hub of its own, is held against it, and is grouped by runs that both hubs lack,
+and so on.  The runs left shrink with each hub, so this ends; each step is linear
+in its rows, and no link is lost.  Documents that have enough of the hub's runs
+for a link with a shorter text, yet are none with the hub, meet those of such a
+length.  Classes are the connected components of the links.
 
 Equal word sequences are one node from the start.  A node's id is a 64-bit hash
 of its words; among n different texts n**2 / 2**65 pairs are expected to share
@@ -26,6 +33,8 @@ one (0.02 at a billion).
 from __future__ import annotations
 
 import bisect
+import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,14 +45,16 @@ from pyspark.sql.window import Window
 
 from lodestar.llm import words
 from lodestar.llm.rows import map_rows
-from lodestar.llm.shared import settle
+from lodestar.llm.shared import bare_names, settle
 
 RUN, SIMILAR = 5, 0.8
 #: Sketches of a document; runs in each, for documents of LONG runs or more and for those of fewer than SHORT.
 SKETCHES, LONG_ORDER, SHORT_ORDER = 24, 5, 2
 LONG, SHORT = 25, 32
-#: Rounds of pivots before the rest meets by its rarest runs.
-ROUNDS = 1
+#: Documents of a group that are paired; in a larger group each meets a hub.
+FEW = 32
+#: After so many steps of new hubs all groups that are left are paired, whatever their size; none is skipped.
+STEPS = 8
 #: Bytes kept of a run's hash.
 WIDTH = 5
 #: Hashes worked on at a time.
@@ -167,51 +178,112 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def verify(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs that are links. The joins are by sorting at every size, as they must be at a large one."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    runs = runs.select("node", "runs").join(wanted.hint("merge"), "node", "left_semi")
-    first = pairs.hint("merge").join(runs.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
-    both = first.hint("merge").join(runs.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+def least_common(a: int, b: int, least: float) -> int:
+    """Runs that texts of a and b runs must share at least to be a link."""
+    return math.ceil(least * (a + b) / (1 + least) - 1e-9)
+
+
+def beyond(x: np.ndarray, cover: np.ndarray, floor: int, least: float) -> tuple[int, bool, list[int], int]:
+    """How x, labelled runs of a text, differs from cover; floor is the size of the shortest text that x may meet.
+
+    The number of runs in both; whether these alone suffice for a link with a text
+    as short as floor; the first of the runs that cover lacks, of which one is
+    shared in any link that needs one; and how many such runs come after the first.
+    """
+    own = np.setdiff1d(x, cover, assume_unique=True)
+    shared = len(x) - len(own)
+    lacks = least_common(len(x), max(floor, math.ceil(least * len(x) - 1e-9)), least) - shared
+    own.sort()
+    return shared, lacks <= 0, own[: max(0, len(own) - max(1, lacks) + 1)].view(np.int64).tolist(), len(own) - 1
 
-    def row(a: int, b: int, x: bytes, y: bytes) -> Iterator[tuple]:
-        found = similarity(unpack(x), unpack(y), least)
-        if found >= least:
-            yield a, b, found
 
-    return map_rows(both, ["a", "b", "x", "y"], "a long, b long, similarity double", lambda: row)
+COMPARED = "base long, node long, pivot long, n int, link boolean, shared int, enough boolean, own array<long>, after int, floor int"
 
 
-def rare_pairs(runs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of nodes(node, component) in different components that may be links.
+def compare(pairs: DataFrame, runs: DataFrame, covers: DataFrame | None, least: float) -> DataFrame:
+    """COMPARED of pairs(base, node, pivot, floor). Without floor it is asked only whether they are a link.
 
-    Two texts of n and m labelled runs that are a link share least * n and least *
-    m of them or more.  So in any order of runs that both keep, a shared one is
-    among the first n - least * n + 1 of the one and likewise of the other.
-    The order is by how many of the nodes have a run, fewest first; runs that one node
-    alone has come before all others and need only be counted.  What two texts
-    share beyond the first runs of the one whose end comes first is at most the
-    rest of that one, so they must also share enough of their first runs.
+    covers(base, cover) has the labelled runs of the hubs before.  The joins are by
+    sorting at every size, as they must be at a large one.
     """
+    wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
+    runs = runs.select("node", "runs").join(wanted.hint("merge"), "node", "left_semi")
+    first = pairs.hint("merge").join(runs.select("node", F.col("runs").alias("x")), "node")
+    both = first.hint("merge").join(runs.select(F.col("node").alias("pivot"), F.col("runs").alias("y")), "pivot")
+    both = both.withColumn("cover", F.lit(None).cast("binary")) if covers is None else both.hint("merge").join(covers, "base", "left")
+
+    def row(base: int, node: int, pivot: int, floor: int | None, x: bytes, y: bytes, cover: bytes | None) -> Iterator[tuple]:
+        a, b = unpack(x), unpack(y)
+        found = base, node, pivot, len(a), similarity(a, b, least) >= least
+        if floor is None:
+            yield (*found, None, None, None, None, None)
+        else:
+            yield (*found, *beyond(label(a), label(b) if cover is None else np.frombuffer(cover, np.uint64), floor, least), floor)
+
+    return map_rows(both, ["base", "node", "pivot", "floor", "x", "y", "cover"], COMPARED, lambda: row)
+
+
+def hubs(groups: DataFrame, key: list[str]) -> DataFrame:
+    """base, node, pivot, floor, before: the documents of each group, held against its hub; each once for one hub and hubs before."""
+    heads = groups.groupBy(*key).agg(F.max(F.struct("reach", "node")).alias("hub"))
+    met = groups.join(heads, key).select(F.col("base").alias("before"), "node", "n", F.col("hub.node").alias("pivot")).where("node != pivot").distinct()
+    met = met.withColumn("base", F.when(F.col("before").isNull(), F.col("pivot")).otherwise(F.xxhash64("before", "pivot")))
+    floors = met.groupBy("base").agg(F.min("n").alias("floor"))
+    return met.join(floors, "base").select("base", "node", "pivot", "floor", "before")
+
 
-    def row(node: int, n: int, packed: bytes) -> Iterator[tuple]:
-        yield node, n, label(unpack(packed)).view(np.int64).tolist()
-
-    labelled = map_rows(runs.join(nodes, "node", "left_semi"), ["node", "n", "runs"], "node long, n int, runs array<long>", lambda: row)
-    runs = settle(labelled.select("node", "n", F.explode("runs").alias("run")), "near-rare")
-    common = runs.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("node")
-    placed = runs.join(common, "run").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "run")))
-    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    first = settle(placed.where(F.col("place") + F.col("alone") <= first).select("node", "n", "run").join(nodes, "node"), "near-first")
-    mixed = first.groupBy("run").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("run")
-    first = first.join(mixed, "run", "left_semi")
-    x = first.select("run", F.col("node").alias("a"), F.col("n").alias("x"), F.col("component").alias("c"))
-    y = first.select("run", F.col("node").alias("b"), F.col("n").alias("y"), F.col("component").alias("d"))
-    met = x.join(y, "run").where((F.col("c") < F.col("d")) & (F.least("x", "y") >= least * F.greatest("x", "y")))
-    both = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("x") + F.col("y")).alias("sum"), F.first(F.greatest("x", "y")).alias("most"))
-    beyond = F.ceil(F.col("most") * least - 1e-9) - 1
-    return both.where(F.col("shared") + beyond >= F.col("sum") * (least / (1 + least)) - 1e-9).select("a", "b")
+def widen(asked: DataFrame, runs: DataFrame, covers: DataFrame | None) -> DataFrame:
+    """covers of asked: the labelled runs of the hub and those before."""
+    steps = asked.select("base", "before", "pivot").distinct()
+    new = steps.join(runs.select(F.col("node").alias("pivot"), "runs"), "pivot")
+    old = runs.select(F.col("node").alias("before"), F.col("runs").alias("old"), F.lit(None).cast("binary").alias("cover"))
+    if covers is not None:
+        old = covers.select(F.col("base").alias("before"), F.lit(None).cast("binary").alias("old"), "cover")
+
+    def row(base: int, x: bytes, old: bytes | None, cover: bytes | None) -> Iterator[tuple]:
+        before = label(unpack(old)) if cover is None else np.frombuffer(cover, np.uint64)
+        yield base, np.union1d(label(unpack(x)), before).tobytes()
+
+    return map_rows(new.join(old, "before"), ["base", "runs", "old", "cover"], "base long, cover binary", lambda: row)
+
+
+def regroup(compared: DataFrame, labels: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents of hubs whose documents are not one class: by a run that the hub lacks, and those that have enough of the hub's runs.
+
+    The first is base, run, node, n, reach, component, shared, rest, size, only for
+    groups of two classes or more; size is the number of documents in the group,
+    rest that of runs that the hub lacks after this one.  The second is base, node,
+    n, component, shared, floor, off; off: not of the hub's class.
+    """
+    rows = compared.where("own is not null").join(labels.select("node", F.col("component").alias("_c")), "node", "left").join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("_d")), "pivot", "left").join(reach, "node")
+    component, off = F.coalesce("_c", "node"), F.coalesce("_c", "node") != F.coalesce("_d", "pivot")
+    rows = settle(rows.select("base", "node", "n", "reach", component.alias("component"), "shared", off.alias("off"), "enough", "own", "after", "floor"), "near-compared")
+    split = rows.groupBy("base").agg(F.max("off").alias("split"), F.max(F.col("off") & F.col("enough")).alias("loose")).where("split").drop("split")
+    rows = rows.join(split, "base")
+    kept = ["base", "node", "n", "reach", "component", "shared"]
+    own = settle(rows.select(*kept, "after", F.posexplode("own").alias("at", "run")).select(*kept, "run", (F.col("after") - F.col("at")).alias("rest")), "near-own")
+    sizes = own.groupBy("base", "run").agg(F.count("*").alias("size"), F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").drop("_c", "_d")
+    loose = rows.where("loose and enough").select("base", "node", "n", "component", "shared", "floor", "off")
+    return settle(own.join(sizes, ["base", "run"]), "near-groups"), settle(loose, "near-loose")
+
+
+def few_pairs(groups: DataFrame, least: float, few: int) -> DataFrame:
+    """node, pivot: pairs of documents of two classes that may be a link, in groups of few documents or fewer."""
+    small = groups.where(F.col("size") <= few).groupBy("base", "run").agg(F.collect_list(F.struct("component", "node", "n", "shared", "rest")).alias("items"))
+    may = f"""x.component < y.component and least(x.n, y.n) >= {least} * greatest(x.n, y.n)
+        and least(x.shared, y.shared) + least(x.rest, y.rest) + 1 >= {least / (1 + least)} * (x.n + y.n) - 1e-9"""
+    return small.select(F.expr(f"inline(flatten(transform(items, x -> transform(filter(items, y -> {may}), y -> named_struct('node', x.node, 'pivot', y.node)))))"))
+
+
+def loose_pairs(loose: DataFrame, least: float) -> DataFrame:
+    """node, pivot: pairs, not both of the hub's class, for a link of which what both have of the hub may suffice; they meet by the length that this allows."""
+    longest = F.floor(F.col("shared") * ((1 + least) / least) - F.col("n") + 1e-9).cast("int")
+    lengths = F.expr("if(m >= f, sequence(f, m), array())")
+    x = loose.where("off").withColumn("m", longest).withColumn("f", F.greatest("floor", F.ceil(F.col("n") * least - 1e-9).cast("int")))
+    x = x.select("base", "node", "component", F.explode(lengths).alias("n"))
+    y = loose.select("base", "n", F.col("node").alias("pivot"), F.col("component").alias("_d"), "shared")
+    # a text of at least its own share of both lengths
+    return x.join(y, ["base", "n"]).where("component != _d").select("node", "pivot")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,54 +304,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, least: float = SIMILAR, rounds: int = ROUNDS, **columns) -> DataFrame:
+def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: int = STEPS, **columns) -> DataFrame:
     """doc_id, text_key, class_id, class_size, is_first: one row for each row of docs.
 
     class_id: the smallest doc_id of the class.  is_first: the row, or one of
     several equal rows, that stands for the class.  Null and empty texts, and
     those of white space only, are one class.  Texts of the same words are copies
     whatever white space they have; texts of fewer than five words are near only
-    to their copies.
+    to their copies.  A null id is smaller than all others.  An empty table gives
+    no rows.
     """
     signed = settle(signatures(docs, **columns), "near-signed")
-    keyed = signed.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = settle(keyed.join(shared, "key").select("node", "key", "size", "low").distinct(), "near-members")
-    runs = signed.where("n > 0").select("node", "n", "runs").dropDuplicates(["node"]).join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    keyed = signed.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    members = settle(keyed.join(shared, "key").distinct(), "near-members")
+    runs = signed.where("n > 0").select("node", "runs").dropDuplicates(["node"]).join(members.select("node").distinct().hint("merge"), "node", "left_semi")
     runs = settle(runs, "near-runs")
-    sizes = runs.select("node", "n")
-    reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
-    links = labels = tested = None
-    for k in range(rounds + 1):
-        if k:
-            named = members.select("key", "node")
-            if labels is None:
-                named = named.withColumn("component", F.col("node"))
-            else:
-                named = named.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-            turned = F.col("node").bitwiseXOR(F.xxhash64(F.lit(k), "key"))
-            split = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min(turned).alias("p")).where("c < d")
-        if k == 0:
-            central = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).alias("top"))
-            met = members.join(central, "key").select("node", F.explode(F.array("low", "top.node")).alias("pivot"))
-        elif k < rounds:
-            split = split.select("key", F.col("p").bitwiseXOR(F.xxhash64(F.lit(k), "key")).alias("pivot"))
-            own = named.select(F.col("node").alias("pivot"), F.col("component").alias("_c")).distinct()
-            met = named.join(split.join(own, "pivot"), "key").where("component != _c")
-        else:
-            rest = settle(named.join(split, "key", "left_semi").select("node", "component").distinct(), "near-rest")
-            met = rare_pairs(runs, rest, least).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        pairs = met.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b")
-        pairs = settle(sized.where(F.least("x", "y") >= least * F.greatest("x", "y")).select("a", "b"), "near-pairs")
+    reach = settle(members.groupBy("node").agg(F.sum("size").alias("reach")), "near-reach")
+    grouped = members.join(reach, "node").withColumn("base", F.lit(None).cast("long"))
+    asked, covers, links, labels = settle(hubs(grouped, ["key"]), "near-asked"), None, None, None
+    plain = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")), "key").select("node", "pivot")
+    for step in range(steps + 1):
+        plain = plain.where("node != pivot").select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct()
+        none = F.lit(None)
+        pairs = asked.drop("before").unionByName(plain.select(none.cast("long").alias("base"), "node", "pivot", none.cast("int").alias("floor")))
+        pairs = settle(pairs, "near-pairs")
         if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        new = settle(verify(pairs, runs, least), "near-links")
+            break
+        compared = settle(compare(pairs, runs, covers, least), "near-links")
+        new = compared.where("link").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         links = new if links is None else links.union(new)
         labels = components(links)
+        if asked.isEmpty():
+            break
+        groups, loose = regroup(compared, labels, reach)
+        last = few if step < steps - 1 else 1 << 30
+        plain = few_pairs(groups, least, last).unionByName(loose_pairs(loose, least))
+        asked = settle(hubs(groups.where(F.col("size") > last), ["base", "run"]), "near-asked")
+        covers = settle(widen(asked, runs, covers), "near-covers")
     rows = signed.select("doc_id", "text_key", "node")
     if labels is None:
         rows = rows.withColumn("component", F.col("node"))
@@ -293,10 +355,19 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, rounds: int = ROUNDS, **
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their class, one for each."""
-    firsts = classes(docs, id_col=id_col, text_col=text_col, **options).where("is_first")
-    firsts = firsts.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.count("*").alias("_n"))
-    keyed = docs.withColumn("_x", F.xxhash64(text_col))
-    kept = keyed.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_k")))
-    once = kept.where("_n = 1").select(*docs.columns)
-    return once.unionByName(kept.where("_n > 1").dropDuplicates([id_col, "_x"]).select(*docs.columns))
+    """The rows of docs that stand for their class, one for each, with all columns of docs, whatever their names.
+
+    Of several rows with the id and text that stand for a class, the first by all
+    other columns that can be ordered stays, null first.  Null and empty texts and those of white space are
+    one class, so one of their rows stays.  An empty table stays empty.
+    """
+    firsts = classes(docs, id_col=id_col, text_col=text_col, **options).where("is_first").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    firsts = firsts.groupBy("id", "key").agg(F.count("*").alias("times"))
+    bare, back = bare_names(docs)
+    at, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    keyed = bare.withColumn("text_key", F.xxhash64(text))
+    kept = keyed.join(firsts, F.col(at).cast("long").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    order = [F.col(c).asc_nulls_first() for c, kind in bare.dtypes if not re.search("map|variant|interval", kind) and c != text]
+    first = Window.partitionBy("id", "key").orderBy(*order)
+    again = kept.where("times > 1").withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    return kept.where("times = 1").unionByName(again).select(*back)

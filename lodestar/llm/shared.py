@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,5 +39,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bare_names(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with its columns named c0, c1 and so on, so that no name can clash with one that an operator adds, and the columns that give the names back."""
+    return df.toDF(*[f"c{n}" for n in range(len(df.columns))]), [F.col(f"c{n}").alias(c) for n, c in enumerate(df.columns)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

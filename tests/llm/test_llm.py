@@ -186,6 +186,47 @@ def test_classes_match_brute_force(spark):
     assert all(c == min(g) for c, g in mine.items())
 
 
+def test_no_link_of_a_group_is_lost(spark):
+    """Copies of one text just above and below the limit, in groups larger than few, with passages in common: as if all pairs were tested."""
+    rng = random.Random(9)
+    vocabulary = [f"w{n}" for n in range(3000)]
+    made = []
+    for size in (60, 150):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for n in range(60):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 2 + size // 25)):
+                k = rng.randrange(len(copy))
+                copy[k : k + rng.randrange(3)] = [rng.choice(vocabulary) for _ in range(rng.randrange(3))]
+            made.append(copy[rng.randrange(4) :])
+        for _ in range(40):
+            made.append([rng.choice(vocabulary) for _ in range(20)] + base[20:50] + [rng.choice(vocabulary) for _ in range(10)])
+    pairs = [(n, " ".join(w)) for n, w in enumerate(made)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    want = Counter(Counter(brute_classes(pairs)).values())
+    for few in (2, 32):
+        got = neardup.classes(df, few=few)
+        assert Counter(Counter(r.class_id for r in got.collect()).values()) == want
+
+
+def test_recall_on_the_documents_table(spark):
+    """Links of the documents whose id is divisible by 50, against all rows, by brute force."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    classes = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    runs = {r.doc_id: words.shingles(words.word_hashes((r.text or "").encode()), 5) for r in docs.collect()}
+    links = [(a, b) for a in runs if a % 50 == 0 for b in runs if a != b and len(runs[a]) and neardup.similarity(runs[a], runs[b]) >= 0.8]
+    assert links and sum(classes[a] == classes[b] for a, b in links) == len(links)
+
+
+def test_kept_copy_is_defined_and_names_may_clash(spark):
+    names = ["_x", "_n", "_d", "_k", "id", "key", "times", "place", "c0", "text_key"]
+    rows_ = [(1, "some words of a text", s, *["v"] * len(names)) for s in ("b", None, "a", "b")] + [(2, "other words", "z", *["v"] * len(names))]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for d in (df, df.orderBy(F.desc("source")).repartition(3)):
+        kept = neardup.keep_first(d)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.source or "") for r in kept.collect()) == [(1, ""), (2, "z")]
+
+
 def test_one_of_each_class_stays(odd_docs, empty_docs):
     kept = neardup.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
