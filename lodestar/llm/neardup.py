@@ -55,6 +55,8 @@ LONG, SHORT = 25, 32
 FEW = 32
 #: After so many steps of new hubs all groups that are left are paired, whatever their size; none is skipped.
 STEPS = 8
+#: Pairs with one pivot that meet its text in one place.
+SHARE = 256
 #: Bytes kept of a run's hash.
 WIDTH = 5
 #: Hashes worked on at a time.
@@ -208,8 +210,13 @@ def compare(pairs: DataFrame, runs: DataFrame, covers: DataFrame | None, least:
     """
     wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
     runs = runs.select("node", "runs").join(wanted.hint("merge"), "node", "left_semi")
+    # a pivot of many pairs is dealt out
+    many = pairs.groupBy("pivot").agg(F.count("*").alias("times")).where(F.col("times") > SHARE)
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("times") / SHARE)), F.lit(0).cast("long"))
+    pairs = settle(pairs.join(many, "pivot", "left").withColumn("part", part).drop("times"), "near-dealt")
+    second = pairs.select("pivot", "part").distinct().hint("merge").join(runs.select(F.col("node").alias("pivot"), F.col("runs").alias("y")), "pivot")
     first = pairs.hint("merge").join(runs.select("node", F.col("runs").alias("x")), "node")
-    both = first.hint("merge").join(runs.select(F.col("node").alias("pivot"), F.col("runs").alias("y")), "pivot")
+    both = first.hint("merge").join(second, ["pivot", "part"])
     both = both.withColumn("cover", F.lit(None).cast("binary")) if covers is None else both.hint("merge").join(covers, "base", "left")
 
     def row(base: int, node: int, pivot: int, floor: int | None, x: bytes, y: bytes, cover: bytes | None) -> Iterator[tuple]:
@@ -304,6 +311,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def absorb(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links; only links between different components are followed."""
+    named = lambda of, to: labels.select(F.col("node").alias(of), F.col("component").alias(to))
+    across = links.join(named("a", "c"), "a", "left").join(named("b", "d"), "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    across = settle(across.where("a != b").distinct(), "near-across")
+    if across.isEmpty():
+        return labels
+    merged = components(across)
+    moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return settle(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "near-labels")
+
+
 def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: int = STEPS, **columns) -> DataFrame:
     """doc_id, text_key, class_id, class_size, is_first: one row for each row of docs.
 
@@ -322,10 +341,10 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: i
     runs = settle(runs, "near-runs")
     reach = settle(members.groupBy("node").agg(F.sum("size").alias("reach")), "near-reach")
     grouped = members.join(reach, "node").withColumn("base", F.lit(None).cast("long"))
-    asked, covers, links, labels = settle(hubs(grouped, ["key"]), "near-asked"), None, None, None
+    asked, covers, labels = settle(hubs(grouped, ["key"]), "near-asked"), None, None
     plain = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")), "key").select("node", "pivot")
     for step in range(steps + 1):
-        plain = plain.where("node != pivot").select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct()
+        plain = plain.where("node != pivot").distinct()
         none = F.lit(None)
         pairs = asked.drop("before").unionByName(plain.select(none.cast("long").alias("base"), "node", "pivot", none.cast("int").alias("floor")))
         pairs = settle(pairs, "near-pairs")
@@ -333,8 +352,7 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: i
             break
         compared = settle(compare(pairs, runs, covers, least), "near-links")
         new = compared.where("link").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        labels = components(new) if labels is None else absorb(labels, new)
         if asked.isEmpty():
             break
         groups, loose = regroup(compared, labels, reach)
