@@ -19,12 +19,13 @@ Only DataFrame and SQL functions are used.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.shared import settle
+from lodestar.llm.shared import bare_names, settle
 
 #: Weights of the sources in code point order, repeated from the start.
 WEIGHTS = (5, 2, 1)
@@ -34,6 +35,8 @@ SHARE = 1.5
 MOST = 2
 #: Documents in one fold of the tree, on average.
 FAN = 64
+#: Bytes of the table of sources up to which it is sent to all tasks; a larger one is joined by sorting, with large sources split by Spark.
+BROADCAST = 16 << 20
 WORD = r"[^\x20\x09-\x0D]++"
 
 
@@ -132,6 +135,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     sizes = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum("times").alias("n"))
     aimed = targets(sizes.select("source", "source_size"), weights, share, most)
     per = settle(aimed.join(sizes.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-rates")
+    about = per.agg(F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    if about.bytes + 64 * about.n <= BROADCAST:
+        per = F.broadcast(per)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     rows = counted.join(per.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.col("whole"))
@@ -145,6 +151,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     large, missed = _round(still.where("_split and not _small").drop("_split", "_small"), depth, fan, seed)
     small = still.where("_split and _small").drop("_split", "_small")
     spare = small.groupBy("rank").agg(F.sum("size").alias("_spare")).join(missed, "rank").select("rank", (F.col("missed") / F.col("_spare")).alias("_shift"))
+    if 64 * about.n <= BROADCAST:
+        spare = F.broadcast(spare)
     shift = F.coalesce("_shift", F.lit(0.0)) * F.col("size")
     small = small.join(spare, "rank", "left").withColumn("mass", F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.col("mass") - shift))).drop("_shift")
     small, _ = _round(small, depth, fan, seed + 1000)
@@ -176,17 +184,21 @@ def _round(live: DataFrame, depth: int, fan: int, seed: int) -> tuple[DataFrame,
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs repeated as often as it is taken, with the columns of docs."""
-    id_col = options.get("id_col", "doc_id")
-    text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    sized = docs.withColumn("_z", word_count(F.col(text_col)))
-    pair = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_z") == F.col("_zz"))
-    joined = sized.join(copies.withColumnRenamed("_z", "_zz"), pair)
-    # rows that share id, source and size share their copies: all get the mean's floor, one in order the rest
-    many = joined.where(F.size("_copies") > 1)
-    order = Window.partitionBy("_d", "_s", "_z").orderBy(F.col(text_col))
-    many = many.withColumn("_c", F.element_at("_copies", F.row_number().over(order)))
-    one = joined.where(F.size("_copies") == 1).withColumn("_c", F.element_at("_copies", 1))
-    both = one.unionByName(many)
-    return both.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_c").cast("int")))).where("_i > 0").select(*docs.columns)
+    """The mix itself: each row of docs repeated as often as it is taken, with the columns of docs, whatever their names.
+
+    Null and empty texts are taken once, as their words weigh nothing.  Rows that
+    share id, source and size, so also repeated rows, share out the copies drawn for
+    them in the order of their columns, null first.  An empty table stays empty.
+    """
+    id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
+    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(F.array_sort(F.collect_list("copies")).alias("drawn"))
+    bare, _ = bare_names(docs)
+    at, text, source = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    pair = F.col(at).cast("long").eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("of")) & (word_count(F.col(text)) == F.col("words"))
+    joined = bare.join(copies, pair)
+    rest = [F.col(c).asc_nulls_first() for c, kind in bare.dtypes if not re.search("map|variant|interval", kind) and c != text]
+    order = Window.partitionBy("id", "of", "words").orderBy(*rest, F.col(text).asc_nulls_first())
+    many = joined.where(F.size("drawn") > 1).withColumn("n", F.element_at("drawn", F.row_number().over(order)))
+    both = joined.where(F.size("drawn") == 1).withColumn("n", F.element_at("drawn", 1)).unionByName(many)
+    repeated = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int")))).where("k > 0")
+    return repeated.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])

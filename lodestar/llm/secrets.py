@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.rows import map_rows
-from lodestar.llm.shared import settle
+from lodestar.llm.shared import bare_names, settle
 
 #: Parts further apart than this, in characters from start to start, are not of one credential.
 SCOPE = 300
@@ -154,13 +154,19 @@ def find(docs: DataFrame, *, scope: int = SCOPE, **columns) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs with each reported span of its text replaced by mark; overlapping spans by one. Other rows and columns are as they were."""
+    """docs with each reported span of its text replaced by mark; overlapping spans by one.
+
+    Other rows, among them null and empty texts, and other columns, whatever their
+    names, are as they were; repeated rows are treated alike.  An empty table stays
+    empty.
+    """
     found = find(docs, scope=scope, id_col=id_col, text_col=text_col).where(F.size("found") > 0)
-    spans = found.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("found").alias("_found"))
-    keyed = docs.withColumn("_x", F.xxhash64(text_col))
-    joined = keyed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_k")), "left")
-    text = f"`{text_col}`"
-    cut = F.expr(f"""aggregate(_found, named_struct('out', '', 'at', 0L),
+    spans = found.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.first("found").alias("spans"))
+    bare, _ = bare_names(docs)
+    at, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    joined = bare.join(spans, F.col(at).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key")), "left")
+    cut = F.expr(f"""aggregate(spans, named_struct('out', '', 'at', 0L),
         (a, s) -> named_struct('out', if(s.start >= a.at, concat(a.out, substring({text}, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}'), a.out), 'at', greatest(a.at, s.`end`)),
         a -> concat(a.out, substring({text}, cast(a.at + 1 as int))))""")
-    return joined.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    clean = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut))
+    return clean.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])

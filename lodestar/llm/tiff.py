@@ -3,7 +3,8 @@
 Reading walks the image directories, decodes PackBits, LZW, deflate and plain
 strips and tiles, undoes the horizontal predictor and gives one row for each
 page.  Writing stores a payload as 8-bit grey rows; the pages take the codings
-in turn, so that each is in use where there are several pages.
+in turn, the first by a checksum of the payload, so that each coding is in use
+for a third of the pages and equal payloads are stored alike.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from lodestar.llm.rows import map_rows
 #: Width of a stored image, rows of a page and of a strip; tiles of LZW pages.
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 16, (192, 64)
 
+#: Bytes of a page that is read, at most, and of what one stored byte can stand for in any coding; a page beyond either gives a row with an error.
+MOST_BYTES, MOST_RATIO = 1 << 30, 2048
+
 #: Tags and codings of the format.
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_CODING, TAG_PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -29,6 +33,8 @@ TAG_STRIPS, TAG_SAMPLES, TAG_STRIP_ROWS, TAG_STRIP_BYTES, TAG_PLANAR = 273, 277,
 TAG_PREDICTOR, TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILES, TAG_TILE_BYTES = 317, 322, 323, 324, 325
 KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 CLEAR, END = 256, 257
+#: The codings that writing takes in turn.
+TURN = (DEFLATE, PACKBITS, LZW)
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -58,16 +64,19 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def unpack_bits(data: bytes, size: int) -> bytes:
+    """At least size bytes, where data has as many."""
+    out, at, made = [], 0, 0
+    while at < len(data) and made < size:
         n = data[at]
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
             at += n + 2
+            made += n + 1
         elif n > 128:
             out.append(data[at + 1 : at + 2] * (257 - n))
             at += 2
+            made += 257 - n
         else:
             at += 1
     return b"".join(out)
@@ -116,10 +125,11 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, size: int) -> bytes:
+    """At least size bytes, where data has as many."""
     single = [bytes([n]) for n in range(256)] + [b"", b""]
     table, out, width, before = list(single), [], 9, b""
-    acc = bits = 0
+    acc = bits = made = 0
     for byte in data:
         acc, bits = acc << 8 | byte, bits + 8
         if bits < width:
@@ -138,6 +148,9 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(entry)
+        made += len(entry)
+        if made >= size:
+            break
         if before:
             table.append(before + entry[:1])
         before = entry
@@ -146,15 +159,16 @@ def unlzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def decode(data: bytes, coding: int) -> bytes:
+def decode(data: bytes, coding: int, size: int) -> bytes:
+    """The bytes of a strip or tile; what comes after size of them need not be there."""
     if coding == PLAIN:
         return data
     if coding == LZW:
-        return unlzw(data)
+        return unlzw(data, size)
     if coding in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if coding == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, size)
     raise ValueError(f"coding {coding}")
 
 
@@ -174,14 +188,15 @@ def write(payload: bytes, *, width: int = WIDTH, page_rows: int = PAGE_ROWS) ->
     """A TIFF whose pages hold payload, a positive multiple of width, as 8-bit grey rows.
 
     Pages take deflate with predictor in strips, PackBits in strips, and LZW with
-    predictor in tiles, in turn.
+    predictor in tiles, in turn, from one of them on by the payload's checksum.
     """
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out = [b"II*\0\x08\0\0\0"]
     at = 8
     pages = [pixels[n : n + page_rows] for n in range(0, len(pixels), page_rows)]
+    first = zlib.crc32(payload) % len(TURN)
     for n, page in enumerate(pages):
-        coding = (DEFLATE, PACKBITS, LZW)[n % 3]
+        coding = TURN[(first + n) % len(TURN)]
         predictor = 1 if coding == PACKBITS else 2
         tags = {TAG_WIDTH: [width], TAG_HEIGHT: [len(page)], TAG_BITS: [8], TAG_CODING: [coding], TAG_PHOTOMETRIC: [1], TAG_SAMPLES: [1], TAG_PREDICTOR: [predictor]}
         if coding == LZW and width % TILE[0] == 0:
@@ -269,12 +284,15 @@ def pixels(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
     places, sizes = (tags[TAG_TILES], tags[TAG_TILE_BYTES]) if tiled else (tags[TAG_STRIPS], tags[TAG_STRIP_BYTES])
     if len(places) != len(sizes) or len(places) != -(-width // across) * -(-height // down):
         raise ValueError("as many parts as the image needs are not there")
+    whole = height * width * samples * kind.itemsize
+    if whole > MOST_BYTES or whole > MOST_RATIO * len(data) or down * across * samples * kind.itemsize > MOST_BYTES:
+        raise ValueError("an image larger than its data can fill")
     out = np.empty((height, width, samples), kind.newbyteorder("="))
     n = 0
     for top in range(0, height, down):
         for left in range(0, width, across):
             rows = down if tiled else min(down, height - top)
-            raw = decode(data[places[n] : places[n] + sizes[n]], coding)
+            raw = decode(data[places[n] : places[n] + sizes[n]], coding, rows * across * samples * kind.itemsize)
             part = np.frombuffer(raw, kind, rows * across * samples).reshape(rows, across, samples).astype(out.dtype, copy=False)
             out[top : top + rows, left : left + across] = _undo(part, predictor)[: height - top, : width - left]
             n += 1

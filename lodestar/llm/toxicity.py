@@ -2,6 +2,7 @@
 
 The features of a text are densities of a lexicon, how near its words stand to
 words for the second person, and rates of capitals, punctuation and obfuscation.
+Null and empty texts get the score of a text without any feature.
 The lexicon holds words, and beginnings of words, that stand in far more toxic
 than other documents of the sample.  Trees and calibration are fitted on parts
 of the sample that do not overlap.
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.rows import add_column
 from lodestar.llm.shared import settle
 
-#: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most (about).
+#: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most (about); they bound the lexicon too.
 SAMPLE = 12_000
-#: Entries of the learned lexicon at most, most frequent first; letters of a beginning.
-LEXICON, BEGINNING = 3000, 5
+#: Letters of a beginning.
+BEGINNING = 5
 #: A learned entry stands in this many toxic documents at least, and exceeds what its frequency lets expect by so many standard deviations.
 LEAST_TOXIC, DEVIATIONS = 4, 3.5
 #: The odds of toxic against other documents with a learned entry are this many times those of all documents at least.
@@ -49,7 +50,9 @@ tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro vu
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
-ODD_TOKEN = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[0-9@$!*#+])\S*[A-Za-z0-9@$!*#+]\S*[A-Za-z]\S*(?!\S)")
+#: A token with a sign or figure that stands for letters; possessive, so that a long token is read once.
+SIGNED = re.compile(r"(?<!\S)[^\s0-9@$!*#+]*+[0-9@$!*#+]\S*+")
+LETTER, DISGUISE = re.compile("[A-Za-z]"), re.compile("[A-Za-z0-9@$!*#+]")
 SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][.\-_* ]){3,}[^\W\d_](?![^\W\d_])")
 LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
 LEET = str.maketrans("01345789@$!+|", "oieastbgasitl")
@@ -65,7 +68,7 @@ def lexicon_counts(texts: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(texts: DataFrame) -> dict[str, float]:
-    """Weight, a log ratio of document frequencies, of each entry; at most LEXICON entries come to the driver."""
+    """Weight, a log ratio of document frequencies, of each entry. The sample bounds how many come to the driver: each stands in LEAST_TOXIC or more of its documents."""
     total = texts.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     if not total.n or not total.toxic or total.toxic == total.n:
         return {}
@@ -74,7 +77,7 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
     # both can be reached at any share of toxic labels
     unlikely = F.col("toxic") - expected >= DEVIATIONS * F.sqrt(expected * (1 - rate) + 1)
     sure = (F.col("toxic") >= LEAST_TOXIC) & unlikely & ((F.col("toxic") + 0.5) / (F.col("other") + 0.5) >= LIFT * rate / (1 - rate))
-    found = lexicon_counts(texts).where(sure).orderBy(F.desc("toxic"), "entry").limit(LEXICON).collect()
+    found = lexicon_counts(texts).where(sure).collect()
     clean = total.n - total.toxic
     return {r.entry: min(8.0, math.log((r.toxic + 0.5) / (total.toxic + 1)) - math.log((r.other + 0.5) / (clean + 1))) for r in found}
 
@@ -113,7 +116,10 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
             near = min(near, at - last_you)
     odd = hidden = 0
     if not low.isalpha():
-        for m in ODD_TOKEN.findall(low):
+        for m in SIGNED.findall(low):
+            # a letter after the first letter or sign
+            if not LETTER.search(m, DISGUISE.search(m).end()):
+                continue
             odd += 1
             plain = "".join(WORD.findall(m.translate(LEET)))
             hidden += plain in INSULTS or plain in learned
@@ -216,7 +222,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
+    """The rows of docs that are not predicted toxic, with all columns, whatever their names.
+
+    Null and empty texts stay unless the empty text itself is predicted toxic;
+    repeated rows share their score and so their fate.  An empty table stays empty.
+    """
     bare = docs.withColumnsRenamed({c: f"_{n}" for n, c in enumerate(docs.columns)})
     at = docs.columns.index(text_col)
     scored = Scorer(docs, labels, id_col=id_col, text_col=text_col).score(bare.withColumnRenamed(f"_{at}", text_col))

@@ -76,7 +76,7 @@ def test_pieces_do_not_cut_words():
 def test_codings_round_trip(n, letters):
     data = bytes(random.Random(n).randrange(letters) for _ in range(n))
     for coding in (tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
-        assert tiff.decode(tiff.encode(data, coding), coding) == data
+        assert tiff.decode(tiff.encode(data, coding), coding, len(data) + 1) == data
 
 
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 36864, 36865, 120000])
@@ -84,7 +84,64 @@ def test_tiff_pages_hold_the_payload(n):
     payload = tiff.pad(os.urandom(n))
     pages = list(tiff.read_pages(tiff.write(payload)))
     assert b"".join(p[-2] for p in pages) == payload
-    assert [p[5] for p in pages[:3]] == [tiff.DEFLATE, tiff.PACKBITS, tiff.LZW][: len(pages)]
+    first = zlib.crc32(payload)
+    assert [p[5] for p in pages[:3]] == [tiff.TURN[(first + k) % 3] for k in range(3)][: len(pages)]
+
+
+def test_bombs_are_errors():
+    import struct
+
+    for side, data in ((1 << 31, zlib.compress(bytes(100))), (20_000, zlib.compress(bytes(1 << 20))), (400, zlib.compress(bytes(100)))):
+        tags = [(256, side), (257, side), (258, 8), (259, 8), (273, 8 + 2 + 12 * 7 + 4), (277, 1), (279, len(data))]
+        image = b"II*\0\x08\0\0\0" + struct.pack("<H", 7) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4) + data
+        (page,) = tiff.read_pages(image)
+        assert page[-1] and page[-2] is None
+
+
+def test_every_coding_stores_texts():
+    """A second decoder, by the format's text: strips of deflate and PackBits, tiles of LZW, with their predictor."""
+    import struct
+
+    seen = Counter()
+    for n in range(12):
+        payload = tiff.pad(f"text {n} ".encode() * 300)
+        image = tiff.write(payload)
+        (at,) = struct.unpack_from("<I", image, 4)
+        (count,) = struct.unpack_from("<H", image, at)
+        tags = {t: (k, v) for t, _, k, v in (struct.unpack_from("<HHII", image, at + 2 + 12 * i) for i in range(count))}
+        many = lambda t, tags=tags, image=image: [tags[t][1]] if tags[t][0] == 1 else list(struct.unpack_from(f"<{tags[t][0]}I", image, tags[t][1]))
+        coding, tiled = tags[259][1], 324 in tags
+        parts = [image[a : a + b] for a, b in zip(many(324 if tiled else 273), many(325 if tiled else 279))]
+        across = tags[322][1] if tiled else 576
+        grids = []
+        for part in parts:
+            if coding == 8:
+                raw = zlib.decompress(part)
+            elif coding == 32773:
+                raw, i = bytearray(), 0
+                while i < len(part):
+                    k = struct.unpack_from("b", part, i)[0]
+                    raw += part[i + 1 : i + 2 + k] if k >= 0 else part[i + 1 : i + 2] * (1 - k)
+                    i += k + 2 if k >= 0 else 2
+            else:
+                word = "".join(f"{x:08b}" for x in part)
+                raw, i, width, book, last = bytearray(), 0, 9, {}, b""
+                while (code := int(word[i : i + width], 2)) != 257:
+                    i += width
+                    if code == 256:
+                        width, book, last = 9, {k: bytes([k]) for k in range(256)} | {256: b"", 257: b""}, b""
+                        continue
+                    entry = book.get(code, last + last[:1])
+                    raw += entry
+                    if last:
+                        book[len(book)] = last + entry[:1]
+                    last, width = entry, max(width, (len(book) + 1).bit_length())
+            grid = np.frombuffer(bytes(raw), np.uint8).reshape(-1, across)
+            grids.append(grid if coding == 32773 else np.cumsum(grid, axis=1, dtype=np.uint8))
+        rows_ = np.hstack(grids) if tiled else np.vstack(grids)
+        assert rows_.tobytes()[: len(payload)] == payload
+        seen[coding] += 1
+    assert set(seen) == {8, 5, 32773}
 
 
 def test_big_endian_and_damaged_images(spark):
@@ -289,6 +346,14 @@ def test_ids_are_the_librarys(coder, library, spark):
         assert ids == library.encode_ordinary(r.text) and coder.decode(ids) == r.text.encode()
 
 
+def test_any_pattern_is_followed(coder):
+    other = bpe.Codec(coder.ranks, r"\S+|\s+")
+    assert other.pieces("it's a test") == ["it's", " ", "a", " ", "test"]
+    mixed = r"(?i:\p{L}{1,3}+)|\s+|[^\s\p{L}]"
+    want = tiktoken.Encoding("own", pat_str=mixed, mergeable_ranks=coder.ranks, special_tokens={})
+    assert ids_of(bpe.Codec(coder.ranks, mixed), "It's a longer tést 12") == want.encode_ordinary("It's a longer tést 12")
+
+
 def test_long_pieces_and_slices(coder, library, monkeypatch):
     for text in ("ab" * 20_000, "x" * 5000, "the quick  brown\n\n fox " * 500):
         want = library.encode_ordinary(text)
@@ -333,6 +398,25 @@ def test_features_see_insults_and_disguise():
     assert toxicity.features(None, {}) == toxicity.features("", {}) == [0.0] * len(toxicity.NAMES)
 
 
+def test_disguised_tokens_as_if_read_plainly():
+    rng = random.Random(8)
+    for _ in range(2000):
+        token = "".join(rng.choice("ab1@.é_") for _ in range(rng.randrange(1, 7)))
+        first = next((k for k, c in enumerate(token) if c in "ab1@"), None)
+        plain = any(c in "1@" for c in token) and any(c in "ab" for c in token[first + 1 :])
+        m = toxicity.SIGNED.fullmatch(token)
+        assert plain == bool(m and toxicity.LETTER.search(token, toxicity.DISGUISE.search(token).end())), token
+
+
+def test_one_long_token_takes_linear_time():
+    import time
+
+    began = time.time()
+    for c in ("a", "1", "a1", "a b", "!", "é"):
+        toxicity.features(c * 400_000, {})
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("toxic", [100, 200, 500, 900])
 def test_lexicon_at_any_share_of_toxic_labels(spark, toxic):
     rows_ = [(n, "gemeinsam " + ("schurke" if n < toxic and n % 2 else "blume" if n >= toxic else "stein"), float(n < toxic)) for n in range(1000)]
@@ -476,6 +560,34 @@ def test_mix_reruns_agree_and_odd_tables(odd_docs, empty_docs):
     assert taken.count() == sum(r.copies for r in mixing.mix(odd_docs).collect())
 
 
+def test_mix_takes_whole_masses_of_each_fold(spark):
+    """Rounding against its plain meaning: whole copies stay, words of a source are conserved but for one document, expectations are kept over seeds."""
+    docs = spark.createDataFrame([(n, "w " * (1 + n % 7), "ab"[n % 2]) for n in range(60)], "doc_id long, text string, source string")
+    total = Counter()
+    for seed in range(12):
+        out = mixing.mix(docs, fan=4, seed=seed).collect()
+        for source in "ab":
+            of = [r for r in out if r.source == source]
+            rate = of[0].target / of[0].source_size
+            assert all(r.copies in (int(rate), int(rate) + 1) for r in of)
+            assert abs(sum(r.taken for r in of) - of[0].target) <= max(r["size"] for r in of)
+            total[source] += sum(r.taken for r in of)
+    for r in out:
+        assert abs(total[r.source] / 12 - r.target) <= 4
+
+
+def test_clashing_names_and_ties(spark):
+    names = ["_x", "_n", "_d", "_k", "_s", "_z", "_zz", "_c", "_i", "_copies", "id", "key", "spans", "of", "words", "drawn", "n", "k", "c0", "score", "features", "found"]
+    rows_ = [(1, f"token=abcdefghijklmnop {s}", "a", *[s] * len(names)) for s in "pqpq"] + [(2, None, None, *[None] * len(names)), (3, "", "a", *["v"] * len(names))]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for f in (mixing.take, secrets.redact, lambda d: toxicity.keep_clean(d, none)):
+        out, again = f(df), f(df.orderBy(F.desc("id")).repartition(3))
+        assert out.columns == df.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, again.collect()))
+        assert f(df.limit(0)).count() == 0
+    assert {r.text for r in secrets.redact(df).collect()} == {"[secret] p", "[secret] q", None, ""}
+
+
 # 9 WARC
 
 
