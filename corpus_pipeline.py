@@ -2,6 +2,10 @@
 
 STAGES lists name and function of each stage in order; run applies them to
 documents.  A stage's rows are written as Parquet and read again by the next.
+Nulls may stand in any column and further columns may have any name: all stages
+but the last return the columns they got.  Null and empty texts are copies of each
+other, so one of them stays; it is taken once and has no tokens.  Of repeated rows
+one stays.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document."""
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """Tokens of each document: their ids, number and digests. No tokens for null and empty texts; a row for each row."""
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near-dedup", drop_copies), ("secrets", redact_secrets), ("mixing", mix_sources), ("tokens", encode_tokens)]
