@@ -3,10 +3,10 @@
 One pass finds the words of the license vocabulary in each document, with their
 places and the key phrases that begin there.  The rarest words of each template,
 by document frequency over all documents, are its anchors: as many as make sure
-that no place where enough words agree goes without one.  Anchors found give the
-places at which their template may start, and all words of the template vote on
-these.  A template is reported where enough words agree on one start and all of
-the template's mandatory phrases stand in the document.
+that no start on which enough places agree goes without one.  Anchors found give
+the places at which their template may start, and all words of the template vote
+on these.  A template is reported where enough of its places agree on one start
+and all of its mandatory phrases stand at their places from there.
 
 Only DataFrame and SQL functions are used.
 """
@@ -42,13 +42,43 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4",)),
     ("cc-by-4.0", "Creative Commons Attribution 4.0 International License", ("creative commons attribution 4",)),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    (
+        "mit-full",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("permission is hereby granted free of charge",),
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("permission to use copy modify",),
+    ),
+    (
+        "bsd-2-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ("redistribution and use in source and binary forms",),
+    ),
+    (
+        "apache-header",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ("apache license version 2",),
+    ),
+    (
+        "gpl-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        ("redistribute it and or modify", "free software foundation"),
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ("released into the public domain",),
+    ),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
 )
 
 #: Words too common to say anything about a license.
 COMMON = frozenset("a an and any are as at be by can for from in is it of on or that the this to use was with work you".split())
 
-#: The share of a template's words that must agree on one start.
+#: The share of a template's places, those of common words left out, that must agree on one start.
 AGREE = 0.6
 
 
@@ -98,24 +128,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _lookup(spark: SparkSession, agree: float) -> DataFrame:
-    """template, label, w, at, n, bit, anchors, needed: the postings. As many rows as TEMPLATES has words.
+    """template, label, w, at, n, spare, needed: the postings. As many rows as TEMPLATES has words.
 
-    n is the number of the template's vocabulary words and bit that of the word
-    among them; anchors is how many of them at least one vote of any agreement is
-    among; needed has the bits of the mandatory phrases.
+    n is the number of the template's places; spare is how many of them may
+    disagree; needed has the bits of the mandatory phrases.
     """
     number = {p: n for n, p in enumerate(_phrases())}
     rows = []
     for t, (label, text, mandatory) in enumerate(TEMPLATES):
-        ws = words_of(text)
-        own = sorted({w for w in ws if w not in COMMON})
-        n = len(own)
+        places = [(at, w) for at, w in enumerate(words_of(text)) if w not in COMMON]
+        n = len(places)
         least = next((v for v in range(1, n + 1) if v / n >= agree), n + 1)
         needed = sum(1 << number[p] for p in mandatory)
-        rows += [
-            f"named_struct('template', {t}, 'label', '{label}', 'w', '{w}', 'at', {at}L, 'n', {n}, 'bit', {1 << own.index(w)}L, 'anchors', {n - least + 1}, 'needed', {needed}L)"
-            for at, w in enumerate(ws) if w not in COMMON
-        ]
+        rows += [f"named_struct('template', {t}, 'label', '{label}', 'w', '{w}', 'at', {at}L, 'n', {n}, 'spare', {n - least}, 'needed', {needed}L)" for at, w in places]
     return spark.range(1).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
@@ -139,20 +164,21 @@ def find(docs: DataFrame, *, agree: float = AGREE, **columns) -> DataFrame:
 
     places = "array_sort(concat(" + ", ".join(_first_of(1 << number[p], p) for p, _ in BASE) + "))"
     named = ", ".join(f"if(exists(hits, h -> h.phrases & {1 << number[p]}L != 0), '{label}', null)" for p, label in BASE)
-    seen = "aggregate(hits, 0L, (s, h) -> s | h.phrases)"
     base = found.select("row", "doc_id", "n_words", F.expr(places).alias("_at"), F.expr(f"array_compact(array({named}))").alias("_base"))
 
-    hits = found.where(F.size("hits") > 0).select("row", F.expr(seen).alias("seen"), F.explode("hits").alias("h")).select("row", "seen", "h.w", "h.i")
+    hits = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.i", "h.phrases")
     words = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w"))
     frequency = words.groupBy("w").agg(F.count("*").alias("df"))
-    place = F.dense_rank().over(Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    # a word is an anchor unless more places have rarer words than may disagree
+    own = Window.partitionBy("template").orderBy("df", "w")
     # frequency has as many rows as the vocabulary has words
-    postings = _lookup(spark, agree).join(F.broadcast(frequency), "w", "left").withColumn("anchor", place <= F.col("anchors"))
-    posted = hits.join(F.broadcast(postings), "w").where(F.col("seen").bitwiseAND(F.col("needed")) == F.col("needed")).withColumn("start", F.col("i") - F.col("at"))
+    posted_words = _lookup(spark, agree).join(F.broadcast(frequency), "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    postings = posted_words.withColumn("rarer", F.rank().over(own) - 1).withColumn("anchor", F.col("rarer") <= F.col("spare"))
+    posted = hits.join(F.broadcast(postings), "w").withColumn("start", F.col("i") - F.col("at"))
     key = ["row", "template", "start"]
     candidates = posted.where("anchor").select(*key).distinct()
-    votes = posted.join(candidates, key, "left_semi").groupBy(*key, "label", "n").agg(F.bit_count(F.bit_or("bit")).alias("votes"))
-    agreed = votes.withColumn("share", F.col("votes") / F.col("n")).where(F.col("share") >= agree)
+    votes = posted.join(candidates, key, "left_semi").groupBy(*key, "label", "n", "needed").agg(F.count("*").alias("votes"), F.bit_or("phrases").alias("seen"))
+    agreed = votes.where(F.col("seen").bitwiseAND(F.col("needed")) == F.col("needed")).withColumn("share", F.col("votes") / F.col("n")).where(F.col("share") >= agree)
     reported = agreed.groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("share").alias("score"), F.min("start").alias("template_start"))
 
     every = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))))

@@ -1,11 +1,12 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
 Records are sorted by page id in ranges of about equal bytes.  The ranges follow
-from sums of bytes over equal bins of ids, not from samples, so every run makes
-the same files.  A range's file rolls over at a compressed size.  A task writes
-to a temporary name, then renames to a name that depends on range and number
-only; a repeated task writes the same bytes to the same name.  Readers go by the
-manifest, which Spark commits as a table once all files are there.
+from sums of bytes over the sorted ids, not from samples, so every run makes the
+same files.  An id that holds more than its range is split by digest.  A range's
+file rolls over at a compressed size.  A task writes to a temporary name, then
+renames to a name that depends on range and number only; a repeated task writes
+the same bytes to the same name.  Readers go by the manifest, which Spark commits
+as a table once all files are there; temporary files of lost tasks are removed then.
 
 Of records with equal payloads the one with the largest id is a response; the
 others revisit it and store no payload.
@@ -20,24 +21,26 @@ import hashlib
 import math
 import os
 import re
+import shutil
 import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm.rows import map_rows
-from lodestar.llm.shared import fresh_path
+from lodestar.llm.shared import fresh_path, settle
 
 #: Payloads below this size are never revisits.
 LEAST = 1000
 #: Bytes of payload in a range, and compressed bytes at which a file rolls over.
 RANGE_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
-#: Bins of ids for each range, and at least.
-BINS_EACH, LEAST_BINS = 16, 4096
+#: Ranges at most, so that what the driver holds of them and sends to the tasks is bounded.
+MOST_RANGES = 1 << 16
 #: The date of all records, so that reruns agree.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -71,14 +74,27 @@ def _open(uri: str, mode: str):
 
 
 def _rename(old: str, new: str) -> None:
+    """A file of the new name has the same bytes, from another attempt; it is replaced or stays."""
     store, path = _store(old)
+    target = _store(new)[1]
     if store is None:
-        os.replace(path, _store(new)[1])
+        os.replace(path, target)
+        return
+    try:
+        store.move(path, target)
+    except OSError:
+        if store.get_file_info(target).size != store.get_file_info(path).size:
+            raise
+        store.delete_file(path)
+
+
+def _remove(folder: str) -> None:
+    store, path = _store(folder)
+    if store is None:
+        shutil.rmtree(path, ignore_errors=True)
     else:
-        target = _store(new)[1]
         with contextlib.suppress(OSError):
-            store.delete_file(target)
-        store.move(path, target)
+            store.delete_dir(path)
 
 
 def _sha1(data: bytes) -> str:
@@ -105,20 +121,20 @@ def _member(data: bytes) -> bytes:
 
 
 class _Writer:
-    """Writes one task's records, which come sorted by range."""
+    """Writes the records of a task, which come sorted by task, id and digest."""
 
     def __init__(self, folder: str, roll: int):
-        self.folder, self.roll, self.shard, self.number, self.file = folder, roll, None, 0, None
+        self.folder, self.roll, self.task, self.shard, self.number, self.file = folder, roll, None, None, 0, None
         self.mark: tuple = ()
 
-    def __call__(self, shard: int, page_id: int | None, key: str, url: str | None, payload: bytes | None, response: int | None) -> Iterator[tuple]:
+    def __call__(self, task: int, shard: int, page_id: int | None, key: str, url: str | None, payload: bytes | None, response: int | None) -> Iterator[tuple]:
         if payload is None:  # a mark stands before the records that it makes revisits
             self.mark = page_id, key, response
             return
         refers_to = self.mark[2] if self.mark[:2] == (page_id, key) else None
-        if shard != self.shard:
+        if task != self.task:
             yield from self.finish()
-            self.shard, self.number = shard, 0
+            self.task, self.shard, self.number = task, shard, 0
         if self.file is None:
             self.temporary = f"{self.folder}/_temporary/{uuid.uuid4().hex}"
             self.stack = contextlib.ExitStack()
@@ -134,43 +150,88 @@ class _Writer:
     def finish(self) -> Iterator[tuple]:
         if self.file is not None:
             self.stack.close()
-            name = f"range-{self.shard:08d}-{self.number:05d}.warc.gz"
+            name = f"range-{self.shard:08d}-{self.task:08d}-{self.number:05d}.warc.gz"
             _rename(self.temporary, f"{self.folder}/{name}")
             self.file, self.number = None, self.number + 1
-            yield f"{self.folder}/{name}", self.shard, self.records, self.size, self.digest.hexdigest()
+            yield f"{self.folder}/{name}", self.shard, self.task, self.records, self.size, self.digest.hexdigest()
+
 
+def _cuts(rows: DataFrame, range_bytes: int) -> tuple[list[float], list[tuple]]:
+    """Where ranges of ids begin, by sums of bytes over the sorted ids, and the ids that hold more than a range: id and bytes.
 
-def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = RANGE_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write pages as archives under folder. The manifest: file, range, records, bytes, sha256.
+    Both lists are bounded by MOST_RANGES.  An id's sum before it is that within its
+    sorted partition plus the partitions before, of which one row each meets in a task.
+    """
+    place = F.monotonically_increasing_id()
+    by_id = rows.groupBy("page_id").agg(F.sum("size").alias("bytes"))
+    ordered = settle(by_id.orderBy(F.col("page_id").asc_nulls_first()).withColumn("place", place), "warc-ids")
+    ordered = ordered.withColumn("part", F.shiftright("place", 33))
+    totals = ordered.groupBy("part").agg(F.sum("bytes").alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    own = F.sum("bytes").over(Window.partitionBy("part").orderBy("place")) - F.col("bytes")
+    placed = settle(ordered.withColumn("own", own).join(before, "part").select("page_id", "bytes", F.floor((F.col("own") + F.col("before")) / F.lit(range_bytes)).alias("range")), "warc-placed")
+    first = placed.where(F.col("page_id").isNotNull()).groupBy("range").agg(F.min("page_id").cast("double").alias("at")).collect()
+    heavy = placed.where(F.col("bytes") > 2 * range_bytes).select("page_id", "bytes").collect()
+    return sorted({r.at for r in first})[1:], sorted(((r.page_id, r.bytes) for r in heavy), key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = RANGE_BYTES, roll_bytes: int = ROLL_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
+    """Write pages as archives under folder. The manifest: file, range, part, records, bytes, sha256.
 
     Null html: an empty payload.  Null ids come first.  Rows that share the largest
-    id of equal payloads are responses all.  An empty table writes no file.
+    id of equal payloads are responses all.  Repeated rows are repeated records.
+    An empty table writes no file.  At most about most_ranges ranges are cut, so
+    they grow beyond range_bytes where the pages are larger than both allow.  An id
+    of more than two ranges is split by digest, and a digest of that size by place
+    in the input.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    size, digest = F.octet_length("payload"), F.sha1("payload")
-    same = rows.where(size >= LEAST).groupBy(digest.alias("_sha1"), size.alias("_size")).agg(F.max("page_id").alias("_response"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-
-    span = rows.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
-    shards = max(1, math.ceil((span.bytes or 0) / range_bytes))
-    bins = max(LEAST_BINS, BINS_EACH * shards)
-    low, width = span.low or 0, max(1, -(-((span.high or 0) - (span.low or 0) + 1) // bins))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(width)), F.lit(-1)).cast("long")
-    # a row for each bin, and at most bins + 1 of them
-    filled = rows.groupBy(bin_of.alias("_bin")).agg(F.sum(size).alias("_bytes"))
-    before = F.sum("_bytes").over(Window.orderBy("_bin")) - F.col("_bytes")
-    ranges = filled.select("_bin", F.floor(before / F.lit(range_bytes)).cast("long").alias("shard"))
-
+    slim = settle(rows.select("page_id", F.sha1("payload").alias("key"), F.octet_length("payload").cast("long").alias("size")), "warc-slim")
+    same = slim.where(F.col("size") >= LEAST).groupBy("key", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     # payloads move once: revisits are found in a table of digests and sent along as marks, which sort before their records
-    slim = rows.select("page_id", digest.alias("_sha1"), size.alias("_size")).where(F.col("_size") >= LEAST)
-    marks = slim.join(same, ["_sha1", "_size"]).where(~F.col("page_id").eqNullSafe(F.col("_response"))).select("page_id", F.col("_sha1").alias("key"), "_response").distinct()
-    record_rows = rows.select("page_id", digest.alias("key"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("response"))
-    mark_rows = marks.select("page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("_response").alias("response"))
-    placed = record_rows.unionByName(mark_rows).withColumn("_bin", bin_of).join(F.broadcast(ranges), "_bin")
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "key", "kind", "url")
-    made = map_rows(ordered, ["shard", "page_id", "key", "url", "payload", "response"], "file string, range long, records long, bytes long, sha256 string", lambda: _Writer(folder, roll_bytes))
+    marks = slim.where(F.col("size") >= LEAST).join(same, ["key", "size"]).where(~F.col("page_id").eqNullSafe(F.col("response"))).select("page_id", "key", "response").distinct()
+
+    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    range_bytes = max(range_bytes, -(-total // most_ranges))
+    cuts, heavy = _cuts(slim, range_bytes)
+    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="bucket") if cuts else None
+    # tasks: one for each range, null ids first, then those of each heavy id, and for each digest that is heavy in it
+    n = len(cuts) + 2
+    parts, many = [], []
+    for page_id, held in heavy:
+        parts.append((page_id, n, m := -(-held // range_bytes)))
+        n += m
+    parts_of = F.broadcast(spark.createDataFrame(parts, "_id long, _first int, _parts int"))
+    if heavy:
+        among = slim.join(parts_of, F.col("page_id").eqNullSafe(F.col("_id"))).groupBy("page_id", "key").agg(F.sum("size").alias("held")).where(F.col("held") > 2 * range_bytes).collect()
+        for r in sorted(among, key=lambda r: (r.page_id is not None, r.page_id or 0, r.key)):
+            many.append((r.page_id, r.key, n, m := -(-r.held // range_bytes)))
+            n += m
+    many_of = F.broadcast(spark.createDataFrame(many, "_i long, _k string, _start int, _copies int"))
+
+    def dealt(df: DataFrame, copy: Column) -> DataFrame:
+        """df with shard and task. copy: to which of the _copies tasks of a heavy digest a row goes."""
+        df = df.withColumn("at", F.coalesce(F.col("page_id").cast("double"), F.lit(0.0)))
+        df = ranges.transform(df) if ranges else df.withColumn("bucket", F.lit(0.0))
+        shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.col("bucket").cast("int") + 1)
+        df = df.withColumn("shard", shard).drop("at", "bucket").join(parts_of, F.col("page_id").eqNullSafe(F.col("_id")), "left")
+        df = df.join(many_of, F.col("page_id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")), "left")
+        digest = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("_parts") / F.lit(1 << 32)).cast("int")
+        df = df.withColumn("_copy", copy)
+        return df.withColumn("task", F.coalesce(F.col("_start") + F.col("_copy"), F.col("_first") + digest, "shard")).drop("_id", "_first", "_parts", "_i", "_k", "_start", "_copies", "_copy")
+
+    blank = F.lit(None)
+    record_rows = rows.select("page_id", F.sha1("payload").alias("key"), F.lit(1).alias("kind"), "url", "payload", blank.cast("long").alias("response"))
+    record_rows = dealt(record_rows, F.pmod(F.monotonically_increasing_id(), F.col("_copies")).cast("int"))
+    # a mark goes to all tasks of its digest
+    mark_rows = marks.select("page_id", "key", F.lit(0).alias("kind"), blank.cast("string").alias("url"), blank.cast("binary").alias("payload"), "response")
+    mark_rows = dealt(mark_rows, F.explode(F.expr("sequence(0, coalesce(_copies, 1) - 1)"))) if many else dealt(mark_rows, F.lit(0))
+    ordered = record_rows.unionByName(mark_rows).repartitionById(n, F.col("task")).sortWithinPartitions("task", F.col("page_id").asc_nulls_first(), "key", "kind", "url")
+    made = map_rows(ordered, ["task", "shard", "page_id", "key", "url", "payload", "response"], "file string, range long, part long, records long, bytes long, sha256 string", lambda: _Writer(folder, roll_bytes))
     made.write.parquet(f"{folder}/_manifest")
+    _remove(f"{folder}/_temporary")
     return spark.read.schema(made.schema).parquet(f"{folder}/_manifest")
 
 
