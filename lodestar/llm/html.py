@@ -3,7 +3,7 @@
 A page is a sequence of text blocks.  A block is known by its words, its link
 density, those of the blocks beside it, and the kind of region it stands in.  A
 decision tree, trained on the small labelled table below, says which blocks are
-the article's.
+the article's.  A page is read once, from start to end, whatever tags are missing.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from lodestar.llm.rows import map_rows
 
 #: Elements by their part in a page.
 BREAKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template svg math iframe object head title textarea button select canvas audio video".split())
+DROPPED = frozenset("script style noscript template svg iframe head title textarea button select".split())
 AROUND = frozenset("nav footer aside form dialog menu".split())
 ARTICLE = frozenset("article main".split())
 BOXES = AROUND | ARTICLE | frozenset("header section div ul ol table body figure details p span".split())
@@ -86,6 +86,8 @@ def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]
     stack: list[tuple[str, int]] = []
     region = UNKNOWN
     form_end = page_part = -1
+    opened: dict[str, int] = {}
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -121,16 +123,20 @@ def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]
                 close()
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BOXES:
+            if opened.get(tag):
                 for n in range(len(stack) - 1, -1, -1):
                     if stack[n][0] == tag:
                         region = stack[n][1]
+                        for t, _ in stack[n:]:
+                            opened[t] -= 1
                         del stack[n:]
                         break
             continue
         if tag in DROPPED:
             if not m[3].endswith("/"):
-                ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                ends = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(page, at)
+                if ends is None:
+                    endless.add(tag)
                 # a head or list that is never closed hides nothing
                 at = ends.end() if ends else size if tag in ("script", "style") else at
             continue
@@ -153,6 +159,7 @@ def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]
                         page_part = part.start() if (part := _PAGE_PART.search(page, at)) else size
                 inner = _region(tag, m[3], region, tag == "form" and page_part < form_end, release)
             stack.append((tag, region))
+            opened[tag] = opened.get(tag, 0) + 1
             region = inner
     close()
     return found
@@ -174,6 +181,12 @@ LABELLED = (
     (("aside", 30, 0, 0), ("aside", 12, 0, 0), ("article", 4, 4, 1), ("article", 2, 2, 1), ("article", 9, 8, 1), ("article", 1, 1, 1), ("article", 12, 6, 1), ("footer", 11, 0, 0), ("footer", 50, 0, 0)),
     (("form", 6, 0, 0), ("main", 3, 3, 1), ("main", 10, 10, 1), ("main", 2, 1, 1), ("main", 5, 5, 1), ("aside", 18, 0, 0), ("aside", 70, 1, 0), ('div class="advert"', 16, 0, 0)),
     (("nav", 3, 3, 0), ("div", 12, 0, 1), ("div", 40, 0, 1), ('div class="related"', 14, 12, 0), ('div class="related"', 9, 9, 0), ("div", 3, 2, 0), ("div", 5, 5, 0)),
+    (("div", 2, 2, 0), ("div", 4, 0, 0), ("div", 3, 3, 0), ("div", 2, 2, 0), ("div", 5, 0, 0), ("div", 1, 1, 0), ("div", 6, 5, 0), ("div", 2, 2, 0)),
+    (("div", 40, 38, 0), ("div", 25, 25, 0), ("div", 60, 0, 1), ("div", 3, 0, 1), ("div", 45, 12, 1), ("div", 5, 0, 1), ("div", 90, 31, 1), ("div", 12, 0, 1), ("div", 30, 29, 0), ("div", 20, 19, 0)),
+    (("div", 9, 9, 0), ("div", 4, 0, 1), ("div", 22, 1, 1), ("div", 6, 0, 1), ("div", 2, 0, 1), ("div", 15, 1, 1), ("div", 70, 65, 0), ("div", 35, 33, 0), ("div", 6, 0, 0), ("div", 50, 48, 0)),
+    (("p", 3, 0, 1), ("p", 28, 6, 1), ("p", 7, 1, 1), ("p", 4, 1, 1), ("p", 33, 15, 1), ("p", 100, 96, 0), ("p", 18, 17, 0), ("p", 5, 0, 0), ("p", 19, 18, 0)),
+    (("td", 2, 2, 0), ("td", 8, 0, 0), ("td", 3, 3, 0), ("td", 2, 2, 0), ("td", 30, 0, 1), ("td", 4, 0, 1), ("td", 60, 0, 1), ("td", 1, 1, 0), ("td", 3, 0, 0), ("td", 2, 2, 0)),
+    (("article", 2, 2, 1), ("article", 4, 0, 1), ("article", 3, 3, 1), ("article", 2, 2, 1), ("article", 5, 0, 1), ("article", 1, 1, 1), ("article", 6, 1, 1), ("article", 2, 2, 1), ("article", 8, 0, 1), ("article", 3, 3, 1), ("article", 3, 0, 1), ("article", 2, 2, 1)),
     (('div class="page nav-open"', 3, 3, 0), ('div class="page nav-open"', 100, 0, 1), ('div class="page nav-open"', 140, 4, 1), ('div class="page nav-open"', 90, 1, 1), ('div class="page nav-open"', 110, 100, 0), ("footer", 8, 2, 0)),
 )
 
@@ -233,7 +246,11 @@ def main_text(page: str | None) -> tuple[str, int, int]:
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_kept, n_blocks: one row for each row of pages. Null html: empty text."""
+    """page_id, url, text, n_chars, n_kept, n_blocks: one row for each row of pages, repeated rows too.
+
+    Null, empty and blank html: empty text, 0 blocks.  Null ids and urls stay null.
+    Other columns, whatever their names, are not read.  An empty table gives no rows.
+    """
 
     def row(page_id: int, url: str | None, page: str | None) -> Iterator[tuple]:
         text, kept, every = main_text(page)

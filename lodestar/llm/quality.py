@@ -1,8 +1,8 @@
 """Host-level quality rules.
 
 Each document is held against a few rules.  Failures are counted for each host
-(the source), and each host's rate for each rule is shrunk towards the other
-hosts' by a beta prior fitted to the hosts' rates.  A host that, after that,
+(the source), and each host's rate for each rule is shrunk towards that of all
+documents by a beta prior fitted to the hosts' rates.  A host that, after that,
 still fails a rule too often is rejected with all its documents; a host with few
 documents cannot be, on their account alone.
 """
@@ -84,14 +84,22 @@ BASE_RULES = ("few_words", "repeats")
 def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """host, host_docs, host_failures, worst_rate, host_rejected.
 
-    Prior of a rule: the beta distribution with the mean and variance of the
-    hosts' rates.  Equal rates, or one host: the strongest prior allowed.
+    Prior of a rule: the beta distribution by moments of all hosts, each weighed by
+    its documents.  Its mean is the rate over all documents; its strength follows
+    from the part of the hosts' variance beyond what drawing that many documents
+    from one rate leaves.  No such part, or one host: the strongest prior allowed.
+    Sums are of integers or of decimals, so they do not depend on the order of rows.
     """
     names = [n for n, _ in RULES]
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.count_if(F.expr(test)).alias(n) for n, test in RULES])
-    rates = hosts.unpivot(["host", "host_docs"], names, "rule", "failures").withColumn("rate", F.col("failures") / F.col("host_docs"))
-    prior = rates.groupBy("rule").agg(F.avg("rate").alias("mean"), F.coalesce(F.var_pop("rate"), F.lit(0.0)).alias("var"))
-    weight = F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1).otherwise(F.lit(PRIOR[1]))
+    rates = hosts.unpivot(["host", "host_docs"], names, "rule", "failures")
+    exact = lambda x: F.sum(F.expr(f"cast(round({x}, 6) as decimal(34, 6))")).cast("double")
+    prior = rates.groupBy("rule").agg(F.sum("failures").alias("k"), F.sum("host_docs").alias("n"), F.count("*").alias("hosts"), exact("failures * failures / host_docs").alias("kk"), exact("cast(host_docs as double) * host_docs").alias("nn"))
+    prior = prior.withColumn("mean", F.col("k") / F.col("n")).withColumn("noise", F.col("mean") * (1 - F.col("mean")))
+    between = (F.col("kk") - F.col("k") * F.col("mean")) - F.col("noise") * (F.col("hosts") - 1)
+    most = F.col("noise") * (F.col("n") - F.col("nn") / F.col("n") - (F.col("hosts") - 1))
+    prior = prior.withColumn("share", F.when((between > 0) & (most > 0), between / most))
+    weight = F.when(F.col("share").isNotNull(), 1 / F.col("share") - 1).otherwise(F.lit(PRIOR[1]))
     prior = prior.select("rule", "mean", F.greatest(F.lit(PRIOR[0]), F.least(F.lit(PRIOR[1]), weight)).alias("weight"))
     shrunk = rates.join(F.broadcast(prior), "rule").withColumn("shrunk", (F.col("failures") + F.col("mean") * F.col("weight")) / (F.col("host_docs") + F.col("weight")))  # prior: a row for each rule
     return shrunk.groupBy("host").agg(F.first("host_docs").alias("host_docs"), F.sum("failures").alias("host_failures"), F.max("shrunk").alias("worst_rate"), (F.max("shrunk") >= limit).alias("host_rejected"))
@@ -100,7 +108,8 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def judge(docs: DataFrame, *, limit: float = HOST_LIMIT, **columns) -> DataFrame:
     """doc_id, the five counts, base_failed, kept, host, host_docs, host_failures, worst_rate, host_rejected.
 
-    One row for each row of docs.  A null source is a host of its own.
+    One row for each row of docs.  A null source is a host of its own; null and empty
+    texts fail as too short; repeated rows count each.  An empty table gives no rows.
     """
     measured = settle(measure(docs, **columns), "quality")
     verdicts = host_verdicts(measured, limit).withColumnRenamed("host", "_host")
@@ -109,8 +118,8 @@ def judge(docs: DataFrame, *, limit: float = HOST_LIMIT, **columns) -> DataFrame
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-#: The same in DuckDB's SQL, for the columns that the query returns.
-ORACLE = r"""
+#: The same in DuckDB's SQL, for the columns that the query returns and a limit to be filled in.
+ORACLE_AT = r"""
 with d as (select row_number() over () as r, doc_id, source as host, coalesce(text, '') as text from documents),
 w as (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
 p as (select r, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
@@ -126,9 +135,14 @@ c as (select d.doc_id, d.host, cast(len(w.ws) as bigint) as n_words, cast(coales
 f as (select *, n_words < 50 as a, 100 * n_repeat_words > 50 * n_words as b, 10 * n_symbols > n_words as s, word_chars < 2 * n_words or word_chars > 12 * n_words as x, 10 * n_dup_lines > n_words as y from c),
 h as (select host, count(*) as n, count(*) filter (a) as a, count(*) filter (b) as b, count(*) filter (s) as s, count(*) filter (x) as x, count(*) filter (y) as y from f group by host),
 u as (unpivot h on a, b, s, x, y into name rule value k),
-q as (select rule, avg(k / n) as mean, var_pop(k / n) as var from u group by rule),
-z as (select rule, mean, greatest(2.0, least(10000.0, case when var > 0 then mean * (1 - mean) / var - 1 else 10000.0 end)) as weight from q),
-v as (select host, max((k + mean * weight) / (n + weight)) >= 0.5 as rejected from u join z using (rule) group by host)
+q as (select rule, sum(k) / sum(n) as mean, sum(n) as n, count(*) as hosts, sum(k) as k, cast(sum(cast(round(k * k / n, 6) as decimal(34, 6))) as double) as kk, cast(sum(cast(cast(n as double) * n as decimal(34, 6))) as double) as nn from u group by rule),
+q2 as (select rule, mean, (kk - k * mean) - mean * (1 - mean) * (hosts - 1) as between_, mean * (1 - mean) * (n - nn / n - (hosts - 1)) as most from q),
+z as (select rule, mean, greatest(2.0, least(10000.0, case when between_ > 0 and most > 0 then 1 / (between_ / most) - 1 else 10000.0 end)) as weight from q2),
+v as (select host, max((k + mean * weight) / (n + weight)) >= {limit} as rejected from u join z using (rule) group by host)
 select f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, (f.a or f.b) as base_failed, not (f.a or f.b) and not v.rejected as kept
 from f left join v on f.host is not distinct from v.host
 """
+
+
+def oracle(limit: float = HOST_LIMIT) -> str:
+    return ORACLE_AT.replace("{limit}", str(limit))

@@ -54,4 +54,4 @@ def op10_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_order_minhash, op3_host_rules, op4_byte_bpe, op5_toxicity_gbt, op6_secret_links, op7_text_blocks, op8_pivotal_mix, op9_warc_shards, op10_license_positions)}
 
-ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op9_warc_shards": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_host_rules": quality.oracle(), "op9_warc_shards": warc.ORACLE}

@@ -318,6 +318,21 @@ def test_hosts_are_shrunk_and_joined_back(spark, odd_docs, empty_docs):
     assert quality.judge(odd_docs).count() == odd_docs.count() and quality.judge(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0.5, 0.07285, 0.07325])
+def test_verdicts_are_the_sqls(spark, limit):
+    """Over the given table, also at limits that reject some of its hosts."""
+    import duckdb
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    judged = quality.judge(docs, limit=limit)
+    got = Counter((r.doc_id, r.base_failed, r.kept) for r in judged.collect())
+    con = duckdb.connect()
+    con.execute("create view documents as select * from read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    assert got == Counter(con.execute(f"select doc_id, base_failed, kept from ({quality.oracle(limit)})").fetchall())
+    rejected = judged.where("host_rejected").select("host").distinct().count()
+    assert (rejected == 0) == (limit == 0.5)
+
+
 # 4 BPE
 
 
@@ -524,7 +539,38 @@ def test_articles_of_the_pages_table(spark):
         assert html.main_text(r.html)[0] == "\n".join(p for p in parts if p)
 
 
+def test_tree_reads_words_links_and_neighbours():
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html.tree())
+    assert {0, 1, 6} <= used and used & {2, 3, 4, 5}
+    rng = random.Random(3)
+    for _ in range(5000):  # what stands in an article stays, whatever its words and neighbours
+        row = [rng.choice([1, 3, 20, 200]), rng.random() ** 0.3, rng.choice([0, 2, 50]), rng.choice([0, 0.5, 1]), rng.choice([0, 2, 50]), rng.choice([0, 0.5, 1]), 1]
+        assert html.decide(html.tree(), np.array(row, float)) == 1
+    # the same short line between links, and below a paragraph
+    assert html.main_text("<div><a>Home</a></div><div>Since 1999 here</div><div><a>About us</a></div>")[0] == ""
+    assert html.main_text(f"<div><a>Home</a></div><div>{'word ' * 60}</div><div>Since 1999 here</div><div>{'word ' * 40}</div>")[0].split("\n")[1] == "Since 1999 here"
+
+
+def test_odd_elements_and_missing_ends_are_read_once():
+    import time
+
+    assert html.main_text("<article><p>Area <math><mi>x</mi></math> of <object>fallback</object></article>")[0] == "Area x of fallback"
+    began = time.time()
+    for part in ("</div>", "<svg>", "<div>", "<script", "<article><aside>", "</p><form>", "<select>"):
+        html.main_text(part * 40_000)
+    assert time.time() - began < 60
+
+
 def test_html_query(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "<article><p>a b</article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html.extract(df).collect()) == [(1, "", 0), (2, "a b", 3)]
 
