@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """write to a new folder beside path, then put it in the place of what stands at path.
+
+    If the write fails, what stood there is untouched.
+    """
+    jvm = spark.sparkContext._jvm
+    mark = uuid.uuid4().hex
+    place, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", f".new-{mark}", f".old-{mark}"))
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    write(path.rstrip("/") + f".new-{mark}")
+    if store.exists(place) and not store.rename(place, old):
+        raise OSError(f"{path} can't be moved")
+    if not store.rename(new, place):
+        raise OSError(f"{path} can't be put in place; it is at {new}, the former at {old}")
+    store.delete(old, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read back."""
     path = fresh_path(df.sparkSession, name)

@@ -33,11 +33,13 @@ def valuation_rows(blocks: DataFrame, labels: tuple[str, ...], query_day: str) -
 def payout_events(texts: DataFrame) -> DataFrame:
     """section, ex_date, announce_date, cash_per_10, status of payout tables; columns are known by words of their headers.
 
-    The section of a table is the last line '# name' before it.
+    The section of a table is the last line '# name' before it.  A status that
+    speaks of both a plan and its implementation is none, so such an event counts as
+    neither.
     """
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    named = F.when(F.col("line").startswith("# "), F.trim(F.substring("line", 3, 1000)))
+    named = F.when(F.col("line").startswith("# "), F.trim(F.expr("substring(line, 3)")))
     sections = lines.withColumn("section", F.last(named, ignorenulls=True).over(order))
     split = sections.where("section is not null").groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     keyed = split.withColumn("doc_id", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "section"))
@@ -47,8 +49,10 @@ def payout_events(texts: DataFrame) -> DataFrame:
         role = F.when(F.lower("header").rlike(pattern), name).otherwise(role)
     wide = cells.withColumn("role", role).groupBy("doc_id", "table_no", "row_no").pivot("role", [h for h, _ in HEADERS]).agg(F.min_by("cell", "col_no"))
     date = lambda c: F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyyMMdd"), F.try_to_date(c, "yyyy/MM/dd"))
-    cash = F.regexp_extract("plan", r"10\s*派\s*([0-9.]+)|per 10:? ([0-9.]+)", 1).try_cast("double")
-    status = F.when(F.lower("status").rlike("实施|implemented"), "implemented").when(F.lower("status").rlike("预案|plan"), "plan").otherwise("none")
+    amount = r"10\s*派\s*([0-9.]+)|per 10:? ([0-9.]+)"
+    cash = F.coalesce(*[F.nullif(F.regexp_extract("plan", amount, k), F.lit("")).try_cast("double") for k in (1, 2)])
+    done, planned = F.lower("status").rlike("实施|implemented"), F.lower("status").rlike("预案|plan")
+    status = F.when(done & ~planned, "implemented").when(planned & ~done, "plan").otherwise("none")
     return wide.select(F.element_at(F.split("doc_id", "\x1f"), 2).alias("section"), date("ex_date").alias("ex_date"), date("announce_date").alias("announce_date"), cash.alias("cash_per_10"), status.alias("status"))
 
 

@@ -25,11 +25,6 @@ def confident(ratio: Column, confidence: Column) -> Column:
 
 def dimension_scores(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """rows with score, of those dimensions that are known, and missing, the names of the others."""
-    parts = [F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(d))) * w, F.lit(0.0)) for d, w in weights.items()]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    # greatest skips nulls, so a missing dimension is put back to 0
     known = F.lit(0.0)
     for d, w in weights.items():
         known = known + F.when(F.col(d).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(d))) * w).otherwise(0.0)
@@ -75,23 +70,58 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1.0).when(c.isNotNull(), 0.0)
 
 
-def event_ratios(evidence: DataFrame) -> DataFrame:
-    return evidence.select("entity", _unit(F.col("relative_strength") + 0.5).alias("strength"), _flag(F.col("industry_excess") > 0).alias("sector"), _flag(F.col("volume_ratio") > 1.05).alias("confirm"))
+def _has_text(c: Column) -> Column:
+    return F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) > 0, 1.0).otherwise(0.0)
 
 
-def swing_ratios(evidence: DataFrame, qualified: DataFrame, validated: DataFrame) -> DataFrame:
-    best = qualified.groupBy("entity").agg(F.max("rank_percentile").alias("rank"))
-    v = F.col("validation")
-    held = validated.select("entity", F.when(v == "CONFIRMED", 1.0).when(v == "NEUTRAL", 0.5).when(v == "CONTRADICTED", 0.0).alias("validation"))
-    half = lambda c: F.when(F.col(c) > 0, 0.5).otherwise(0.0)
-    rows = evidence.select("entity", (half("ret_20d") + half("ret_60d")).alias("trend"), _unit(F.col("volume_ratio") / 2).alias("volume"))
-    return rows.join(best, "entity", "left").join(held, "entity", "left")
+def event_ratios(context: DataFrame) -> DataFrame:
+    """entity and the rule-based dimensions of an event, 0 to 1, null where what they rest on is missing.
+
+    context: entity, stock_1d, sector_1d, benchmark_1d (returns of the day), confirmed
+    (the intent's own flag) and invalidation (its rule).  relative_strength is the
+    stock's return as a share of its sector's where that is positive, else
+    whether it exceeds the sector's.
+    """
+    stock, sector = F.col("stock_1d"), F.col("sector_1d")
+    relative = F.when(stock.isNull() | sector.isNull(), None).when(sector > 0, _unit(F.try_divide(stock, sector))).otherwise(_flag(stock > sector))
+    return context.select(
+        "entity", _flag(sector > F.col("benchmark_1d")).alias("sector_strength"), relative.alias("relative_strength"),
+        _flag(F.col("confirmed")).alias("price_confirmation"), _has_text(F.col("invalidation")).alias("risk_plan"),
+    )
+
 
+def _best(*strategies: str) -> Column:
+    return F.max(F.when(F.col("strategy").isin(*strategies), F.col("rank_percentile")))
 
-def position_ratios(results: DataFrame) -> DataFrame:
-    """quality, growth and value: the best percentile among the strategies that speak for each."""
-    best = lambda *names: F.max(F.when(F.col("strategy").isin(*names), F.col("rank_percentile")))
-    return results.where("rank_percentile is not null").groupBy("entity").agg(best("quality").alias("quality"), best("growth", "garp").alias("growth"), best("value", "garp").alias("value"))
+
+def swing_ratios(evidence: DataFrame, qualified: DataFrame, results: DataFrame, validated: DataFrame, plans: DataFrame) -> DataFrame:
+    """entity and the dimensions of a swing, 0 to 1, null where what they rest on is missing.
+
+    plans: entity, entry, stop, target, confirmed.  Support is the best percentile of
+    a qualification, without any that of a strategy.  A reward of r times
+    the loss counts r / (1 + r).
+    """
+    best = qualified.groupBy("entity").agg(F.max("rank_percentile").alias("_q"))
+    other = results.groupBy("entity").agg(F.max("rank_percentile").alias("_s"))
+    v = F.col("validation")
+    held = validated.select("entity", F.when(v == "CONFIRMED", 1.0).when(v == "NEUTRAL", 0.5).when(v == "CONTRADICTED", 0.0).alias("sector_trend"))
+    above = lambda c: F.when(F.col(c) > 0, 0.5).when(F.col(c).isNotNull(), 0.0)
+    reward, loss = F.col("target") - F.col("entry"), F.col("entry") - F.col("stop")
+    planned = plans.select("entity", F.when((reward > 0) & (loss > 0), reward / (reward + loss)).alias("risk_reward"), _flag(F.col("confirmed")).alias("key_level"))
+    rows = evidence.select("entity", (above("ret_20d") + above("ret_60d")).alias("stock_trend"), _unit(F.col("volume_ratio")).alias("volume_confirmation"), _flag(F.col("relative_strength") > 0).alias("relative_strength"))
+    joined = rows.join(best, "entity", "left").join(other, "entity", "left").join(held, "entity", "left").join(planned, "entity", "left")
+    return joined.withColumn("fundamental_support", F.coalesce("_q", "_s")).drop("_q", "_s")
+
+
+def position_ratios(results: DataFrame, evidence: DataFrame, plans: DataFrame) -> DataFrame:
+    """entity and the rule-based dimensions of a position, 0 to 1: the best percentile of the strategies that speak for each, the long trend and the plan.
+
+    plans: entity, invalidation.  An entity without any percentile or plan has nulls there.
+    """
+    known = results.where("rank_percentile is not null")
+    best = known.groupBy("entity").agg(_best("quality").alias("financial_quality"), _best("growth", "garp").alias("earnings_growth"), _best("value", "garp").alias("valuation"))
+    trend = evidence.select("entity", _flag(F.col("ret_60d") > 0).alias("long_term_trend"))
+    return trend.join(best, "entity", "left").join(plans.select("entity", _has_text(F.col("invalidation")).alias("execution")), "entity", "left")
 
 
 def integrity(executions: DataFrame) -> DataFrame:

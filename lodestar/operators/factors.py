@@ -136,10 +136,11 @@ def valuation_factors(valuations: DataFrame, entities: DataFrame, as_of: str) ->
 def dividend_yield(dividends: DataFrame, bars: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     """Cash of a year over the last close, in percent.
 
-    No events: NOT_APPLICABLE; no positive close: NULL; none in the year: 0.
+    No events: NOT_APPLICABLE; no positive close: NULL; none in the year: 0.  The
+    year's first day, days before as_of, belongs to it.
     """
     day = F.lit(as_of).cast("date")
-    counts = (F.col("status") == "implemented") & (F.col("announce_date") <= day) & (F.col("ex_date") > F.date_sub(day, days)) & (F.col("ex_date") <= day) & (F.col("cash_per_10") > 0)
+    counts = (F.col("status") == "implemented") & (F.col("announce_date") <= day) & (F.col("ex_date") >= F.date_sub(day, days)) & (F.col("ex_date") <= day) & (F.col("cash_per_10") > 0)
     cash = dividends.groupBy("entity").agg(F.coalesce(exact_sum(F.when(counts, F.col("cash_per_10"))), F.lit(0.0)).alias("cash"))
     close = visible(bars, as_of, "trade_date").groupBy("entity").agg(F.max_by("close", "trade_date").alias("close"))
     status = F.when(F.col("cash").isNull(), NOT_APPLICABLE).when(F.col("close").isNull() | (F.col("close") <= 0), NULL).otherwise(VALUE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.tables import settle
 from lodestar.functions.columns import VALUE, visible
 
 #: Rules in the order in which failures are reported.
@@ -45,8 +46,8 @@ def traded(bars: DataFrame, as_of: str) -> DataFrame:
 
 
 def first_profiles(securities: DataFrame) -> DataFrame:
-    """securities with duplicate: false on the first row of an entity, in the order of name and list date."""
-    order = Window.partitionBy("entity").orderBy("name", "list_date")
+    """securities with duplicate: false on the first row of an entity, in the order of the column position, the row's place in the input, where there is one, then of name and list date."""
+    order = Window.partitionBy("entity").orderBy(*(c for c in ("position", "name", "list_date") if c in securities.columns))
     return securities.withColumn("duplicate", F.row_number().over(order) > 1)
 
 
@@ -71,7 +72,7 @@ def stride(population: DataFrame, every: int, limit: int, key: str = "entity") -
     so no task holds the whole listing.
     """
     ordered = population.select(key).distinct().orderBy(key).withColumn("_p", F.monotonically_increasing_id())
-    ordered = ordered.cache()
+    ordered = settle(ordered, "stride")
     part = F.shiftright("_p", 33)
     counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

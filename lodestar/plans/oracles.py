@@ -58,7 +58,7 @@ STAGES: tuple[tuple[str, str], ...] = (
     ("valuation_panel", "select entity, metric as factor, s as status, case when s = 'VALUE' then value end as raw_value from (select *, case when status = 'VALUE' and value <= 0 and metric in ("
         + ", ".join(repr(n) for n, p in VALUATIONS if p) + ") then 'NOT_APPLICABLE' else status end as s from vs)"),
     ("dy", f"""select t.entity, 'dividend_yield_ttm' as factor, case when c.entity is null then 'NOT_APPLICABLE' when t.close <= 0 then 'NULL' else 'VALUE' end as status, c.cash / 10 / t.close * 100 as raw_value
-        from (select entity, close from tb where rn = 1) t left join (select entity, coalesce(sum(cash_per_10) filter (status = 'implemented' and announce_date <= {DAY} and ex_date > {DAY} - 365 and ex_date <= {DAY} and cash_per_10 > 0), 0) as cash
+        from (select entity, close from tb where rn = 1) t left join (select entity, coalesce(sum(cash_per_10) filter (status = 'implemented' and announce_date <= {DAY} and ex_date >= {DAY} - 365 and ex_date <= {DAY} and cash_per_10 > 0), 0) as cash
         from dividends group by entity) c on c.entity = t.entity"""),
     ("panel", "select * from price_panel union all select * from metric_panel union all select * from valuation_panel union all select * from dy"),
     ("weights", f"select * from ({_values(_weights)}) w(strategy, factor, weight, pos)"),

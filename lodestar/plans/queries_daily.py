@@ -146,10 +146,10 @@ def _(d: Day):
     return rows.select("entity", verdict.alias("verdict"))
 
 
-@register("d4_duplicate_entity", "select entity, name, row_number() over (partition by entity order by name, list_date) > 1 as duplicate from (select entity, name, list_date from securities union all select entity, name || ' B', list_date from securities where entity % 9 = 0)")
+@register("d4_duplicate_entity", "select entity, name, row_number() over (partition by entity order by position) > 1 as duplicate from (select entity, name, entity % 4 as position from securities union all select entity, name || ' B', 2 from securities where entity % 4 <> 2)")
 def _(d: Day):
-    s = d.view("securities").select("entity", "name", "list_date")
-    twice = s.unionByName(s.where("entity % 9 = 0").withColumn("name", F.concat("name", F.lit(" B"))))
+    s = d.view("securities").selectExpr("entity", "name", "list_date", "entity % 4 as position")
+    twice = s.unionByName(s.where("entity % 4 <> 2").withColumn("name", F.concat("name", F.lit(" B"))).withColumn("position", F.lit(2)))
     return universe.first_profiles(twice).select("entity", "name", "duplicate")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.functions import tables
 from lodestar.operators import blocks, decisions, validate
@@ -77,21 +78,60 @@ def _(d: Day):
     return _context(d).select("entity", "published", F.round("ret_20d", 6).alias("ret_20d"), F.round("best", 6).alias("best"))
 
 
-@register("m4_event_scores", "select entity, round(greatest(0, least(1, 0.5 + relative_strength)), 6) as strength, case when industry_excess > 0 then 1.0 when industry_excess is not null then 0.0 end as sector, case when volume_ratio > 1.05 then 1.0 when volume_ratio is not null then 0.0 end as confirm from ev")
+_two = "(select entity, max(close) filter (rn = 1) as entry, max(close) filter (rn = 2) as before, max(volume) filter (rn = 1) as volume from tb group by entity)"
+#: What the intents say; the sign and size of their plans follow from the bars.
+_plan = f"(select entity, entry, before, entry * 0.96 as stop, entry + (entry - before) as target, case when entity % 5 <> 0 then volume > 25 end as confirmed, case entity % 3 when 0 then 'close below' when 1 then '  ' end as invalidation from {_two})"
+
+
+def _plans(d: Day) -> DataFrame:
+    last = F.slice(F.array_sort(F.collect_list(F.struct("trade_date", "close", "volume"))), -2, 2)
+    seen = d.view("bars").where(F.col("trade_date") <= F.lit(d.as_of).cast("date"))
+    day = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("trade_date")))
+    two = seen.withColumn("rn", day).where("rn <= 2").groupBy("entity").agg(last.alias("b"))
+    entry, before = F.try_element_at("b", F.lit(-1)), F.try_element_at("b", F.lit(-2))
+    rows = two.select("entity", entry["close"].alias("entry"), before["close"].alias("before"), entry["volume"].alias("volume"))
+    k = F.col("entity")
+    return rows.select(
+        "entity", "entry", "before", (F.col("entry") * 0.96).alias("stop"), (F.col("entry") + (F.col("entry") - F.col("before"))).alias("target"),
+        F.when(k % 5 != 0, F.col("volume") > 25).alias("confirmed"), F.when(k % 3 == 0, "close below").when(k % 3 == 1, "  ").alias("invalidation"),
+    )
+
+
+@register("m4_event_scores", f"""select * from (with p as (select *, round(entry / before - 1, 9) as r from {_plan}), g as (select p.*, i.industry_id from p left join industry i using (entity)),
+  s as (select industry_id, round(avg(cast(r as decimal(18, 9))), 6) as sector from g where r is not null and industry_id is not null group by 1), b as (select round(avg(cast(r as decimal(18, 9))), 6) as bench from p)
+  select entity, case when sector > bench then 1.0 when sector is not null then 0.0 end as sector_strength,
+    round(case when r is null or sector is null then null when sector > 0 then case when r / sector > 1 then 1 when r / sector < 0 then 0 else r / sector end when r > sector then 1 else 0 end, 6) as relative_strength,
+    case when confirmed then 1.0 when not confirmed then 0.0 end as price_confirmation, case when trim(coalesce(invalidation, '')) <> '' then 1.0 else 0.0 end as risk_plan
+  from g left join s using (industry_id) cross join b)""")
 def _(d: Day):
-    return decisions.event_ratios(d.evidence).select("entity", F.round("strength", 6).alias("strength"), "sector", "confirm")
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,9)")), 6).cast("double")
+    day = _plans(d).withColumn("stock_1d", F.round(F.col("entry") / F.col("before") - 1, 9)).join(d.view("industry").select("entity", "industry_id"), "entity", "left")
+    sectors = day.where("stock_1d is not null").groupBy("industry_id").agg(mean("stock_1d").alias("sector_1d"))
+    rows = day.join(sectors, "industry_id", "left").crossJoin(F.broadcast(day.agg(mean("stock_1d").alias("benchmark_1d"))))
+    return decisions.event_ratios(rows).withColumn("relative_strength", F.round("relative_strength", 6))
+
+
+_flagged = "case when {0} > 0 then 1.0 when {0} is not null then 0.0 end"
 
 
-@register("m5_swing_scores", "select ev.entity, round(m.best, 6) as rank, case va.validation when 'CONFIRMED' then 1.0 when 'NEUTRAL' then 0.5 when 'CONTRADICTED' then 0.0 end as validation, round((case when ev.ret_20d > 0 then 0.5 else 0 end) + (case when ev.ret_60d > 0 then 0.5 else 0 end), 6) as trend, round(greatest(0, least(1, ev.volume_ratio / 2)), 6) as volume from ev left join (select entity, max(rank_percentile) as best from qual group by entity) m using (entity) left join va using (entity)")
+@register("m5_swing_scores", f"""select ev.entity, round(coalesce(q.best, r.best), 6) as fundamental_support, case va.validation when 'CONFIRMED' then 1.0 when 'NEUTRAL' then 0.5 when 'CONTRADICTED' then 0.0 end as sector_trend,
+    ({_flagged.format('ev.ret_20d')} + {_flagged.format('ev.ret_60d')}) / 2 as stock_trend, case when confirmed then 1.0 when not confirmed then 0.0 end as key_level,
+    round(case when ev.volume_ratio > 1 then 1 when ev.volume_ratio < 0 then 0 else ev.volume_ratio end, 6) as volume_confirmation, {_flagged.format('ev.relative_strength')} as relative_strength,
+    round(case when target > entry and entry > stop then (target - entry) / (entry - stop) / (1 + (target - entry) / (entry - stop)) end, 6) as risk_reward
+  from ev left join (select entity, max(rank_percentile) as best from qual group by entity) q using (entity) left join (select entity, max(rank_percentile) as best from res group by entity) r using (entity)
+    left join va using (entity) left join {_plan} p using (entity)""")
 def _(d: Day):
-    out = decisions.swing_ratios(d.evidence, d.qualified, d.validated)
-    return out.select("entity", F.round("rank", 6).alias("rank"), "validation", "trend", F.round("volume", 6).alias("volume"))
+    out = decisions.swing_ratios(d.evidence, d.qualified, d.results, d.validated, _plans(d))
+    return out.withColumns({c: F.round(c, 6) for c in ("fundamental_support", "volume_confirmation", "risk_reward")})
 
 
-@register("m6_position_scores", "select entity, round(max(rank_percentile) filter (strategy = 'quality'), 6) as quality, round(max(rank_percentile) filter (strategy in ('growth', 'garp')), 6) as growth, round(max(rank_percentile) filter (strategy in ('value', 'garp')), 6) as value from res where rank_percentile is not null group by entity")
+@register("m6_position_scores", f"""select ev.entity, {_flagged.format('ev.ret_60d')} as long_term_trend, round(financial_quality, 6) as financial_quality, round(earnings_growth, 6) as earnings_growth, round(valuation, 6) as valuation,
+    case when p.entity is null then null when trim(coalesce(invalidation, '')) <> '' then 1.0 else 0.0 end as execution
+  from ev left join (select entity, max(rank_percentile) filter (strategy = 'quality') as financial_quality, max(rank_percentile) filter (strategy in ('growth', 'garp')) as earnings_growth,
+    max(rank_percentile) filter (strategy in ('value', 'garp')) as valuation from res where rank_percentile is not null group by entity) b using (entity) left join {_plan} p using (entity)""")
 def _(d: Day):
-    out = decisions.position_ratios(d.results)
-    return out.select("entity", *[F.round(c, 6).alias(c) for c in ("quality", "growth", "value")])
+    out = decisions.position_ratios(d.results, d.evidence, _plans(d))
+    return out.withColumns({c: F.round(c, 6) for c in ("financial_quality", "earnings_growth", "valuation")})
 
 
 @register("m12_integrity_rules", "select rule, count(*) as n from (select unnest(list_filter([case when (o_orderkey % 2 = 0) = (o_orderkey % 3 = 0) then 'ONE_OF_PLAN_AND_OVERRIDE' end, case when o_orderkey % 3 = 0 and o_totalprice > 100000 then 'CAP' end, case when o_orderkey % 3 = 0 and o_orderstatus = 'F' then 'NOT_ACKNOWLEDGED' end], lambda x: x is not null)) as rule from orders) group by rule")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lodestar.functions.columns import fail_if_any
+from lodestar.functions.tables import replace
 
 
 def write_typed(df: DataFrame, path: str, schema: str, compression: str = "zstd") -> None:
     """df cast to schema, as Parquet under path; what was there is replaced when all of it is written. A cell that can't be cast raises."""
     kind: StructType = _parse_datatype_string(schema)
-    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields]).write.mode("overwrite").option("compression", compression).parquet(path)
+    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields])
+    replace(df.sparkSession, path, lambda new: typed.write.option("compression", compression).parquet(new))
 
 
 def read_snapshot(spark: SparkSession, folder: str, kind: str, as_of: str, schema: str) -> DataFrame:
@@ -26,7 +28,8 @@ def read_snapshot(spark: SparkSession, folder: str, kind: str, as_of: str, schem
 
 def write_lines(df: DataFrame, path: str, keys: list[str]) -> None:
     """JSON lines in order of keys over all files; the same rows give the same lines."""
-    df.select(*sorted(df.columns)).orderBy(*keys).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    ordered = df.select(*sorted(df.columns)).orderBy(*keys)
+    replace(df.sparkSession, path, lambda new: ordered.write.option("ignoreNullFields", "false").json(new))
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.tables import replace, settle
+
 
 def scan(spark: SparkSession, path: str, entities: list | None = None, start: str | None = None, end: str | None = None, *, key: str = "entity", day: str = "trade_date") -> DataFrame:
     """A Parquet table with optional filters, which reach the scan. A filter on a column that is not there raises."""
@@ -23,7 +25,8 @@ def scan(spark: SparkSession, path: str, entities: list | None = None, start: st
 def raw_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Text cells of a CSV, and the lines whose width is not the header's."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path).cache()
+    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    df = settle(df, "raw-csv")
     return df.where("_corrupt is null").drop("_corrupt"), df.where("_corrupt is not null").select("_corrupt")
 
 
@@ -125,7 +128,7 @@ def write_snapshot(df: DataFrame, folder: str, kind: str, as_of: str) -> str:
         if fingerprint(spark.read.parquet(path + "/data")).first().digest != fingerprint(df).first().digest:
             raise ValueError(f"a different snapshot of {kind} at {as_of} is there")
         return "same"
-    df.write.mode("overwrite").parquet(path + "/data")
+    replace(spark, path + "/data", df.write.parquet)
     return "written"
 
 

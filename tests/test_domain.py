@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import classify, fail_if_any, nearest_rank, percentile
-from lodestar.operators import candidates, decisions, factors, gates, lifecycle, market, normalize, qualify, scoring
+from lodestar.operators import blocks, candidates, decisions, factors, gates, lifecycle, market, normalize, qualify, scoring
 from lodestar.sources import landing
 
 AS_OF = "2020-12-31"
@@ -76,6 +76,25 @@ def test_dividend_states(spark):
     assert [(out[e,].status, out[e,].raw_value) for e in (1, 2, 3)] == [("VALUE", 2.0), ("VALUE", 0.0), ("NOT_APPLICABLE", None)]
 
 
+@pytest.mark.parametrize("day, want", [("2001-01-01", 1.0), ("2000-12-31", 0.0), ("2002-01-01", 1.0), ("2002-01-02", 0.0)])
+def test_the_years_first_day_counts(spark, day, want):
+    dividends = spark.createDataFrame([(1, day, "2000-01-01", 2.0, "implemented")], "entity long, ex_date string, announce_date string, cash_per_10 double, status string").withColumns({c: F.col(c).cast("date") for c in ("ex_date", "announce_date")})
+    bars = spark.createDataFrame([(1, "2001-12-31", 20.0)], "entity long, trade_date string, close double").withColumn("trade_date", F.col("trade_date").cast("date"))
+    assert factors.dividend_yield(dividends, bars, "2002-01-01").first().raw_value == pytest.approx(want)
+
+
+def test_event_strength_against_its_sector(spark):
+    cases = [(1, 0.02, 0.04, 0.01, True, "x", 1.0, 0.5, 1.0, 1.0), (2, 0.02, -0.01, 0.0, False, " ", 0.0, 1.0, 0.0, 0.0), (3, -0.02, -0.01, None, None, None, None, 0.0, None, 0.0), (4, None, 0.1, 0.0, True, "x", 1.0, None, 1.0, 1.0), (5, 0.5, 0.1, 0.2, True, "x", 0.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame([c[:6] for c in cases], "entity long, stock_1d double, sector_1d double, benchmark_1d double, confirmed boolean, invalidation string")
+    assert sorted(map(tuple, decisions.event_ratios(df).collect())) == [(c[0], *c[6:]) for c in cases]
+
+
+def test_payouts_in_english_and_of_both_kinds(spark):
+    text = "# E1\n| 公告日 | 分红方案 | 进度 | 除权日 |\n|---|---|---|---|\n| 2001-01-01 | per 10: 1.5 | implemented | 20010201 |\n| 2001-01-01 | 10派2元 | 实施预案 | 20010301 |\n"
+    found = {str(r.ex_date): (r.cash_per_10, r.status) for r in blocks.payout_events(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert found == {"2001-02-01": (1.5, "implemented"), "2001-03-01": (2.0, "none")}
+
+
 def test_percentile_averages_ties(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 2.0, 5.0)], "g string, v double")
     assert sorted(r.p for r in df.select(percentile(F.col("v"), "g").alias("p")).collect()) == [0.25, 0.625, 0.625, 1.0]

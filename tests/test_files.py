@@ -16,6 +16,16 @@ def test_inventory_and_mapping(spark, tmp_path):
             files.read_mapping(spark, str(tmp_path / "bad.csv"))
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    files.write_typed(spark.createDataFrame([("1",)], "a string"), path, "a int")
+    with pytest.raises(Exception):
+        files.write_typed(spark.createDataFrame([("x",)], "a string"), path, "a int")
+    assert [r.a for r in spark.read.parquet(path).collect()] == [1]
+    files.write_typed(spark.createDataFrame([("2",)], "a string"), path, "a int")
+    assert [r.a for r in spark.read.parquet(path).collect()] == [2]
+
+
 def test_strict_series(spark):
     df = spark.createDataFrame([(1, "2020-01-02", "2.5"), (1, "2020-01-01", "1"), (1, "2021-01-01", "9"), (2, "x", "y")], "entity long, trade_date string, close string")
     assert [r.close for r in files.strict_series(df, 1, "2020-12-31").collect()] == [1.0, 2.5]
