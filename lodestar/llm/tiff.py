@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.rows import map_rows
 
 #: Width of a stored image, rows of a page and of a strip; tiles of LZW pages.
-WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 16, (192, 64)
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 16, (192, 16)
 
 #: Bytes of a page that is read, at most, and of what one stored byte can stand for in any coding; a page beyond either gives a row with an error.
 MOST_BYTES, MOST_RATIO = 1 << 30, 2048
