@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the dimensions of each profile, of 100 in sum.
-PROFILES = {"EVENT": (("strength", 30.0), ("sector", 20.0), ("confirm", 30.0), ("plan", 20.0)), "SWING": (("strength", 25.0), ("sector", 15.0), ("confirm", 25.0), ("plan", 35.0))}
-GO, MAYBE = 80.0, 70.0
+PROFILES = {
+    "EVENT": {"catalyst_quality": 20.0, "expectation_gap": 20.0, "directness": 15.0, "sector_strength": 15.0, "relative_strength": 15.0, "price_confirmation": 10.0, "risk_plan": 5.0},
+    "SWING": {"fundamental_support": 15.0, "sector_trend": 15.0, "stock_trend": 20.0, "key_level": 20.0, "volume_confirmation": 10.0, "relative_strength": 10.0, "risk_reward": 10.0},
+    "POSITION": {"industry_trend": 20.0, "competitiveness": 20.0, "financial_quality": 15.0, "earnings_growth": 15.0, "valuation": 15.0, "long_term_trend": 5.0, "risk_resilience": 5.0, "execution": 5.0},
+}
+#: What a profile needs besides its dimensions, the profiles that heed a veto, and the limits.
+NEEDS = {"EVENT": ("stock_1d", "sector_1d", "benchmark_1d", "confirmed"), "SWING": ("target",), "POSITION": ()}
+ALL, SHORT, EVENT = ("EVENT", "SWING", "POSITION"), ("EVENT", "SWING"), ("EVENT",)
+GO, MAYBE, FOMO = 80.0, 70.0, 8
 
 
 def risk_columns(intents: DataFrame) -> DataFrame:
@@ -37,12 +44,77 @@ def vetoes(checks: dict[str, tuple[str, Column]]) -> tuple[Column, Column]:
     return names("HARD"), names("CONDITIONAL")
 
 
+def veto_checks() -> dict[str, tuple[str, Column]]:
+    """The nine vetoes over rows of profile, invalidation, nav, quantity, validation, signal, action, losing, new_confirmation, sector_1d, stock_1d, confirmed, fomo and priced_in.
+
+    Each holds only for the profiles that heed it.  A missing number or flag never
+    makes a veto, but for a confirmation, which must be there.  A fomo outside 0 to 10 raises.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    fomo = F.when(~F.col("fomo").between(0, 10), F.raise_error(F.lit("fomo must be within 0 and 10")).cast("int")).otherwise(F.col("fomo"))
+    rules = {
+        "NO_INVALIDATION": ("HARD", ALL, blank("invalidation")),
+        "NO_RISK_BUDGET": ("HARD", ALL, (F.col("nav") <= 0) | (F.col("quantity") <= 0)),
+        "UPSTREAM_MARKET_CONTRADICTED": ("HARD", ALL, F.col("validation") == "CONTRADICTED"),
+        "UPSTREAM_BREAKDOWN": ("HARD", ALL, F.col("signal") == "BREAKDOWN"),
+        "AVERAGING_DOWN_WITHOUT_SIGNAL": ("HARD", ALL, (F.col("action") == "ADD") & F.col("losing") & blank("new_confirmation")),
+        "RELATIVE_WEAKNESS": ("CONDITIONAL", EVENT, (F.col("sector_1d") > 0) & (F.col("stock_1d") <= 0)),
+        "NO_PRICE_CONFIRMATION": ("CONDITIONAL", SHORT, ~F.coalesce(F.col("confirmed"), F.lit(False))),
+        "EXTREME_FOMO": ("CONDITIONAL", ALL, fomo >= FOMO),
+        "EXPECTATION_ALREADY_PRICED": ("CONDITIONAL", EVENT, F.col("priced_in")),
+    }
+    return {code: (kind, F.col("profile").isin(*heeding) & test) for code, (kind, heeding, test) in rules.items()}
+
+
 def decide(score: Column, hard: Column, conditional: Column, missing: Column) -> Column:
-    """NO_TRADE on a hard veto, WAIT where something is missing or conditional, else by score."""
-    return (
-        F.when(F.size(hard) > 0, "NO_TRADE").when(F.size(missing) > 0, "WAIT")
-        .when(score >= GO, F.when(F.size(conditional) > 0, "WAIT").otherwise("TRADE")).when(score >= MAYBE, "WAIT").otherwise("NO_TRADE")
-    )
+    """NO_TRADE on a hard veto; WAIT where something is missing or conditional, at any score; else by score."""
+    return F.when(F.size(hard) > 0, "NO_TRADE").when((F.size(missing) > 0) | (F.size(conditional) > 0), "WAIT").when(score >= GO, "PASS").when(score >= MAYBE, "WAIT").otherwise("NO_TRADE")
+
+
+def _total(dimensions: Column) -> Column:
+    return F.round(F.aggregate(dimensions, F.lit(0.0), lambda s, x: s + x["weight"] * x["ratio"]), 6)
+
+
+def _by_profile(make) -> Column:
+    """make(name, weights) of the row's profile; another profile raises."""
+    chain = None
+    for name, weights in PROFILES.items():
+        chain = (F if chain is None else chain).when(F.col("profile") == name, make(name, weights))
+    return chain.otherwise(F.raise_error(F.concat(F.lit("no such profile: "), F.coalesce("profile", F.lit("null")))))
+
+
+def evaluate(rows: DataFrame) -> DataFrame:
+    """rows with dimensions (name, weight, ratio of those known), score, missing, hard, conditional, decision and triggers.
+
+    rows: profile, a column for each dimension of any profile, the columns of NEEDS
+    and those of veto_checks.  What is missing is named in order: dimensions, then needs.
+    """
+    part = lambda d, w: F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), F.lit(w).alias("weight"), _unit(F.col(d)).alias("ratio")))
+    absent = lambda names: [F.when(F.col(c).isNull(), F.lit(c)) for c in names]
+    held = rows.withColumn("dimensions", _by_profile(lambda _, weights: F.array_compact(F.array(*[part(d, w) for d, w in weights.items()]))))
+    held = held.withColumn("missing", _by_profile(lambda name, weights: F.array_compact(F.array(*absent(sorted(weights)), *absent(NEEDS[name])))))
+    hard, conditional = vetoes(veto_checks())
+    held = held.withColumns({"score": _total(F.col("dimensions")), "hard": hard, "conditional": conditional})
+    held = held.withColumn("decision", decide(*(F.col(c) for c in ("score", "hard", "conditional", "missing"))))
+    steps = F.concat(F.transform("missing", lambda m: F.concat(F.lit("complete "), m)), F.transform("conditional", lambda c: F.concat(F.lit("lift "), c)))
+    waits = F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("market conditions change")))
+    return held.withColumn("triggers", F.when(F.col("decision") == "WAIT", waits).otherwise(F.array().cast("array<string>")))
+
+
+def replay(stored: DataFrame, profiles: dict[str, dict[str, float]]) -> DataFrame:
+    """Stored evaluations decided again by other weights, from nothing but what they hold; a dimension without a new weight keeps its own.
+
+    Below the limit for waiting it is NO_TRADE whatever is missing; what is missing,
+    conditional or below the limit for passing makes it WAIT.
+    """
+    weights = F.create_map(*[x for p, ws in profiles.items() for x in (F.lit(p), F.create_map(*[y for d, w in ws.items() for y in (F.lit(d), F.lit(w))]))])
+    again = stored.withColumn("_w", weights[F.col("profile")])
+    again = again.withColumn("dimensions", F.transform("dimensions", lambda x: F.struct(x["dimension"].alias("dimension"), F.coalesce(F.try_element_at("_w", x["dimension"]), x["weight"]).alias("weight"), x["ratio"].alias("ratio")))).drop("_w")
+    again = again.withColumn("score", _total(F.col("dimensions")))
+    open_ = (F.size("conditional") > 0) | (F.size("missing") > 0) | (F.col("score") < GO)
+    decision = F.when((F.size("hard") > 0) | (F.col("score") < MAYBE), "NO_TRADE").when(open_, "WAIT").otherwise("PASS")
+    again = again.withColumn("decision", decision)
+    return again.withColumn("triggers", F.when((F.col("decision") == "WAIT") & (F.size("triggers") == 0), F.array(F.lit("verify the stored evidence again"))).otherwise(F.col("triggers")))
 
 
 def discipline(executions: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -11,23 +11,52 @@ RESERVED = ("error",)
 TERMINAL = ("SUCCESS", "FAILED", "BLOCKED")
 
 
+def _accepted(events: DataFrame) -> DataFrame:
+    """entity and at_0, at_1, ..: struct(order, ts) of the event that entered each state of the path, null if none did.
+
+    A state is entered by the first event after the one before it, in the order of
+    recording, that is not earlier than that one.  So each is a minimum, combined before the shuffle.
+    """
+    found = events.select("entity").distinct()
+    for n, state in enumerate(PATH):
+        rows = events.where(F.col("state") == state)
+        if n:
+            last = F.col(f"at_{n - 1}")
+            rows = rows.join(found.select("entity", f"at_{n - 1}"), "entity").where((F.col("order") > last["order"]) & (F.col("ts") >= last["ts"]))
+        found = found.join(rows.groupBy("entity").agg(F.min(F.struct("order", "ts")).alias(f"at_{n}")), "entity", "left")
+    return found
+
+
 def transitions(events: DataFrame) -> DataFrame:
-    """entity, ts, state, before, verdict: each event against the one before it."""
-    order = Window.partitionBy("entity").orderBy("ts", "event_id")
-    rows = events.withColumn("before", F.lag("state").over(order))
-    place = lambda c: F.array_position(F.array(*[F.lit(s) for s in PATH]), F.col(c))
-    verdict = F.when(F.col("state").isin(*RESERVED), "RESERVED").when(F.col("before").isNull(), F.when(place("state") == 1, "ACCEPTED").otherwise("NOT_FIRST"))
-    verdict = verdict.when(F.col("before").isin(*RESERVED), "AFTER_RESERVED").when(place("state") == place("before") + 1, "ACCEPTED").otherwise("NOT_NEXT")
-    return rows.select("entity", "event_id", "ts", "state", "before", verdict.alias("verdict"))
+    """entity, event_id, ts, state, held, verdict, refusal: each event, in the order of its id, against the state held then.
+
+    A refused event changes nothing.  held is null before the first state.  Rules in
+    order: earlier than the last change; a reserved state; the end of the path; not the next state.
+    """
+    rows = events.withColumn("order", F.col("event_id"))
+    joined = rows.join(_accepted(rows), "entity")
+    entered = F.array_compact(F.array(*[F.when(F.col(f"at_{n}.order") < F.col("order"), F.struct(F.lit(s).alias("state"), F.col(f"at_{n}.ts").alias("ts"))) for n, s in enumerate(PATH)]))
+    joined = joined.withColumn("_steps", F.size(entered)).withColumn("_last", F.try_element_at(entered, F.lit(-1)))
+    path = F.array(*[F.lit(s) for s in PATH])
+    following, held = F.get(path, F.col("_steps")), F.col("_last.state")
+    verdict = (
+        F.when(F.col("ts") < F.col("_last.ts"), "BACKWARDS").when(F.col("state").isin(*RESERVED), "RESERVED").when(F.col("_steps") == len(PATH), "AT_END")
+        .when(F.col("state") == following, "ACCEPTED").when(F.col("_steps") == 0, "NOT_FIRST").otherwise("NOT_NEXT")
+    )
+    told = F.concat(F.col("entity").cast("string"), F.lit(" cannot move to "), F.coalesce("state", F.lit("nothing")), F.lit(": "))
+    why = (
+        F.when(F.col("verdict") == "BACKWARDS", F.lit("its last change is later")).when(F.col("verdict") == "RESERVED", F.lit("a reserved state"))
+        .when(F.col("verdict") == "AT_END", F.concat(held, F.lit(" ends the path"))).otherwise(F.concat(F.lit("only "), following, F.lit(" follows "), F.coalesce(held, F.lit("nothing"))))
+    )
+    judged = joined.withColumn("verdict", verdict)
+    return judged.select("entity", "event_id", "ts", "state", held.alias("held"), "verdict", F.when(F.col("verdict") != "ACCEPTED", F.concat(told, why)).alias("refusal"))
 
 
 def fold_states(events: DataFrame) -> DataFrame:
-    """entity, state, steps: the state after all events that were the next on the path from the state then held; others change nothing."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "state")))
-    path = F.array(*[F.lit(s) for s in PATH])
-    step = lambda held, e: F.when(F.array_position(path, e["state"]) == held + 1, held + 1).otherwise(held)
-    folded = events.groupBy("entity").agg(F.aggregate(ordered, F.lit(0).cast("bigint"), step).alias("steps"))
-    return folded.select("entity", F.get(path, (F.col("steps") - 1).cast("int")).alias("state"), "steps")
+    """entity, state, steps: the state after all events, in order of time, that were the next on the path from the state then held; others change nothing."""
+    found = _accepted(events.withColumn("order", F.struct("ts", "event_id")))
+    steps = sum((F.col(f"at_{n}").isNotNull().cast("bigint") for n in range(len(PATH))), F.lit(0).cast("bigint"))
+    return found.select("entity", F.get(F.array(*[F.lit(s) for s in PATH]), (steps - 1).cast("int")).alias("state"), steps.alias("steps"))
 
 
 def run_violations(log: DataFrame) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import VALUE, nearest_rank
+from lodestar.functions.columns import VALUE, nearest_rank, visible
+from lodestar.operators.market import signal
 
 TOP = 0.90
 
 
 def distribution(panel: DataFrame, fractions: dict[str, float]) -> DataFrame:
-    """factor, n_value, n_null, a column for each fraction, least, most."""
+    """factor, n_value, n_null, n_stale, n_error, a column for each fraction, least, most."""
     held = panel.where(F.col("status") == VALUE)
-    counts = panel.groupBy("factor").agg(F.count_if(F.col("status") == VALUE).alias("n_value"), F.count_if(F.col("status") == "NULL").alias("n_null"), F.min("raw_value").alias("least"), F.max("raw_value").alias("most"))
+    counts = panel.groupBy("factor").agg(F.count_if(F.col("status") == VALUE).alias("n_value"), *[F.count_if(F.col("status") == s).alias(c) for s, c in (("NULL", "n_null"), ("STALE", "n_stale"), ("SOURCE_ERROR", "n_error"))], F.min("raw_value").alias("least"), F.max("raw_value").alias("most"))
     return counts.join(nearest_rank(held, ["factor"], "raw_value", fractions), "factor", "left")
 
 
@@ -30,6 +31,11 @@ def boundary_samples(results: DataFrame, n: int = 5, cut: float = TOP) -> DataFr
     return picked[0].unionByName(picked[1]).unionByName(picked[2]).groupBy("strategy", "entity").agg(F.min("segment").alias("segment"))
 
 
+def with_values(samples: DataFrame, panel: DataFrame, weights: DataFrame) -> DataFrame:
+    """samples with a row for each factor of their strategy: factor, status, raw_value."""
+    return samples.join(F.broadcast(weights.select("strategy", "factor")), "strategy").join(panel.select("entity", "factor", "status", "raw_value"), ["entity", "factor"], "left")
+
+
 def score_quantiles(results: DataFrame) -> DataFrame:
     """strategy, least, p25, median, p75, most: the score at place floor(n * f)."""
     group = Window.partitionBy("strategy")
@@ -82,7 +88,7 @@ def mapping_coverage(members: DataFrame, mapping: DataFrame, full: bool = False)
 
 def population(listing: DataFrame, prefiltered: DataFrame, members: DataFrame) -> DataFrame:
     a, b, c = listing.agg(F.count("*").alias("listed")), prefiltered.agg(F.count_if(F.size("failed") == 0).alias("prefiltered")), members.agg(F.count("*").alias("researched"))
-    return a.join(F.broadcast(b)).join(F.broadcast(c))  # three single rows
+    return a.join(F.broadcast(b)).join(F.broadcast(c)).withColumn("ratio", F.try_divide("researched", "listed"))  # three single rows
 
 
 def field_coverage(latest: DataFrame, members: DataFrame) -> DataFrame:
@@ -102,20 +108,43 @@ def scoreable(panel: DataFrame, weights: DataFrame) -> DataFrame:
     return each.groupBy("strategy").agg(F.count_if(F.col("b") == 0).alias("scoreable"), F.sum("b").alias("blocking"))
 
 
-def dividend_coverage(dividends: DataFrame) -> DataFrame:
+def dividend_coverage(dividends: DataFrame, members: DataFrame, as_of: str) -> DataFrame:
+    """One row over the members' events known at as_of: entities with any, with cash paid, with ex and record dates, events, plans, implemented, and members without any."""
     done = F.col("status") == "implemented"
-    return dividends.agg(F.count_distinct("entity").alias("with_any"), F.count_distinct(F.when(done & (F.col("cash_per_10") > 0), F.col("entity"))).alias("with_cash"), F.count_if(F.col("status") == "plan").alias("plans"), F.count_if(done).alias("implemented"))
-
-
-def signal_readiness(qualified: DataFrame, panel: DataFrame, names: list[str]) -> DataFrame:
-    """strategy, factor, n, missing, least, most over qualified entities."""
+    each = visible(dividends, as_of, "announce_date").groupBy("entity").agg(
+        F.count("*").alias("events"), F.count_if(F.col("status") == "plan").alias("plans"), F.count_if(done).alias("implemented"),
+        F.count_if(done & (F.col("cash_per_10") > 0)).alias("cash"), F.count("ex_date").alias("ex"), F.count("record_date").alias("record"),
+    )
+    some = lambda c, name: F.count_if(F.col(c) > 0).alias(name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    asked = members.select("entity").distinct().join(each, "entity", "left")
+    return asked.agg(
+        F.count("*").alias("members"), some("events", "with_any"), some("cash", "with_cash"), some("ex", "with_ex_date"), some("record", "with_record_date"),
+        total("events"), total("plans"), total("implemented"), F.count_if(F.col("events").isNull()).alias("missing"),
+    )
+
+
+def without_dividends(dividends: DataFrame, members: DataFrame, as_of: str) -> DataFrame:
+    """entity of each member without an event known at as_of."""
+    return members.select("entity").distinct().join(visible(dividends, as_of, "announce_date"), "entity", "left_anti")
+
+
+def signal_readiness(qualified: DataFrame, panel: DataFrame, names: list[str], fractions: dict[str, float]) -> DataFrame:
+    """strategy, factor, n, missing, a column for each fraction, least, most, lowest, highest over qualified entities; the last two are entities, the first of equal ones."""
     asked = qualified.where("qualified").select("strategy", "entity", F.explode(F.array(*[F.lit(n) for n in names])).alias("factor"))
     held = panel.where(F.col("status") == VALUE).select("entity", "factor", "raw_value")
-    return asked.join(held, ["entity", "factor"], "left").groupBy("strategy", "factor").agg(F.count("raw_value").alias("n"), F.count_if(F.col("raw_value").isNull()).alias("missing"), F.min("raw_value").alias("least"), F.max("raw_value").alias("most"))
+    rows = asked.join(held, ["entity", "factor"], "left")
+    v = F.col("raw_value")
+    first = lambda key, name: F.min(F.when(v.isNotNull(), F.struct(key.alias("k"), "entity")))["entity"].alias(name)
+    ends = rows.groupBy("strategy", "factor").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("least"), F.max(v).alias("most"), first(v, "lowest"), first(-v, "highest"))
+    return ends.join(nearest_rank(rows, ["strategy", "factor"], "raw_value", fractions), ["strategy", "factor"], "left")
 
 
-def impact(qualified: DataFrame) -> DataFrame:
-    return qualified.groupBy("strategy").agg(F.count("*").alias("ranked"), F.count_if("percentile_pass").alias("top"), F.count_if("absolute_pass").alias("absolute"), F.count_if("qualified").alias("both"))
+def impact(results: DataFrame, qualified: DataFrame) -> DataFrame:
+    """strategy, eligible, ranked, top, absolute, both, for every strategy with results."""
+    known = results.groupBy("strategy").agg(F.count_if("eligible").alias("eligible"), F.count("rank_percentile").alias("ranked"))
+    passed = qualified.groupBy("strategy").agg(F.count_if("percentile_pass").alias("top"), F.count_if("absolute_pass").alias("absolute"), F.count_if("qualified").alias("both"))
+    return known.join(passed, "strategy", "left").fillna(0, ["top", "absolute", "both"])
 
 
 def failure_reasons(qualified: DataFrame) -> DataFrame:
@@ -132,10 +161,17 @@ def closest(qualified: DataFrame, panel: DataFrame, limits: DataFrame, n: int) -
     return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
-def evidence_impact(qualified: DataFrame, evidence: DataFrame) -> DataFrame:
+def evidence_impact(qualified: DataFrame, evidence: DataFrame, mapped: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """strategy, qualified, complete, no_industry, no_benchmark, no_volume, and the counts of three signals, over qualified entities.
+
+    mapped: entities with an industry.  benchmark: one row with ret.
+    """
+    known = benchmark.agg((F.count("ret") > 0).alias("_bench"))
     rows = qualified.where("qualified").select("strategy", "entity").join(evidence, "entity", "left")
-    five = ["ret_20d", "avg_amount_20d", "industry_excess", "relative_strength", "volume_ratio"]
-    whole = F.lit(True)
-    for c in five:
-        whole = whole & F.col(c).isNotNull()
-    return rows.groupBy("strategy").agg(F.count("*").alias("qualified"), F.count_if(whole).alias("complete"), F.count_if(F.col("industry_excess").isNull()).alias("no_industry"), F.count_if(F.col("volume_ratio").isNull()).alias("no_volume"))
+    rows = rows.join(mapped.select("entity", F.lit(True).alias("_mapped")).distinct(), "entity", "left").join(F.broadcast(known))
+    whole = F.col("ret_20d").isNotNull() & F.col("proximity_52w_high").isNotNull() & F.col("volume_ratio").isNotNull() & F.col("_mapped").isNotNull() & F.col("_bench")
+    told = rows.withColumn("_signal", signal(F.col("strategy")))
+    return told.groupBy("strategy").agg(
+        F.count("*").alias("qualified"), F.count_if(whole).alias("complete"), F.count_if(F.col("_mapped").isNull()).alias("no_industry"), F.count_if(~F.col("_bench")).alias("no_benchmark"),
+        F.count_if(F.col("volume_ratio").isNull()).alias("no_volume"), *[F.count_if(F.col("_signal") == s).alias(s.lower()) for s in ("BREAKDOWN", "TREND_WEAKEN", "NO_SIGNAL")],
+    )

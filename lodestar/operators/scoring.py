@@ -54,7 +54,7 @@ def score(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("strate
     oriented = values.withColumn("v", F.col("raw_value") * F.signum("weight"))
     ranked = oriented.withColumn("percentile", percentile(F.col("v"), *keys, "factor"))
     share = F.abs("weight").cast("decimal(18,6)") * F.col("percentile").cast("decimal(18,12)")
-    item = F.struct("pos", "factor", "percentile", "weight", (F.abs("weight") * F.col("percentile")).alias("weighted"))
+    item = F.struct("pos", "factor", "percentile", "weight", (F.abs("weight") * F.col("percentile")).alias("weighted"), "raw_value")
     blended = ranked.groupBy(*keys, "entity").agg((F.sum(share).cast("double") / F.sum(F.abs("weight"))).alias("blend"), F.array_sort(F.collect_list(item)).alias("contributions"))
     alone = F.count("*").over(Window.partitionBy(*keys))
     placed = blended.withColumn("n", alone).withColumn("rank_percentile", F.when(F.col("n") > 1, percentile(F.col("blend"), *keys)))
@@ -69,9 +69,10 @@ def results(panel: DataFrame, weights: DataFrame, members: DataFrame) -> DataFra
 
 
 def explain(scored: DataFrame) -> DataFrame:
-    """strategy, entity, line: the contributions as text, in order."""
-    lines = F.transform("contributions", lambda c: F.format_string("%s p=%.4f w=%.2f", c["factor"], c["percentile"], c["weight"]))
-    return scored.select("strategy", "entity", F.posexplode(lines).alias("pos", "line"))
+    """strategy, entity, pos, line, raw_value, percentile: the contributions as text, in order, and the numbers behind them."""
+    each = scored.select("strategy", "entity", F.posexplode("contributions").alias("pos", "c"))
+    line = F.format_string("%s p=%.4f w=%.2f", "c.factor", "c.percentile", "c.weight")
+    return each.select("strategy", "entity", "pos", line.alias("line"), "c.raw_value", "c.percentile")
 
 
 def preview(results: DataFrame) -> DataFrame:

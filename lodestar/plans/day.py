@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from __future__ import annotations
-
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +48,11 @@ class Day:
 
     @cached_property
     def price_panel(self) -> DataFrame:
-        return factors.price_factors(self.bars, self.as_of)
+        return settle(factors.price_factors(self.bars, self.as_of), "price_panel")
 
     @cached_property
     def universe(self) -> DataFrame:
-        return universe.build(self.view("securities"), self.bars, self.price_panel, self.as_of, floor=FLOOR, **LIMITS)
+        return settle(universe.build(self.view("securities"), self.bars, self.price_panel, self.as_of, floor=FLOOR, **LIMITS), "universe")
 
     @cached_property
     def members(self) -> DataFrame:

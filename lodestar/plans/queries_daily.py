@@ -176,10 +176,10 @@ def _(d: Day):
 
 # scores
 
-@register("f1_percentile_rank", "select entity, round((rank() over (order by raw_value) + (count(*) over (partition by raw_value) - 1) / 2) / count(*) over (), 6) as percentile from (select entity, round(raw_value, 1) as raw_value from panel where factor = 'pb' and status = 'VALUE')")
+@register("f1_percentile_rank", "select factor, entity, round((rank() over (partition by factor order by raw_value) + (count(*) over (partition by factor, raw_value) - 1) / 2) / count(*) over (partition by factor), 6) as percentile from (select factor, entity, floor(raw_value * 4) as raw_value from panel where status = 'VALUE')")
 def _(d: Day):
-    rows = d.panel.where("factor = 'pb' and status = 'VALUE'").select("factor", "entity", F.round("raw_value", 1).alias("v"))
-    return rows.select("entity", r6(scoring.percentile(F.col("v"), "factor"), "percentile"))
+    rows = d.panel.where("status = 'VALUE'").select("factor", "entity", F.floor(F.col("raw_value") * 4).alias("v"))
+    return rows.select("factor", "entity", r6(scoring.percentile(F.col("v"), "factor"), "percentile"))
 
 
 @register("f2_eligibility", "select entity, strategy, eligible, reasons from el")
@@ -225,10 +225,11 @@ def _(d: Day):
     return d.results.select("strategy", "entity", "eligible", joined("reasons"), r6("score"), r6("rank_percentile"))
 
 
-@register("f11_explain", "select strategy, entity, pos, factor || ' w=' || printf('%.2f', weight) as line from sv")
+@register("f11_explain", "select strategy, entity, sv.pos, factor || ' w=' || printf('%.2f', weight) as line, round(pct, 6) as percentile, round(p.raw_value, 6) as raw_value from sv join inside p using (entity, factor)")
 def _(d: Day):
     lines = scoring.explain(d.scored)
-    return lines.select("strategy", "entity", "pos", F.regexp_replace("line", r" p=[0-9.]+", "").alias("line"))
+    # the last digit of a percentile in the text may be rounded otherwise, so the number itself is compared
+    return lines.select("strategy", "entity", "pos", F.regexp_replace("line", r" p=[0-9.]+", "").alias("line"), r6("percentile"), r6("raw_value"))
 
 
 @register("f12_preview", "select strategy, entity, round(score, 6) as score from res order by score desc nulls last, strategy, entity limit 50")
@@ -421,20 +422,30 @@ def _(d: Day):
     return discovery.qualified_screen(d.qualified, "quality", 20).select("entity", r6("rank_percentile"))
 
 
+_impact = "select r.strategy, r.eligible, r.ranked, coalesce(q.top, 0) as top, coalesce(q.absolute, 0) as absolute, coalesce(q.both, 0) as both from (select strategy, count(*) filter (eligible) as eligible, count(rank_percentile) as ranked from res group by strategy) r left join (select strategy, count(*) filter (percentile_pass) as top, count(*) filter (absolute_pass) as absolute, count(*) filter (qualified) as both from qual group by strategy) q using (strategy)"
+
+
+@register("k3_qualified_coverage", f"select *, case when \"both\" = 0 then strategy || ': none qualified of ' || eligible || ' eligible and ' || ranked || ' ranked; check coverage and quality' end as warning from ({_impact})")
+def _(d: Day):
+    return discovery.qualified_coverage(d.results, d.qualified)
+
+
 @register("k4_candidate_screen", "select position, entity, primary_strategy, strategies, round(best, 4) as best from chosen order by position limit 10")
 def _(d: Day):
     return discovery.candidate_screen(d.candidates, 10).select(F.col("position").cast("long"), "entity", "primary_strategy", "strategies", "best")
 
 
-@register("k5_today_overview", "select 'primary' as kind, primary_strategy as key, count(*) as n from chosen group by 2 union all select 'validation', validation, count(*) from chosen group by 2 union all select 'signal', signal, count(*) from chosen group by 2")
+@register("k5_today_overview", "select 'primary' as kind, primary_strategy as key, count(*) as n from chosen group by 2 union all select 'validation', validation, count(*) from chosen group by 2 union all select 'signal', signal, count(*) from chosen group by 2 union all select 'total', 'candidates', count(*) from chosen union all select 'top', cast(entity as varchar), position from chosen where position <= 5 union all select 'regime', case when breadth > 0.55 then case when trend > 1 then 'BULL' else 'RANGE_UP' end when breadth >= 0.4 then 'RANGE' when trend < 1 then 'BEAR' else 'RANGE_DOWN' end, 1 from br, be")
 def _(d: Day):
-    return discovery.overview(d.candidates)
+    return discovery.overview(d.candidates, d.regime, 5)
 
 
-@register("k6_entity_profile", "select u.entity, len(u.failed) = 0 as included, (select count(*) from panel p where p.entity = u.entity and status = 'VALUE') as n_values, (select string_agg(strategy, ',' order by strategy) from qual q where q.entity = u.entity and qualified) as qualified_for, case when c.entity is not null then 'published' else 'not_selected' end as status from uni u left join chosen c using (entity)")
+@register("k6_entity_profile", "select u.entity, len(u.failed) = 0 as included, (select count(*) from panel p where p.entity = u.entity and status = 'VALUE') as n_values, (select string_agg(factor || ':' || status, ',' order by factor) from panel p where p.entity = u.entity) as factors, (select string_agg(strategy, ',' order by strategy) from res r where r.entity = u.entity and rank_percentile is not null) as ranked_in, t.state as tracking, (select string_agg(strategy, ',' order by strategy) from qual q where q.entity = u.entity and qualified) as qualified_for, case when c.entity is not null then 'published' else 'not_selected' end as status from uni u left join chosen c using (entity) left join (select user_id as entity, arg_max(event_type, event_id) as state from events group by user_id) t using (entity)")
 def _(d: Day):
-    p = discovery.profiles(d.universe, d.panel, d.qualified, d.candidates)
-    return p.select("entity", "included", "n_values", joined("qualified_for"), "status")
+    tracked = d.view("events").groupBy(F.col("user_id").alias("entity")).agg(F.max_by("event_type", "event_id").alias("state"))
+    p = discovery.profiles(d.universe, d.panel, d.results, d.qualified, d.candidates, tracked)
+    p = p.withColumn("factors", F.transform("factors", lambda f: F.concat(f["factor"], F.lit(":"), f["status"])))
+    return p.select("entity", "included", "n_values", joined("factors"), joined("ranked_in"), joined("qualified_for"), "status", "tracking")
 
 
 @register("k7_factor_lookup", "select factor, status, round(case when status = 'VALUE' then raw_value end, 6) as raw_value from panel where entity = 7")
@@ -442,6 +453,16 @@ def _(d: Day):
     return d.panel.where("entity = 7").select("factor", "status", r6("raw_value"))
 
 
+@register("k7_universe_lookup", "select entity, case when failed <> [] then array_to_string(failed, ',') end as failed, len(failed) = 0 as included from uni where entity = 7")
+def _(d: Day):
+    return d.universe.where("entity = 7").select("entity", joined("failed"), "included")
+
+
+@register("k7_snapshot_dates", "select distinct trade_date as day, trade_date = (select max(trade_date) from bars) as latest from bars")
+def _(d: Day):
+    return discovery.dates(d.view("bars"), "trade_date")
+
+
 @register("k8_low_coverage", "select strategy, scored / total < 0.7 as low from (select strategy, count(score) as scored, count(*) as total from res group by strategy)")
 def _(d: Day):
     return discovery.low_coverage(discovery.coverage(d.results), 0.7)
@@ -452,19 +473,20 @@ def _(d: Day):
 _fracs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
-@register("l1_factor_distribution", "select factor, count(*) filter (status = 'VALUE') as n_value, count(*) filter (status = 'NULL') as n_null, " + ", ".join(f"round(max(raw_value) filter (status = 'VALUE' and rn = cast(round_even({f} * (n - 1), 0) as int)), 6) as {k}" for k, f in _fracs.items())
+@register("l1_factor_distribution", "select factor, count(*) filter (status = 'VALUE') as n_value, count(*) filter (status = 'NULL') as n_null, count(*) filter (status = 'STALE') as n_stale, count(*) filter (status = 'SOURCE_ERROR') as n_error, " + ", ".join(f"round(max(raw_value) filter (status = 'VALUE' and rn = cast(round_even({f} * (n - 1), 0) as int)), 6) as {k}" for k, f in _fracs.items())
     + ", round(min(raw_value) filter (status = 'VALUE'), 6) as least, round(max(raw_value) filter (status = 'VALUE'), 6) as most from (select *, row_number() over (partition by factor, status order by raw_value) - 1 as rn, count(*) over (partition by factor, status) as n from panel) group by factor")
 def _(d: Day):
     out = reports.distribution(d.panel, _fracs)
-    return out.select("factor", "n_value", "n_null", *[r6(k) for k in [*_fracs, "least", "most"]])
+    return out.select("factor", "n_value", "n_null", "n_stale", "n_error", *[r6(k) for k in [*_fracs, "least", "most"]])
 
 
-@register("l2_boundary_samples", """select strategy, entity, min(segment) as segment from (
+@register("l2_boundary_samples", """select strategy, entity, segment, w.factor, p.status, round(case when p.status = 'VALUE' then p.raw_value end, 6) as raw_value from (select strategy, entity, min(segment) as segment from (
   select strategy, entity, 'a_top' as segment from (select *, row_number() over (partition by strategy order by rank_percentile desc, entity) as k from res where rank_percentile is not null) where k <= 5 union all
   select strategy, entity, 'b_above' from (select *, row_number() over (partition by strategy order by rank_percentile, entity) as k from res where rank_percentile >= 0.9) where k <= 5 union all
-  select strategy, entity, 'c_below' from (select *, row_number() over (partition by strategy order by rank_percentile desc, entity) as k from res where rank_percentile < 0.9) where k <= 5) group by strategy, entity""")
+  select strategy, entity, 'c_below' from (select *, row_number() over (partition by strategy order by rank_percentile desc, entity) as k from res where rank_percentile < 0.9) where k <= 5) group by strategy, entity) join weights w using (strategy) left join panel p using (entity, factor)""")
 def _(d: Day):
-    return reports.boundary_samples(d.results)
+    found = reports.with_values(reports.boundary_samples(d.results), d.panel, d.weights)
+    return found.select("strategy", "entity", "segment", "factor", "status", r6("raw_value"))
 
 
 @register("l3_score_quantiles", "select strategy, " + ", ".join(f"round(max(score) filter (rn = least(n - 1, cast(floor(n * {f}) as int))), 6) as {k}" for k, f in {"least": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "most": 1.0}.items()) + " from (select strategy, score, row_number() over (partition by strategy order by score) - 1 as rn, count(*) over (partition by strategy) as n from res where score is not null) group by strategy")
@@ -478,9 +500,9 @@ def _(d: Day):
     return reports.boundary_line(d.results).select("strategy", r6("rank_percentile"), r6("score"), "entity")
 
 
-@register("l5_industry_distribution", "select r.strategy, coalesce(i.industry_name, 'UNKNOWN') as industry_name, count(*) as n from res r left join industry i on i.entity = r.entity and i.entity % 11 <> 0 where r.rank_percentile >= 0.9 group by 1, 2")
+@register("l5_industry_distribution", "select r.strategy, coalesce(i.industry_name, 'UNKNOWN') as industry_name, count(*) as n from res r left join industry i on i.entity = r.entity and i.industry_id <> 3 where r.rank_percentile >= 0.9 group by 1, 2")
 def _(d: Day):
-    return reports.industry_distribution(d.results, d.view("industry").where("entity % 11 <> 0"))
+    return reports.industry_distribution(d.results, d.view("industry").withColumn("industry_name", F.when(F.col("industry_id") != 3, F.col("industry_name"))))
 
 
 @register("l6_strategy_overlap", "select a.strategy as first, b.strategy as second, count(t.entity) as n from (select distinct strategy from weights) a join (select distinct strategy from weights) b on a.strategy < b.strategy left join (select x.strategy as s, y.strategy as u, x.entity from res x join res y using (entity) where x.rank_percentile >= 0.9 and y.rank_percentile >= 0.9) t on t.s = a.strategy and t.u = b.strategy group by 1, 2")
@@ -508,9 +530,9 @@ def _(d: Day):
     return reports.mapping_coverage(d.members, d.view("industry").where("entity % 7 <> 0")).select("total", "missing", r6("ratio"))
 
 
-@register("l11_population_record", f"select (select count(*) from securities) as listed, (select count(*) from ({_listing}) where failed = '') as prefiltered, (select count(*) from members) as researched")
+@register("l11_population_record", f"select (select count(*) from securities) as listed, (select count(*) from ({_listing}) where failed = '') as prefiltered, (select count(*) from members) as researched, round((select count(*) from members) / (select count(*) from securities), 6) as ratio")
 def _(d: Day):
-    return reports.population(d.view("securities"), universe.prefilter(d.view("securities"), AS_OF, **LIMITS), d.members)
+    return reports.population(d.view("securities"), universe.prefilter(d.view("securities"), AS_OF, **LIMITS), d.members).withColumn("ratio", F.round("ratio", 6))
 
 
 @register("l12_valuation_field_coverage", "select metric, count(*) as n, round(count(*) / (select count(*) from members), 6) as ratio from lv join members using (entity) where value is not null group by metric")
@@ -530,20 +552,39 @@ def _(d: Day):
     return reports.scoreable(d.panel.join(d.members, "entity", "left_semi"), d.weights.where(F.col("factor").isin(*names)))
 
 
-@register("l15_dividend_coverage", "select count(distinct entity) as with_any, count(distinct entity) filter (status = 'implemented' and cash_per_10 > 0) as with_cash, count(*) filter (status = 'plan') as plans, count(*) filter (status = 'implemented') as implemented from dividends")
+_paid = "(select d.* from dividends d join members using (entity) where d.announce_date <= date '2001-06-30')"
+
+
+@register("l15_dividend_coverage", f"select (select count(*) from members) as members, count(distinct entity) as with_any, count(distinct entity) filter (status = 'implemented' and cash_per_10 > 0) as with_cash, count(distinct entity) filter (ex_date is not null) as with_ex_date, count(distinct entity) filter (record_date is not null) as with_record_date, count(*) as events, count(*) filter (status = 'plan') as plans, count(*) filter (status = 'implemented') as implemented, (select count(*) from members) - count(distinct entity) as missing from {_paid}")
+def _(d: Day):
+    return reports.dividend_coverage(d.view("dividends"), d.members, AS_OF)
+
+
+@register("l15_without_dividends", "select s_suppkey as entity from supplier where s_suppkey not in (select entity from dividends where announce_date <= date '1994-12-31')")
+def _(d: Day):
+    return reports.without_dividends(d.view("dividends"), d.view("securities"), "1994-12-31")
+
+
+_technical = ("ret_20d", "ret_60d", "proximity_52w_high", "avg_amount_20d")
+_tenths = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+@register("l16_signal_readiness", "select strategy, factor, count(raw_value) as n, count(*) - count(raw_value) as missing, " + ", ".join(f"round(max(raw_value) filter (rn = cast(round_even({f} * (k - 1), 0) as int)), 6) as {c}" for c, f in _tenths.items())
+    + ", round(min(raw_value), 6) as least, round(max(raw_value), 6) as most, max(entity) filter (up = 1 and raw_value is not null) as lowest, max(entity) filter (down = 1 and raw_value is not null) as highest from (select *, row_number() over (w order by raw_value nulls last, entity) - 1 as rn, row_number() over (w order by raw_value nulls last, entity) as up, row_number() over (w order by raw_value desc nulls last, entity) as down, count(raw_value) over w as k from (select q.strategy, q.entity, f.factor, case when p.status = 'VALUE' then p.raw_value end as raw_value from qual q cross join (values "
+    + ", ".join(f"('{t}')" for t in _technical) + ") f(factor) left join panel p on p.entity = q.entity and p.factor = f.factor where q.qualified) window w as (partition by strategy, factor)) group by strategy, factor")
 def _(d: Day):
-    return reports.dividend_coverage(d.view("dividends"))
+    out = reports.signal_readiness(d.qualified, d.panel, list(_technical), _tenths)
+    return out.select("strategy", "factor", "n", "missing", *[r6(c) for c in (*_tenths, "least", "most")], "lowest", "highest")
 
 
-@register("l16_signal_readiness", "select strategy, factor, count(raw_value) as n, count(*) - count(raw_value) as missing, round(min(raw_value), 6) as least, round(max(raw_value), 6) as most from (select q.strategy, f.factor, case when p.status = 'VALUE' then p.raw_value end as raw_value from qual q cross join (values ('ret_20d'), ('ret_60d'), ('proximity_52w_high')) f(factor) left join panel p on p.entity = q.entity and p.factor = f.factor where q.qualified) group by strategy, factor")
+@register("l17_qualification_impact", _impact)
 def _(d: Day):
-    out = reports.signal_readiness(d.qualified, d.panel, ["ret_20d", "ret_60d", "proximity_52w_high"])
-    return out.select("strategy", "factor", "n", "missing", r6("least"), r6("most"))
+    return reports.impact(d.results, d.qualified)
 
 
-@register("l17_qualification_impact", "select strategy, count(*) as ranked, count(*) filter (percentile_pass) as top, count(*) filter (absolute_pass) as absolute, count(*) filter (qualified) as both from qual group by strategy")
+@register("l17_qualified_list", "select strategy, entity, round(rank_percentile, 6) as rank_percentile from qual where qualified")
 def _(d: Day):
-    return reports.impact(d.qualified)
+    return d.qualified.where("qualified").select("strategy", "entity", r6("rank_percentile"))
 
 
 @register("l17_failure_reasons", "select strategy, reason, count(*) as n from (select strategy, unnest(string_split(risks, ',')) as reason from qual where risks is not null) group by strategy, reason")
@@ -558,6 +599,12 @@ def _(d: Day):
     return reports.closest(d.qualified, d.panel, d.limits, 5).select("strategy", "entity", "absolute_pass", r6("distance"))
 
 
-@register("l19_evidence_impact", "select q.strategy, count(*) as qualified, count(*) filter (e.ret_20d is not null and e.avg_amount_20d is not null and e.industry_excess is not null and e.relative_strength is not null and e.volume_ratio is not null) as complete, count(*) filter (e.industry_excess is null) as no_industry, count(*) filter (e.volume_ratio is null) as no_volume from qual q left join ev e using (entity) where q.qualified group by q.strategy")
+@register("l19_evidence_impact", """select q.strategy, count(*) as qualified, count(*) filter (ret_20d is not null and proximity_52w_high is not null and volume_ratio is not null and industry_id <> 3 and b.ret is not null) as complete,
+    count(*) filter (industry_id is null or industry_id = 3) as no_industry, count(*) filter (b.ret is null) as no_benchmark, count(*) filter (volume_ratio is null) as no_volume, count(*) filter (ret_20d < -0.15) as breakdown,
+    count(*) filter (not coalesce(ret_20d < -0.15, false) and ret_60d > 0.15 and ret_20d < -0.05) as trend_weaken,
+    count(*) filter (not coalesce(ret_20d < -0.15, false) and not coalesce(ret_60d > 0.15 and ret_20d < -0.05, false) and not coalesce(q.strategy = 'momentum' and (proximity_52w_high >= 0.95 or (ret_60d >= 0.2 and ret_20d between 0 and 0.05) or (ret_20d >= 0.064 and proximity_52w_high between 0.85 and 0.95)), false)
+      and not coalesce(q.strategy in ('value', 'dividend') and ((dividend_yield_ttm >= 3 and ret_20d > -0.05) or ret_20d between -0.05 and 0.02), false)) as no_signal
+  from qual q left join ev e using (entity) left join industry i using (entity) cross join be b where q.qualified group by q.strategy""")
 def _(d: Day):
-    return reports.evidence_impact(d.qualified, d.evidence)
+    mapped = market.membership(d.view("industry"), AS_OF).where("industry_id <> 3")
+    return reports.evidence_impact(d.qualified, d.evidence, mapped, market.benchmark_evidence(d.view("benchmark_bars"), AS_OF))

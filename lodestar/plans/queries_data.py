@@ -35,9 +35,9 @@ def _(d: Day):
     return landing.scan(d.spark, f"{d.sf_dir}/orders.parquet", [1, 2, 3, 5, 8, 13], "1996-01-01", "2000-12-31", key="o_custkey", day="o_orderdate").select("o_orderkey", "o_totalprice")
 
 
-@register("a2_single_value", "select case when min(trade_date) = max(trade_date) then min(trade_date) end as trade_date from bars where trade_date = date '1999-05-05'")
+@register("a2_single_value", "select max(trade_date) as trade_date from (select distinct date '2001-06-30' as trade_date from panel)")
 def _(d: Day):
-    return landing.single_value(d.view("bars").where("trade_date = date '1999-05-05'"), "trade_date")
+    return landing.single_value(d.panel.withColumnRenamed("as_of", "trade_date"), "trade_date")
 
 
 @register("a4_latest_partition", "select entity, close from bars where trade_date = (select max(trade_date) from bars where trade_date <= date '2001-06-30')")
@@ -45,22 +45,21 @@ def _(d: Day):
     return landing.latest_partition(d.view("bars"), d.as_of, "trade_date").select("entity", "close")
 
 
-_old, _new = "select entity, trade_date, close from bars where entity % 2 = 0", "select entity, trade_date, close * 2 as close, volume from bars where trade_date >= date '2001-01-01' and entity % 3 = 0"
+_old, _new = "select entity, trade_date, close from bars", "select entity, trade_date, close * 2 as close, volume from bars where trade_date >= date '2001-01-01'"
 
 
 @register("a5_keyed_merge", f"select entity, trade_date, round(close, 4) as close, cast(null as double) as volume from ({_old}) o where not exists (select 1 from ({_new}) n where n.entity = o.entity and n.trade_date = o.trade_date) union all select entity, trade_date, round(close, 4), volume from ({_new})")
 def _(d: Day):
     bars = d.view("bars")
-    old = bars.where("entity % 2 = 0").select("entity", "trade_date", "close")
-    new = bars.where("trade_date >= date '2001-01-01' and entity % 3 = 0").select("entity", "trade_date", (F.col("close") * 2).alias("close"), "volume")
+    old = bars.select("entity", "trade_date", "close")
+    new = bars.where("trade_date >= date '2001-01-01'").select("entity", "trade_date", (F.col("close") * 2).alias("close"), "volume")
     return landing.merge(old, new, ["entity", "trade_date"]).withColumn("close", F.round("close", 4))
 
 
-@register("a6_fold_payloads", "select entity, close, cast(null as double) as amount, 1 as part from bars where trade_date = date '2000-03-01' union all select entity, null, amount, 2 from bars where trade_date = date '2000-03-02'")
+@register("a6_fold_payloads", "select entity, trade_date, close, cast(null as double) as amount, 1 as part from bars union all select entity, trade_date, null, amount, 2 from bars")
 def _(d: Day):
     bars = d.view("bars")
-    a = bars.where("trade_date = date '2000-03-01'").select("entity", "close", F.lit(1).alias("part"))
-    return landing.fold([a, bars.where("trade_date = date '2000-03-02'").select("entity", "amount", F.lit(2).alias("part"))])
+    return landing.fold([bars.select("entity", "trade_date", c, F.lit(n).alias("part")) for n, c in ((1, "close"), (2, "amount"))])
 
 
 @register("a7_block_identity_merge", "select identity, arg_max(value, struct_pack(b := batch, s := seq)) as value, min(struct_pack(b := batch, s := seq)).s as first_seq from (select event_type || ':' || cast(user_id as varchar) as identity, value, cast(event_id % 3 as int) as batch, event_id as seq from events) group by identity")
@@ -197,7 +196,7 @@ def _(d: Day):
     return d.view("supplier").select(F.col("s_suppkey").alias("entity"), normalize.canonical(code).alias("canonical"))
 
 
-_some = "trade_date >= date '2001-06-25' and trade_date <= date '2001-06-30'"
+_some = "trade_date is not null"
 
 
 def _blocks(d: Day) -> DataFrame:
@@ -300,45 +299,70 @@ def _(d: Day):
     return rows.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n"))
 
 
-_dims = "(select id, d / 10.0 as strength, case when t = 3 then null else t / 8.0 end as sector, case when flag = 'A' then 1.0 when flag = 'R' then 0.0 else 0.5 end as confirm, 1.2 as plan, d, t, flag from " + _intent + ")"
+_names = tuple(dict.fromkeys(n for weights in decisions.PROFILES.values() for n in weights))
+#: Ratios below 0, within and above 1, and some missing; n is the dimension's place.
+_ratio = lambda n: f"case when (d + {n} + qty) % 29 = 3 then null when (t + {n}) % 16 = 7 then -0.5 else 0.7 + ((d * {n + 1} + t) % 9) / 20.0 end"
+#: What the intents say besides, on both sides of every veto.
+_context = {
+    "profile": "case l_orderkey % 3 when 0 then 'EVENT' when 1 then 'SWING' else 'POSITION' end", "invalidation": "case when qty % 10 = 1 then '  ' else 'close below' end", "nav": "case when qty = 7 then 0 else 1000000 end",
+    "quantity": "qty - 3", "validation": "case when d = 9 then 'CONTRADICTED' else 'NEUTRAL' end", "signal": "case when t = 8 and d = 1 then 'BREAKDOWN' else 'NO_SIGNAL' end", "action": "case when flag = 'R' then 'ADD' else 'OPEN' end",
+    "losing": "d >= 5", "new_confirmation": "case when t > 2 then 'volume' end", "sector_1d": "case when t <> 5 then (d - 4) / 100.0 end", "stock_1d": "case when d <> 3 then (t - 3) / 100.0 end", "benchmark_1d": "case when qty <> 20 then 0.01 end",
+    "confirmed": "case when qty % 11 <> 5 then qty % 4 <> 1 end", "target": "case when qty % 13 <> 6 then qty end", "fomo": "(d + t) % 11", "priced_in": "t = 4",
+}
+_given = "(select l_orderkey * 10 + l_linenumber as id, " + ", ".join(f"{sql} as {c}" for c, sql in _context.items()) + ", " + ", ".join(f"{_ratio(n)} as {c}" for n, c in enumerate(_names)) + ", d, t from line)"
 
 
-def _dimensions(d: Day) -> DataFrame:
-    rows = _intents(d)
-    return rows.select("id", "d", "t", "flag", (F.col("d") / F.lit(10)).alias("strength"), F.when(F.col("t") != 3, F.col("t") / F.lit(8)).alias("sector"), F.when(F.col("flag") == "A", 1.0).when(F.col("flag") == "R", 0.0).otherwise(0.5).alias("confirm"), F.lit(1.2).alias("plan"))
+def _scored(weights: dict) -> str:
+    """A sum over the dimensions of each profile, as the oracle has it."""
+    total = lambda ws: " + ".join(f"{w} * greatest(0, least(1, coalesce({c}, 0)))" for c, w in ws.items())
+    return "round(case profile " + " ".join(f"when '{p}' then {total(ws)}" for p, ws in weights.items()) + " end, 6)"
 
 
-@register("m7_dimension_scores", f"select id, round(30 * strength + coalesce(20 * sector, 0) + 30 * confirm + 20, 4) as score, case when sector is null then 'sector' end as missing from {_dims}")
-def _(d: Day):
-    rows = decisions.dimension_scores(_dimensions(d), dict(decisions.PROFILES["EVENT"]))
-    return rows.select("id", F.round("score", 4).alias("score"), F.when(F.size("missing") > 0, F.array_join("missing", ",")).alias("missing"))
+_absent = "case profile " + " ".join(
+    f"when '{p}' then list_filter([" + ", ".join(f"case when {c} is null then '{c}' end" for c in (*sorted(ws), *decisions.NEEDS[p])) + "], lambda x: x is not null)" for p, ws in decisions.PROFILES.items()) + " end"
+_hard = """list_filter([case when trim(invalidation) = '' then 'NO_INVALIDATION' end, case when nav <= 0 or quantity <= 0 then 'NO_RISK_BUDGET' end, case when validation = 'CONTRADICTED' then 'UPSTREAM_MARKET_CONTRADICTED' end,
+  case when signal = 'BREAKDOWN' then 'UPSTREAM_BREAKDOWN' end, case when action = 'ADD' and losing and new_confirmation is null then 'AVERAGING_DOWN_WITHOUT_SIGNAL' end], lambda x: x is not null)"""
+_soft = """list_filter([case when profile = 'EVENT' and sector_1d > 0 and stock_1d <= 0 then 'RELATIVE_WEAKNESS' end, case when profile <> 'POSITION' and confirmed is not true then 'NO_PRICE_CONFIRMATION' end,
+  case when fomo >= 8 then 'EXTREME_FOMO' end, case when profile = 'EVENT' and priced_in then 'EXPECTATION_ALREADY_PRICED' end], lambda x: x is not null)"""
+_judged = f"(select *, case when len(hard) > 0 then 'NO_TRADE' when len(missing) > 0 or len(soft) > 0 then 'WAIT' when score >= 80 then 'PASS' when score >= 70 then 'WAIT' else 'NO_TRADE' end as decision from (select *, {_scored(decisions.PROFILES)} as score, {_absent} as missing, {_hard} as hard, {_soft} as soft from {_given}))"
+
 
+def _evaluated(d: Day) -> DataFrame:
+    rows = d.view("line").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[F.expr(text).alias(c) for c, text in _context.items()], *[F.expr(_ratio(n)).cast("double").alias(c) for n, c in enumerate(_names)])
+    return decisions.evaluate(rows)
 
-def _checks() -> dict:
-    return {"FLAG": ("HARD", (F.col("flag") == "R") & (F.col("d") < 2)), "TAX": ("CONDITIONAL", F.col("t") > 6)}
+
+@register("m7_dimension_scores", f"select id, profile, score, array_to_string(missing, ',') as missing from {_judged}")
+def _(d: Day):
+    return _evaluated(d).select("id", "profile", "score", F.array_join("missing", ",").alias("missing"))
 
 
-@register("m8_veto_rules", f"select case when flag = 'R' and d < 2 then 'FLAG' end as hard, case when t > 6 then 'TAX' end as conditional, count(*) as n from {_dims} group by 1, 2")
+@register("m8_veto_rules", f"select profile, array_to_string(hard, ',') as hard, array_to_string(soft, ',') as conditional, count(*) as n from {_judged} group by 1, 2, 3")
 def _(d: Day):
-    hard, conditional = decisions.vetoes(_checks())
-    return _dimensions(d).select(F.get(hard, F.lit(0)).alias("hard"), F.get(conditional, F.lit(0)).alias("conditional")).groupBy("hard", "conditional").agg(F.count("*").alias("n"))
+    names = [F.array_join(c, ",").alias(c) for c in ("hard", "conditional")]
+    return _evaluated(d).groupBy("profile", *names).agg(F.count("*").alias("n"))
 
 
-@register("m9_decision", f"select decision, count(*) as n from (select case when flag = 'R' and d < 2 then 'NO_TRADE' when sector is null then 'WAIT' when s >= 80 then case when t > 6 then 'WAIT' else 'TRADE' end when s >= 70 then 'WAIT' else 'NO_TRADE' end as decision from (select *, round(30 * strength + coalesce(20 * sector, 0) + 30 * confirm + 20, 6) as s from {_dims})) group by decision")
+@register("m9_decision", f"select id, decision, case when decision <> 'WAIT' then '' when len(missing) + len(soft) = 0 then 'market conditions change' else array_to_string(list_transform(missing, lambda x: 'complete ' || x) || list_transform(soft, lambda x: 'lift ' || x), ',') end as triggers from {_judged}")
 def _(d: Day):
-    rows = decisions.dimension_scores(_dimensions(d), dict(decisions.PROFILES["EVENT"]))
-    hard, conditional = decisions.vetoes(_checks())
-    return rows.select(decisions.decide(F.round("score", 6), hard, conditional, F.col("missing")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
+    return _evaluated(d).select("id", "decision", F.array_join("triggers", ",").alias("triggers"))
 
 
-@register("m10_replay_weights", f"select id, round(25 * strength + coalesce(15 * sector, 0) + 25 * confirm + 35, 4) as score from {_dims}")
+#: Other weights to replay by; a dimension that is not named keeps its own.
+_other = {"EVENT": {"catalyst_quality": 35.0, "expectation_gap": 5.0}, "SWING": {"stock_trend": 30.0, "key_level": 10.0}}
+_again = {p: ws | _other.get(p, {}) for p, ws in decisions.PROFILES.items()}
+
+
+@register("m10_replay_weights", f"select id, score, decision, case when decision = 'WAIT' and was <> 'WAIT' then 'verify the stored evidence again' when was = 'WAIT' then 'kept' else '' end as trigger from (select id, was, score, case when len(hard) > 0 or score < 70 then 'NO_TRADE' when len(soft) > 0 or len(missing) > 0 or score < 80 then 'WAIT' else 'PASS' end as decision from (select * exclude (score, decision), decision as was, {_scored(_again)} as score from {_judged}))")
 def _(d: Day):
-    return decisions.dimension_scores(_dimensions(d), dict(decisions.PROFILES["SWING"])).select("id", F.round("score", 4).alias("score"))
+    stored = _evaluated(d).select("id", "profile", "dimensions", "missing", "hard", "conditional", "triggers", F.col("decision").alias("was"))
+    trigger = F.when(F.col("was") == "WAIT", "kept").otherwise(F.array_join("triggers", ","))
+    return decisions.replay(stored, _other).select("id", "score", "decision", trigger.alias("trigger"))
 
 
-@register("m3_confident_ratio", f"select id, round(strength * (0.5 + 0.5 * t / 8.0), 6) as ratio from {_dims}")
+@register("m3_confident_ratio", f"select id, round(d / 10.0 * (0.5 + 0.5 * t / 8.0), 6) as ratio from {_intent}")
 def _(d: Day):
-    return _dimensions(d).select("id", F.round(decisions.confident(F.col("strength"), F.col("t") / F.lit(8)), 6).alias("ratio"))
+    return _intents(d).select("id", F.round(decisions.confident(F.col("d") / F.lit(10), F.col("t") / F.lit(8)), 6).alias("ratio"))
 
 
 @register("m11_discipline", "select e.overridden, count(*) as n, count(r.pnl) as reviewed, count(*) filter (r.pnl > 0) as wins, round(count(*) filter (r.pnl > 0) / count(r.pnl), 6) as win_rate, round(cast(sum(cast(r.pnl as decimal(24,4))) as double) / count(r.pnl), 4) as mean_pnl from (select o_orderkey as execution_id, o_orderstatus = 'F' as overridden from orders) e left join (select l_orderkey as execution_id, round(sum(cents * (d - 5)) / 10000.0, 2) as pnl from line where l_orderkey % 3 = 0 group by l_orderkey) r using (execution_id) group by e.overridden")
@@ -359,9 +383,16 @@ def _events(d: Day) -> DataFrame:
 _place = lambda c: f"coalesce(list_position(['signup', 'view', 'click', 'purchase'], {c}), 0)"
 
 
-@register("n1_transition_validation", f"select verdict, count(*) as n from (select case when state = 'error' then 'RESERVED' when before is null then case when state = 'signup' then 'ACCEPTED' else 'NOT_FIRST' end when before = 'error' then 'AFTER_RESERVED' when {_place('state')} = {_place('before')} + 1 then 'ACCEPTED' else 'NOT_NEXT' end as verdict from (select event_type as state, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)) group by verdict")
+_step = lambda n, state: f"(select e.*, min(case when state = '{state}'" + (f" and o > a{n - 1}.o and ts >= a{n - 1}.ts" if n else "") + f" then struct_pack(o := o, ts := ts) end) over (partition by entity) as a{n} from {_step(n - 1, _path[n - 1]) if n else '(select user_id as entity, event_id as o, ts, event_type as state from events)'} e)"
+_path = ("signup", "view", "click", "purchase")
+#: The state held before each event and the time of its last change.
+_held = f"(select *, case when a3.o < o then 4 when a2.o < o then 3 when a1.o < o then 2 when a0.o < o then 1 else 0 end as k from {_step(3, 'purchase')})"
+
+
+@register("n1_transition_validation", f"""select o as event_id, ['signup', 'view', 'click', 'purchase'][k] as held, case when ts < [a0, a1, a2, a3][k].ts then 'BACKWARDS' when state = 'error' then 'RESERVED' when k = 4 then 'AT_END'
+    when state = ['signup', 'view', 'click', 'purchase'][k + 1] then 'ACCEPTED' when k = 0 then 'NOT_FIRST' else 'NOT_NEXT' end as verdict from {_held}""")
 def _(d: Day):
-    return lifecycle.transitions(_events(d)).groupBy("verdict").agg(F.count("*").alias("n"))
+    return lifecycle.transitions(_events(d)).select("event_id", "held", "verdict")
 
 
 @register("n2_state_fold", f"select user_id as entity, ['signup', 'view', 'click', 'purchase'][list_reduce(list_prepend(cast(0 as bigint), list(cast({_place('event_type')} as bigint) order by ts, event_id)), lambda s, x: case when x = s + 1 then x else s end)] as state from events group by user_id")

@@ -62,7 +62,7 @@ VIEWS = {
         from bars""",
     "dividends": """
         select entity, trade_date as ex_date, cast(trade_date - interval '20' day as date) as announce_date, case when flag = 'R' then 'plan' else 'implemented' end as status,
-          cast(d as double) as cash_per_10
+          case when t > 2 then cast(trade_date - interval '1' day as date) end as record_date, cast(d as double) as cash_per_10
         from line where d > 0""",
 }
 

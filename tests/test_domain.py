@@ -191,16 +191,45 @@ def test_gates_drop_all_copies(spark):
 def test_transitions(spark):
     states = ["signup", "view", "purchase", "view", "error", "click"]
     events = spark.createDataFrame([(1, n, n, s) for n, s in enumerate(states)], "entity long, event_id long, ts long, state string")
-    assert [r.verdict for r in lifecycle.transitions(events).orderBy("ts").collect()] == ["ACCEPTED", "ACCEPTED", "NOT_NEXT", "NOT_NEXT", "RESERVED", "AFTER_RESERVED"]
+    assert [r.verdict for r in lifecycle.transitions(events).orderBy("ts").collect()] == ["ACCEPTED", "ACCEPTED", "NOT_NEXT", "NOT_NEXT", "RESERVED", "ACCEPTED"]
     assert tuple(lifecycle.fold_states(events).first()) == (1, "click", 3)
 
 
+def test_transitions_keep_time_and_end(spark):
+    told = [(1, 1, 5, "view"), (1, 2, 5, "signup"), (1, 3, 4, "view"), (1, 4, 5, "view"), (1, 5, 6, "view"), (1, 6, 7, "click"), (1, 7, 8, "purchase"), (1, 8, 9, "signup"), (1, 9, 9, None), (2, 1, 1, None)]
+    events = spark.createDataFrame(told, "entity long, event_id long, ts long, state string")
+    out = {(r.entity, r.event_id): r for r in lifecycle.transitions(events).collect()}
+    assert [out[1, n].verdict for n in range(1, 10)] == ["NOT_FIRST", "ACCEPTED", "BACKWARDS", "ACCEPTED", "NOT_NEXT", "ACCEPTED", "ACCEPTED", "AT_END", "AT_END"]
+    assert [out[1, n].held for n in (1, 2, 3, 9)] == [None, None, "signup", "purchase"] and out[2, 1].verdict == "NOT_FIRST"
+    assert out[1, 5].refusal == "1 cannot move to view: only click follows view" and out[1, 4].refusal is None
+    assert lifecycle.transitions(events.limit(0)).count() == 0
+
+
+def test_vetoes_and_replay(spark):
+    dims = sorted({d for ws in decisions.PROFILES.values() for d in ws})
+    base = dict(profile="EVENT", invalidation="x", nav=1.0, quantity=1, validation="NEUTRAL", signal="NO_SIGNAL", action="OPEN", losing=False, new_confirmation=None, sector_1d=0.01, stock_1d=0.01, benchmark_1d=0.0, confirmed=True, target=1.0, fomo=0, priced_in=False)
+    cases = [
+        ({}, 1.0, "PASS", []), ({"fomo": 8}, 1.0, "WAIT", ["lift EXTREME_FOMO"]), ({"fomo": 10}, 0.1, "WAIT", ["lift EXTREME_FOMO"]), ({"priced_in": True, "profile": "SWING"}, 0.75, "WAIT", ["market conditions change"]),
+        ({"confirmed": None, "profile": "POSITION"}, 0.5, "NO_TRADE", []), ({"invalidation": " "}, 1.0, "NO_TRADE", []), ({"action": "ADD", "losing": True, "new_confirmation": "volume"}, 1.0, "PASS", []),
+        ({"confirmed": None}, 1.0, "WAIT", ["complete confirmed", "lift NO_PRICE_CONFIRMATION"]),
+    ]
+    rows = [(n, *{**base, **c}.values(), *[ratio] * len(dims)) for n, (c, ratio, _, _) in enumerate(cases)]
+    kinds = "string string double int string string string boolean string double double double boolean double int boolean".split()
+    df = spark.createDataFrame(rows, ", ".join(["id int", *[f"{c} {k}" for c, k in zip(base, kinds, strict=True)], *[f"{d} double" for d in dims]]))
+    done = decisions.evaluate(df)
+    assert [(r.decision, r.triggers) for r in done.orderBy("id").collect()] == [(c[2], c[3]) for c in cases]
+    again = decisions.replay(done, {"EVENT": {"catalyst_quality": 0.0, "risk_plan": -0.0}}).orderBy("id").collect()
+    assert [(r.score, r.decision) for r in again[:3]] == [(75.0, "WAIT"), (75.0, "WAIT"), (7.5, "NO_TRADE")] and again[0].triggers == ["verify the stored evidence again"]
+    with pytest.raises(Exception, match="fomo"):
+        decisions.evaluate(df.withColumn("fomo", F.lit(11))).collect()
+
+
 def test_decisions(spark):
     rows = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.75, 0.75), (3, 0.1, 0.1), (4, None, 1.0)], "id long, a double, b double")
     scored = decisions.dimension_scores(rows, {"a": 50.0, "b": 50.0})
     none = F.array().cast("array<string>")
     out = {r.id: (r.score, r.d) for r in scored.withColumn("d", decisions.decide(F.col("score"), none, none, F.col("missing"))).collect()}
-    assert out == {1: (100.0, "TRADE"), 2: (75.0, "WAIT"), 3: (10.0, "NO_TRADE"), 4: (50.0, "WAIT")}
+    assert out == {1: (100.0, "PASS"), 2: (75.0, "WAIT"), 3: (10.0, "NO_TRADE"), 4: (50.0, "WAIT")}
 
 
 def test_codes_and_blocks(spark):
