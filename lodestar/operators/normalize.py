@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.columns import classify
 
-#: Words for yes in flag cells.
+#: Words for yes and no in flag cells.
 YES = ("true", "1", "yes", "y", "是")
+NO = ("false", "0", "no", "n", "否")
+#: Columns of a dimension of securities, all as text.
+SECURITY = ("entity", "name", "exchange", "list_date", "is_st", "is_delisting", "suspended_days")
 #: Prefix of a code and suffix of the canonical id.
 EXCHANGES = {"sh": "SH", "sz": "SZ", "bj": "BJ"}
 
@@ -31,7 +34,7 @@ def numbers(raw: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFram
 
 def bars(raw: DataFrame, measures: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Bars of text cells: rows without an entity or an ISO date are rejected; cells that can't be read are null and reported."""
-    day = F.when(F.col("trade_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("trade_date").try_cast("date"))
+    day = iso_date("trade_date")
     bad = F.when(F.coalesce(F.trim("entity"), F.lit("")) == "", "entity_missing").when(day.isNull(), "date_invalid")
     checked = raw.withColumn("_bad", bad)
     typed, failures = numbers(checked.where("_bad is null"), measures)
@@ -39,8 +42,66 @@ def bars(raw: DataFrame, measures: Sequence[str]) -> tuple[DataFrame, DataFrame]
     return typed.withColumn("trade_date", day).drop("_bad"), failures.unionByName(rejected)
 
 
+def iso_date(column: str) -> Column:
+    """A cell as a date, null unless it reads as one of the form 2001-12-31."""
+    cell = F.trim(column)
+    return F.when(cell.rlike(r"^\d{4}-\d{2}-\d{2}$"), cell.try_cast("date"))
+
+
+def _failures(raw: DataFrame, bad: dict[str, Column], reason: str) -> DataFrame:
+    """row, column, cell, reason: a row for each column whose test holds."""
+    items = [F.when(test, F.struct(F.lit(c).alias("column"), F.col(c).alias("cell"), F.lit(reason).alias("reason"))) for c, test in bad.items()]
+    return raw.select("row", F.explode(F.array_compact(F.array(*items))).alias("f")).select("row", "f.*")
+
+
+def _require(raw: DataFrame, columns: Sequence[str]) -> None:
+    if absent := [c for c in columns if c not in raw.columns]:
+        raise ValueError(f"columns are missing: {absent}")
+
+
+def securities(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of a dimension of text cells, and the failures: row, column, cell, reason.
+
+    A row with any cell that can't be read is rejected whole, each such cell reported.
+    An empty or null count of suspended days is a null; an absent column raises.
+    """
+    _require(raw, ("row", *SECURITY))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    days = F.trim("suspended_days")
+    typed = {"list_date": iso_date("list_date"), "is_st": flag(F.col("is_st")), "is_delisting": flag(F.col("is_delisting")), "suspended_days": F.when(days.rlike(r"^[+-]?\d+$"), days.try_cast("int"))}
+    bad = {c: blank(c) if c not in typed else typed[c].isNull() for c in SECURITY}
+    bad["suspended_days"] = ~blank("suspended_days") & typed["suspended_days"].isNull()
+    whole = ~F.greatest(*[test.cast("int") for test in bad.values()]).cast("boolean")
+    rows = raw.where(whole).select("row", *[(typed[c] if c in typed else F.trim(c)).alias(c) for c in SECURITY])
+    return rows, _failures(raw, bad, "unreadable")
+
+
+def statements(raw: DataFrame, metrics: dict[str, tuple[str, str]], as_of: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Observations of text cells known at as_of, a time; failures; one row with the number of rows not yet known; and the metrics' columns that are absent.
+
+    metrics: column to metric and unit.  observations: entity, metric, report_period,
+    announce_date, value, unit.  A row without entity, period or announcement is
+    rejected, each such cell reported; a value that can't be read is reported and null.
+    Cells of rows not yet known are not looked at.
+    """
+    _require(raw, ("row", "entity", "report_period", "announce_date"))
+    there = {c: m for c, m in metrics.items() if c in raw.columns}
+    bad = {"entity": F.trim(F.coalesce(F.col("entity"), F.lit(""))) == "", "report_period": iso_date("report_period").isNull(), "announce_date": iso_date("announce_date").isNull()}
+    # without an entity the dates are not looked at
+    keys = {c: test if c == "entity" else ~bad["entity"] & test for c, test in bad.items()}
+    sound = raw.where(~bad["entity"] & ~bad["report_period"] & ~bad["announce_date"])
+    dated = sound.withColumns({"entity": F.trim("entity"), "report_period": iso_date("report_period"), "announce_date": iso_date("announce_date")})
+    early = available_at(F.col("announce_date")) <= F.lit(as_of).cast("timestamp")
+    typed, failures = numbers(dated.where(early), list(there))
+    items = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"), F.lit(unit).alias("unit")) for c, (m, unit) in there.items()])
+    rows = typed.select("entity", "report_period", "announce_date", F.inline(items))
+    return rows, failures.unionByName(_failures(raw, keys, "unreadable")), dated.agg(F.count_if(~early).alias("pending")), [c for c in metrics if c not in there]
+
+
 def flag(cell: Column) -> Column:
-    return F.lower(F.trim(cell)).isin(*YES)
+    """A cell as true or false, null if it is neither."""
+    plain = F.lower(F.trim(cell))
+    return F.when(plain.isin(*YES), True).when(plain.isin(*NO), False)
 
 
 def canonical(code: Column) -> Column:
@@ -64,7 +125,7 @@ def table_cells(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, table_no, row_no, col_no, cell, header of the Markdown tables within texts.
 
     Lines of | cells | are islands; the first line of an island is its header
-    and a line of dashes is dropped.
+    and a line of dashes is dropped.  A line that is wider or narrower than its header raises.
     """
     lines = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     is_row = F.trim("line").rlike(r"^\|.*\|$")
@@ -75,7 +136,8 @@ def table_cells(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cells = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
     numbered = rows.withColumn("row_no", F.row_number().over(inner) - 1).withColumn("cells", cells)
     heads = numbered.withColumn("head", F.first("cells").over(inner))
-    exploded = heads.where("row_no > 0").select("doc_id", "table_no", "row_no", "head", F.posexplode("cells").alias("col_no", "cell"))
+    fits = F.when(F.size("cells") == F.size("head"), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("not as wide as its header: "), F.col("line"))))
+    exploded = heads.where("row_no > 0").select("doc_id", "table_no", "row_no", "head", F.posexplode(fits).alias("col_no", "cell"))
     return exploded.select("doc_id", "table_no", "row_no", "col_no", F.trim("cell").alias("cell"), F.trim(F.get("head", "col_no")).alias("header"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import fail_if_any
+from lodestar.functions import tables
 from lodestar.operators import decisions, gates, lifecycle, normalize, validate
 from lodestar.plans.day import Day
 from lodestar.plans.oracles import sql
@@ -116,32 +116,53 @@ def _(d: Day):
     return landing.fold([df.select(F.concat(F.col(k).cast("string"), F.lit(f".{x}")).alias("entity"), F.col(n).alias("name"), F.contains(F.col(n), F.lit("7")).alias("is_flagged")) for df, k, n, x in parts])
 
 
-@register("a21_ledger_append", "select o_orderkey as record_id, 'new' as kind from orders where o_orderkey % 10 = 3 union all select o_orderkey, 'conflict' from orders where o_orderkey % 10 = 4")
+@register("a21_ledger_append", "select o_orderkey as record_id, 'new' as kind from orders where o_orderkey % 10 = 3 union all select o_orderkey, 'conflict' from orders where o_orderkey % 10 in (4, 6)")
 def _(d: Day):
     orders = d.view("orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("body"))
-    ledger = orders.where("record_id % 10 <> 3")
-    sent = orders.where("record_id % 10 in (3, 4, 5)").withColumn("body", F.when(F.col("record_id") % 10 == 4, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    new, bad = landing.append_ledger(ledger, sent)
+    k = F.col("record_id") % 10
+    # 3 is new and sent twice, 4 differs from what is held, 5 equals it, 6 is new and sent with two contents
+    sent = orders.where(k.isin(3, 4, 5, 6)).withColumn("body", F.when(k == 4, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    again = orders.where(k.isin(3, 6)).withColumn("body", F.when(k == 6, F.concat("body", F.lit("?"))).otherwise(F.col("body")))
+    new, bad = landing.append_ledger(orders.where(~k.isin(3, 6)), sent.unionByName(again))
     return new.select("record_id", F.lit("new").alias("kind")).unionByName(bad.select("record_id", F.lit("conflict").alias("kind")))
 
 
+@register("a21_history", "select id, trade_date from (select l_orderkey * 10 + l_linenumber as id, entity, trade_date from line) where entity = 7")
+def _(d: Day):
+    rows = d.view("line").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "entity", "trade_date")
+    return landing.history(rows, "entity", 7, "trade_date").select("id", "trade_date")
+
+
+@register("a14_entity_order", "select entity, count(*) as n, min(trade_date) as first from bars where year(trade_date) <> 1997 group by entity")
+def _(d: Day):
+    status = d.spark.range(1995, 2003).select(F.col("id").cast("int").alias("part"), F.when(F.col("id") == 1997, "FAILED").otherwise("SUCCESS").alias("status"))
+    path = tables.fresh_path(d.spark, "compacted")
+    landing.write_compacted(d.view("bars").withColumn("part", F.year("trade_date")), status, path, ["entity", "trade_date"])
+    return d.spark.read.parquet(path).groupBy("entity").agg(F.count("*").alias("n"), F.min("trade_date").alias("first"))
+
+
 @register("a24_freshness", "select 'bars' as dataset, count(*) as n, min(trade_date) as first, max(trade_date) as last, cast(0 as bigint) as unreadable from bars union all select 'documents', count(*), null, null, count(*) from documents")
 def _(d: Day):
     return landing.freshness({"bars": (d.view("bars"), "trade_date"), "documents": (d.view("documents"), "lang")})
 
 
-@register("a26_equivalence", "select 'rows' as check, count(*) as a_value, count(*) filter (entity % 10 <> 0) as b_value, false as same from bars union all select 'duplicate_keys', 0, 0, true union all select 'nulls.close', 0, 0, true union all select 'rows_only_here', count(*) filter (entity % 10 = 0), 0, false from bars")
+_b = "(select * from bars where entity % 10 <> 0)"
+_checks = {"rows": "count(*)", "nulls.entity": "count(*) filter (entity is null)", "nulls.trade_date": "count(*) filter (trade_date is null)", "nulls.close": "count(*) filter (close is null)", "zeros.entity": "count(*) filter (entity = 0)", "zeros.close": "count(*) filter (close = 0)", "duplicate_keys": "count(*) - count(distinct (entity, trade_date))"}
+_both = " union all ".join(f"select '{c}' as check, (select {f} from bars) as a_value, (select {f} from {_b}) as b_value" for c, f in _checks.items())
+
+
+@register("a26_equivalence", f"select *, a_value = b_value as same from ({_both} union all select 'rows_only_here', (select count(*) from bars where entity % 10 = 0), 0)")
 def _(d: Day):
     bars = d.view("bars").select("entity", "trade_date", "close")
-    out = landing.equivalence(bars, bars.where("entity % 10 <> 0"), ["entity", "trade_date"])
-    return out.where(F.col("check").isin("rows", "duplicate_keys", "nulls.close", "rows_only_here"))
+    return landing.equivalence(bars, bars.where("entity % 10 <> 0"), ["entity", "trade_date"])
 
 
-@register("a18_snapshot_fingerprint", "select count(*) as n from panel")
+@register("a18_snapshot_fingerprint", "select count(*) as n, true as order_is_free, false as change_is_free from panel")
 def _(d: Day):
-    a, b = landing.fingerprint(d.panel), landing.fingerprint(d.panel.repartition(7))
-    fail_if_any(a.join(F.broadcast(b.select(F.col("digest").alias("other")))).where("digest <> other"), "the digest depends on the order of rows")
-    return a.select("n")
+    changed = d.panel.withColumn("raw_value", F.when((F.col("entity") == 7) & (F.col("factor") == "pb"), 0.5).otherwise(F.col("raw_value")))
+    a, b, c = (landing.fingerprint(x) for x in (d.panel, d.panel.repartition(7), changed))
+    joined = a.join(F.broadcast(b.select(F.col("digest").alias("b")))).join(F.broadcast(c.select(F.col("digest").alias("c"))))
+    return joined.select("n", (F.col("digest") == F.col("b")).alias("order_is_free"), (F.col("digest") == F.col("c")).alias("change_is_free"))
 
 
 # normalization
@@ -176,6 +197,54 @@ def _(d: Day):
     return d.view("supplier").select(F.col("s_suppkey").alias("entity"), normalize.flag(cell).alias("flag"))
 
 
+#: Cells of a dimension as a source may send them.
+_security = {
+    "entity": "case when s_suppkey % 41 = 0 then '  ' else ' ' || cast(s_suppkey as string) || ' ' end", "name": "case when s_suppkey % 43 = 0 then null else s_name end", "exchange": "'X'", "list_date": "case s_suppkey % 9 when 0 then '2001-02-30' when 1 then '20010203' else '2001-02-03' end",
+    "is_st": "case s_suppkey % 5 when 0 then ' TRUE ' when 1 then '是' when 2 then 'no' when 3 then '0' else 'maybe' end", "is_delisting": "'N'", "suspended_days": "case s_suppkey % 6 when 0 then '' when 1 then null when 2 then '1.5' else ' 12 ' end",
+}
+
+
+def _security_cells(d: Day) -> DataFrame:
+    return d.view("supplier").select(F.col("s_suppkey").alias("row"), *[F.expr(text).alias(c) for c, text in _security.items()])
+
+
+@register("b3_security_rows", "select s_suppkey as row, cast(s_suppkey as varchar) as entity, s_suppkey % 5 in (0, 1) as is_st, false as is_delisting, date '2001-02-03' as list_date, case when s_suppkey % 6 > 2 then 12 end as suspended_days from supplier where s_suppkey % 41 <> 0 and s_suppkey % 43 <> 0 and s_suppkey % 9 > 1 and s_suppkey % 5 <> 4 and s_suppkey % 6 <> 2")
+def _(d: Day):
+    return normalize.securities(_security_cells(d))[0].select("row", "entity", "is_st", "is_delisting", "list_date", "suspended_days")
+
+
+@register("b3_security_failures", "select s_suppkey as row, unnest(list_filter([case when s_suppkey % 41 = 0 then 'entity' end, case when s_suppkey % 43 = 0 then 'name' end, case when s_suppkey % 9 < 2 then 'list_date' end, case when s_suppkey % 5 = 4 then 'is_st' end, case when s_suppkey % 6 = 2 then 'suspended_days' end], lambda x: x is not null)) as column from supplier")
+def _(d: Day):
+    return normalize.securities(_security_cells(d))[1].select("row", "column")
+
+
+_sheet = "(select l_orderkey * 10 + l_linenumber as row, l_orderkey % 31 = 0 as no_entity, l_orderkey % 29 = 0 as no_day, cast(l_shipdate as date) as day, l_linenumber % 7 as k, l_quantity as q from lineitem)"
+_metrics = {"revenue": ("revenue_ttm", "yuan"), "margin": ("gross_margin", "percent"), "absent": ("goodwill", "yuan")}
+
+
+def _sheets(d: Day):
+    raw = _raw(d).withColumnRenamed("close", "revenue").withColumn("report_period", F.lit(" 1999-12-31 ")).withColumn("margin", F.lit("12.5"))
+    return normalize.statements(raw.withColumnRenamed("trade_date", "announce_date"), _metrics, "1999-06-30 15:00:00+08:00")
+
+
+_known = f"(select * from {_sheet} where not no_entity and not no_day and day <= date '1999-06-30')"
+
+
+@register("b4_statements", f"select metric, unit, count(*) as n, count(v) as valued, cast(sum(v) as double) as total from (select 'revenue_ttm' as metric, 'yuan' as unit, case when k = 4 then 4 when k > 4 then q end as v from {_known} union all select 'gross_margin', 'percent', 12.5 from {_known}) group by 1, 2")
+def _(d: Day):
+    return _sheets(d)[0].groupBy("metric", "unit").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total"))
+
+
+@register("b4_statement_failures", f"select 'entity' as column, 'unreadable' as reason, count(*) filter (no_entity) as n from {_sheet} union all select 'announce_date', 'unreadable', count(*) filter (no_day and not no_entity) from {_sheet} union all select 'revenue', 'unparsable', count(*) filter (k = 1) from {_known} union all select 'revenue', 'not_finite', count(*) filter (k = 2) from {_known}")
+def _(d: Day):
+    return _sheets(d)[1].groupBy("column", "reason").agg(F.count("*").alias("n"))
+
+
+@register("b4_statement_pending", f"select count(*) as pending from {_sheet} where not no_entity and not no_day and day > date '1999-06-30'")
+def _(d: Day):
+    return _sheets(d)[2]
+
+
 @register("b4_statement_unpivot", "select metric, count(*) as n, count(value) as valued from observations group by metric")
 def _(d: Day):
     from lodestar.plans import testbed
@@ -452,9 +521,13 @@ def _(d: Day):
     return validate.dangling(cited, d.panel, ["entity", "factor"]).agg(F.count("*").alias("n"))
 
 
-@register("o3_candidate_semantics", "select 'CAP' as rule, cast(0 as bigint) as n union all select 'DUPLICATE', 0 union all select 'VETOED', 0 union all select 'PRIMARY', 0")
+@register("o3_candidate_semantics", """select 'CAP' as rule, cast(count(*) > 6 as bigint) as n from (select entity from chosen union all select entity from ca) union all select 'DUPLICATE', count(*) from chosen union all select 'VETOED', (select count(*) from ca) - (select count(*) from live)
+  union all select 'PRIMARY', count(*) from ca where entity % 2 = 0 and not exists (select 1 from qual q where q.entity = ca.entity and q.qualified and q.strategy = 'momentum')""")
 def _(d: Day):
-    return validate.candidate_findings(d.candidates, d.qualified, 12)
+    # the day's candidates, and beside them all that might have been, half of these under another strategy
+    names = ["entity", "primary_strategy", "validation", "signal"]
+    other = d.assembled.withColumn("primary_strategy", F.when(F.col("entity") % 2 == 0, "momentum").otherwise(F.col("primary_strategy")))
+    return validate.candidate_findings(d.candidates.select(*names).unionByName(other.select(*names)), d.qualified, 6)
 
 
 @register("o4_regime_checks", "select cast(1 as bigint) as n, true as known from br")

@@ -151,8 +151,21 @@ def equivalence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_ledger(ledger: DataFrame, records: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
-    """New records to append, and conflicts: records of a known id with different content."""
-    content = lambda df: F.xxhash64(F.to_json(F.struct(*sorted(c for c in df.columns if c != key))))
+    """New records to append, each once, and conflicts: ids known with different content, or sent with more than one."""
+    content = lambda df: F.xxhash64(F.to_json(F.struct(*sorted(c for c in df.columns if c != key)), {"ignoreNullFields": "false"}))
     known = ledger.select(key, content(ledger).alias("_old"))
-    joined = records.withColumn("_new", content(records)).join(known, key, "left")
-    return joined.where("_old is null").drop("_old", "_new"), joined.where("_old <> _new").select(key)
+    sent = records.withColumn("_new", content(records)).groupBy(key).agg(F.first(F.struct(*records.columns)).alias("_r"), F.min("_new").alias("_least"), F.max("_new").alias("_most"))
+    joined = sent.join(known, key, "left")
+    clash = (F.col("_least") != F.col("_most")) | (F.coalesce(F.col("_old"), F.col("_least")) != F.col("_least"))
+    return joined.where(F.col("_old").isNull() & ~clash).select("_r.*"), joined.where(clash).select(key)
+
+
+def history(ledger: DataFrame, column: str, value, at: str) -> DataFrame:
+    """The records whose column is value, in order of at."""
+    return ledger.where(F.col(column) == value).orderBy(at)
+
+
+def write_compacted(parts: DataFrame, manifest: DataFrame, path: str, keys: list[str]) -> None:
+    """The rows of compact as Parquet, cut in ranges of keys and sorted by them, so that a reader of one key skips the others' files and row groups."""
+    rows = compact(parts, manifest).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    replace(parts.sparkSession, path, rows.write.parquet)

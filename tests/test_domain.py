@@ -240,6 +240,22 @@ def test_codes_and_blocks(spark):
     assert [tuple(r) for r in normalize.bold_pairs(text).collect()] == [(1, "k", "w")]
 
 
+def test_rows_of_text_cells(spark):
+    cols = "row int, entity string, name string, exchange string, list_date string, is_st string, is_delisting string, suspended_days string"
+    rows = [(1, "a", "n", "X", "2001-02-03", "是", "否", ""), (2, "", None, "X", "2001-02-30", "?", "0", "x"), (3, "c", "n", "X", "2001-02-03", "no", "Y", "7")]
+    good, bad = normalize.securities(spark.createDataFrame(rows, cols))
+    assert [(r.row, r.is_st, r.is_delisting, r.suspended_days) for r in good.orderBy("row").collect()] == [(1, True, False, None), (3, False, True, 7)]
+    assert sorted(r.column for r in bad.collect()) == ["entity", "is_st", "list_date", "name", "suspended_days"]
+    with pytest.raises(ValueError, match="is_st"):
+        normalize.securities(spark.createDataFrame(rows, cols).drop("is_st"))
+    sheet = spark.createDataFrame([(1, "a", "2020-12-31", "2021-03-01", "5"), (2, "a", "2020-12-31", "2021-03-02", "bad"), (3, "a", "x", "y", "5"), (4, None, "x", "y", "5"), (5, "b", "2020-12-31", "2021-02-01", "bad")], "row int, entity string, report_period string, announce_date string, r string")
+    seen, failed, pending, absent = normalize.statements(sheet, {"r": ("revenue", "yuan"), "z": ("zeal", "-")}, "2021-03-01 15:00:00+08:00")
+    assert sorted((r.entity, r.metric, r.value, r.unit) for r in seen.collect()) == [("a", "revenue", 5.0, "yuan"), ("b", "revenue", None, "yuan")]
+    assert sorted((r.row, r.column) for r in failed.collect()) == [(3, "announce_date"), (3, "report_period"), (4, "entity"), (5, "r")] and pending.first().pending == 1 and absent == ["z"]
+    with pytest.raises(Exception, match="as wide as its header"):
+        normalize.table_cells(spark.createDataFrame([(1, "| a | b |\n|---|---|\n| 1 |")], "doc_id long, text string")).collect()
+
+
 def test_guard(spark):
     fail_if_any(spark.range(0), "none")
     with pytest.raises(ValueError, match="some"):
