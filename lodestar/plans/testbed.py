@@ -18,13 +18,10 @@ VIEWS = {
           cast(l_quantity as bigint) as qty, l_returnflag as flag
         from lineitem""",
     "priced": """
-        select *, cast(floor(cast((100 + d) * (100 + t) * (40000000 + cents) as double) / 400000) as bigint) as p4,
-          row_number() over (partition by entity, trade_date order by l_orderkey, l_linenumber, cents) as up,
-          row_number() over (partition by entity, trade_date order by l_orderkey desc, l_linenumber desc, cents desc) as down
-        from line""",
+        select *, cast(floor(cast((100 + d) * (100 + t) * (40000000 + cents) as double) / 400000) as bigint) as p4 from line""",
     "bars": """
-        select entity, trade_date, cast(max(case when up = 1 then p4 end) as double) / 10000 as open, cast(max(p4) as double) / 10000 as high,
-          cast(min(p4) as double) / 10000 as low, cast(max(case when down = 1 then p4 end) as double) / 10000 as close,
+        select entity, trade_date, cast(min_by(p4, (l_orderkey, l_linenumber, cents)) as double) / 10000 as open, cast(max(p4) as double) / 10000 as high,
+          cast(min(p4) as double) / 10000 as low, cast(max_by(p4, (l_orderkey, l_linenumber, cents)) as double) / 10000 as close,
           cast(sum(qty) as double) as volume, cast(sum(cents) as double) / 100 as amount
         from priced group by entity, trade_date""",
     "benchmark_bars": """
