@@ -41,6 +41,12 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def write_mapping(mapping: DataFrame, path: str) -> None:
+    """entity, group as CSV in order of both, as read_mapping reads it; what was there is replaced when all of it is written."""
+    ordered = mapping.select("entity", "group").orderBy("entity", "group")
+    replace(mapping.sparkSession, path, lambda new: ordered.write.option("header", True).csv(new))
+
+
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, bytes, sha256 of each file. Files are read whole, so each must fit in a task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)

@@ -43,3 +43,11 @@ def test_nested_documents_and_sinks(spark, tmp_path):
     files.write_typed(rows, str(tmp_path / "t"), "e int, kind string")
     assert spark.read.parquet(str(tmp_path / "t")).dtypes == [("e", "int"), ("kind", "string")]
     assert files.read_snapshot(spark, f"file://{tmp_path}", "none", "2020-01-01", "e int").count() == 0
+
+
+def test_mapping_round_trip(spark, tmp_path):
+    path = str(tmp_path / "mapping")
+    rows = spark.createDataFrame([("b", "x,1"), ("a", 'y "z"'), ("c", "x,1")], "entity string, `group` string")
+    for df in (rows.limit(1), rows):
+        files.write_mapping(df, path)
+    assert [tuple(r) for r in files.read_mapping(spark, path).orderBy("entity").collect()] == [("a", 'y "z"'), ("b", "x,1"), ("c", "x,1")]
