@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import VALUE, nearest_rank, visible
+from lodestar.functions.columns import VALUE, at_places, nearest_rank, visible
 from lodestar.operators.market import signal
 
 TOP = 0.90
@@ -38,10 +38,8 @@ def with_values(samples: DataFrame, panel: DataFrame, weights: DataFrame) -> Dat
 
 def score_quantiles(results: DataFrame) -> DataFrame:
     """strategy, least, p25, median, p75, most: the score at place floor(n * f)."""
-    group = Window.partitionBy("strategy")
-    rows = results.where("score is not null").withColumn("_rn", F.row_number().over(group.orderBy("score")) - 1).withColumn("_n", F.count("*").over(group))
-    at = lambda f: F.max(F.when(F.col("_rn") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * f)), F.col("score")))
-    return rows.groupBy("strategy").agg(*[at(f).alias(n) for n, f in (("least", 0.0), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("most", 1.0))])
+    place = lambda f: F.least(F.col("n") - 1, F.floor(F.col("n") * f))
+    return at_places(results, ["strategy"], "score", {n: place(f) for n, f in (("least", 0.0), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("most", 1.0))})
 
 
 def boundary_line(results: DataFrame, cut: float = TOP) -> DataFrame:
@@ -74,7 +72,9 @@ def sensitivity(results: DataFrame, cuts: tuple[float, ...]) -> DataFrame:
 
 def anomalies(panel: DataFrame, names: list[str]) -> DataFrame:
     held = panel.where((F.col("status") == VALUE) & F.col("factor").isin(*names))
-    return held.groupBy("factor").agg(F.count("*").alias("n"), F.min("raw_value").alias("least"), F.percentile("raw_value", 0.5).alias("median"), F.max("raw_value").alias("most"))
+    middle = {"_low": F.floor((F.col("n") - 1) / 2), "_high": F.ceil((F.col("n") - 1) / 2)}
+    halves = at_places(held, ["factor"], "raw_value", middle).select("factor", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+    return held.groupBy("factor").agg(F.count("*").alias("n"), F.min("raw_value").alias("least"), F.max("raw_value").alias("most")).join(halves, "factor")
 
 
 def mapping_coverage(members: DataFrame, mapping: DataFrame, full: bool = False) -> DataFrame:

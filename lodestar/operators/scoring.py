@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import VALUE, percentile
+from lodestar.functions.columns import VALUE, tally, with_percentile
+from lodestar.functions.tables import settle
 
 #: Factors and signed weights of each strategy, in order.
 STRATEGIES = {
@@ -51,13 +52,14 @@ def score(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("strate
     counted = joined.groupBy(*keys, "entity").agg(F.count_if(status).alias("_have")).join(F.broadcast(needed), list(keys))
     eligible = counted.where("_have = _need").select(*keys, "entity")
     values = joined.where(status).join(eligible, [*keys, "entity"], "left_semi")
-    oriented = values.withColumn("v", F.col("raw_value") * F.signum("weight"))
-    ranked = oriented.withColumn("percentile", percentile(F.col("v"), *keys, "factor"))
+    oriented = settle(values.withColumn("v", F.col("raw_value") * F.signum("weight")), "oriented")
+    ranked = with_percentile(oriented, [*keys, "factor"], "v", "percentile")
     share = F.abs("weight").cast("decimal(18,6)") * F.col("percentile").cast("decimal(18,12)")
     item = F.struct("pos", "factor", "percentile", "weight", (F.abs("weight") * F.col("percentile")).alias("weighted"), "raw_value")
     blended = ranked.groupBy(*keys, "entity").agg((F.sum(share).cast("double") / F.sum(F.abs("weight"))).alias("blend"), F.array_sort(F.collect_list(item)).alias("contributions"))
-    alone = F.count("*").over(Window.partitionBy(*keys))
-    placed = blended.withColumn("n", alone).withColumn("rank_percentile", F.when(F.col("n") > 1, percentile(F.col("blend"), *keys)))
+    blended = settle(blended, "blended")
+    sizes = blended.groupBy(*keys).agg(F.count("*").alias("n"))
+    placed = with_percentile(blended, list(keys), "blend", "rank_percentile").join(sizes, list(keys)).withColumn("rank_percentile", F.when(F.col("n") > 1, F.col("rank_percentile")))
     return placed.select(*keys, "entity", F.round("blend", 12).alias("blend"), F.round(F.col("blend") * 100, 9).alias("score"), "rank_percentile", "n", "contributions")
 
 
@@ -95,9 +97,9 @@ def availability(panel: DataFrame) -> DataFrame:
 
 def contrast(panel: DataFrame, results: DataFrame, share: float = 0.1, least: int = 5) -> DataFrame:
     """strategy, factor, top_mean, rest_mean: mean values of the best share of the ranked and of the rest."""
-    order = Window.partitionBy("strategy").orderBy(F.desc("rank_percentile"), "entity")
-    ranked = results.where("rank_percentile is not null").withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("strategy")))
-    sliced = ranked.where(F.col("n") >= least).select("strategy", "entity", (F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).alias("top"))
+    ordered = results.where("rank_percentile is not null").select("strategy", F.struct((-F.col("rank_percentile")).alias("last"), "entity").alias("at"))
+    placed = tally(ordered, ["strategy"], "at").where(F.col("n") >= least)
+    sliced = placed.select("strategy", "at.entity", (F.col("before") < F.greatest(F.lit(1), F.floor(F.col("n") * share))).alias("top"))
     values = panel.where(F.col("status") == VALUE).select("entity", "factor", F.round("raw_value", 6).cast("decimal(24,6)").alias("v"))
     mean = lambda cond: F.round(F.sum(F.when(cond, F.col("v"))).cast("double") / F.count_if(cond), 6)
     return sliced.join(values, "entity").groupBy("strategy", "factor").agg(mean(F.col("top")).alias("top_mean"), mean(~F.col("top")).alias("rest_mean"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import columns
 from lodestar.operators import candidates, discovery, factors, market, qualify, reports, scoring, universe
 from lodestar.plans import testbed
 from lodestar.plans.day import LIMITS, Day
@@ -179,7 +179,7 @@ def _(d: Day):
 @register("f1_percentile_rank", "select factor, entity, round((rank() over (partition by factor order by raw_value) + (count(*) over (partition by factor, raw_value) - 1) / 2) / count(*) over (partition by factor), 6) as percentile from (select factor, entity, floor(raw_value * 4) as raw_value from panel where status = 'VALUE')")
 def _(d: Day):
     rows = d.panel.where("status = 'VALUE'").select("factor", "entity", F.floor(F.col("raw_value") * 4).alias("v"))
-    return rows.select("factor", "entity", r6(scoring.percentile(F.col("v"), "factor"), "percentile"))
+    return columns.with_percentile(rows, ["factor"], "v", "percentile").select("factor", "entity", r6("percentile"))
 
 
 @register("f2_eligibility", "select entity, strategy, eligible, reasons from el")

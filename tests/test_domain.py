@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import classify, fail_if_any, nearest_rank, percentile
+from lodestar.functions.columns import classify, fail_if_any, nearest_rank, tally, with_percentile
 from lodestar.operators import blocks, candidates, decisions, factors, gates, lifecycle, market, normalize, qualify, scoring
 from lodestar.sources import landing
 
@@ -97,7 +97,24 @@ def test_payouts_in_english_and_of_both_kinds(spark):
 
 def test_percentile_averages_ties(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 2.0, 5.0)], "g string, v double")
-    assert sorted(r.p for r in df.select(percentile(F.col("v"), "g").alias("p")).collect()) == [0.25, 0.625, 0.625, 1.0]
+    assert sorted(r.p for r in with_percentile(df, ["g"], "v", "p").collect()) == [0.25, 0.625, 0.625, 1.0]
+
+
+def test_ranks_over_parts_equal_sorting(spark):
+    values = [(g, float(i * 37 % 1000) if i % 3 else 7.0) for g in ("a", "b") for i in range(6000)] + [("a", None), ("c", None), ("d", -0.0), ("d", 0.0)]
+    df = spark.createDataFrame(values, "g string, v double").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.v): (r.ties, r.before, r.n) for r in tally(df, ["g"], "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in ("a", "b", "d"):
+        held = sorted(v for k, v in values if k == g and v is not None)
+        want |= {(g, v): (held.count(v), held.index(v), len(held)) for v in set(held)}
+    assert got == want
+    assert tally(df.where("v is null"), ["g"], "v").count() == 0
+    assert {r.g: r.p for r in with_percentile(df.where("g > 'b'"), ["g"], "v", "p").collect()} == {"c": None, "d": 0.75}
 
 
 @pytest.mark.parametrize("n, want", [(2, 1.0), (6, 3.0), (11, 6.0)])
