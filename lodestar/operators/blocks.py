@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,30 +14,39 @@ from lodestar.operators.normalize import bold_pairs, table_cells
 HEADERS = (("ex_date", "除权|ex.?date"), ("announce_date", "公告|announce"), ("plan", "方案|plan|payout"), ("status", "进度|status"))
 
 
-def valuation_rows(blocks: DataFrame, labels: tuple[str, ...], query_day: str) -> DataFrame:
-    """entity, metric, day, value, text_value of blocks(doc_id, text).
+def valuation_rows(blocks: DataFrame, labels: tuple[str, ...], query_day: str, units: dict[str, str] | None = None) -> DataFrame:
+    """entity, metric, day, value, text_value, unit, query_dated of blocks(doc_id, text).
 
     Table cells are dated by the first column of their row (YYYYMMDD); header
-    pairs by the table's latest date, or the query's where there is no table.
+    pairs by the table's latest date, or the query's where there is no table (query_dated).
     Thousands separators are dropped; label metrics keep their text.
     """
     cells = table_cells(blocks)
     days = cells.where("col_no = 0").select("doc_id", "table_no", "row_no", F.try_to_date("cell", "yyyyMMdd").alias("day"))
     number = lambda c: classify(F.regexp_replace(c, ",", ""))[0]
-    rows = cells.where("col_no > 0").join(days, ["doc_id", "table_no", "row_no"]).select("doc_id", F.col("header").alias("metric"), "day", number("cell").alias("value"), F.lit(None).cast("string").alias("text_value"))
+    rows = cells.where("col_no > 0").join(days, ["doc_id", "table_no", "row_no"]).select("doc_id", F.col("header").alias("metric"), "day", number("cell").alias("value"), F.lit(None).cast("string").alias("text_value"), F.lit(False).alias("query_dated"))
     latest = days.groupBy("doc_id").agg(F.max("day").alias("last"))
     pairs = bold_pairs(blocks).join(latest, "doc_id", "left")
     is_label = F.col("key").isin(*labels)
-    heads = pairs.select("doc_id", F.col("key").alias("metric"), F.coalesce("last", F.lit(query_day).cast("date")).alias("day"), F.when(~is_label, number("value")).alias("value"), F.when(is_label, F.col("value")).alias("text_value"))
-    return rows.unionByName(heads).withColumnRenamed("doc_id", "entity")
+    heads = pairs.select("doc_id", F.col("key").alias("metric"), F.coalesce("last", F.lit(query_day).cast("date")).alias("day"), F.when(~is_label, number("value")).alias("value"), F.when(is_label, F.col("value")).alias("text_value"), F.col("last").isNull().alias("query_dated"))
+    unit = reduce(lambda found, u: F.when(F.col("metric") == u[0], u[1]).otherwise(found), (units or {}).items(), F.lit(None).cast("string"))
+    return rows.unionByName(heads).select(F.col("doc_id").alias("entity"), "metric", "day", "value", "text_value", unit.alias("unit"), "query_dated")
+
+
+def absent_metrics(rows: DataFrame, expected: list[str]) -> DataFrame:
+    """entity, metric: those expected that an entity's rows hold neither as a number nor as a text."""
+    there = F.collect_set(F.when(F.col("value").isNotNull() | F.col("text_value").isNotNull(), F.col("metric")))
+    held = rows.where(F.col("metric").isin(*expected)).groupBy("entity").agg(there.alias("there"))
+    every = rows.select("entity").distinct().join(held, "entity", "left")
+    return every.select("entity", F.explode(F.array_except(F.array(*[F.lit(m) for m in expected]), F.coalesce("there", F.array().cast("array<string>")))).alias("metric"))
 
 
 def payout_events(texts: DataFrame) -> DataFrame:
-    """section, ex_date, announce_date, cash_per_10, status of payout tables; columns are known by words of their headers.
+    """section, ex_date, announce_date, cash_per_10, status, currency of payout tables; columns are known by words of their headers.
 
     The section of a table is the last line '# name' before it.  A status that
     speaks of both a plan and its implementation is none, so such an event counts as
-    neither.
+    neither.  The currency is named in the section, else null.
     """
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -43,6 +54,8 @@ def payout_events(texts: DataFrame) -> DataFrame:
     sections = lines.withColumn("section", F.last(named, ignorenulls=True).over(order))
     split = sections.where("section is not null").groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     keyed = split.withColumn("doc_id", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "section"))
+    named_unit = F.nullif(F.regexp_extract("text", r"(?i)(?:货币单位|currency)[：:]\s*([^\s|]+)", 1), F.lit(""))
+    currency = F.coalesce(named_unit, F.when(F.col("text").rlike("CNY|人民币"), "CNY"))
     cells = table_cells(keyed)
     role = F.lit(None).cast("string")
     for name, pattern in reversed(HEADERS):
@@ -53,7 +66,8 @@ def payout_events(texts: DataFrame) -> DataFrame:
     cash = F.coalesce(*[F.nullif(F.regexp_extract("plan", amount, k), F.lit("")).try_cast("double") for k in (1, 2)])
     done, planned = F.lower("status").rlike("实施|implemented"), F.lower("status").rlike("预案|plan")
     status = F.when(done & ~planned, "implemented").when(planned & ~done, "plan").otherwise("none")
-    return wide.select(F.element_at(F.split("doc_id", "\x1f"), 2).alias("section"), date("ex_date").alias("ex_date"), date("announce_date").alias("announce_date"), cash.alias("cash_per_10"), status.alias("status"))
+    wide = wide.join(keyed.select("doc_id", currency.alias("currency")), "doc_id")
+    return wide.select(F.element_at(F.split("doc_id", "\x1f"), 2).alias("section"), date("ex_date").alias("ex_date"), date("announce_date").alias("announce_date"), cash.alias("cash_per_10"), status.alias("status"), "currency")
 
 
 def constituents(texts: DataFrame) -> DataFrame:

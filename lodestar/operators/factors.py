@@ -31,6 +31,14 @@ RATIOS = (
 #: Valuation factor and whether only positive values count.
 VALUATIONS = (("pe_ttm", True), ("pb", True), ("ps_ttm", True), ("pe_percentile", False), ("pcf_operating_ttm", True), ("peg", True))
 
+#: Of each factor its unit (amount, x for ratios, %), and the evidence it is made of.
+UNITS = dict.fromkeys(("ret_20d", "ret_60d", "proximity_52w_high", *(n for n, _, _ in RATIOS), *(n for n, _ in VALUATIONS)), "x") | dict.fromkeys((*PASSED, "pe_percentile", "dividend_yield_ttm"), "%") | {"avg_amount_20d": "amount"}
+INPUTS = (
+    {"avg_amount_20d": ("amount",), "ret_20d": ("close",), "ret_60d": ("close",), "proximity_52w_high": ("close", "high"), "dividend_yield_ttm": ("cash_per_10", "close")}
+    | {m: (m,) for m in (*PASSED, *(n for n, _ in VALUATIONS))} | {n: (a, b) for n, a, b in RATIOS}
+)
+VERSION = "1"
+
 
 def trailing(bars: DataFrame, as_of: str, most: int) -> DataFrame:
     """The last most bars of each entity at as_of, rn counting back from 1."""
@@ -149,10 +157,12 @@ def dividend_yield(dividends: DataFrame, bars: DataFrame, as_of: str, days: int
 
 
 def panel(bars: DataFrame, observations: DataFrame, valuations: DataFrame, dividends: DataFrame, as_of: str) -> DataFrame:
-    """All factors of each entity with a visible bar: as_of, entity, factor, status, raw_value."""
+    """All factors of each entity with a visible bar: as_of, entity, factor, status, raw_value, unit, inputs, factor_version."""
     entities = visible(bars, as_of, "trade_date").select("entity").distinct()
     parts = [price_factors(bars, as_of), metric_factors(observations, entities, as_of), valuation_factors(valuations, entities, as_of), dividend_yield(dividends, bars, as_of)]
-    return reduce(DataFrame.unionByName, parts).withColumn("as_of", F.lit(as_of).cast("date"))
+    described = F.create_map(*[x for f in UNITS for x in (F.lit(f), F.struct(F.lit(UNITS[f]).alias("unit"), F.array(*[F.lit(i) for i in INPUTS[f]]).alias("inputs")))])
+    rows = reduce(DataFrame.unionByName, parts).withColumn("as_of", F.lit(as_of).cast("date")).withColumn("_d", described[F.col("factor")])
+    return rows.select("entity", "factor", "status", "raw_value", "as_of", "_d.unit", "_d.inputs", F.lit(VERSION).alias("factor_version"))
 
 
 def evidence(observations: DataFrame, as_of: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,21 @@ def outside(df: DataFrame, column: str, low: float, high: float, rule: str) -> D
     return df.where((F.col(column) < low) | (F.col(column) > high)).withColumn("rule", F.lit(rule))
 
 
+def without(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """Rows where one of the required keys is null."""
+    return df.where(reduce(or_, [F.col(k).isNull() for k in keys])).withColumn("rule", F.lit(rule))
+
+
+def blank(df: DataFrame, column: str, rule: str) -> DataFrame:
+    """Rows whose text column is null or empty."""
+    return df.where(F.trim(F.coalesce(column, F.lit(""))) == "").withColumn("rule", F.lit(rule))
+
+
+def late(df: DataFrame, column: str, as_of: str, rule: str) -> DataFrame:
+    """Rows that were known only after as_of; null is fine."""
+    return df.where(F.col(column) > F.lit(as_of).cast("date")).withColumn("rule", F.lit(rule))
+
+
 def unknown(df: DataFrame, column: str, vocabulary: DataFrame, rule: str) -> DataFrame:
     """Rows whose column is not in the vocabulary."""
     return df.join(vocabulary.select(F.col(vocabulary.columns[0]).alias(column)).distinct(), column, "left_anti").withColumn("rule", F.lit(rule))
@@ -42,13 +60,39 @@ def candidate_findings(chosen: DataFrame, qualified: DataFrame, cap: int) -> Dat
     return counted(every, ["CAP", "DUPLICATE", "VETOED", "PRIMARY"])
 
 
+#: Rules of a manifest.
+MANIFEST = ("UNKNOWN_STAGE", "DUPLICATE_STAGE", "MISSING_STAGE", "STATUS", "FINISHED", "ERROR", "TIME")
+#: States of a run.
+ENDED, TROUBLED = ("SUCCESS", "FAILED", "BLOCKED"), ("FAILED", "BLOCKED")
+
+
 def manifest_findings(log: DataFrame, stages: list[str]) -> DataFrame:
-    """rule, n: stages that are not known, known ones that never ran, and statuses that are not known."""
-    known = log.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage"))
-    strange = log.join(F.broadcast(known), "stage", "left_anti").select(F.lit("UNKNOWN_STAGE").alias("rule"))
-    absent = known.join(log.select("stage").distinct(), "stage", "left_anti").select(F.lit("MISSING_STAGE").alias("rule"))
-    wrong = log.where(~F.col("ok")).select(F.lit("STATUS").alias("rule"))
-    return counted(strange.unionByName(absent).unionByName(wrong), ["UNKNOWN_STAGE", "MISSING_STAGE", "STATUS"])
+    """rule, n over the manifests of log: day, stage, status, started_at, finished_at, error.
+
+    Of each run: a stage or a status that is not known; an end that a running one has
+    or an ended one lacks; an error that a troubled one lacks or another has; no start,
+    or an end before it.  Of each day: a stage again (each time after the first), and
+    stages that never ran.
+    """
+    status, ends = F.col("status"), F.col("finished_at").isNotNull()
+    failed = F.trim(F.coalesce("error", F.lit(""))) != ""
+    known = F.coalesce(status.isin(*ENDED, "RUNNING"), F.lit(False))
+    rules = {
+        "UNKNOWN_STAGE": F.col("stage").isNotNull() & ~F.col("stage").isin(*stages),
+        "STATUS": ~known,
+        "FINISHED": known & (ends == (status == "RUNNING")),
+        "ERROR": known & (failed != status.isin(*TROUBLED)),
+        "TIME": F.col("started_at").isNull() | F.coalesce(F.col("finished_at") < F.col("started_at"), F.lit(False)),
+    }
+    runs = log.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))).alias("rule"))
+    # per day, one row for each stage of its log; the known stages are a fixed list
+    held = log.groupBy("day", "stage").agg(F.count("*").alias("k"))
+    again = held.where("stage is not null and k > 1").select(F.lit("DUPLICATE_STAGE").alias("rule"), (F.col("k") - 1).alias("n"))
+    days = held.groupBy("day").agg(F.collect_set(F.when(F.col("stage").isin(*stages), F.col("stage"))).alias("there"))
+    absent = days.select(F.lit("MISSING_STAGE").alias("rule"), (F.lit(len(stages)) - F.size("there")).cast("long").alias("n"))
+    counts = runs.groupBy("rule").agg(F.count("*").alias("n")).unionByName(again).unionByName(absent).groupBy("rule").agg(F.sum("n").alias("n"))
+    every = log.sparkSession.range(1).select(F.explode(F.array(*[F.lit(r) for r in MANIFEST])).alias("rule"))
+    return every.join(counts, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def uncited(cited: DataFrame, column: str, declared: str) -> DataFrame:

@@ -112,9 +112,12 @@ def _(d: Day):
     return refs.select("entity", F.array_join(text, ",").alias("refs"))
 
 
-@register("e12_factor_stage", "select entity, factor, status, round(case when status = 'VALUE' then raw_value end, 6) as raw_value from panel")
+_described = ", ".join(f"('{f}', '{u}', '{','.join(factors.INPUTS[f])}')" for f, u in factors.UNITS.items())
+
+
+@register("e12_factor_stage", f"select entity, factor, status, round(case when status = 'VALUE' then raw_value end, 6) as raw_value, unit, inputs, '{factors.VERSION}' as factor_version from panel join (values {_described}) t(factor, unit, inputs) using (factor)")
 def _(d: Day):
-    return d.panel.select("entity", "factor", "status", r6("raw_value"))
+    return d.panel.select("entity", "factor", "status", r6("raw_value"), "unit", F.array_join("inputs", ",").alias("inputs"), "factor_version")
 
 
 @register("e13_panel_pivot", "select entity, round(avg_amount_20d, 6) as avg_amount_20d, round(ret_20d, 6) as ret_20d, round(ret_60d, 6) as ret_60d, round(dividend_yield_ttm, 6) as dividend_yield_ttm from wide")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import tables
 from lodestar.operators import decisions, gates, lifecycle, normalize, validate
+from lodestar.plans import testbed
 from lodestar.plans.day import Day
 from lodestar.plans.oracles import sql
 from lodestar.sources import landing
@@ -104,7 +107,9 @@ def _(d: Day):
     return landing.gap(d.view("securities"), d.view("dividends").where("ex_date >= date '2001-11-01'"))
 
 
-@register("a16_gap_ledger", "select round, count(*) as landed, cast((select count(*) from supplier) - sum(count(*)) over (order by round) as bigint) as missing from (select entity, min(year(trade_date) * 12 + month(trade_date)) as round from bars group by entity) group by round")
+@register("a16_gap_ledger", """select round, cast(missing + landed as bigint) as requested, cast(landed as bigint) as landed, cast(missing as bigint) as missing, stop from (select *, count(stop) over (order by round rows between unbounded preceding and 1 preceding) as ended from (
+  select *, case when landed = 0 then 'no_progress' when missing = 0 then 'covered' end as stop from (select r.round, coalesce(f.landed, 0) as landed, (select count(*) from supplier) - coalesce(sum(f.landed) over (order by r.round), 0) as missing
+    from (select distinct year(trade_date) * 12 + month(trade_date) as round from bars) r left join (select round, count(*) as landed from (select entity, min(year(trade_date) * 12 + month(trade_date)) as round from bars group by entity) group by round) f using (round)))) where ended = 0""")
 def _(d: Day):
     landed = d.view("bars").select("entity", (F.year("trade_date") * 12 + F.month("trade_date")).cast("long").alias("round"))
     return landing.gap_ledger(d.view("securities"), landed)
@@ -507,12 +512,21 @@ def _(d: Day):
 # validation of stored results
 
 
-@register("o1_record_checks", "select 'SCORE_RANGE' as rule, count(*) as n from res where score < 0 or score > 90 union all select 'UNKNOWN_FACTOR', count(*) from panel where factor not in (select factor from weights)")
-def _(d: Day):
-    scores = validate.outside(d.results, "score", 0.0, 90.0, "SCORE_RANGE")
-    names = validate.unknown(d.panel, "factor", d.weights.select("factor"), "UNKNOWN_FACTOR")
-    every = scores.select("rule").unionByName(names.select("rule"))
-    return validate.counted(every, ["SCORE_RANGE", "UNKNOWN_FACTOR"])
+@register("o1_record_checks", """select 'SCORE_RANGE' as rule, count(*) filter (score < 0 or score > 100) as n from res union all select 'PERCENTILE_RANGE', count(*) filter (rank_percentile < 0 or rank_percentile > 1) from res
+  union all select 'MARGIN_RANGE', count(*) from panel where factor = 'gross_margin' and status = 'VALUE' and (raw_value < 0 or raw_value > 40) union all select 'MISSING_KEY', count(*) filter (score is null) from res
+  union all select 'EMPTY_VERSION', count(*) filter (trim(coalesce(o_orderpriority, '')) = '') from orders union all select 'LATE', count(*) from observations where announce_date > date '2001-06-30' union all select 'UNKNOWN_FACTOR', count(*) from panel where factor not in (select factor from weights)""")
+def _(d: Day):
+    margins = d.panel.where("factor = 'gross_margin' and status = 'VALUE'")
+    found = {
+        "SCORE_RANGE": validate.outside(d.results, "score", 0.0, 100.0, "SCORE_RANGE"),
+        "PERCENTILE_RANGE": validate.outside(d.results, "rank_percentile", 0.0, 1.0, "PERCENTILE_RANGE"),
+        "MARGIN_RANGE": validate.outside(margins, "raw_value", 0.0, 40.0, "MARGIN_RANGE"),
+        "MISSING_KEY": validate.without(d.results, ["strategy", "entity", "score"], "MISSING_KEY"),
+        "EMPTY_VERSION": validate.blank(d.view("orders"), "o_orderpriority", "EMPTY_VERSION"),
+        "LATE": validate.late(testbed.observations(d.spark, d.sf_dir), "announce_date", d.as_of, "LATE"),
+        "UNKNOWN_FACTOR": validate.unknown(d.panel, "factor", d.weights.select("factor"), "UNKNOWN_FACTOR"),
+    }
+    return validate.counted(reduce(DataFrame.unionByName, [f.select("rule") for f in found.values()]), list(found))
 
 
 @register("o2_cross_references", "select count(*) as n from weights w join res r using (strategy) left join inside p on p.entity = r.entity and p.factor = w.factor where r.eligible and p.factor is null")

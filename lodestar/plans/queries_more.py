@@ -29,31 +29,40 @@ def register(name: str, oracle: str | None):
     return wrap
 
 
-_some = "trade_date >= date '2001-06-01' and trade_date <= date '2001-06-30'"
-
-
 def _lines(rows: DataFrame, head: str, line) -> DataFrame:
     body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
     return rows.groupBy("entity").agg(F.concat(F.lit(head), body, F.lit("\nend\n")).alias("text")).select(F.col("entity").alias("doc_id"), "text")
 
 
-@register("b9_valuation_blocks", f"""select entity, 'pe' as metric, trade_date as day, volume * 1000 as value, cast(null as varchar) as text_value from bars where {_some}
-  union all select entity, 'grade', max(trade_date), null, 'A, good' from bars where {_some} group by entity union all select entity, 'total', max(trade_date), 1234.5, null from bars where {_some} group by entity""")
-def _(d: Day):
+_units = {"pe": "x", "total": "bn"}
+
+
+def _valued(d: Day) -> DataFrame:
+    """Rows of two kinds of texts: those of entities hold a table, those of customers only a header."""
     line = F.concat(F.lit("| "), F.date_format("trade_date", "yyyyMMdd"), F.lit(" | "), F.format_number(F.col("volume") * 1000, 0), F.lit(" |"))
-    texts = _lines(d.view("bars").where(_some), "**grade**: A, good\n**total**: 1,234.5\n| date | pe |\n|---|---|\n", line)
-    return blocks.valuation_rows(texts, ("grade",), d.as_of).select("entity", "metric", "day", "value", "text_value")
+    texts = _lines(d.view("bars"), "**grade**: A, good\n**total**: 1,234.5\n| date | pe |\n|---|---|\n", line)
+    bare = d.view("customer").select((-1 - F.col("c_custkey")).alias("doc_id"), F.concat(F.lit("**total**: "), F.format_number("c_acctbal", 2)).alias("text"))
+    return blocks.valuation_rows(texts.unionByName(bare), ("grade",), d.as_of, _units)
 
 
-_pay = "ex_date >= date '2001-06-01' and ex_date <= date '2001-06-10'"
+@register("b9_valuation_blocks", """select entity, 'pe' as metric, trade_date as day, volume * 1000 as value, cast(null as varchar) as text_value, 'x' as unit, false as query_dated from bars
+  union all select entity, 'grade', max(trade_date), null, 'A, good', null, false from bars group by entity union all select entity, 'total', max(trade_date), 1234.5, null, 'bn', false from bars group by entity
+  union all select -1 - c_custkey, 'total', date '2001-06-30', c_acctbal, null, 'bn', true from customer""")
+def _(d: Day):
+    return _valued(d)
 
 
-@register("b10_payout_texts", f"select 'E' || cast(entity as varchar) as section, ex_date, announce_date, cash_per_10, status from (select distinct entity, ex_date, announce_date, cash_per_10, status from dividends where {_pay})")
+@register("b9_absent_metrics", "select -1 - c_custkey as entity, unnest(['grade', 'pe']) as metric from customer")
 def _(d: Day):
-    rows = d.view("dividends").where(_pay).distinct()
+    return blocks.absent_metrics(_valued(d), ["grade", "pe", "total"])
+
+
+@register("b10_payout_texts", "select 'E' || cast(entity as varchar) as section, ex_date, announce_date, cash_per_10, status, 'CNY' as currency from (select distinct entity, ex_date, announce_date, cash_per_10, status from dividends)")
+def _(d: Day):
+    rows = d.view("dividends").select("entity", "ex_date", "announce_date", "cash_per_10", "status").distinct()
     line = F.concat_ws(" | ", F.lit(""), F.col("announce_date").cast("string"), F.concat(F.lit("10派"), F.col("cash_per_10").cast("string"), F.lit("元")), F.when(F.col("status") == "plan", "董事会预案").otherwise("实施"), F.date_format("ex_date", "yyyyMMdd"))
     texts = _lines(rows, "intro\n", F.concat(F.trim(line), F.lit(" |")))
-    head = F.concat(F.lit("# E"), F.col("doc_id").cast("string"), F.lit("\n| 公告日 | 分红方案 | 进度 | 除权日 |\n|---|---|---|---|"))
+    head = F.concat(F.lit("# E"), F.col("doc_id").cast("string"), F.lit("\n货币单位：CNY\n| 公告日 | 分红方案 | 进度 | 除权日 |\n|---|---|---|---|"))
     return blocks.payout_events(texts.withColumn("text", F.regexp_replace("text", "intro", "@@")).withColumn("text", F.replace("text", F.lit("@@"), head)))
 
 
@@ -141,10 +150,21 @@ def _(d: Day):
     return decisions.integrity(rows).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@register("o6_run_manifest", "select 'UNKNOWN_STAGE' as rule, count(*) filter (o_orderkey % 5 = 0) as n from orders union all select 'MISSING_STAGE', cast(1 as bigint) union all select 'STATUS', cast(0 as bigint)")
+_stages = ("1-URGENT", "2-HIGH", "3-MEDIUM", "PUBLISH")
+
+
+@register("o6_run_manifest", f"""select * from (with m as (select cast(o_orderdate as date) as day, o_orderpriority as stage, case when o_orderkey % 17 = 0 then 'LOST' when o_orderkey % 5 = 0 then 'FAILED' when o_orderkey % 5 = 1 then 'BLOCKED' when o_orderkey % 5 = 2 then 'RUNNING' else 'SUCCESS' end as status,
+    case when o_orderkey % 13 = 0 then cast(o_orderdate as date) + 1 else cast(o_orderdate as date) end as started, case when not (o_orderkey % 5 = 2 and o_orderkey % 7 <> 0) then cast(o_orderdate as date) end as finished, o_orderkey % 5 in (0, 1) and o_orderkey % 11 <> 0 as failed from orders)
+  select 'UNKNOWN_STAGE' as rule, count(*) as n from m where stage not in {_stages} union all select 'STATUS', count(*) from m where status = 'LOST'
+  union all select 'DUPLICATE_STAGE', (select count(*) from m where stage is not null) - (select count(*) from (select distinct day, stage from m where stage is not null))
+  union all select 'MISSING_STAGE', {len(_stages)} * (select count(distinct day) from m) - (select count(*) from (select distinct day, stage from m where stage in {_stages}))
+  union all select 'FINISHED', count(*) from m where (status = 'RUNNING' and finished is not null) or (status in ('SUCCESS', 'FAILED', 'BLOCKED') and finished is null)
+  union all select 'ERROR', count(*) from m where (status in ('FAILED', 'BLOCKED') and not failed) or (status in ('SUCCESS', 'RUNNING') and failed) union all select 'TIME', count(*) from m where finished < started)""")
 def _(d: Day):
-    log = _runs(d).withColumn("stage", F.col("status")).withColumn("ok", F.col("status").isin("FAILED", "BLOCKED", "RUNNING", "SUCCESS"))
-    return validate.manifest_findings(log, ["BLOCKED", "RUNNING", "SUCCESS", "PUBLISHED"])
+    k, day = F.col("run_id"), F.col("day")
+    named = _runs(d).join(d.view("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("stage")), "run_id")
+    log = named.select("day", "stage", F.when(k % 17 == 0, "LOST").otherwise(F.col("status")).alias("status"), F.when(k % 13 == 0, F.date_add(day, 1)).otherwise(day).alias("started_at"), F.col("finished_at").cast("date").alias("finished_at"), "error")
+    return validate.manifest_findings(log, list(_stages))
 
 
 @register("o7_version_citations", "select factor, count(*) filter (len(factor) % 3 = 0) as bad from panel group by factor")

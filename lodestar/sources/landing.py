@@ -90,14 +90,25 @@ def gap(requested: DataFrame, returned: DataFrame, key: str = "entity") -> DataF
     return requested.select(key).distinct().join(returned.select(key), key, "left_anti")
 
 
-def gap_ledger(requested: DataFrame, landed: DataFrame) -> DataFrame:
-    """round, landed, missing: of requested entities, how many landed in each round, and how many are missing after it. landed: entity, round."""
-    total = requested.select("entity").distinct().agg(F.count("*").alias("_t"))
-    first = landed.join(requested.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.min("round").alias("round"))
-    counts = first.groupBy("round").agg(F.count("*").alias("landed"))
+def gap_ledger(requested: DataFrame, landed: DataFrame, most: int | None = None) -> DataFrame:
+    """round, requested, landed, missing, stop of a backfill's rounds, up to the one that ends it.
+
+    landed: entity, round; a null entity marks a round that brought nothing.  A round
+    asks for what is missing before it.  stop: no_progress (nothing new landed),
+    max_rounds (it is the last of most) or covered (nothing is missing), else null.
+    """
+    wanted = requested.select("entity").distinct()
+    total = wanted.agg(F.count("*").alias("_t"))
+    first = landed.join(wanted, "entity", "left_semi").groupBy("entity").agg(F.min("round").alias("round"))
+    counts = landed.select("round").distinct().join(first.groupBy("round").agg(F.count("*").alias("landed")), "round", "left").fillna(0, ["landed"])
     # as many rows as there were rounds
-    so_far = F.sum("landed").over(Window.orderBy("round"))
-    return counts.join(F.broadcast(total)).select("round", "landed", (F.col("_t") - so_far).alias("missing"))
+    order = Window.orderBy("round")
+    missing = F.col("_t") - F.sum("landed").over(order)
+    ran = counts.join(F.broadcast(total)).withColumn("missing", missing).withColumn("requested", F.col("missing") + F.col("landed")).withColumn("_k", F.row_number().over(order))
+    last = F.lit(False) if most is None else F.col("_k") == most
+    stop = F.when(F.col("landed") == 0, "no_progress").when(last, "max_rounds").when(F.col("missing") == 0, "covered")
+    told = ran.withColumn("stop", stop).withColumn("_over", F.count("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return told.where("_over = 0").select("round", "requested", "landed", "missing", "stop")
 
 
 def freshness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

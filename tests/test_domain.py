@@ -277,3 +277,20 @@ def test_guard(spark):
     fail_if_any(spark.range(0), "none")
     with pytest.raises(ValueError, match="some"):
         fail_if_any(spark.range(1), "some")
+
+
+def test_backfill_stops(spark):
+    asked = spark.createDataFrame([(e,) for e in range(1, 5)], "entity long")
+    came = lambda rows, most=None: [tuple(r) for r in landing.gap_ledger(asked, spark.createDataFrame(rows, "entity long, round long"), most).orderBy("round").collect()]
+    assert came([(1, 1), (2, 1), (2, 2), (None, 2), (3, 3)]) == [(1, 4, 2, 2, None), (2, 2, 0, 2, "no_progress")]
+    assert came([(1, 1), (2, 2), (3, 2), (4, 2), (9, 3)]) == [(1, 4, 1, 3, None), (2, 3, 3, 0, "covered")]
+    assert came([(1, 1), (2, 2), (3, 3)], 2) == [(1, 4, 1, 3, None), (2, 3, 1, 2, "max_rounds")]
+    assert came([]) == []
+
+
+def test_manifest_rules(spark):
+    rows = [("d1", "A", "SUCCESS", 1, 2, None), ("d1", "A", "FAILED", 1, 2, None), ("d1", "X", "LOST", None, None, None), ("d2", "B", "RUNNING", 2, 1, "e"), ("d2", None, "SUCCESS", 1, None, "")]
+    log = spark.createDataFrame(rows, "day string, stage string, status string, started_at int, finished_at int, error string")
+    found = {r.rule: r.n for r in validate.manifest_findings(log, ["A", "B"]).collect()}
+    assert found == {"UNKNOWN_STAGE": 1, "DUPLICATE_STAGE": 1, "MISSING_STAGE": 2, "STATUS": 1, "FINISHED": 2, "ERROR": 2, "TIME": 2}
+    assert {r.n for r in validate.manifest_findings(log.limit(0), ["A", "B"]).collect()} == {0}
