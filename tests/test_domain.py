@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import classify, fail_if_any, nearest_rank, tally, with_percentile
-from lodestar.operators import blocks, candidates, decisions, factors, gates, lifecycle, market, normalize, qualify, scoring
+from lodestar.operators import blocks, candidates, decisions, factors, gates, lifecycle, market, normalize, qualify, scoring, validate
 from lodestar.sources import landing
 
 AS_OF = "2020-12-31"
