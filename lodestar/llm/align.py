@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from lodestar.llm.rows import give_back, map_rows
 from lodestar.llm.shared import settle
 
 #: Characters of text that are aligned at once, and those of a block of counts.
-BATCH_CHARS, BLOCK_CHARS = 1 << 20, 1 << 22
+BATCH_CHARS, BLOCK_CHARS = 1 << 18, 1 << 22
 
 GROUPS = "array<struct<a: array<int>, b: array<int>, end: long>>"
 
@@ -51,6 +52,7 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+@lru_cache(2)
 def byte_level(path: str, pattern: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     """Encoder and token bytes of a byte-level vocabulary file.
 
@@ -79,6 +81,7 @@ def byte_level(path: str, pattern: str) -> tuple[Callable[[str], np.ndarray], li
     return lambda text: np.array(held.encode(text, add_special_tokens=False).ids, dtype=np.int64), table
 
 
+@lru_cache(2)
 def pieces(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     """Encoder and token bytes of a sentence-piece model."""
     import sentencepiece
@@ -161,6 +164,7 @@ class Batch:
         return [b"".join(said[s:e])[:-1] for s, e in self.spans(self.upto_a + self.upto_b)]
 
 
+@lru_cache(4)
 def _marks(n: int, close: str) -> np.ndarray:
     out = np.empty(2 * n, dtype=object)
     out[:] = [b"%d," % x for x in range(n)] + [b"%d%b" % (x, close.encode()) for x in range(n)]
@@ -230,11 +234,9 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFra
     def start():
         context = TaskContext.get()
         block, gathered, size = (context.partitionId() if context else 0) << 32, [], 0
-        words: list = []
+        words = _marks(len(byte_level(a_path, pattern)[1]), "|"), _marks(len(pieces(b_path)[1]), ";")
 
         def told(ids, x):
-            if not words:
-                words.extend((_marks(int(n), close) for n, close in ((wide[0], "|"), (wide[1], ";"))))
             at_a, at_b = x.links()
             pair = (x.a[at_a] << 32) | x.b[at_b]
             known, pair = np.unique(pair, return_inverse=True)
@@ -257,7 +259,6 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFra
                 yield None, block, True, None, None, None, None, None, pair, times
                 block, size = block + 1, 0
 
-        wide = [len(byte_level(a_path, pattern)[1]), len(pieces(b_path)[1])]
         return _batches(a_path, b_path, pattern, told, lambda doc_id: (doc_id, None, False, 0, 0, 0, 0, "", [], []), after)
 
     return map_rows(docs, ["doc_id", "text"], _ALIGNED, start)

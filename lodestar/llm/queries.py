@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, html, licenses, mixing, neardup, quality, secrets, tiff, toxicity, warc
+from lodestar.llm import align, bpe, html, knn, licenses, mixing, neardup, quality, secrets, tiff, toxicity, trie, warc
 from lodestar.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,18 @@ def op10_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_order_minhash, op3_host_rules, op4_byte_bpe, op5_toxicity_gbt, op6_secret_links, op7_text_blocks, op8_pivotal_mix, op9_warc_shards, op10_license_positions)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES), public_tokenizers.PATTERN)
 
-ORACLES: dict[str, str] = {"op3_host_rules": quality.oracle(), "op9_warc_shards": warc.ORACLE}
+
+def op12_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(knn.quantized(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, 10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_order_minhash, op3_host_rules, op4_byte_bpe, op5_toxicity_gbt, op6_secret_links, op7_text_blocks, op8_pivotal_mix, op9_warc_shards, op10_license_positions, op11_token_alignment, op12_voronoi_top_k, op13_prefix_trie)}
+
+ORACLES: dict[str, str] = {"op3_host_rules": quality.oracle(), "op9_warc_shards": warc.ORACLE, "op12_voronoi_top_k": knn.ORACLE, "op13_prefix_trie": trie.ORACLE}
