@@ -19,10 +19,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store_of(spark: SparkSession, path: str):
+    """The file system of path, and path in it, as the JVM has them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = store_of(spark, path)
+    return store.exists(place)
+
+
 def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """write to a new folder beside path, then put it in the place of what stands at path.
 
-    If the write fails, what stood there is untouched.
+    If the write fails, what stood there is untouched.  Between two renames nothing
+    stands at path; what must be there at every moment is committed (sources/commits.py).
     """
     jvm = spark.sparkContext._jvm
     mark = uuid.uuid4().hex

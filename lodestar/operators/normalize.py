@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import classify
@@ -108,7 +108,7 @@ def canonical(code: Column) -> Column:
     """sh600519 as 600519.SH; null for a prefix that is not known."""
     prefix = F.lower(F.substring(code, 1, 2))
     suffix = F.coalesce(*[F.when(prefix == k, v) for k, v in EXCHANGES.items()])
-    return F.when(F.length(code) > 2, F.concat(F.substring(code, 3, 100), F.lit("."), suffix))
+    return F.when(F.length(code) > 2, F.concat(F.substring(code, F.lit(3), F.length(code)), F.lit("."), suffix))
 
 
 def code(entity: Column) -> Column:
@@ -121,32 +121,64 @@ def available_at(day: Column, zone: str = "Asia/Shanghai") -> Column:
     return F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day), F.lit(15), F.lit(0), F.lit(0), F.lit(zone))
 
 
-def table_cells(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, table_no, row_no, col_no, cell, header of the Markdown tables within texts.
+#: What ends a line of text, and what is blank within one.
+LINE_END = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+BLANKS = " \t\x1f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_b = f"[{BLANKS}]*+"
+_row = rf"{_b}\|[^\n]*+"
+_rule = rf"{_b}:*+-[:-]*+{_b}"
+#: A header line, the line of dashes below it, and all lines after these that begin with a bar.
+TABLE = rf"(?md)^{_row}\n{_b}\|?{_rule}(?:\|{_rule})*+\|?{_b}(?=\n|\z)(?:\n{_row})*+"
+#: **key** at the start of a line, and what follows the first colon after it.
+PAIR = rf"(?md)^{_b}\*\*((?:(?!\*\*)[^\n])*+)\*\*[^:\n]*+:([^\n]*+)"
+
+
+def _lines(text: Column) -> Column:
+    return F.regexp_replace(text, LINE_END, "\n")
+
+
+def _bare(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line, trimmed; one bar at its start and one at its end are not between cells."""
+    inner = F.regexp_replace(F.regexp_replace(_bare(line), r"^\|", ""), r"\|\z", "")
+    return F.transform(F.split(inner, r"\|", -1), _bare)
 
-    Lines of | cells | are islands; the first line of an island is its header
-    and a line of dashes is dropped.  A line that is wider or narrower than its header raises.
+
+def tables(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, table_no, columns, rows of the Markdown tables within texts, in order from 1; cells are verbatim.
+
+    A line that begins with a bar is a header only if the next line is a rule: cells of
+    dashes and colons, each with a dash.  Only that line is a rule; all lines after it that
+    begin with a bar are rows, rows of dashes or of blanks too, with or without a bar at
+    their end.  Other lines are prose.  A row that is wider or narrower than its header
+    raises.  Null texts have no tables.
     """
-    lines = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    is_row = F.trim("line").rlike(r"^\|.*\|$")
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines.withColumn("is_row", is_row).withColumn("new", F.col("is_row") & ~F.coalesce(F.lag(is_row).over(order), F.lit(False)))
-    rows = marked.withColumn("table_no", F.sum(F.col("new").cast("int")).over(order)).where("is_row").where(~F.trim("line").rlike(r"^[|:\- ]+$"))
-    inner = Window.partitionBy("doc_id", "table_no").orderBy("line_no")
-    cells = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
-    numbered = rows.withColumn("row_no", F.row_number().over(inner) - 1).withColumn("cells", cells)
-    heads = numbered.withColumn("head", F.first("cells").over(inner))
-    fits = F.when(F.size("cells") == F.size("head"), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("not as wide as its header: "), F.col("line"))))
-    exploded = heads.where("row_no > 0").select("doc_id", "table_no", "row_no", "head", F.posexplode(fits).alias("col_no", "cell"))
-    return exploded.select("doc_id", "table_no", "row_no", "col_no", F.trim("cell").alias("cell"), F.trim(F.get("head", "col_no")).alias("header"))
+    found = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(TABLE), F.lit(0))).alias("at", "table"))
+    lines = found.select("doc_id", (F.col("at") + 1).alias("table_no"), F.split("table", "\n", -1).alias("lines"))
+    split = lines.select("doc_id", "table_no", _cells(F.get("lines", F.lit(0))).alias("columns"), F.transform(F.slice("lines", F.lit(3), F.size("lines")), _cells).alias("rows"))
+    wrong = F.filter("rows", lambda r: F.size(r) != F.size("columns"))
+    told = F.concat(F.lit("not as wide as its header: "), F.array_join(F.get(wrong, F.lit(0)), " | "))
+    return split.withColumn("rows", F.when(F.size(wrong) == 0, F.col("rows")).otherwise(F.raise_error(told)))
+
+
+def table_cells(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, table_no, row_no, col_no, cell, header of the tables within texts; rows count from 1, columns from 0."""
+    rows = tables(texts, id_col=id_col, text_col=text_col).select("doc_id", "table_no", "columns", F.posexplode("rows").alias("at", "row"))
+    cells = rows.select("doc_id", "table_no", (F.col("at") + 1).alias("row_no"), "columns", F.posexplode("row").alias("col_no", "cell"))
+    return cells.select("doc_id", "table_no", "row_no", "col_no", "cell", F.get("columns", "col_no").alias("header"))
 
 
 def bold_pairs(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, value of **key**: value lines; of equal keys the last counts."""
-    keys = F.regexp_extract_all(text_col, F.lit(r"\*\*([^*\n]+)\*\*:[ ]*([^\n]*)"), F.lit(1))
-    values = F.regexp_extract_all(text_col, F.lit(r"\*\*([^*\n]+)\*\*:[ ]*([^\n]*)"), F.lit(2))
-    pairs = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("at", "p"))
-    return pairs.groupBy("doc_id", F.trim("p.k").alias("key")).agg(F.max_by(F.trim("p.v"), "at").alias("value"))
+    """doc_id, key, value of lines that begin with **key** and have a colon after it; of equal keys the last counts.
+
+    What stands between the key and the colon is left out; an empty key is none.
+    """
+    lines = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(PAIR), F.lit(0))).alias("at", "line"))
+    pairs = lines.select("doc_id", "at", *[_bare(F.regexp_extract("line", PAIR, n)).alias(c) for n, c in ((1, "key"), (2, "value"))])
+    return pairs.where("key <> ''").groupBy("doc_id", "key").agg(F.max_by("value", "at").alias("value"))
 
 
 def flatten_answer(answers: DataFrame, *, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:

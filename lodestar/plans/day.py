@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.functions.tables import settle
-from lodestar.operators import candidates, factors, market, qualify, scoring, universe
+from lodestar.operators import candidates, factors, lineage, market, qualify, scoring, universe
 from lodestar.plans import testbed
 
 #: Limits for the testbed's scale of amounts.
@@ -70,6 +70,16 @@ class Day:
     def results(self) -> DataFrame:
         return settle(scoring.results(self.panel, self.weights, self.members), "results")
 
+    @cached_property
+    def cited(self) -> DataFrame:
+        """results with the factors that they rest on, and versions."""
+        return settle(lineage.cite_factors(self.results, self.panel, self.weights), "cited")
+
+    @cached_property
+    def published(self) -> DataFrame:
+        """The candidates with their citations and lineage, as they are stored."""
+        return lineage.cite_results(self.candidates, self.qualified, self.cited)
+
     @cached_property
     def scored(self) -> DataFrame:
         return scoring.score(self.panel.join(self.members, "entity", "left_semi"), self.weights)

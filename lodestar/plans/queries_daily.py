@@ -9,25 +9,13 @@ from lodestar.functions import columns
 from lodestar.operators import candidates, discovery, factors, market, qualify, reports, scoring, universe
 from lodestar.plans import testbed
 from lodestar.plans.day import LIMITS, Day
-from lodestar.plans.oracles import sql
+from lodestar.plans.register import Register
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+register = Register()
+QUERIES, ORACLES = register.queries, register.oracles
 AS_OF = testbed.AS_OF
 
 
-def register(name: str, oracle: str | None):
-    """Register a function of a Day under name, with what it is held against."""
-
-    def wrap(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Day.of(spark, sf_dir))
-        if oracle is not None:
-            ORACLES[name] = sql(oracle)
-        return f
-
-    return wrap
-
-
 def r6(c: str | Column, name: str | None = None) -> Column:
     """A double to six places, as the oracles give it."""
     return F.round(c, 6).alias(name or c)

@@ -11,23 +11,11 @@ from lodestar.functions import tables
 from lodestar.operators import decisions, gates, lifecycle, normalize, validate
 from lodestar.plans import testbed
 from lodestar.plans.day import Day
-from lodestar.plans.oracles import sql
+from lodestar.plans.register import Register
 from lodestar.sources import landing
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None):
-    """Register a function of a Day under name, with what it is held against."""
-
-    def wrap(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Day.of(spark, sf_dir))
-        if oracle is not None:
-            ORACLES[name] = sql(oracle)
-        return f
-
-    return wrap
+register = Register()
+QUERIES, ORACLES = register.queries, register.oracles
 
 
 # landing

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import queries_daily, queries_data, queries_more
+from lodestar.plans import queries_daily, queries_data, queries_more, queries_records
 
-MODULES = (queries_daily, queries_data, queries_more)
+MODULES = (queries_daily, queries_data, queries_more, queries_records)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.tables import replace, settle
+from lodestar.functions.tables import exists, replace, settle, store_of
+from lodestar.sources import commits
 
 
 def scan(spark: SparkSession, path: str, entities: list | None = None, start: str | None = None, end: str | None = None, *, key: str = "entity", day: str = "trade_date") -> DataFrame:
@@ -30,9 +32,15 @@ def raw_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFra
     return df.where("_corrupt is null").drop("_corrupt"), df.where("_corrupt is not null").select("_corrupt")
 
 
-def single_value(df: DataFrame, column: str) -> DataFrame:
-    """One row: the value that all rows agree on, else null."""
-    return df.agg(F.when(F.min(column) == F.max(column), F.min(column)).alias(column))
+def single_value(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """The value that all rows agree on, else null: one row, or one for each of keys.
+
+    A null is a value like any other, so rows of which some hold one do not agree; nor
+    do rows that are not there, or a column that is not.
+    """
+    held = F.col(column) if column in df.columns else F.lit(None).cast("string")
+    same = (F.min(held) == F.max(held)) & (F.count(held) == F.count("*"))
+    return df.groupBy(*(keys or [])).agg(F.when(same, F.min(held)).alias(column))
 
 
 def latest_partition(df: DataFrame, as_of: str, column: str) -> DataFrame:
@@ -41,20 +49,84 @@ def latest_partition(df: DataFrame, as_of: str, column: str) -> DataFrame:
     return df.join(F.broadcast(newest), F.col(column) == F.col("_newest"), "left_semi")
 
 
-def merge(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with the rows of incoming's keys replaced, others appended; columns are the union of both, missing ones null."""
-    for df in (existing, incoming):
+def _need_keys(keys: list[str], *tables: DataFrame) -> None:
+    for df in tables:
         if absent := set(keys) - set(df.columns):
             raise ValueError(f"key columns are missing: {sorted(absent)}")
-    kept = existing.join(incoming.select(*keys).distinct(), keys, "left_anti")
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """a joined with b, whose key columns are named _k0, _k1 and so on; null keys are equal."""
+    return a.join(b, reduce(and_, [a[k].eqNullSafe(b[f"_k{n}"]) for n, k in enumerate(keys)]), how)
+
+
+def _renamed(df: DataFrame, keys: list[str]) -> list[Column]:
+    return [df[k].alias(f"_k{n}") for n, k in enumerate(keys)]
+
+
+def merge(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """existing with the rows of incoming's keys replaced, others appended; columns are the union of both, missing ones null.
+
+    A null in a key is a key like any other.  Rows of incoming that share a key all stay.
+    """
+    _need_keys(keys, existing, incoming)
+    kept = _null_safe(existing, incoming.select(*_renamed(incoming, keys)).distinct(), keys, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
+def merge_into(path: str, incoming: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """merge what stands at path, if anything, with incoming, and put it in its place: rows of incoming, and rows now there, both counted by the write itself."""
+    spark = incoming.sparkSession
+    written, total = Observation(), Observation()
+    seen = incoming.observe(written, F.count("*").alias("n"))
+    rows = merge(spark.read.parquet(path), seen, keys) if exists(spark, path) else seen
+    replace(spark, path, rows.observe(total, F.count("*").alias("n")).write.parquet)
+    return written.get["n"], total.get["n"]
+
+
+def upsert(log: DataFrame, runs: DataFrame, group: str, keys: list[str], order: str) -> DataFrame:
+    """log with runs taken in order: a run of a key that is there takes its row and keeps its position; others follow at the end of their group.
+
+    log has position, from 0 in each group; runs have not.  Of runs of equal keys the
+    last counts, at the place of the first.  Null keys are keys like any other.  A group
+    has a row for each key, a few stages a day, so its new ones are numbered together.
+    """
+    _need_keys([group, *keys], log, runs)
+    every = [group, *keys]
+    columns = [c for c in log.columns if c != "position"]
+    sent = runs.groupBy(*every).agg(F.max_by(F.struct(*columns), order).alias("_r"), F.min(order).alias("_first"))
+    sent = sent.select("_r", "_first", *_renamed(sent, every))
+    held = _null_safe(log.withColumn("_old", F.lit(True)), sent, every, "full_outer")
+    of = F.coalesce(F.col(f"{group}"), F.col("_k0"))
+    spread = Window.partitionBy("_of")
+    fresh = F.row_number().over(Window.partitionBy("_of", F.col("_old").isNull()).orderBy("_first"))
+    placed = held.withColumn("_of", of).withColumn("_next", F.coalesce(F.max("position").over(spread) + 1, F.lit(0)))
+    position = F.coalesce("position", (F.col("_next") + fresh - 1).cast("long"))
+    return placed.select(*[F.when(F.col("_r").isNotNull(), F.col(f"_r.{c}")).otherwise(F.col(c)).alias(c) for c in columns], position.alias("position"))
+
+
 def fold(parts: list[DataFrame]) -> DataFrame | None:
     """All parts as one table, columns in order of first sight; nothing gives None."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
+#: Labels whose value names the entity, or else the board, that a block of text is about.
+ENTITY_LABEL, BOARD_LABEL = "标的代码（统一输出字段名）", "板块代码"
+#: Fixed value: a label and the word after its colon.
+LABEL = r"(?U)\*\*([^*\n]+)\*\*\s*[:：]\s*(\S+)"
+
+
+def block_identity(kind: Column, content: Column) -> Column:
+    """What a block of text is about: its kind, and the entity that it names, else the board, else its whole content, of which a digest stands for it.
+
+    Of equal labels the last counts.
+    """
+    found = F.arrays_zip(F.regexp_extract_all(content, F.lit(LABEL), F.lit(1)).alias("label"), F.regexp_extract_all(content, F.lit(LABEL), F.lit(2)).alias("value"))
+    last = lambda label: F.try_element_at(F.filter(found, lambda x: x["label"] == label), F.lit(-1))["value"]
+    text = F.coalesce(content, F.lit(""))
+    return F.struct(F.coalesce(kind, F.lit("")).alias("kind"), F.coalesce(last(ENTITY_LABEL), last(BOARD_LABEL), F.concat(F.lit("sha256 "), F.sha2(text, 256))).alias("about"))
+
+
 def newest_blocks(blocks: DataFrame, identity: Column) -> DataFrame:
     """Of blocks(batch, seq, ...) of equal identity the one of the newest batch, in order of first sight."""
     marked = blocks.withColumn("identity", identity)
@@ -62,6 +134,17 @@ def newest_blocks(blocks: DataFrame, identity: Column) -> DataFrame:
     return best.select("identity", "first_seen", "b.*")
 
 
+def merge_blocks(existing: DataFrame, incoming: DataFrame, kind: str = "type", content: str = "content") -> DataFrame:
+    """existing with incoming's blocks of equal identity in the place of its own, others behind; position from first sight.
+
+    Both have position.  Columns are incoming's, then those that only existing has.
+    """
+    columns = [c for c in [*incoming.columns, *(c for c in existing.columns if c not in incoming.columns)] if c != "position"]
+    parts = [df.withColumns({"batch": F.lit(n), "seq": F.col("position")}).drop("position") for n, df in enumerate((existing, incoming))]
+    merged = newest_blocks(parts[0].unionByName(parts[1], allowMissingColumns=True), block_identity(F.col(kind), F.col(content)))
+    return merged.select(*columns, F.col("first_seen").alias("position"))
+
+
 def missing(requested: DataFrame, landed: DataFrame, day: str, *, key: str = "entity", column: str = "trade_date") -> DataFrame:
     """Requested entities without a landed row on day."""
     return requested.select(key).join(landed.where(F.col(column) == F.lit(day).cast("date")).select(key), key, "left_anti").distinct()
@@ -129,18 +212,33 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def write_snapshot(df: DataFrame, folder: str, kind: str, as_of: str) -> str:
     """Write df as the snapshot of kind and as_of: 'written', or 'same' if equal content is there. Different content raises; nothing is overwritten.
 
-    Concurrent writers of one snapshot are not guarded against.
+    Of several writers at once one is first; the others get 'same' or the error, as if
+    they had come later.  A writer that dies leaves no snapshot, and bars nobody.
     """
-    spark = df.sparkSession
-    path = f"{folder}/kind={kind}/as_of={as_of}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path + "/data/_SUCCESS")
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        if fingerprint(spark.read.parquet(path + "/data")).first().digest != fingerprint(df).first().digest:
-            raise ValueError(f"a different snapshot of {kind} at {as_of} is there")
-        return "same"
-    replace(spark, path + "/data", df.write.parquet)
-    return "written"
+    spark, path = df.sparkSession, f"{folder}/kind={kind}/as_of={as_of}"
+    held = commits.current(spark, path)
+    if held is None:
+        part = commits.stage(df, path, "data")
+        own = fingerprint(spark.read.parquet(f"{path}/{part}")).first().digest
+        if commits.create(spark, path, {"data": part}, digest=own):
+            return "written"
+        store, place = store_of(spark, f"{path}/{part}")
+        store.delete(place, True)
+        held = commits.current(spark, path)
+    else:
+        own = fingerprint(df).first().digest
+    if held["digest"] != own:
+        raise ValueError(f"a different snapshot of {kind} at {as_of} is there")
+    return "same"
+
+
+def snapshot_days(spark: SparkSession, folder: str, kind: str) -> list[str]:
+    """The days that have a snapshot of kind, in order: names of folders, a row for each day in a list."""
+    store, place = store_of(spark, f"{folder}/kind={kind}")
+    if not store.exists(place):
+        return []
+    days = [f.getPath().getName().removeprefix("as_of=") for f in store.listStatus(place) if f.isDirectory()]
+    return sorted(d for d in days if exists(spark, f"{folder}/kind={kind}/as_of={d}/{commits.CURRENT}"))
 
 
 def equivalence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
