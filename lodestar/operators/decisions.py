@@ -138,6 +138,11 @@ def _unit(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
+def volume_confirmation(stored: Column, now: Column) -> Column:
+    """How far volume confirms, 0 to 1: the stored ratio, without one that of the intraday overlay."""
+    return _unit(F.coalesce(stored, now))
+
+
 def _flag(c: Column) -> Column:
     return F.when(c, 1.0).when(c.isNotNull(), 0.0)
 
@@ -166,13 +171,18 @@ def _best(*strategies: str) -> Column:
     return F.max(F.when(F.col("strategy").isin(*strategies), F.col("rank_percentile")))
 
 
-def swing_ratios(evidence: DataFrame, qualified: DataFrame, results: DataFrame, validated: DataFrame, plans: DataFrame) -> DataFrame:
+def swing_ratios(evidence: DataFrame, qualified: DataFrame, results: DataFrame, validated: DataFrame, plans: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
     """entity and the dimensions of a swing, 0 to 1, null where what they rest on is missing.
 
     plans: entity, entry, stop, target, confirmed.  Support is the best percentile of
     a qualification, without any that of a strategy.  A reward of r times
-    the loss counts r / (1 + r).
+    the loss counts r / (1 + r).  overlays, entity and volume_ratio_now, stand in for a
+    volume ratio that is not stored.
     """
+    if overlays is None:
+        evidence = evidence.withColumn("volume_ratio_now", F.lit(None).cast("double"))
+    else:
+        evidence = evidence.join(overlays.select("entity", "volume_ratio_now"), "entity", "left")
     best = qualified.groupBy("entity").agg(F.max("rank_percentile").alias("_q"))
     other = results.groupBy("entity").agg(F.max("rank_percentile").alias("_s"))
     v = F.col("validation")
@@ -180,7 +190,7 @@ def swing_ratios(evidence: DataFrame, qualified: DataFrame, results: DataFrame,
     above = lambda c: F.when(F.col(c) > 0, 0.5).when(F.col(c).isNotNull(), 0.0)
     reward, loss = F.col("target") - F.col("entry"), F.col("entry") - F.col("stop")
     planned = plans.select("entity", F.when((reward > 0) & (loss > 0), reward / (reward + loss)).alias("risk_reward"), _flag(F.col("confirmed")).alias("key_level"))
-    rows = evidence.select("entity", (above("ret_20d") + above("ret_60d")).alias("stock_trend"), _unit(F.col("volume_ratio")).alias("volume_confirmation"), _flag(F.col("relative_strength") > 0).alias("relative_strength"))
+    rows = evidence.select("entity", (above("ret_20d") + above("ret_60d")).alias("stock_trend"), volume_confirmation(F.col("volume_ratio"), F.col("volume_ratio_now")).alias("volume_confirmation"), _flag(F.col("relative_strength") > 0).alias("relative_strength"))
     joined = rows.join(best, "entity", "left").join(other, "entity", "left").join(held, "entity", "left").join(planned, "entity", "left")
     return joined.withColumn("fundamental_support", F.coalesce("_q", "_s")).drop("_q", "_s")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,28 @@ def look_ahead(rows: DataFrame, as_of: str, known: str = "announce_date") -> Dat
     return rows.agg(F.count_if(F.col(known) > F.lit(as_of).cast("date")).alias("n"))
 
 
+def known_at(rows: DataFrame, as_of: str, known: str, keys: list[str]) -> DataFrame:
+    """rows, which raise where they are read or written if one was known only after as_of, or at no time: the error names its keys.
+
+    as_of is a time with its zone.  known is a timestamp, or text of one with its zone;
+    text without a zone raises as well, and a column of dates or of times without a zone
+    is refused at once.
+    """
+    zone = r"T?.*(Z|[+-]\d{2}:?\d{2})$"
+    if not re.search(zone, as_of):
+        raise ValueError(f"{as_of} has no zone")
+    kind = rows.schema[known].dataType.simpleString()
+    if kind not in ("timestamp", "string"):
+        raise ValueError(f"{known} is a {kind}, which has no zone")
+    moment = F.col(known).try_cast("timestamp")
+    naive = ~F.col(known).rlike(zone) if kind == "string" else F.lit(False)
+    told = F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys], F.coalesce(F.col(known).cast("string"), F.lit("null")))
+    wrong = F.when(moment.isNull(), "not a time").when(naive, "a time without a zone").when(moment > F.lit(as_of).cast("timestamp"), f"known after {as_of}")
+    stop = F.raise_error(F.concat(told, F.lit(": "), wrong)).cast("boolean")
+    # a filter is never pruned, so the rows cannot be used without the check
+    return rows.where(F.when(wrong.isNotNull(), stop).otherwise(True))
+
+
 def by_severity(issues: DataFrame) -> DataFrame:
     """severity, n, blocking."""
     named = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])

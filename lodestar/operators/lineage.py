@@ -121,6 +121,6 @@ def undeclared(candidates: DataFrame) -> DataFrame:
 
 
 def versions_of(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """kind, versions, n: the distinct versions of each column over all rows, in order, and how many rows have none. Versions are few; they are combined before the shuffle."""
-    parts = [rows.agg(_listed(F.collect_set(c)).alias("versions"), F.count_if(F.trim(F.coalesce(c, F.lit(""))) == "").alias("n")).select(F.lit(c).alias("kind"), "versions", "n") for c in columns]
+    """kind, versions, n: the distinct versions of each column over all rows, in order, and how many rows have none. A cell may list several. Versions are few; they are combined before the shuffle."""
+    parts = [rows.agg(_listed(F.flatten(F.transform(F.collect_set(c), lambda v: _parts(v)))).alias("versions"), F.count_if(F.trim(F.coalesce(c, F.lit(""))) == "").alias("n")).select(F.lit(c).alias("kind"), "versions", "n") for c in columns]
     return _union(parts)

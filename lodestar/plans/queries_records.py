@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import tables
-from lodestar.operators import artifacts, candidates, lineage, normalize
+from lodestar.operators import artifacts, bundle, candidates, decisions, gates, lifecycle, lineage, normalize, trades
+from lodestar.plans import testbed
 from lodestar.plans.day import VETO_BELOW, Day
 from lodestar.plans.register import Register
 from lodestar.sources import commits, files, landing
@@ -274,8 +275,6 @@ def _(d: Day):
 
 @register("o1_availability", "select entity, count(*) as n from (select *, entity % 3 as k, announce_date > date '2001-06-30' as late from observations) where k = 0 or (k = 1 and late) group by entity")
 def _(d: Day):
-    from lodestar.plans import testbed
-
     kind, known = F.col("entity") % 3, normalize.available_at(F.col("announce_date"), "UTC")
     ref = F.struct("metric", F.when(kind < 2, F.col("report_period")).alias("period"), F.when(kind == 1, known).alias("known_at"))
     rows = testbed.observations(d.spark, d.sf_dir).groupBy("entity", "report_period").agg(F.collect_list(ref).alias("refs"))
@@ -286,3 +285,150 @@ def _(d: Day):
 def _(d: Day):
     rows = d.view("region").select(F.when(F.col("r_name") == "ASIA", "BULL").otherwise(F.col("r_name")).alias("regime"))
     return artifacts.regime_rules(rows.unionByName(d.regime.select("regime").limit(0)))
+
+
+# trades
+
+
+#: Intents of many days: every fifth day of the month, at an hour that follows from the entity.
+_intent = "(select entity * 100000 + date_diff('day', date '1990-01-01', trade_date) as intent_id, entity, trade_date as as_of, cast(trade_date as timestamp) + to_hours(cast(entity % 24 as int)) as at, close, volume from bars where extract(day from trade_date) % 5 = 0 and trade_date >= date '1996-01-01')"
+#: What each day stored: returns of 20 bars, results of two strategies, candidates from 1997 on (in 1996 none is published) and overlays at 6 and at 12.
+_ret = "(select entity, trade_date, case when count(close) over w = 21 and first(close) over w <> 0 then close / first(close) over w - 1 end as ret from bars window w as (partition by entity order by trade_date rows between 20 preceding and current row))"
+
+
+def _intents(d: Day) -> DataFrame:
+    rows = d.view("bars").where("day(trade_date) % 5 = 0 and trade_date >= date '1996-01-01'")
+    at = F.timestamp_add("HOUR", (F.col("entity") % 24).cast("int"), F.col("trade_date").cast("timestamp"))
+    return rows.select((F.col("entity") * 100000 + F.datediff("trade_date", F.lit("1990-01-01").cast("date"))).alias("intent_id"), "entity", F.col("trade_date").alias("as_of"), at.alias("at"))
+
+
+def _contexts(d: Day) -> DataFrame:
+    from lodestar.operators.factors import panel_returns
+
+    bars, n, day = d.view("bars"), F.col("entity"), F.col("trade_date")
+    panel = panel_returns(bars).select(day.alias("as_of"), "entity", F.lit("ret_20d").alias("factor"), F.when(F.col("ret").isNull(), "NULL").otherwise("VALUE").alias("status"), F.col("ret").alias("raw_value"))
+    ratio = bars.where(n % 3 == 0).select(day.alias("as_of"), "entity", F.lit("volume_ratio").alias("factor"), F.when(n % 2 == 0, "VALUE").otherwise("STALE").alias("status"), (F.col("volume") / 10).alias("raw_value"))
+    both = F.explode(F.array(F.lit("value"), F.lit("garp")))
+    results = bars.where(n % 4 != 0).select(day.alias("as_of"), "entity", both.alias("strategy"), F.col("close").alias("score"), F.lit(0.5).alias("rank_percentile"))
+    chosen = bars.where((n % 5 == 0) & (day >= F.lit("1997-01-01").cast("date"))).select(day.alias("as_of"), "entity", F.lit("NEUTRAL").alias("validation"), F.lit("NO_SIGNAL").alias("signal"), F.lit("policy-2").alias("lineage"))
+    # a snapshot of candidates without rows is a snapshot
+    kinds = F.explode(F.when(day >= F.lit("1997-01-01").cast("date"), F.array(F.lit("factor"), F.lit("candidate"))).otherwise(F.array(F.lit("factor"))))
+    published = bars.select(day.alias("as_of")).distinct().select(F.col("as_of").alias("trade_date")).select(kinds.alias("kind"), day.alias("as_of"))
+    hour = F.explode(F.array(F.lit(6), F.lit(12)))
+    overlays = bars.where(n % 2 == 1).withColumn("hour", hour).select(
+        "entity", F.timestamp_add("HOUR", F.col("hour"), day.cast("timestamp")).alias("seen_at"), (F.col("close") / 1000).alias("stock_1d"), F.lit(0.01).alias("sector_1d"), F.lit(0.0).alias("benchmark_1d"),
+        (F.col("hour") == 12).alias("confirmed"), (F.col("volume") * F.col("hour")).alias("volume_ratio_now"), F.col("close").alias("price"),
+    )
+    return trades.context(_intents(d), panel.unionByName(ratio), results, chosen, overlays, published)
+
+
+@register("m2_contexts_of_days", f"""select i.intent_id, round(r.ret, 6) as ret_20d, case when i.entity % 4 <> 0 then 2 else 0 end as n_strategies, case when i.as_of < date '1997-01-01' then 'not_published' when i.entity % 5 = 0 then 'published' else 'not_selected' end as candidate_status,
+    case when i.as_of >= date '1997-01-01' and i.entity % 5 = 0 then 'NO_SIGNAL' end as signal, case when i.entity % 2 = 1 and i.entity % 24 >= 12 then 12 when i.entity % 2 = 1 and i.entity % 24 >= 6 then 6 end as seen_hour
+  from {_intent} i left join {_ret} r on r.entity = i.entity and r.trade_date = i.as_of""")
+def _(d: Day):
+    return _contexts(d).select("intent_id", F.round("ret_20d", 6).alias("ret_20d"), F.size("strategies").alias("n_strategies"), "candidate_status", "signal", F.hour("seen_at").alias("seen_hour"))
+
+
+@register("m5_volume_fallback", f"""select intent_id, round(greatest(0, least(1, coalesce(case when entity % 6 = 0 then volume / 10 end, case when entity % 2 = 1 and entity % 24 >= 12 then volume * 12 when entity % 2 = 1 and entity % 24 >= 6 then volume * 6 end))), 6) as volume_confirmation
+  from (select i.*, volume from {_intent} i) where entity % 6 = 0 or (entity % 2 = 1 and entity % 24 >= 6) union all select intent_id, null from {_intent} where not (entity % 6 = 0 or (entity % 2 = 1 and entity % 24 >= 6))""")
+def _(d: Day):
+    return _contexts(d).select("intent_id", F.round(decisions.volume_confirmation(F.col("volume_ratio"), F.col("volume_ratio_now")), 6).alias("volume_confirmation"))
+
+
+#: Evaluations, plans, overrides and executions of orders; a third of the references are wrong.
+_ev = "(select o_orderkey as id, case when o_orderstatus = 'F' then 'PASS' else 'WAIT' end as decision, o_totalprice as proposed from orders where o_orderkey % 7 <> 0)"
+
+
+def _traded(d: Day) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    o, k = d.view("orders"), F.col("o_orderkey")
+    evaluations = o.where(k % 7 != 0).select(k.alias("id"), F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("WAIT").alias("decision"), F.col("o_totalprice").alias("proposed"))
+    of = F.when(k % 3 == 0, k + 1).otherwise(k)  # every third belongs to another evaluation
+    plans = o.where(k % 5 != 0).select((-k).alias("id"), of.alias("evaluation_id"))
+    overrides = o.select(
+        (-k).alias("id"), of.alias("evaluation_id"), F.when(k % 11 == 0, " ").otherwise("r").alias("reason"), F.when(k % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("e"))).alias("evidence"),
+        F.when(k % 17 != 0, "s").alias("stop_rule"), (k % 19 != 0).alias("acknowledged"), (k % 12).cast("int").alias("fomo"), F.lit(100000.0).alias("cap"),
+    )
+    kind = k % 4
+    executions = o.select(
+        k.alias("id"), k.alias("evaluation_id"), F.when((kind == 0) | (kind == 2), -k).alias("plan_id"), F.when((kind == 1) | (kind == 2), -k).alias("override_id"),
+        F.when(k % 23 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("price"), F.when(k % 29 != 0, 1).alias("quantity"),
+    )
+    return evaluations, plans, overrides, executions
+
+
+@register("m12_overrides_and_evaluations", f"""select * from (with o as (select -o_orderkey as id, o_orderkey as k, case when o_orderkey % 3 = 0 then o_orderkey + 1 else o_orderkey end as ev from orders), j as (select o.*, e.id as there, proposed from o left join {_ev} e on e.id = o.ev)
+  select id, 'EVALUATION' as rule, cast(ev as varchar) as refers_to from j where there is null union all select id, 'CAP', cast(ev as varchar) from j where there is not null and not (100000 < proposed)
+  union all select id, 'REASON', cast(ev as varchar) from j where k % 11 = 0 union all select id, 'EVIDENCE', cast(ev as varchar) from j where k % 13 = 0 union all select id, 'STOP', cast(ev as varchar) from j where k % 17 = 0
+  union all select id, 'FOMO', cast(ev as varchar) from j where k % 12 = 11 union all select id, 'NOT_ACKNOWLEDGED', cast(ev as varchar) from j where k % 19 = 0)""")
+def _(d: Day):
+    evaluations, _, overrides, _ = _traded(d)
+    return trades.override_findings(overrides, evaluations)
+
+
+@register("m12_executions_and_references", f"""select * from (with x as (select o_orderkey as k, o_orderkey % 4 as kind, e.id as there, decision, (o_orderkey % 5 = 0 or o_orderkey % 3 = 0) as no_plan, o_orderkey % 3 = 0 as no_override from orders left join {_ev} e on e.id = o_orderkey)
+  select k as id, 'EVALUATION' as rule, cast(k as varchar) as refers_to from x where there is null union all select k, 'ONE_OF', cast(k as varchar) from x where kind in (2, 3)
+  union all select k, 'FILL', cast(k as varchar) from x where k % 23 = 0 or k % 29 = 0 union all select k, 'NOT_PASSED', cast(k as varchar) from x where kind = 0 and there is not null and decision <> 'PASS'
+  union all select k, 'PLAN', cast(-k as varchar) from x where kind = 0 and no_plan union all select k, 'OVERRIDE', cast(-k as varchar) from x where kind = 1 and no_override)""")
+def _(d: Day):
+    evaluations, plans, overrides, executions = _traded(d)
+    return trades.execution_findings(executions, evaluations, plans, overrides)
+
+
+# expected against stored
+
+
+_kinds = ["candidate", "factor", "regime", "strategy"]
+
+
+@register("n4_missing_kinds", """select * from (with w as (select distinct cast(o_orderdate as date) as day, case o_orderkey % 5 when 0 then 'candidate' when 1 then 'factor' when 2 then 'regime' when 3 then 'strategy' end as kind from orders),
+    l as (select cast(o_orderdate as date) as day, o_orderpriority as stage, case o_orderkey % 9 when 0 then 'FAILED' when 1 then 'BLOCKED' else 'SUCCESS' end as status from orders where o_orderkey % 3 = 0),
+    h as (select day, string_agg(kind, ',' order by kind) as written, count(kind) as n from w where kind is not null group by day),
+    r as (select day, string_agg(distinct stage, ',' order by stage) filter (status = 'BLOCKED') as blocked, string_agg(distinct stage, ',' order by stage) filter (status = 'FAILED') as failed, bool_and(status = 'SUCCESS') as fine from l group by day)
+  select coalesce(h.day, r.day) as day, coalesce(written, '') as written, coalesce((select string_agg(k, ',' order by k) from (select unnest(['candidate', 'factor', 'regime', 'strategy']) as k) where not list_contains(string_split(coalesce(written, ''), ','), k)), '') as missing,
+    coalesce(blocked, '') as blocked, coalesce(failed, '') as failed, coalesce(fine, false) and coalesce(n, 0) = 4 as complete from h full join r on r.day = h.day)""")
+def _(d: Day):
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate").alias("day")
+    o = d.view("orders")
+    written = o.select(F.get(F.array(*[F.lit(x) for x in _kinds]), (k % 5).cast("int")).alias("kind"), day)
+    log = o.where(k % 3 == 0).select(day, F.col("o_orderpriority").alias("stage"), F.when(k % 9 == 0, "FAILED").when(k % 9 == 1, "BLOCKED").otherwise("SUCCESS").alias("status"))
+    out = lifecycle.snapshot_report(written, _kinds, log)
+    return out.select("day", *[F.array_join(c, ",").alias(c) for c in ("written", "missing", "blocked", "failed")], "complete")
+
+
+@register("b13_bundle", """select * from (with b as (select entity, trade_date, case when entity % 9 = 0 then 'x' else cast(close as varchar) end as cell from bars where trade_date <= date '2001-06-30')
+  select 'bars' as part, count(*) as n from b where cell <> 'x' union all select 'securities', count(*) from securities where entity % 2 = 0 union all select 'observations', count(*) from observations where metric = 'roe_ttm' and announce_date <= date '2001-06-30' and value is not null
+  union all select 'failures', (select count(*) from bars where entity % 9 = 0) + (select count(*) from securities where entity % 2 = 1) union all select 'pending', count(*) from observations where metric = 'roe_ttm' and announce_date > date '2001-06-30' and value is not null
+  union all select 'absent balance', 1 union all select 'absent cash', 1)""")
+def _(d: Day):
+    root, text = tables.fresh_path(d.spark, "raw"), lambda c: F.col(c).cast("string").alias(c)
+    row = F.monotonically_increasing_id().alias("row")
+    close = F.when(F.col("entity") % 9 == 0, "x").otherwise(F.col("close").cast("string"))
+    d.view("bars").select(row, text("entity"), text("trade_date"), close.alias("close"), *[text(c) for c in ("open", "high", "low", "volume", "amount")]).write.parquet(f"{root}/bars.parquet")
+    flags = {"is_st": F.lit("no"), "is_delisting": F.when(F.col("entity") % 2 == 1, "perhaps").otherwise("no"), "suspended_days": F.lit("")}
+    d.view("securities").select(row, text("entity"), F.lit("n").alias("name"), text("exchange"), text("list_date"), *[c.alias(n) for n, c in flags.items()]).write.parquet(f"{root}/securities.parquet")
+    rows = testbed.observations(d.spark, d.sf_dir).where("metric = 'roe_ttm' and value is not null").select(row, text("entity"), text("report_period"), text("announce_date"), F.col("value").cast("string").alias("roe"))
+    rows.write.parquet(f"{root}/income.parquet")
+    rows.limit(0).write.parquet(f"{root}/cash.parquet")
+    metrics = {"roe": ("roe_ttm", "percent")}
+    b = bundle.assemble(d.spark, root, f"{d.as_of} 23:00:00+00:00", {"balance": metrics, "cash": metrics, "income": metrics})
+    count = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    parts = [count(b.bars, "bars"), count(b.securities, "securities"), count(b.observations, "observations"), count(b.failures, "failures"), b.pending.select(F.lit("pending").alias("part"), "n")]
+    for name in b.absent:
+        parts.append(d.spark.range(1).select(F.lit(f"absent {name}").alias("part"), F.lit(1).cast("long").alias("n")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("c5_guarded_rows", "select metric, count(*) as n, true as late_refused from observations where announce_date <= date '2001-06-30' group by metric")
+def _(d: Day):
+    rows = testbed.observations(d.spark, d.sf_dir).withColumn("known_at", normalize.available_at(F.col("announce_date")))
+    moment, keys = f"{d.as_of}T23:59:59+08:00", ["entity", "metric", "report_period"]
+    early = rows.where(F.col("announce_date") <= F.lit(d.as_of).cast("date"))
+    try:
+        gates.known_at(rows, moment, "known_at", keys).write.format("noop").mode("overwrite").save()
+        refused = False
+    except Exception as e:  # noqa: BLE001
+        refused = "known after" in str(e)
+    return gates.known_at(early, moment, "known_at", keys).groupBy("metric").agg(F.count("*").alias("n"), F.lit(refused).alias("late_refused"))

@@ -6,7 +6,9 @@ import csv
 import hashlib
 import io
 import json
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -104,7 +106,8 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*", envelope: st
     rows of another width, no such format), or other_shape (JSON without a list of
     records); else the state is opaque.  A file of more than WHOLE bytes is read in
     blocks for its digest, through Arrow's file systems, and is large.  One that changes
-    while it is read raises.  Hidden files (. and _) are left out, as Spark does.
+    while it is read raises.  Hidden files (. and _) are left out, as Spark does; of a
+    file of 0 bytes modified is null.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     listed = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
@@ -141,8 +144,11 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*", envelope: st
 
     send_package(spark.sparkContext)
     shape: StructType = _parse_datatype_string(_INSPECTED)
+    # Spark reads no files of 0 bytes, but has listed them
+    every = spark.createDataFrame([(re.sub("^file:///", "file:/", unquote(p)),) for p in files.inputFiles()], "path string")
+    hollow = every.join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("timestamp").alias("modified"), F.lit(b"").alias("content"))
     # one file after the other; Arrow's batches would hold many contents at once
-    return sent.repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(run, shape)
+    return sent.unionByName(hollow).repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(run, shape)
 
 
 def roots(spark: SparkSession, folder: str, names: list[str], pattern: str = "*") -> DataFrame:

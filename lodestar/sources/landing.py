@@ -241,6 +241,12 @@ def snapshot_days(spark: SparkSession, folder: str, kind: str) -> list[str]:
     return sorted(d for d in days if exists(spark, f"{folder}/kind={kind}/as_of={d}/{commits.CURRENT}"))
 
 
+def published(spark: SparkSession, folder: str, kinds: list[str]) -> DataFrame:
+    """kind, as_of of every snapshot that is there, of the given kinds: names of folders, few for each day."""
+    rows = [(k, d) for k in kinds for d in snapshot_days(spark, folder, k)]
+    return spark.createDataFrame(rows, "kind string, as_of string").withColumn("as_of", F.col("as_of").cast("date"))
+
+
 def equivalence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """check, a_value, b_value, same: rows, duplicate keys, nulls and zeros of each column, rows only on one side."""
     columns = [c for c in a.columns if c in b.columns]
