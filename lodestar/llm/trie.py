@@ -153,8 +153,10 @@ def roll_up(items: DataFrame, height: int = HEIGHT) -> DataFrame:
 
     items: conv_id, depth, node, rep, leaves, saved, a row for each node of each path.
     rep marks the path of a node's smallest member, and its row has the node's own
-    values, other rows none.
+    values, other rows none.  height is at least 2, else bands would not get fewer.
     """
+    if height < 2:
+        raise ValueError("a band has at least two depths")
     band = F.floor(F.col("depth") / height).cast("long")
     held = F.struct("depth", "node", "rep", "leaves", "saved")
     by_band = items.groupBy("conv_id", band.alias("band")).agg(F.sort_array(F.collect_list(held)).alias("path"))  # up to height of them
