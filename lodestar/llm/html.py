@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks.
 
 A page is a sequence of text blocks.  A block is known by its words, its link
-density, those of the blocks beside it, and the kind of region it stands in.  A
-decision tree, trained on the small labelled table below, says which blocks are
-the article's.  A page is read once, from start to end, whatever tags are missing.
+density, those of the blocks beside it, the kind of element it stands in and what
+names of classes hint at.  A decision tree, trained on the small labelled table below,
+says which blocks are the article's.  A page is read once, from start to end, whatever
+tags are missing.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ DROPPED = frozenset("script style noscript template svg iframe head title textar
 AROUND = frozenset("nav footer aside form dialog menu".split())
 ARTICLE = frozenset("article main".split())
 BOXES = AROUND | ARTICLE | frozenset("header section div ul ol table body figure details p span".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|disqus|replies|reply|respond|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip|tags)(?:[\s_-]|$)",
-    re.I,
+#: Words of class names and ids that speak of something beside the article, those of them that speak of texts of others, and words that add nothing to such a name.
+HINTS = frozenset(
+    """ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus replies reply respond menu nav navbar
+    navigation breadcrumb breadcrumbs sidebar side footer foot masthead topbar toolbar share sharing social related recommended newsletter subscribe signup login search widget pagination pager skip tags""".split()
 )
+OTHER_HINTS = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus replies reply respond newsletter subscribe signup".split())
+FILLERS = frozenset("area bar block body box container content form group holder inner item items left link links list main message outer panel post posts right section slot text top unit widget wrap wrapper".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
 #: Of these, what holds texts of others, so that an article in it is none of the page's.
 OTHERS = frozenset("aside footer dialog complementary contentinfo alert alertdialog".split())
-OTHER_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|disqus|replies|reply|respond|related|recommended)(?:[\s_-]|$)", re.I)
 BODY_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text)(?:[\s_-]|$)", re.I)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -42,15 +45,36 @@ _SPACES = re.compile(r"\s+")
 #: The end of a form, and what shows that a form goes round a page.
 _FORM_END = re.compile("</form", re.I)
 _PAGE_PART = re.compile(r"""<(?:article|main|nav|header|footer|aside)\b|role=["']?main\b|\b__VIEWSTATE\b""", re.I)
-#: Region of a block: in something around the article, unknown, in the article. OTHER, texts of others, is AWAY in a block.
+#: Place of a block by its elements: in something around the article, unknown, in the article. OTHER, texts of others, is AWAY in a block.
 OTHER, AWAY, UNKNOWN, INSIDE = -2, -1, 0, 1
+#: Hint of a block by names of classes and ids: none, a part of a name (or, within an article, a name that may be the article's own), a whole name.
+NONE, PART, NAME = 0, 1, 2
 
 
-def _region(tag: str, attributes: str, outer: int, wraps: bool = False, release: bool = False) -> int:
-    """The region that an element opens within the region outer.
+@functools.lru_cache(4096)
+def _hint(about: str) -> tuple[int, bool]:
+    """The hint of a list of class names, and whether it speaks of texts of others.
 
-    wraps: a form round the page.  release: articles count within OTHER as well.
+    related-work and search-engine-basics hold a hint as a part; comments, ad-slot and
+    cookie-notice are nothing else.
     """
+    found, others = NONE, False
+    for name in about.split():
+        parts = [p.rstrip("0123456789") for p in re.split(r"[_-]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())]
+        told = [p for p in parts if p in HINTS]
+        if told:
+            whole = all(p in HINTS or p in FILLERS or not p for p in parts)
+            found = max(found, NAME if whole else PART)
+            others = others or (whole and any(p in OTHER_HINTS for p in told))
+    return found, others
+
+
+def _region(tag: str, attributes: str, outer: tuple[int, int], wraps: bool = False, release: bool = False) -> tuple[int, int]:
+    """Place and hint that an element opens within those outer.
+
+    wraps: a form round the page.  release: articles count within texts of others as well.
+    """
+    place, hint = outer
     about, role, hidden = "", "", False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -61,30 +85,35 @@ def _region(tag: str, attributes: str, outer: int, wraps: bool = False, release:
         elif (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display:\s*none", value)):
             hidden = True
     if hidden:
-        return OTHER
+        return OTHER, hint
     if tag == "main" or role == "main":
-        return INSIDE
-    if tag in OTHERS or role in OTHERS or (tag != "body" and not wraps and OTHER_HINT.search(about)):
+        return INSIDE, NONE
+    own, others = _hint(about) if about and tag != "body" and not wraps else (NONE, False)
+    if tag in OTHERS or role in OTHERS or others:
         # an article's own hint holds in any case
-        return OTHER
+        return OTHER, max(hint, own)
     if (tag == "article" and role not in ROLES) or role == "article":
-        return INSIDE if release or outer != OTHER else OTHER
-    if tag != "body" and not wraps and (tag in AROUND or role in ROLES or HINT.search(about)):
-        return min(outer, AWAY)
-    if tag == "header" and outer != INSIDE:
-        return min(outer, AWAY)
-    if outer > AWAY and tag in ("div", "section") and BODY_HINT.search(about):
-        return INSIDE
-    return outer
-
-
-def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]]:
-    """Text, words, link density and region of each block with a word, in page order."""
-    found: list[tuple[str, int, float, int]] = []
+        return (INSIDE, NONE) if release or place != OTHER else outer
+    if tag != "body" and not wraps and (tag in AROUND or role in ROLES):
+        return min(place, AWAY), max(hint, own)
+    if tag == "header" and place != INSIDE:
+        return min(place, AWAY), max(hint, own)
+    if place > AWAY and hint < NAME and own < NAME and tag in ("div", "section") and BODY_HINT.search(about):
+        return INSIDE, own
+    # within an article a name like side or alert may be of its own parts
+    return place, max(hint, PART if own and place == INSIDE else own)
+
+
+Block = tuple[str, int, float, int, int]
+
+
+def blocks(page: str, release: bool = False) -> list[Block]:
+    """Text, words, link density, place and hint of each block with a word, in page order."""
+    found: list[Block] = []
     text: list[str] = []
     linked, links, at, size = 0, 0, 0, len(page)
-    stack: list[tuple[str, int]] = []
-    region = UNKNOWN
+    stack: list[tuple[str, tuple[int, int]]] = []
+    region = UNKNOWN, NONE
     form_end = page_part = -1
     opened: dict[str, int] = {}
     endless: set[str] = set()
@@ -96,7 +125,7 @@ def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]
             text.clear()
             if joined:
                 n = joined.count(" ") + 1
-                found.append((joined, n, min(1.0, linked / n), max(region, AWAY)))
+                found.append((joined, n, min(1.0, linked / n), max(region[0], AWAY), region[1]))
         linked = 0
 
     while at < size:
@@ -165,44 +194,68 @@ def blocks(page: str, release: bool = False) -> list[tuple[str, int, float, int]
     return found
 
 
-def features(found: list[tuple[str, int, float, int]]) -> np.ndarray:
-    """A row for each block: words, link density, these of the block before and after, region."""
-    own = np.array([(n, d) for _, n, d, _ in found], float).reshape(-1, 2)
+def features(found: list[Block]) -> np.ndarray:
+    """A row for each block: words, link density, these of the block before and after, place, hint."""
+    if not found:
+        return np.zeros((0, 8))
+    own = np.array([(n, d) for _, n, d, _, _ in found], float)
     edge = np.zeros((1, 2))
-    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), np.array([r for *_, r in found], float).reshape(-1, 1)]) if len(own) else np.zeros((0, 7))
+    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), np.array([b[3:] for b in found], float)])
+
 
+#: What the labelled table calls its blocks: the elements that they stand in, from outer to inner.
+PLACES = {
+    "art": "<article>", "main": "<main>", "side": '<article><div class="side">', "work": '<article><section class="related-work">', "alert": '<article><div class="alert alert-info">', "rel": '<article><ul class="related">',
+    "share": '<div class="share-page">', "body": '<div class="share-page"><div class="content">', "basics": '<div class="search-engine-basics entry">', "open": '<div class="page nav-open">',
+    "inad": '<article><div class="ad">', "ad": '<div class="ad">', "promo": '<div class="promo-box">', "com": '<section class="comments">', "com1": '<div id="comment-list"><div class="text">', "note": '<div id="cookie-notice">',
+    "warn": '<div class="notice">', "bar": '<div class="sidebar">', "soc": '<div class="social-links">', "rec": '<div class="related">', "hid": '<div style="display:none">',
+}
 
-#: The labelled table: pages of blocks, each with its element, words, linked words and whether it is the article's.
+#: The labelled table: pages of blocks, each with its place (of PLACES, else an element), words, linked words and whether it is the article's.
 LABELLED = (
-    (("nav", 1, 1, 0), ("nav", 2, 2, 0), ('div class="ad"', 9, 0, 0), ("article", 8, 0, 1), ("article", 60, 0, 1), ("article", 1, 0, 1), ("article", 45, 3, 1), ("article", 2, 0, 1), ("footer", 7, 0, 0)),
-    (("header", 4, 0, 0), ("nav", 1, 1, 0), ("main", 5, 0, 1), ("main", 30, 1, 1), ("main", 6, 6, 1), ("aside", 40, 2, 0), ("main", 3, 0, 1), ('div class="comments"', 25, 0, 0), ('div class="comments"', 3, 1, 0)),
+    (("nav", 1, 1, 0), ("nav", 2, 2, 0), ("ad", 9, 0, 0), ("art", 8, 0, 1), ("art", 60, 0, 1), ("art", 1, 0, 1), ("inad", 30, 0, 0), ("art", 45, 3, 1), ("art", 2, 0, 1), ("footer", 7, 0, 0)),
+    (("header", 4, 0, 0), ("nav", 1, 1, 0), ("main", 5, 0, 1), ("main", 30, 1, 1), ("main", 6, 6, 1), ("aside", 40, 2, 0), ("main", 3, 0, 1), ("com", 25, 0, 0), ("com", 3, 1, 0), ("com", 300, 2, 0)),
     (("div", 1, 1, 0), ("div", 2, 2, 0), ("div", 1, 1, 0), ("div", 7, 0, 1), ("div", 55, 1, 1), ("div", 80, 0, 1), ("div", 3, 0, 1), ("div", 35, 2, 1), ("div", 3, 3, 0), ("div", 2, 2, 0)),
-    (('div id="cookie-notice"', 22, 1, 0), ("form", 3, 0, 0), ("td", 1, 1, 0), ("td", 2, 2, 0), ("td", 6, 0, 1), ("td", 90, 2, 1), ("td", 20, 1, 1), ("td", 4, 0, 1), ("td", 70, 4, 1), ("td", 5, 4, 0), ("footer", 30, 4, 0)),
-    (("aside", 30, 0, 0), ("aside", 12, 0, 0), ("article", 4, 4, 1), ("article", 2, 2, 1), ("article", 9, 8, 1), ("article", 1, 1, 1), ("article", 12, 6, 1), ("footer", 11, 0, 0), ("footer", 50, 0, 0)),
-    (("form", 6, 0, 0), ("main", 3, 3, 1), ("main", 10, 10, 1), ("main", 2, 1, 1), ("main", 5, 5, 1), ("aside", 18, 0, 0), ("aside", 70, 1, 0), ('div class="advert"', 16, 0, 0)),
-    (("nav", 3, 3, 0), ("div", 12, 0, 1), ("div", 40, 0, 1), ('div class="related"', 14, 12, 0), ('div class="related"', 9, 9, 0), ("div", 3, 2, 0), ("div", 5, 5, 0)),
+    (("note", 22, 1, 0), ("note", 100, 0, 0), ("form", 3, 0, 0), ("td", 1, 1, 0), ("td", 2, 2, 0), ("td", 6, 0, 1), ("td", 90, 2, 1), ("td", 20, 1, 1), ("td", 4, 0, 1), ("td", 70, 4, 1), ("td", 5, 4, 0), ("footer", 30, 4, 0)),
+    (("aside", 30, 0, 0), ("aside", 120, 0, 0), ("art", 4, 4, 1), ("art", 2, 2, 1), ("art", 9, 8, 1), ("art", 1, 1, 1), ("art", 12, 6, 1), ("footer", 11, 0, 0), ("footer", 150, 0, 0)),
+    (("form", 6, 0, 0), ("form", 90, 0, 0), ("main", 3, 3, 1), ("main", 10, 10, 1), ("main", 2, 1, 1), ("main", 5, 5, 1), ("aside", 18, 0, 0), ("aside", 70, 1, 0), ("promo", 16, 0, 0), ("promo", 220, 3, 0)),
+    (("nav", 3, 3, 0), ("div", 12, 0, 1), ("div", 40, 0, 1), ("rec", 14, 12, 0), ("rec", 9, 9, 0), ("rec", 60, 0, 0), ("div", 3, 2, 0), ("div", 5, 5, 0)),
     (("div", 2, 2, 0), ("div", 4, 0, 0), ("div", 3, 3, 0), ("div", 2, 2, 0), ("div", 5, 0, 0), ("div", 1, 1, 0), ("div", 6, 5, 0), ("div", 2, 2, 0)),
+    (("div", 1, 1, 0), ("div", 60, 0, 1), ("div", 3, 0, 1), ("div", 40, 0, 1), ("div", 2, 2, 0), ("div", 1, 1, 0)),
+    (("div", 2, 2, 0), ("div", 45, 1, 1), ("div", 2, 0, 1), ("div", 90, 0, 1), ("div", 1, 0, 1), ("div", 30, 1, 1), ("div", 3, 3, 0)),
+    (("div", 1, 1, 0), ("div", 2, 0, 0), ("div", 3, 0, 0), ("div", 70, 0, 1), ("div", 4, 0, 1), ("div", 50, 2, 1), ("div", 90, 0, 1), ("div", 1, 0, 0), ("div", 2, 0, 0)),
     (("div", 40, 38, 0), ("div", 25, 25, 0), ("div", 60, 0, 1), ("div", 3, 0, 1), ("div", 45, 12, 1), ("div", 5, 0, 1), ("div", 90, 31, 1), ("div", 12, 0, 1), ("div", 30, 29, 0), ("div", 20, 19, 0)),
     (("div", 9, 9, 0), ("div", 4, 0, 1), ("div", 22, 1, 1), ("div", 6, 0, 1), ("div", 2, 0, 1), ("div", 15, 1, 1), ("div", 70, 65, 0), ("div", 35, 33, 0), ("div", 6, 0, 0), ("div", 50, 48, 0)),
     (("p", 3, 0, 1), ("p", 28, 6, 1), ("p", 7, 1, 1), ("p", 4, 1, 1), ("p", 33, 15, 1), ("p", 100, 96, 0), ("p", 18, 17, 0), ("p", 5, 0, 0), ("p", 19, 18, 0)),
     (("td", 2, 2, 0), ("td", 8, 0, 0), ("td", 3, 3, 0), ("td", 2, 2, 0), ("td", 30, 0, 1), ("td", 4, 0, 1), ("td", 60, 0, 1), ("td", 1, 1, 0), ("td", 3, 0, 0), ("td", 2, 2, 0)),
-    (("article", 2, 2, 1), ("article", 4, 0, 1), ("article", 3, 3, 1), ("article", 2, 2, 1), ("article", 5, 0, 1), ("article", 1, 1, 1), ("article", 6, 1, 1), ("article", 2, 2, 1), ("article", 8, 0, 1), ("article", 3, 3, 1), ("article", 3, 0, 1), ("article", 2, 2, 1)),
-    (('div class="page nav-open"', 3, 3, 0), ('div class="page nav-open"', 100, 0, 1), ('div class="page nav-open"', 140, 4, 1), ('div class="page nav-open"', 90, 1, 1), ('div class="page nav-open"', 110, 100, 0), ("footer", 8, 2, 0)),
+    (("art", 2, 2, 1), ("art", 4, 0, 1), ("art", 3, 3, 1), ("art", 2, 2, 1), ("art", 5, 0, 1), ("art", 1, 1, 1), ("art", 6, 1, 1), ("art", 2, 2, 1), ("art", 8, 0, 1), ("art", 3, 3, 1), ("art", 3, 0, 1), ("art", 2, 2, 1)),
+    (("open", 3, 3, 0), ("open", 100, 0, 1), ("open", 140, 4, 1), ("open", 90, 1, 1), ("open", 110, 100, 0), ("footer", 8, 2, 0)),
+    (("art", 6, 0, 1), ("side", 30, 0, 1), ("side", 5, 0, 1), ("work", 60, 4, 1), ("work", 12, 3, 1), ("alert", 20, 1, 1), ("alert", 100, 0, 1), ("rel", 8, 8, 0), ("rel", 6, 6, 0), ("rel", 10, 9, 0), ("art", 40, 1, 1)),
+    (("share", 2, 2, 0), ("share", 3, 3, 0), ("body", 60, 0, 1), ("body", 6, 1, 1), ("body", 25, 3, 1), ("share", 4, 4, 0), ("com1", 80, 0, 0), ("com1", 20, 1, 0), ("hid", 90, 0, 0)),
+    (("bar", 100, 2, 0), ("bar", 10, 9, 0), ("basics", 60, 1, 1), ("basics", 4, 0, 1), ("basics", 45, 5, 1), ("warn", 100, 0, 0), ("warn", 30, 1, 0), ("soc", 5, 5, 0), ("soc", 20, 4, 0)),
+    (("com", 20, 0, 0), ("com", 60, 0, 0), ("com", 100, 1, 0), ("com", 180, 0, 0), ("ad", 40, 0, 0), ("ad", 120, 2, 0), ("ad", 300, 0, 0), ("art", 25, 0, 1), ("art", 110, 2, 1), ("hid", 30, 0, 0), ("hid", 200, 0, 0)),
 )
 
 
+def labelled_page(page: tuple) -> tuple[str, list[int]]:
+    """A page of the labelled table as HTML, and its blocks' labels."""
+    made = []
+    for place, n, linked, _ in page:
+        opened = PLACES.get(place, f"<{place}>")
+        closed = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened)))
+        made.append(f"{opened}<a>{'w ' * linked}</a>{'w ' * (n - linked)}{closed}")
+    return "".join(made), [keep for *_, keep in page]
+
+
 @functools.cache
-def tree() -> tuple:
-    """The tree fitted to LABELLED: nested (feature, border, low, high), or a leaf, 0 or 1."""
+def tree(columns: tuple[int, ...] = tuple(range(8)), depth: int = 6) -> tuple:
+    """The tree fitted to LABELLED on some of the features: nested (feature, border, low, high), or a leaf, 0 or 1."""
     rows, labels = [], []
     for page in LABELLED:
-        made = []
-        for element, n, linked, keep in page:
-            tag = element.split()[0]
-            made.append(f"<{element}><a>{'w ' * linked}</a>{'w ' * (n - linked)}</{tag}>")
-            labels.append(keep)
-        rows.append(features(blocks("".join(made))))
-    return grow(np.vstack(rows), np.array(labels), 5)
+        made, kept = labelled_page(page)
+        rows.append(features(blocks(made)))
+        labels += kept
+    return grow(np.vstack(rows)[:, list(columns)], np.array(labels), depth)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int):
@@ -231,7 +284,7 @@ def decide(node, row: np.ndarray) -> int:
     return node
 
 
-def _kept(found: list[tuple[str, int, float, int]]) -> list[str]:
+def _kept(found: list[Block]) -> list[str]:
     return [b[0] for b, row in zip(found, features(found)) if decide(tree(), row)]
 
 
