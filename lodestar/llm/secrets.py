@@ -13,8 +13,9 @@ where thousands stand in one document.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,8 +166,22 @@ def redact(docs: DataFrame, *, mark: str = "[secret]", id_col: str = "doc_id", t
     bare, _ = bare_names(docs)
     at, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     joined = bare.join(spans, F.col(at).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key")), "left")
-    cut = F.expr(f"""aggregate(spans, named_struct('out', '', 'at', 0L),
-        (a, s) -> named_struct('out', if(s.start >= a.at, concat(a.out, substring({text}, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}'), a.out), 'at', greatest(a.at, s.`end`)),
-        a -> concat(a.out, substring({text}, cast(a.at + 1 as int))))""")
-    clean = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def one(text: str | None, starts: Sequence[int], ends: Sequence[int]) -> str | None:
+            if text is None:
+                return None
+            out, at = [], 0
+            for start, end in zip(starts, ends):
+                if start >= at:
+                    out += text[at:start], mark
+                at = max(at, end)
+            return "".join([*out, text[at:]])
+
+        return pd.Series([one(*x) for x in zip(texts, starts, ends)], dtype=object)
+
+    # texts without spans do not go to Python
+    held = F.when(F.col("spans").isNotNull(), F.col(text))
+    clean = joined.withColumn(text, F.coalesce(cut(held, F.col("spans.start"), F.col("spans.end")), F.col(text)))
     return clean.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])

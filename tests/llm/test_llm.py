@@ -495,6 +495,19 @@ def test_redaction(spark):
     assert Counter((r.doc_id, r.text, r.kind) for r in out.collect()) == Counter({(1, "é [secret] end", "x"): 2, (2, None, "y"): 1, (3, "plain", "z"): 1})
 
 
+def test_redaction_of_many_spans_is_linear(spark):
+    import time
+
+    secret = "password = Zq8v2kLmN4pX9w; "
+    small = spark.createDataFrame([(1, secret * 500)], "doc_id long, text string")
+    secrets.redact(small).collect()
+    large = spark.createDataFrame([(1, secret * 32_000), (2, None), (3, "none here")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in secrets.redact(large).collect()}
+    assert got[1].count("[secret]") == 32_000 and "Zq8v" not in got[1] and got[2] is None and got[3] == "none here"
+    assert time.time() - began < 60
+
+
 # 7 HTML
 
 
