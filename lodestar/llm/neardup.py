@@ -53,8 +53,6 @@ SKETCHES, LONG_ORDER, SHORT_ORDER = 24, 5, 2
 LONG, SHORT = 25, 32
 #: Documents of a group that are paired; in a larger group each meets a hub.
 FEW = 32
-#: After so many steps of new hubs all groups that are left are paired, whatever their size; none is skipped.
-STEPS = 8
 #: Pairs with one pivot that meet its text in one place.
 SHARE = 256
 #: Bytes kept of a run's hash.
@@ -323,7 +321,7 @@ def absorb(labels: DataFrame, links: DataFrame) -> DataFrame:
     return settle(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "near-labels")
 
 
-def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: int = STEPS, **columns) -> DataFrame:
+def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, **columns) -> DataFrame:
     """doc_id, text_key, class_id, class_size, is_first: one row for each row of docs.
 
     class_id: the smallest doc_id of the class.  is_first: the row, or one of
@@ -343,7 +341,7 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: i
     grouped = members.join(reach, "node").withColumn("base", F.lit(None).cast("long"))
     asked, covers, labels = settle(hubs(grouped, ["key"]), "near-asked"), None, None
     plain = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")), "key").select("node", "pivot")
-    for step in range(steps + 1):
+    while True:
         plain = plain.where("node != pivot").distinct()
         none = F.lit(None)
         pairs = asked.drop("before").unionByName(plain.select(none.cast("long").alias("base"), "node", "pivot", none.cast("int").alias("floor")))
@@ -356,9 +354,9 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, steps: i
         if asked.isEmpty():
             break
         groups, loose = regroup(compared, labels, reach)
-        last = few if step < steps - 1 else 1 << 30
-        plain = few_pairs(groups, least, last).unionByName(loose_pairs(loose, least))
-        asked = settle(hubs(groups.where(F.col("size") > last), ["base", "run"]), "near-asked")
+        # a hub leaves its group, so groups get smaller at each step until all are of few documents
+        plain = few_pairs(groups, least, few).unionByName(loose_pairs(loose, least))
+        asked = settle(hubs(groups.where(F.col("size") > few), ["base", "run"]), "near-asked")
         covers = settle(widen(asked, runs, covers), "near-covers")
     rows = signed.select("doc_id", "text_key", "node")
     if labels is None:
