@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,22 +86,38 @@ def _by_profile(make) -> Column:
     return chain.otherwise(F.raise_error(F.concat(F.lit("no such profile: "), F.coalesce("profile", F.lit("null")))))
 
 
+def _any(tests: list[Column]) -> Column:
+    return reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests])
+
+
 def evaluate(rows: DataFrame) -> DataFrame:
     """rows with dimensions (name, weight, ratio of those known), score, missing, hard, conditional, decision and triggers.
 
     rows: profile, a column for each dimension of any profile, the columns of NEEDS
     and those of veto_checks.  What is missing is named in order: dimensions, then needs.
+    Score and decision are plain sums, counts and tests of columns; lists of names are
+    made only where they are read, triggers only for rows that wait.
     """
     part = lambda d, w: F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), F.lit(w).alias("weight"), _unit(F.col(d)).alias("ratio")))
-    absent = lambda names: [F.when(F.col(c).isNull(), F.lit(c)) for c in names]
-    held = rows.withColumn("dimensions", _by_profile(lambda _, weights: F.array_compact(F.array(*[part(d, w) for d, w in weights.items()]))))
-    held = held.withColumn("missing", _by_profile(lambda name, weights: F.array_compact(F.array(*absent(sorted(weights)), *absent(NEEDS[name])))))
-    hard, conditional = vetoes(veto_checks())
-    held = held.withColumns({"score": _total(F.col("dimensions")), "hard": hard, "conditional": conditional})
-    held = held.withColumn("decision", decide(*(F.col(c) for c in ("score", "hard", "conditional", "missing"))))
-    steps = F.concat(F.transform("missing", lambda m: F.concat(F.lit("complete "), m)), F.transform("conditional", lambda c: F.concat(F.lit("lift "), c)))
-    waits = F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("market conditions change")))
-    return held.withColumn("triggers", F.when(F.col("decision") == "WAIT", waits).otherwise(F.array().cast("array<string>")))
+    needed = lambda name, weights: [*sorted(weights), *NEEDS[name]]
+    points = lambda d, w: F.coalesce(F.lit(w) * _unit(F.col(d)), F.lit(0.0))
+    checks = veto_checks()
+    hard, conditional = vetoes(checks)
+    is_hard, is_conditional = (_any([test for k, test in checks.values() if k == kind]) for kind in ("HARD", "CONDITIONAL"))
+    missing = _by_profile(lambda name, weights: F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in needed(name, weights)])))
+    told = {
+        "dimensions": _by_profile(lambda _, weights: F.array_compact(F.array(*[part(d, w) for d, w in weights.items()]))),
+        "missing": missing, "hard": hard, "conditional": conditional,
+        "score": _by_profile(lambda _, weights: F.round(reduce(add, [points(d, w) for d, w in weights.items()], F.lit(0.0)), 6)),
+        "_lacks": _by_profile(lambda name, weights: _any([F.col(c).isNull() for c in needed(name, weights)])), "_hard": is_hard, "_soft": is_conditional,
+    }
+    held = rows.withColumns(told)
+    by_score = F.when(F.col("score") >= GO, "PASS").when(F.col("score") >= MAYBE, "WAIT").otherwise("NO_TRADE")
+    held = held.withColumn("decision", F.when(F.col("_hard"), "NO_TRADE").when(F.col("_lacks") | F.col("_soft"), "WAIT").otherwise(by_score))
+    none = F.array().cast("array<string>")
+    steps = F.concat(F.when(F.col("_lacks"), F.transform(missing, lambda m: F.concat(F.lit("complete "), m))).otherwise(none), F.when(F.col("_soft"), F.transform(conditional, lambda c: F.concat(F.lit("lift "), c))).otherwise(none))
+    waits = F.when(F.col("_lacks") | F.col("_soft"), steps).otherwise(F.array(F.lit("market conditions change")))
+    return held.withColumn("triggers", F.when(F.col("decision") == "WAIT", waits).otherwise(none)).drop("_lacks", "_hard", "_soft")
 
 
 def replay(stored: DataFrame, profiles: dict[str, dict[str, float]]) -> DataFrame:

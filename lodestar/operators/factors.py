@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import NOT_APPLICABLE, NULL, STALE, VALUE, exact_sum, visible
+from lodestar.operators.normalize import available_at
 
 #: Windows in bars, and freshness in days.
 AMOUNT_WINDOW, SHORT_RETURN, LONG_RETURN, YEAR = 20, 20, 60, 252
@@ -165,11 +166,16 @@ def panel(bars: DataFrame, observations: DataFrame, valuations: DataFrame, divid
     return rows.select("entity", "factor", "status", "raw_value", "as_of", "_d.unit", "_d.inputs", F.lit(VERSION).alias("factor_version"))
 
 
-def evidence(observations: DataFrame, as_of: str) -> DataFrame:
-    """entity and refs: the metrics that are cited, with period and date, ordered; a metric without a visible row cites no date."""
+def evidence(observations: DataFrame, as_of: str, *, source: str | None = None, units: dict[str, str] | None = None, version: str | None = None) -> DataFrame:
+    """entity and refs: the metrics that are cited, ordered, each with period, date, the time from which it was known, value, unit, source and version.
+
+    A metric without a visible row cites nothing: no date, no time, no value.
+    """
     latest = asof_latest(observations, as_of)
-    refs = F.array_sort(F.collect_list(F.struct("metric", "period", "known")))
-    return latest.groupBy("entity").agg(refs.alias("refs"))
+    unit = reduce(lambda found, u: F.when(F.col("metric") == u[0], u[1]).otherwise(found), (units or {}).items(), F.lit(None).cast("string"))
+    told = lambda x: F.lit(x).cast("string")
+    item = F.struct("metric", "period", "known", available_at(F.col("known")).alias("known_at"), "value", unit.alias("unit"), told(source).alias("source"), told(version).alias("version"))
+    return latest.groupBy("entity").agg(F.array_sort(F.collect_list(item)).alias("refs"))
 
 
 def values_wide(panel: DataFrame, names: list[str]) -> DataFrame:

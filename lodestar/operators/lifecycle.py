@@ -92,10 +92,15 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: tuple[str, ..
     return days.where((F.weekday("day") < 5) & ~F.col("day").isin(*[F.lit(h).cast("date") for h in holidays]) if holidays else F.weekday("day") < 5)
 
 
-def nearest_days(dates: DataFrame, trading: DataFrame, around: int = 60) -> DataFrame:
-    """day, latest, following: the latest trading day not after each date, and the first after it, within around days."""
-    asked = dates.select("day").distinct()
-    marks = trading.select(F.col("day").alias("t"))
-    # a calendar has few rows for each year, so its part around a date is small
-    joined = asked.join(F.broadcast(marks), F.col("t").between(F.date_sub("day", around), F.date_add("day", around)), "left")
-    return joined.groupBy("day").agg(F.max(F.when(F.col("t") <= F.col("day"), F.col("t"))).alias("latest"), F.min(F.when(F.col("t") > F.col("day"), F.col("t"))).alias("following"))
+def nearest_days(dates: DataFrame, trading: DataFrame) -> DataFrame:
+    """day, latest, following: the latest trading day not after each date, and the first after it, however long a closure is.
+
+    Both are sets of days, so all rows of the one window are as many as a calendar has.
+    """
+    asked = dates.select("day").distinct().select("day", F.lit(None).cast("date").alias("t"), F.lit(True).alias("asked"))
+    marks = trading.select("day").distinct().select("day", F.col("day").alias("t"), F.lit(False).alias("asked"))
+    order = Window.orderBy(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long"))
+    latest = F.max("t").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    following = F.min("t").over(order.rangeBetween(1, Window.unboundedFollowing))
+    both = asked.unionByName(marks).withColumns({"latest": latest, "following": following})
+    return both.where("asked").select("day", "latest", "following")

@@ -42,6 +42,11 @@ class Day:
     def bars(self) -> DataFrame:
         return settle(self.view("bars"), "bars")
 
+    @cached_property
+    def line(self) -> DataFrame:
+        """The line view with its rounded columns made once, not anew in each expression that reads them."""
+        return settle(self.view("line"), "line")
+
     @cached_property
     def panel(self) -> DataFrame:
         return settle(factors.panel(self.bars, testbed.observations(self.spark, self.sf_dir), testbed.valuations(self.spark, self.sf_dir), self.view("dividends"), self.as_of), "panel")

@@ -390,7 +390,7 @@ _judged = f"(select *, case when len(hard) > 0 then 'NO_TRADE' when len(missing)
 
 
 def _evaluated(d: Day) -> DataFrame:
-    rows = d.view("line").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[F.expr(text).alias(c) for c, text in _context.items()], *[F.expr(_ratio(n)).cast("double").alias(c) for n, c in enumerate(_names)])
+    rows = d.line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[F.expr(text).alias(c) for c, text in _context.items()], *[F.expr(_ratio(n)).cast("double").alias(c) for n, c in enumerate(_names)])
     return decisions.evaluate(rows)
 
 

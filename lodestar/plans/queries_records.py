@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import tables
-from lodestar.operators import artifacts, bundle, candidates, decisions, gates, lifecycle, lineage, normalize, trades
+from lodestar.operators import artifacts, bundle, candidates, decisions, factors, gates, lifecycle, lineage, normalize, trades
 from lodestar.plans import testbed
 from lodestar.plans.day import VETO_BELOW, Day
 from lodestar.plans.register import Register
@@ -99,6 +99,15 @@ def _(d: Day):
 _tables = "region nation customer supplier part orders lineitem events benchmark".split()
 
 
+@register("a23_mapping_round_trip", "select cast(entity as varchar) as entity, industry_name as grp from industry where entity % 2 = 0")
+def _(d: Day):
+    path = tables.fresh_path(d.spark, "mapping")
+    rows = d.view("industry").select(F.col("entity").cast("string").alias("entity"), F.col("industry_name").alias("group"), F.col("entity").alias("n"))
+    for df in (rows, rows.where("n % 2 = 0")):  # the second takes the place of the first
+        files.write_mapping(df, path)
+    return files.read_mapping(d.spark, path).withColumnRenamed("group", "grp")
+
+
 @register("a25_inventory", " union all ".join(f"select '{t}' as name, (select count(*) from {t}) as n, (select string_agg(column_name, ',') from (describe {t})) as columns, 'ok' as state" for t in _tables))
 def _(d: Day):
     found = files.inventory(d.spark, d.sf_dir, "*.parquet").withColumn("name", F.regexp_extract("path", r"/(\w+)\.parquet", 1)).where(F.col("name").isin(*_tables))
@@ -281,6 +290,13 @@ def _(d: Day):
     return artifacts.availability(rows, f"{d.as_of} 23:59:59").groupBy("entity").agg(F.count("*").alias("n"))
 
 
+@register("e11_whole_refs", """select r.entity, r.metric, lo.period, round(lo.value, 6) as value, lo.known, case r.metric when 'roe_ttm' then '%' end as unit, 'statements' as source, 's-1' as version, extract(hour from lo.known + interval 7 hour) as hour
+  from (select distinct entity, metric from observations) r left join lo using (entity, metric)""")
+def _(d: Day):
+    refs = factors.evidence(testbed.observations(d.spark, d.sf_dir), d.as_of, source="statements", units={"roe_ttm": "%"}, version="s-1")
+    return refs.select("entity", F.inline("refs")).select("entity", "metric", "period", F.round("value", 6).alias("value"), "known", "unit", "source", "version", F.hour("known_at").cast("long").alias("hour"))
+
+
 @register("o4_regimes", """select 'ONE' as "check", cast(null as bigint) as entity, cast(count(*) as varchar) as observed from region having count(*) <> 1 union all select 'REGIME', null, r_name from region where r_name <> 'ASIA'""")
 def _(d: Day):
     rows = d.view("region").select(F.when(F.col("r_name") == "ASIA", "BULL").otherwise(F.col("r_name")).alias("regime"))

@@ -188,3 +188,11 @@ def test_bundle_names_what_never_landed(spark, tmp_path):
     assert [(r.dataset, r.value) for r in b.observations.collect()] == [("income", 5.0)]
     assert {r.dataset: r.n for r in b.pending.collect()} == {"income": 1, "balance": 1}
     assert sorted((r.dataset, r.row, r.column) for r in b.failures.collect()) == [("bars", 4, "key"), ("income", 3, "announce_date")]
+
+
+def test_nearest_days_over_a_long_closure(spark):
+    trading = spark.createDataFrame([(dt.date(2020, 1, 1),), (dt.date(2020, 1, 2),), (dt.date(2020, 9, 1),)], "day date")
+    asked = spark.createDataFrame([(dt.date(2019, 12, 1),), (dt.date(2020, 1, 1),), (dt.date(2020, 5, 5),), (dt.date(2020, 5, 5),), (dt.date(2021, 1, 1),)], "day date")
+    got = [tuple(r) for r in lifecycle.nearest_days(asked, trading).orderBy("day").collect()]
+    first, second, last = (r.day for r in trading.collect())
+    assert got == [(dt.date(2019, 12, 1), None, first), (first, first, second), (dt.date(2020, 5, 5), second, last), (dt.date(2021, 1, 1), last, None)]
