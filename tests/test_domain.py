@@ -252,7 +252,7 @@ def test_decisions(spark):
 def test_codes_and_blocks(spark):
     df = spark.createDataFrame([(1, "sh600519"), (2, "xx1"), (3, "")], "i long, c string")
     assert [r.e for r in df.orderBy("i").select(normalize.canonical(F.col("c")).alias("e")).collect()] == ["600519.SH", None, None]
-    text = spark.createDataFrame([(1, "x\n| a | b |\n|---|---|\n| 1 | 2 |\ny\n| c |\n| 3 |\n**k**: v\n**k**: w")], "doc_id long, text string")
+    text = spark.createDataFrame([(1, "x\n| a | b |\n|---|---|\n| 1 | 2 |\ny\n| no | rule |\n| so | prose |\ny\n| c |\n|---|\n| 3 |\n**k**: v\n**k**: w")], "doc_id long, text string")
     assert sorted((r.table_no, r.header, r.cell) for r in normalize.table_cells(text).collect()) == [(1, "a", "1"), (1, "b", "2"), (2, "c", "3")]
     assert [tuple(r) for r in normalize.bold_pairs(text).collect()] == [(1, "k", "w")]
 
