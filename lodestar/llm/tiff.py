@@ -1,8 +1,9 @@
 """TIFF images: writing byte payloads losslessly and reading images page by page.
 
 Reading walks the image directories, decodes PackBits, LZW, deflate and plain
-strips and tiles, undoes the horizontal predictor and gives one row for each
-page.  Writing stores a payload as 8-bit grey rows; the pages take the codings
+strips and tiles, undoes the horizontal and the floating point predictor and
+gives one row for each page.  Samples have 1, 2, 4, 8, 16, 32 or 64 bits, all of
+a pixel together or in planes; bits of a byte stand in either order.  Writing stores a payload as 8-bit grey rows; the pages take the codings
 in turn, the first by a checksum of the payload, so that each coding is in use
 for a third of the pages and equal payloads are stored alike.
 """
@@ -31,8 +32,11 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_CODING, TAG_PHOTOMETRIC = 256, 257, 258, 259, 262
 TAG_STRIPS, TAG_SAMPLES, TAG_STRIP_ROWS, TAG_STRIP_BYTES, TAG_PLANAR = 273, 277, 278, 279, 284
 TAG_PREDICTOR, TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILES, TAG_TILE_BYTES = 317, 322, 323, 324, 325
+TAG_FILL_ORDER, TAG_SAMPLE_FORMAT, FLOATS = 266, 339, 3
 KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 CLEAR, END = 256, 257
+#: Codes from a clearing one until the table is full.
+SEGMENT = 4096 - (CLEAR + 2)
 #: The codings that writing takes in turn.
 TURN = (DEFLATE, PACKBITS, LZW)
 
@@ -82,82 +86,89 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+def _widths() -> np.ndarray:
+    """Bits of each code after a clearing one: each adds an entry, and one entry early the codes get longer."""
+    entries = CLEAR + 2 + np.arange(SEGMENT)
+    return np.select([entries < 512, entries < 1024, entries < 2048], [9, 10, 11], 12)
+
+
+WIDTHS = _widths()
+STARTS = np.cumsum(WIDTHS) - WIDTHS
+#: The same where a full table is not cleared.
+LONGEST = np.arange(SEGMENT) * 12, np.full(SEGMENT, 12)
+
+
 def lzw(data: bytes) -> bytes:
     """TIFF's LZW: codes of 9 to 12 bits, high bits first, one code longer one entry early."""
-    out, acc, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = acc << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits)
-            acc &= (1 << bits) - 1
-
-    table: dict[tuple[int, int], int] = {}
-    width, free, last = 9, 258, -1
-    put(CLEAR, 9)
+    codes, ends = [CLEAR], [1]
+    table: dict[int, int] = {}
+    known, free, last = table.get, CLEAR + 2, -1
     for byte in data:
         if last < 0:
             last = byte
             continue
-        known = table.get((last, byte))
-        if known is not None:
-            last = known
+        pair = last << 8 | byte
+        code = known(pair)
+        if code is not None:
+            last = code
             continue
-        put(last, width)
-        table[last, byte] = free
+        codes.append(last)
+        table[pair] = free
         free += 1
         if free == 4095:
-            put(CLEAR, 12)
+            codes.append(CLEAR)
+            ends.append(len(codes))
             table.clear()
-            width, free = 9, 258
-        elif free == (1 << width):
-            width += 1
+            free = CLEAR + 2
         last = byte
     if last >= 0:
-        put(last, width)
-        if free + 1 == (1 << width) and width < 12:
-            width += 1
-    put(END, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+        codes.append(last)
+    codes.append(END)
+    ends.append(len(codes))
+    widths = np.concatenate([WIDTHS[:1], *(WIDTHS[: end - start] for start, end in zip(ends, ends[1:]))])
+    bits = np.array(codes)[:, None] >> np.arange(11, -1, -1) & 1
+    return np.packbits(bits[np.arange(12) >= 12 - widths[:, None]].astype(np.uint8)).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
     """At least size bytes, where data has as many."""
     single = [bytes([n]) for n in range(256)] + [b"", b""]
-    table, out, width, before = list(single), [], 9, b""
-    acc = bits = made = 0
-    for byte in data:
-        acc, bits = acc << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, acc = acc >> bits, acc & ((1 << bits) - 1)
-        if code == END:
-            break
-        if code == CLEAR:
-            table, width, before = list(single), 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif before and code == len(table):
-            entry = before + before[:1]
+    buf = np.frombuffer(data + b"\0\0\0", np.uint8)
+    table, out, before, made = list(single), [], b"", 0
+    at = 9 if len(data) > 1 and data[0] << 1 | data[1] >> 7 == CLEAR else 0
+    starts, widths = STARTS, WIDTHS
+    while True:
+        # all codes up to where the table is full, as if none of them cleared it
+        n = int(np.searchsorted(starts + widths, len(data) * 8 - at, "right"))
+        place = starts[:n] + at
+        byte = place >> 3
+        window = buf[byte].astype(np.int32) << 16 | buf[byte + 1].astype(np.int32) << 8 | buf[byte + 2]
+        codes = (window >> 24 - (place & 7) - widths[:n] & (1 << widths[:n]) - 1).tolist()
+        k = -1
+        for k, code in enumerate(codes):
+            if code == CLEAR or code == END:
+                break
+            if code < len(table):
+                entry = table[code]
+            elif before and code == len(table):
+                entry = before + before[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(entry)
+            made += len(entry)
+            if made >= size:
+                return b"".join(out)
+            if before:
+                table.append(before + entry[:1])
+            before = entry
+        if k < 0 or codes[k] == END:
+            return b"".join(out)
+        at += int(starts[k] + widths[k])
+        if codes[k] == CLEAR:
+            table, before, starts, widths = list(single), b"", STARTS, WIDTHS
         else:
-            raise ValueError("LZW code out of range")
-        out.append(entry)
-        made += len(entry)
-        if made >= size:
-            break
-        if before:
-            table.append(before + entry[:1])
-        before = entry
-        if len(table) + 1 >= (1 << width) and width < 12:
-            width += 1
-    return b"".join(out)
-
+            starts, widths = LONGEST
+    
 
 def decode(data: bytes, coding: int, size: int) -> bytes:
     """The bytes of a strip or tile; what comes after size of them need not be there."""
@@ -189,6 +200,7 @@ def write(payload: bytes, *, width: int = WIDTH, page_rows: int = PAGE_ROWS) ->
 
     Pages take deflate with predictor in strips, PackBits in strips, and LZW with
     predictor in tiles, in turn, from one of them on by the payload's checksum.
+    LZW pages lower than a tile are strips, as a tile would be mostly empty.
     """
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out = [b"II*\0\x08\0\0\0"]
@@ -199,7 +211,7 @@ def write(payload: bytes, *, width: int = WIDTH, page_rows: int = PAGE_ROWS) ->
         coding = TURN[(first + n) % len(TURN)]
         predictor = 1 if coding == PACKBITS else 2
         tags = {TAG_WIDTH: [width], TAG_HEIGHT: [len(page)], TAG_BITS: [8], TAG_CODING: [coding], TAG_PHOTOMETRIC: [1], TAG_SAMPLES: [1], TAG_PREDICTOR: [predictor]}
-        if coding == LZW and width % TILE[0] == 0:
+        if coding == LZW and width % TILE[0] == 0 and len(page) >= TILE[1]:
             parts = []
             for top in range(0, len(page), TILE[1]):
                 for left in range(0, width, TILE[0]):
@@ -264,38 +276,61 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def _undo(part: np.ndarray, predictor: int) -> np.ndarray:
-    """part: rows, columns, samples."""
+def _samples(raw: bytes, shape: tuple[int, int, int], bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """The samples of a part, its predictor undone; shape: rows, columns, samples. Samples of less than a byte take one each; their rows begin with a byte."""
+    rows, columns, samples = shape
+    if bits < 8:
+        line = (columns * samples * bits + 7) // 8
+        apart = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : columns * samples * bits]
+        return np.packbits(apart.reshape(rows, columns, samples, bits), axis=3)[..., 0] >> (8 - bits)
+    if predictor == 3:
+        # bytes of a row stand by their rank in a sample, highest first, as differences
+        line = np.frombuffer(raw, np.uint8, rows * columns * samples * kind.itemsize).reshape(rows, -1, samples)
+        ranked = np.cumsum(line, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, columns * samples)
+        return np.ascontiguousarray(ranked.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape).astype(kind.newbyteorder("="))
+    part = np.frombuffer(raw, kind, rows * columns * samples).reshape(shape).astype(kind.newbyteorder("="), copy=False)
     return np.cumsum(part, axis=1, dtype=part.dtype) if predictor == 2 else part
 
 
+def _turned(data: bytes) -> bytes:
+    """Each byte with its bits in the other order."""
+    return np.packbits(np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, 1), axis=1)[:, ::-1], axis=1).tobytes()
+
+
 def pixels(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
     """A page's samples: rows, columns, samples of a pixel."""
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples = one(TAG_WIDTH, 0), one(TAG_HEIGHT, 0), one(TAG_SAMPLES, 1)
-    bits, coding, predictor = one(TAG_BITS, 1), one(TAG_CODING, 1), one(TAG_PREDICTOR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2) or one(TAG_PLANAR, 1) != 1:
+    bits, coding, predictor, planar = one(TAG_BITS, 1), one(TAG_CODING, 1), one(TAG_PREDICTOR, 1), one(TAG_PLANAR, 1)
+    floats = one(TAG_SAMPLE_FORMAT, 1) == FLOATS
+    predictors = {False: (1, 2) if bits >= 8 else (1,), True: (1, 3)}[floats]
+    if bits not in ((32, 64) if floats else (1, 2, 4, 8, 16, 32, 64)) or len(set(tags.get(TAG_BITS, [1]))) > 1 or predictor not in predictors or planar not in (1, 2) or samples < 1:
         raise ValueError("a kind of samples that is not supported")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    kind = np.dtype(f"{order}{'f' if floats else 'u'}{max(1, bits // 8)}")
     tiled = TAG_TILES in tags
     across, down = (one(TAG_TILE_WIDTH, width), one(TAG_TILE_HEIGHT, height)) if tiled else (width, min(height, one(TAG_STRIP_ROWS, height)))
     if not width or not height or not across or not down:
         raise ValueError("an image without pixels")
     places, sizes = (tags[TAG_TILES], tags[TAG_TILE_BYTES]) if tiled else (tags[TAG_STRIPS], tags[TAG_STRIP_BYTES])
-    if len(places) != len(sizes) or len(places) != -(-width // across) * -(-height // down):
+    planes, each = (samples, 1) if planar == 2 else (1, samples)
+    if len(places) != len(sizes) or len(places) != planes * -(-width // across) * -(-height // down):
         raise ValueError("as many parts as the image needs are not there")
     whole = height * width * samples * kind.itemsize
-    if whole > MOST_BYTES or whole > MOST_RATIO * len(data) or down * across * samples * kind.itemsize > MOST_BYTES:
+    # a bit that is stored may become a byte
+    if whole > MOST_BYTES or whole > MOST_RATIO * len(data) * max(1, 8 // bits) or down * across * each * kind.itemsize > MOST_BYTES:
         raise ValueError("an image larger than its data can fill")
     out = np.empty((height, width, samples), kind.newbyteorder("="))
+    turned = one(TAG_FILL_ORDER, 1) == 2
     n = 0
-    for top in range(0, height, down):
-        for left in range(0, width, across):
-            rows = down if tiled else min(down, height - top)
-            raw = decode(data[places[n] : places[n] + sizes[n]], coding, rows * across * samples * kind.itemsize)
-            part = np.frombuffer(raw, kind, rows * across * samples).reshape(rows, across, samples).astype(out.dtype, copy=False)
-            out[top : top + rows, left : left + across] = _undo(part, predictor)[: height - top, : width - left]
-            n += 1
+    for plane in range(planes):
+        held = out[:, :, plane : plane + each]
+        for top in range(0, height, down):
+            for left in range(0, width, across):
+                rows = down if tiled else min(down, height - top)
+                part = data[places[n] : places[n] + sizes[n]]
+                raw = decode(_turned(part) if turned else part, coding, rows * ((across * each * bits + 7) // 8))
+                held[top : top + rows, left : left + across] = _samples(raw, (rows, across, each), bits, kind, predictor)[: height - top, : width - left]
+                n += 1
     return out
 
 

@@ -99,12 +99,12 @@ def test_bombs_are_errors():
 
 
 def test_every_coding_stores_texts():
-    """A second decoder, by the format's text: strips of deflate and PackBits, tiles of LZW, with their predictor."""
+    """A second decoder, by the format's text: strips of deflate, PackBits and LZW, tiles of LZW, with their predictor."""
     import struct
 
     seen = Counter()
-    for n in range(12):
-        payload = tiff.pad(f"text {n} ".encode() * 300)
+    for n in range(24):
+        payload = tiff.pad((f"text {n} ".encode() * 1400)[: 2100 if n % 2 else 9000])
         image = tiff.write(payload)
         (at,) = struct.unpack_from("<I", image, 4)
         (count,) = struct.unpack_from("<H", image, at)
@@ -140,8 +140,61 @@ def test_every_coding_stores_texts():
             grids.append(grid if coding == 32773 else np.cumsum(grid, axis=1, dtype=np.uint8))
         rows_ = np.hstack(grids) if tiled else np.vstack(grids)
         assert rows_.tobytes()[: len(payload)] == payload
-        seen[coding] += 1
-    assert set(seen) == {8, 5, 32773}
+        seen[coding, tiled] += 1
+    assert set(seen) == {(8, False), (5, False), (5, True), (32773, False)}
+
+
+def _image(tags: list[tuple[int, int]], *parts: bytes) -> bytes:
+    """A page of one strip, or one for each plane, with plain tags of one value."""
+    import struct
+
+    n = len(tags) + 2
+    at = 8 + 2 + 12 * n + 4
+    lists = b"" if len(parts) == 1 else struct.pack(f"<{2 * len(parts)}I", *(at + 8 * len(parts) + sum(map(len, parts[:k])) for k in range(len(parts))), *map(len, parts))
+    offsets, sizes = (at, len(parts[0])) if len(parts) == 1 else (at, at + 4 * len(parts))
+    rows = sorted([(t, 1, v) for t, v in tags] + [(273, len(parts), offsets), (279, len(parts), sizes)])
+    return b"II*\0\x08\0\0\0" + struct.pack("<H", n) + b"".join(struct.pack("<HHII", t, 4, k, v) for t, k, v in rows) + bytes(4) + lists + b"".join(parts)
+
+
+def test_kinds_of_samples():
+    import struct
+
+    def read(tags, *parts):
+        (page,) = tiff.read_pages(_image(tags, *parts))
+        assert page[-1] is None, page[-1]
+        return page[-2]
+
+    base = lambda w, h, bits, *more: [(256, w), (257, h), (258, bits), (259, 1), (277, 1), *more]
+    assert read(base(10, 2, 1), b"\xa0\x40\x00\x80") == bytes([1, 0, 1, 0, 0, 0, 0, 0, 0, 1] + [0] * 8 + [1, 0])
+    assert read(base(10, 2, 1, (266, 2)), b"\x05\x02\x00\x01") == bytes([1, 0, 1, 0, 0, 0, 0, 0, 0, 1] + [0] * 8 + [1, 0])
+    assert read(base(3, 2, 4), b"\x12\x30\xfe\xd0") == bytes([1, 2, 3, 15, 14, 13])
+    assert read(base(4, 1, 2), b"\x1b") == bytes([0, 1, 2, 3])
+    planes = [(256, 3), (257, 1), (258, 8), (259, 1), (277, 2), (284, 2)]
+    assert read(planes, b"abc", b"xyz") == b"axbycz"
+    assert struct.unpack("<2I", read(base(2, 1, 32, (317, 2)), struct.pack("<2I", 1 << 31, 5))) == (1 << 31, (1 << 31) + 5)
+    values = [1.5, -2.25, 1e10, 0.0]
+    ranked = np.frombuffer(struct.pack(">4f", *values), np.uint8).reshape(4, 4).T.reshape(-1)
+    coded = np.diff(ranked, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+    assert struct.unpack("<4f", read(base(4, 1, 32, (317, 3), (339, 3)), coded)) == tuple(np.float32(v) for v in values)
+    for bad in (base(4, 1, 3), base(4, 1, 4, (317, 2)), base(4, 1, 8, (339, 3)), base(4, 1, 8, (284, 3))):
+        (page,) = tiff.read_pages(_image(bad, bytes(9)))
+        assert page[-1] and page[-2] is None
+
+
+def test_lzw_in_long_and_broken_streams():
+    rnd = random.Random(7)
+    for n in [*range(250, 258), 765, 766, 767, *range(3834, 3842), 9000]:
+        data = rnd.randbytes(n)
+        coded = tiff.lzw(data)
+        assert tiff.unlzw(coded, 1 << 30) == data
+        assert data.startswith(tiff.unlzw(coded[: len(coded) // 2], 1 << 30))
+    # codes of one byte each, never cleared: the table is full after 3,838 of them and codes stay at 12 bits
+    widths = [*tiff.WIDTHS.tolist(), *[12] * 500]
+    bits = "".join(f"{k % 256:0{w}b}" for k, w in enumerate(widths))
+    coded = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.unlzw(coded, len(widths)) == bytes(k % 256 for k in range(len(widths)))
+    with pytest.raises(ValueError):
+        tiff.unlzw(b"\x80\x7f\xff", 10)
 
 
 def test_big_endian_and_damaged_images(spark):
