@@ -211,11 +211,15 @@ def compare(pairs: DataFrame, runs: DataFrame, covers: DataFrame | None, least:
     # a pivot of many pairs is dealt out
     many = pairs.groupBy("pivot").agg(F.count("*").alias("times")).where(F.col("times") > SHARE)
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("times") / SHARE)), F.lit(0).cast("long"))
-    pairs = settle(pairs.join(many, "pivot", "left").withColumn("part", part).drop("times"), "near-dealt")
-    second = pairs.select("pivot", "part").distinct().hint("merge").join(runs.select(F.col("node").alias("pivot"), F.col("runs").alias("y")), "pivot")
-    first = pairs.hint("merge").join(runs.select("node", F.col("runs").alias("x")), "node")
-    both = first.hint("merge").join(second, ["pivot", "part"])
-    both = both.withColumn("cover", F.lit(None).cast("binary")) if covers is None else both.hint("merge").join(covers, "base", "left")
+    place = F.struct("base", "pivot", part.alias("part"))
+    pairs = settle(pairs.join(many, "pivot", "left").withColumn("place", place).drop("times"), "near-dealt")
+    second = pairs.select("place").distinct().select("place", "place.base", F.col("place.pivot").alias("node")).hint("merge").join(runs.withColumnRenamed("runs", "y"), "node")
+    # a hub's cover goes with the hub's text, so that no task holds all documents of a hub
+    second = second.withColumn("cover", F.lit(None).cast("binary")) if covers is None else second.hint("merge").join(covers, "base", "left")
+    first = pairs.hint("merge").join(runs.withColumnRenamed("runs", "x"), "node")
+    # few bytes take long to align, so tasks are not joined to larger ones by their bytes
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = first.repartition(tasks, "place").hint("merge").join(second.select("place", "y", "cover").repartition(tasks, "place"), "place")
 
     def row(base: int, node: int, pivot: int, floor: int | None, x: bytes, y: bytes, cover: bytes | None) -> Iterator[tuple]:
         a, b = unpack(x), unpack(y)
@@ -357,7 +361,8 @@ def classes(docs: DataFrame, *, least: float = SIMILAR, few: int = FEW, **column
         # a hub leaves its group, so groups get smaller at each step until all are of few documents
         plain = few_pairs(groups, least, few).unionByName(loose_pairs(loose, least))
         asked = settle(hubs(groups.where(F.col("size") > few), ["base", "run"]), "near-asked")
-        covers = settle(widen(asked, runs, covers), "near-covers")
+        if not asked.isEmpty():
+            covers = settle(widen(asked, runs, covers), "near-covers")
     rows = signed.select("doc_id", "text_key", "node")
     if labels is None:
         rows = rows.withColumn("component", F.col("node"))
