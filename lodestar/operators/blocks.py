@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import classify
-from lodestar.operators.normalize import bold_pairs, table_cells
+from lodestar.operators.normalize import bare, bold_pairs, found_tables, rows_of, table_cells
 
 #: Header words of payout tables and what they name.
 HEADERS = (("ex_date", "除权|ex.?date"), ("announce_date", "公告|announce"), ("plan", "方案|plan|payout"), ("status", "进度|status"))
@@ -21,11 +21,11 @@ def valuation_rows(blocks: DataFrame, labels: tuple[str, ...], query_day: str, u
     pairs by the table's latest date, or the query's where there is no table (query_dated).
     Thousands separators are dropped; label metrics keep their text.
     """
-    cells = table_cells(blocks)
-    days = cells.where("col_no = 0").select("doc_id", "table_no", "row_no", F.try_to_date("cell", "yyyyMMdd").alias("day"))
+    lines = rows_of(found_tables(blocks)).withColumn("day", F.try_to_date(bare(F.get("cells", F.lit(0))), "yyyyMMdd"))
     number = lambda c: classify(F.regexp_replace(c, ",", ""))[0]
-    rows = cells.where("col_no > 0").join(days, ["doc_id", "table_no", "row_no"]).select("doc_id", F.col("header").alias("metric"), "day", number("cell").alias("value"), F.lit(None).cast("string").alias("text_value"), F.lit(False).alias("query_dated"))
-    latest = days.groupBy("doc_id").agg(F.max("day").alias("last"))
+    cells = lines.select("doc_id", "columns", "day", F.posexplode_outer("cells").alias("col_no", "cell")).where("col_no > 0")
+    rows = cells.select("doc_id", F.get("columns", "col_no").alias("metric"), "day", number(bare(F.col("cell"))).alias("value"), F.lit(None).cast("string").alias("text_value"), F.lit(False).alias("query_dated"))
+    latest = lines.groupBy("doc_id").agg(F.max("day").alias("last"))
     pairs = bold_pairs(blocks).join(latest, "doc_id", "left")
     is_label = F.col("key").isin(*labels)
     heads = pairs.select("doc_id", F.col("key").alias("metric"), F.coalesce("last", F.lit(query_day).cast("date")).alias("day"), F.when(~is_label, number("value")).alias("value"), F.when(is_label, F.col("value")).alias("text_value"), F.col("last").isNull().alias("query_dated"))
@@ -35,10 +35,24 @@ def valuation_rows(blocks: DataFrame, labels: tuple[str, ...], query_day: str, u
 
 def absent_metrics(rows: DataFrame, expected: list[str]) -> DataFrame:
     """entity, metric: those expected that an entity's rows hold neither as a number nor as a text."""
-    there = F.collect_set(F.when(F.col("value").isNotNull() | F.col("text_value").isNotNull(), F.col("metric")))
-    held = rows.where(F.col("metric").isin(*expected)).groupBy("entity").agg(there.alias("there"))
-    every = rows.select("entity").distinct().join(held, "entity", "left")
-    return every.select("entity", F.explode(F.array_except(F.array(*[F.lit(m) for m in expected]), F.coalesce("there", F.array().cast("array<string>")))).alias("metric"))
+    valued = F.col("value").isNotNull() | F.col("text_value").isNotNull()
+    names = {f"_{n}": m for n, m in enumerate(expected)}
+    # a flag for each metric, not a set: flags are combined before the shuffle, without a sort
+    every = rows.groupBy("entity").agg(*[F.max((F.col("metric") == m) & valued).alias(c) for c, m in names.items()])
+    lacking = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in names.items()]))
+    return every.select("entity", F.explode_outer(lacking).alias("metric")).where("metric is not null")
+
+
+#: A line '# name' and all lines below it before the next such line.
+SECTION = r"(?md)^# [^\n]*+(?:\n(?!# )[^\n]*+)*+"
+
+
+def _role(header: Column) -> Column:
+    """What a header names: the first of HEADERS whose words it has."""
+    role = F.lit(None).cast("string")
+    for name, pattern in reversed(HEADERS):
+        role = F.when(F.lower(header).rlike(pattern), name).otherwise(role)
+    return F.coalesce(role, F.lit(""))
 
 
 def payout_events(texts: DataFrame) -> DataFrame:
@@ -48,26 +62,25 @@ def payout_events(texts: DataFrame) -> DataFrame:
     speaks of both a plan and its implementation is none, so such an event counts as
     neither.  The currency is named in the section, else null.
     """
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    named = F.when(F.col("line").startswith("# "), F.trim(F.expr("substring(line, 3)")))
-    sections = lines.withColumn("section", F.last(named, ignorenulls=True).over(order))
-    split = sections.where("section is not null").groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    keyed = split.withColumn("doc_id", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "section"))
+    parts = texts.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(SECTION), F.lit(0))).alias("at", "part")).where("at is not null")
+    named = F.trim(F.substring(F.substring_index("part", "\n", 1), 3, 2**31 - 1))
+    split = parts.groupBy("doc_id", named.alias("section")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n").alias("text"))
     named_unit = F.nullif(F.regexp_extract("text", r"(?i)(?:货币单位|currency)[：:]\s*([^\s|]+)", 1), F.lit(""))
     currency = F.coalesce(named_unit, F.when(F.col("text").rlike("CNY|人民币"), "CNY"))
-    cells = table_cells(keyed)
-    role = F.lit(None).cast("string")
-    for name, pattern in reversed(HEADERS):
-        role = F.when(F.lower("header").rlike(pattern), name).otherwise(role)
-    wide = cells.withColumn("role", role).groupBy("doc_id", "table_no", "row_no").pivot("role", [h for h, _ in HEADERS]).agg(F.min_by("cell", "col_no"))
-    date = lambda c: F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyyMMdd"), F.try_to_date(c, "yyyy/MM/dd"))
+    # places of the named columns, 0 for none: once for a table, not for each of its rows
+    roles, at = F.transform("columns", _role), {name: f"_{name}" for name, _ in HEADERS}
+    found = found_tables(split.withColumn("currency", currency), keep=("section", "currency")).withColumn("_roles", roles)
+    placed = found.withColumns({c: F.array_position("_roles", name).cast("int") for name, c in at.items()})
+    rows = rows_of(placed, keep=("section", "currency", *at.values()))
+    wide = rows.select("section", "currency", *[F.when(F.col(c) > 0, bare(F.get("cells", F.col(c) - 1))).alias(name) for name, c in at.items()])
+    # by its marks, as a form that fails costs an exception
+    plain = lambda c: F.try_to_date(c, "yyyyMMdd")
+    date = lambda c: F.when(F.contains(F.col(c), F.lit("/")), F.try_to_date(c, "yyyy/MM/dd")).when(F.contains(F.col(c), F.lit("-")), F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), plain(c))).otherwise(plain(c))
     amount = r"10\s*派\s*([0-9.]+)|per 10:? ([0-9.]+)"
     cash = F.coalesce(*[F.nullif(F.regexp_extract("plan", amount, k), F.lit("")).try_cast("double") for k in (1, 2)])
     done, planned = F.lower("status").rlike("实施|implemented"), F.lower("status").rlike("预案|plan")
     status = F.when(done & ~planned, "implemented").when(planned & ~done, "plan").otherwise("none")
-    wide = wide.join(keyed.select("doc_id", currency.alias("currency")), "doc_id")
-    return wide.select(F.element_at(F.split("doc_id", "\x1f"), 2).alias("section"), date("ex_date").alias("ex_date"), date("announce_date").alias("announce_date"), cash.alias("cash_per_10"), status.alias("status"), "currency")
+    return wide.select("section", date("ex_date").alias("ex_date"), date("announce_date").alias("announce_date"), cash.alias("cash_per_10"), status.alias("status"), "currency")
 
 
 def constituents(texts: DataFrame) -> DataFrame:

@@ -137,14 +137,43 @@ def _lines(text: Column) -> Column:
     return F.regexp_replace(text, LINE_END, "\n")
 
 
-def _bare(text: Column) -> Column:
+def bare(text: Column) -> Column:
+    """text without blanks at its ends."""
     return F.btrim(text, F.lit(BLANKS))
 
 
+def _split(line: Column) -> Column:
+    """The cells of a line that begins with a bar, as they are; one bar at its start and one at its end are not between cells."""
+    plain = bare(line)
+    parts = F.split(plain, r"\|", -1)
+    n = F.size(parts) - F.when(plain.endswith("|") & (F.size(parts) > 2), 2).otherwise(1)
+    return F.slice(parts, F.lit(2), n)
+
+
 def _cells(line: Column) -> Column:
-    """The cells of a line, trimmed; one bar at its start and one at its end are not between cells."""
-    inner = F.regexp_replace(F.regexp_replace(_bare(line), r"^\|", ""), r"\|\z", "")
-    return F.transform(F.split(inner, r"\|", -1), _bare)
+    """The cells of a line, trimmed."""
+    return F.transform(_split(line), bare)
+
+
+def _wide_as(columns: Column, cells: Column) -> Column:
+    """cells, which must be as many as columns."""
+    told = F.concat(F.lit("not as wide as its header: "), F.array_join(F.transform(cells, bare), " | "))
+    return F.when(F.size(cells) == F.size(columns), cells).otherwise(F.raise_error(told).cast("array<string>"))
+
+
+def found_tables(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, keep, table_no, columns, table: the Markdown tables within texts as they stand, with the trimmed cells of their headers."""
+    # outer: for an inner explode Spark tests its array in a filter first, and so makes it twice
+    every = F.posexplode_outer(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(TABLE), F.lit(0))).alias("at", "table")
+    found = texts.select(F.col(id_col).alias("doc_id"), *keep, every).where("at is not null")
+    return found.select("doc_id", *keep, (F.col("at") + 1).alias("table_no"), _cells(F.substring_index("table", "\n", 1)).alias("columns"), "table")
+
+
+def rows_of(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, keep, table_no, row_no, columns, cells of found_tables: a row for each line below the rule; cells are not trimmed."""
+    lines = found.select("doc_id", *keep, "table_no", "columns", F.posexplode_outer(F.split("table", "\n", -1)).alias("at", "line")).where("at > 1")
+    split = lines.select("doc_id", *keep, "table_no", (F.col("at") - 1).alias("row_no"), "columns", _split(F.col("line")).alias("cells"))
+    return split.withColumn("cells", _wide_as(F.col("columns"), F.col("cells")))
 
 
 def tables(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,19 +185,16 @@ def tables(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     their end.  Other lines are prose.  A row that is wider or narrower than its header
     raises.  Null texts have no tables.
     """
-    found = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(TABLE), F.lit(0))).alias("at", "table"))
-    lines = found.select("doc_id", (F.col("at") + 1).alias("table_no"), F.split("table", "\n", -1).alias("lines"))
-    split = lines.select("doc_id", "table_no", _cells(F.get("lines", F.lit(0))).alias("columns"), F.transform(F.slice("lines", F.lit(3), F.size("lines")), _cells).alias("rows"))
-    wrong = F.filter("rows", lambda r: F.size(r) != F.size("columns"))
-    told = F.concat(F.lit("not as wide as its header: "), F.array_join(F.get(wrong, F.lit(0)), " | "))
-    return split.withColumn("rows", F.when(F.size(wrong) == 0, F.col("rows")).otherwise(F.raise_error(told)))
+    lines = found_tables(texts, id_col=id_col, text_col=text_col).withColumn("lines", F.split("table", "\n", -1))
+    rows = F.transform(F.slice("lines", F.lit(3), F.size("lines")), lambda line: F.transform(_wide_as(F.col("columns"), _split(line)), bare))
+    return lines.select("doc_id", "table_no", "columns", rows.alias("rows"))
 
 
 def table_cells(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, table_no, row_no, col_no, cell, header of the tables within texts; rows count from 1, columns from 0."""
-    rows = tables(texts, id_col=id_col, text_col=text_col).select("doc_id", "table_no", "columns", F.posexplode("rows").alias("at", "row"))
-    cells = rows.select("doc_id", "table_no", (F.col("at") + 1).alias("row_no"), "columns", F.posexplode("row").alias("col_no", "cell"))
-    return cells.select("doc_id", "table_no", "row_no", "col_no", "cell", F.get("columns", "col_no").alias("header"))
+    rows = rows_of(found_tables(texts, id_col=id_col, text_col=text_col))
+    cells = rows.select("doc_id", "table_no", "row_no", "columns", F.posexplode_outer("cells").alias("col_no", "cell"))
+    return cells.select("doc_id", "table_no", "row_no", "col_no", bare(F.col("cell")).alias("cell"), F.get("columns", "col_no").alias("header"))
 
 
 def bold_pairs(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,8 +202,8 @@ def bold_pairs(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     What stands between the key and the colon is left out; an empty key is none.
     """
-    lines = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(PAIR), F.lit(0))).alias("at", "line"))
-    pairs = lines.select("doc_id", "at", *[_bare(F.regexp_extract("line", PAIR, n)).alias(c) for n, c in ((1, "key"), (2, "value"))])
+    lines = texts.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(PAIR), F.lit(0))).alias("at", "line")).where("at is not null")
+    pairs = lines.select("doc_id", "at", *[bare(F.regexp_extract("line", PAIR, n)).alias(c) for n, c in ((1, "key"), (2, "value"))])
     return pairs.where("key <> ''").groupBy("doc_id", "key").agg(F.max_by("value", "at").alias("value"))
 
 
