@@ -18,7 +18,7 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 
 def _lines(rows: DataFrame, head: str, line) -> DataFrame:
-    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    body = F.array_join(F.sort_array(F.collect_list(line)), "\n")
     return rows.groupBy("entity").agg(F.concat(F.lit(head), body, F.lit("\nend\n")).alias("text")).select(F.col("entity").alias("doc_id"), "text")
 
 
@@ -30,7 +30,8 @@ def _valued(d: Day) -> DataFrame:
     line = F.concat(F.lit("| "), F.date_format("trade_date", "yyyyMMdd"), F.lit(" | "), F.format_number(F.col("volume") * 1000, 0), F.lit(" |"))
     texts = _lines(d.view("bars"), "**grade**: A, good\n**total**: 1,234.5\n| date | pe |\n|---|---|\n", line)
     bare = d.view("customer").select((-1 - F.col("c_custkey")).alias("doc_id"), F.concat(F.lit("**total**: "), F.format_number("c_acctbal", 2)).alias("text"))
-    return blocks.valuation_rows(texts.unionByName(bare), ("grade",), d.as_of, _units)
+    # read three times: for cells, last days and pairs
+    return blocks.valuation_rows(tables.settle(texts.unionByName(bare), "valued"), ("grade",), d.as_of, _units)
 
 
 @register("b9_valuation_blocks", """select entity, 'pe' as metric, trade_date as day, volume * 1000 as value, cast(null as varchar) as text_value, 'x' as unit, false as query_dated from bars
@@ -58,7 +59,7 @@ def _(d: Day):
 def _(d: Day):
     rows = d.view("industry").join(d.view("supplier").select(F.col("s_suppkey").alias("entity"), "s_name"), "entity")
     line = F.concat(F.lit("| S"), F.col("entity").cast("string"), F.lit(" | "), F.col("s_name"), F.lit(" |"))
-    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    body = F.array_join(F.sort_array(F.collect_list(line)), "\n")
     texts = rows.groupBy(F.col("industry_name").alias("grp")).agg(F.concat(F.lit("members of "), F.first("industry_name"), F.lit("\n| code | name |\n|---|---|\n"), body).alias("text")).withColumn("doc_id", F.col("grp"))
     return blocks.constituents(texts)
 
@@ -81,7 +82,7 @@ _plan = f"(select entity, entry, before, entry * 0.96 as stop, entry + (entry -
 
 
 def _plans(d: Day) -> DataFrame:
-    last = F.slice(F.array_sort(F.collect_list(F.struct("trade_date", "close", "volume"))), -2, 2)
+    last = F.slice(F.sort_array(F.collect_list(F.struct("trade_date", "close", "volume"))), -2, 2)
     seen = d.view("bars").where(F.col("trade_date") <= F.lit(d.as_of).cast("date"))
     day = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("trade_date")))
     two = seen.withColumn("rn", day).where("rn <= 2").groupBy("entity").agg(last.alias("b"))

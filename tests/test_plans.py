@@ -30,3 +30,13 @@ def test_payouts_of_a_long_text_come_without_window_or_join(spark):
     assert [tuple(r) for r in rows if r.section == "B"] == [("B", None, None, None, "none", None)]
     assert {r.currency for r in rows if r.section == "A"} == {"CNY"}
     assert count(found, r"\bWindow\b") == count(found, r"\bJoin\b") == 0
+
+
+def test_valuation_rows_join_only_their_last_days(spark):
+    found = blocks.valuation_rows(texts(spark, "**g**: A\n**n**: 1,5\n| date | pe | pb |\n|---|---|---|\n| 20010203 | 1,000 | x |\n| 20010201 | 2 | 3", "**n**: 7"), ("g",), "2001-06-30", {"pe": "x"})
+    day = datetime.date
+    assert {(r.entity, r.metric, r.day, r.value, r.text_value, r.unit, r.query_dated) for r in found.collect()} == {
+        (0, "pe", day(2001, 2, 3), 1000.0, None, "x", False), (0, "pb", day(2001, 2, 3), None, None, None, False), (0, "pe", day(2001, 2, 1), 2.0, None, "x", False), (0, "pb", day(2001, 2, 1), 3.0, None, None, False),
+        (0, "g", day(2001, 2, 3), None, "A", None, False), (0, "n", day(2001, 2, 3), 15.0, None, None, False), (1, "n", day(2001, 6, 30), 7.0, None, None, True),
+    }
+    assert count(found, r"\bJoin\b") == 1
