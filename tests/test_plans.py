@@ -40,3 +40,10 @@ def test_valuation_rows_join_only_their_last_days(spark):
         (0, "g", day(2001, 2, 3), None, "A", None, False), (0, "n", day(2001, 2, 3), 15.0, None, None, False), (1, "n", day(2001, 6, 30), 7.0, None, None, True),
     }
     assert count(found, r"\bJoin\b") == 1
+
+
+def test_absent_metrics_read_their_rows_once(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, None), (1, "b", None, None), (2, "b", None, "x"), (3, "z", 1.0, None), (None, "a", 1.0, None)], "entity long, metric string, value double, text_value string")
+    found = blocks.absent_metrics(rows, ["a", "b"])
+    assert {tuple(r) for r in found.collect()} == {(1, "b"), (2, "a"), (3, "a"), (3, "b"), (None, "b")}
+    assert count(found, r"\bJoin\b") == 0
