@@ -47,3 +47,9 @@ def test_absent_metrics_read_their_rows_once(spark):
     found = blocks.absent_metrics(rows, ["a", "b"])
     assert {tuple(r) for r in found.collect()} == {(1, "b"), (2, "a"), (3, "a"), (3, "b"), (None, "b")}
     assert count(found, r"\bJoin\b") == 0
+
+
+def test_tables_are_found_once_and_not_again_in_filters(spark):
+    found = normalize.table_cells(texts(spark, "| a |\n|---|\n| 1 |", None, "prose"))
+    assert [(r.doc_id, r.cell, r.header) for r in found.collect()] == [(0, "1", "a")]
+    assert count(found, "regexp_extract_all") == 1
