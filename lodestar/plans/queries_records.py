@@ -87,7 +87,8 @@ def _(d: Day):
     top = tables.fresh_path(d.spark, "snapshots")
     told = [landing.write_snapshot(df, top, "strategy", d.as_of) for df in (d.results, d.results.repartition(5))]
     try:
-        landing.write_snapshot(d.results.where("eligible"), top, "strategy", d.as_of)
+        # of equal size and unlike in every row: where all are eligible, the eligible ones are the same table
+        landing.write_snapshot(d.results.withColumn("eligible", ~F.col("eligible")), top, "strategy", d.as_of)
         refused = False
     except ValueError:
         refused = True
@@ -131,7 +132,7 @@ def _odd_texts(d: Day) -> DataFrame:
     bars, n = d.view("bars"), F.dayofmonth("trade_date") % 4
     cell = F.col("volume").cast("long").cast("string")
     line = F.when(n == 0, "| - | -- |").when(n == 1, "|  |  |").when(n == 2, F.concat(F.lit("| "), F.col("trade_date").cast("string"), F.lit(" | "), cell)).otherwise(F.concat(F.lit("  | "), F.col("trade_date").cast("string"), F.lit(" | "), cell, F.lit(" |  ")))
-    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    body = F.array_join(F.sort_array(F.collect_list(line)), "\n")
     head = F.lit("| no | table |\n| here | at all |\n\nprose with **inner**: pair\n  **count** (rows): ")
     tail = F.lit("\nend | of table |\n| only | a header |\n--- | ---\n**late** : x: y \n** **: none\n**open: z\n")
     text = F.concat(head, F.count("*").cast("string"), F.lit("\n| day | volume |\n|:--|--:|\n"), body, tail)

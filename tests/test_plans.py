@@ -53,3 +53,10 @@ def test_tables_are_found_once_and_not_again_in_filters(spark):
     found = normalize.table_cells(texts(spark, "| a |\n|---|\n| 1 |", None, "prose"))
     assert [(r.doc_id, r.cell, r.header) for r in found.collect()] == [(0, "1", "a")]
     assert count(found, "regexp_extract_all") == 1
+
+
+def test_rows_of_tables_are_not_walked_by_lambdas(spark):
+    found = normalize.table_cells(texts(spark, "| a | b |\n|---|---|\n|  | - |\n| x\t| y |  "))
+    assert [(r.row_no, r.col_no, r.cell, r.header) for r in found.collect()] == [(1, 0, "", "a"), (1, 1, "-", "b"), (2, 0, "x", "a"), (2, 1, "y", "b")]
+    # one for the header, one for the message of a row of another width
+    assert count(found, r"\btransform\(") <= 2
