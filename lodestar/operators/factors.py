@@ -86,17 +86,38 @@ def panel_returns(bars: DataFrame, n: int = SHORT_RETURN) -> DataFrame:
     return bars.select("entity", "trade_date", F.when((full == n + 1) & (start != 0), F.col("close") / start - 1).alias("ret"))
 
 
-def asof_latest(rows: DataFrame, as_of: str, *, period: str = "report_period", known: str = "announce_date") -> DataFrame:
-    """entity, metric, value, period, known, seen of the newest visible row of each entity and metric, one with a value if there is any.
+#: Days from here on are positive in years 1 to 9999, and below 2 to the power of _BITS.
+_DAY_ZERO, _BITS = 800_000, 24
+
+
+def _newest(rows: DataFrame, keys: list[str], columns: list[str], as_of: str, period: str, known: str) -> DataFrame:
+    """keys, a struct (value, period, known) for each of columns, and seen: of each column the newest visible row, one with a value if there is any.
 
-    The as-of join of the engine: max_by over an ordered struct, so partial
-    aggregation happens before the shuffle.  Metrics that only later rows
-    report come with period null, and seen false.
+    The as-of join of the engine: max_by over an order that is one number, so that rows
+    are combined before the shuffle by hash, without a sort of all rows.
     """
     is_seen = F.col(known) <= F.lit(as_of).cast("date")
-    order = F.struct(F.col("value").isNotNull(), F.col(period), F.col(known))
-    best = F.max_by(F.struct("value", F.col(period).alias("period"), F.col(known).alias("known")), F.when(is_seen, order))
-    return rows.groupBy("entity", "metric").agg(F.when(F.max(is_seen), best).alias("b"), F.coalesce(F.max(is_seen), F.lit(False)).alias("seen")).select("entity", "metric", "b.value", "b.period", "b.known", "seen")
+    place = lambda c: F.coalesce(F.unix_date(F.col(c).cast("date")) + _DAY_ZERO, F.lit(0)).cast("long")
+    day = lambda n: F.date_from_unix_date((F.nullif(n.bitwiseAND((1 << _BITS) - 1), F.lit(0)) - _DAY_ZERO).cast("int"))
+    dated = rows.withColumns({"_seen": is_seen, "_day": F.shiftleft(place(period), _BITS) + place(known)})
+    order = lambda c: F.when(F.col("_seen"), F.col("_day") + F.when(F.col(c).isNotNull(), 1 << (2 * _BITS)).otherwise(0))
+    parts = [x for n, c in enumerate(columns) for x in (F.max_by(c, order(c)).alias(f"_v{n}"), F.max(order(c)).alias(f"_o{n}"))]
+    best = dated.groupBy(*keys).agg(F.coalesce(F.max("_seen"), F.lit(False)).alias("seen"), *parts)
+    told = lambda n: F.struct(F.col(f"_v{n}").alias("value"), day(F.shiftright(f"_o{n}", _BITS)).alias("period"), day(F.col(f"_o{n}")).alias("known"))
+    return best.select(*keys, *[F.when(F.col(f"_o{n}").isNotNull(), told(n)).alias(c) for n, c in enumerate(columns)], "seen")
+
+
+def asof_latest(rows: DataFrame, as_of: str, *, period: str = "report_period", known: str = "announce_date", metrics: list[str] | None = None) -> DataFrame:
+    """entity, metric, value, period, known, seen of the newest visible row of each entity and metric, one with a value if there is any.
+
+    Metrics that only later rows report come with period null, and seen false.
+    rows are long, or wide with a column for each of metrics; wide ones become
+    long only when they are one for each entity.
+    """
+    if metrics is None:
+        return _newest(rows, ["entity", "metric"], ["value"], as_of, period, known).select("entity", "metric", "value.value", "value.period", "value.known", "seen")
+    item = lambda m: F.struct(F.lit(m).alias("metric"), F.col(f"{m}.value").alias("value"), F.col(f"{m}.period").alias("period"), F.col(f"{m}.known").alias("known"), F.col("seen"))
+    return _newest(rows, ["entity"], list(metrics), as_of, period, known).select("entity", F.inline(F.array(*[item(m) for m in metrics])))
 
 
 def status_of(asof: str, value: Column, known: Column, reported: Column, seen: Column, stale_days: int | None) -> Column:
@@ -105,17 +126,24 @@ def status_of(asof: str, value: Column, known: Column, reported: Column, seen: C
     return F.when(reported.isNull(), NOT_APPLICABLE).when(~seen, NULL).when(value.isNull(), NULL).when(old, STALE).otherwise(VALUE)
 
 
-def _wide(latest: DataFrame, entities: DataFrame, metrics: list[str]) -> DataFrame:
-    """A row for each entity with a struct of each metric."""
-    item = F.struct("value", "known", "seen", F.lit(True).alias("reported"))
-    wide = latest.where(F.col("metric").isin(*metrics)).groupBy("entity").pivot("metric", metrics).agg(F.first(item))
+def _wide(rows: DataFrame, entities: DataFrame, as_of: str, metrics: list[str], **dates: str) -> DataFrame:
+    """A row for each entity with a struct of each metric. rows are long (entity, metric, value), or wide with columns of metrics."""
+    item = lambda c: F.struct(F.col(f"{c}value").alias("value"), F.col(f"{c}known").alias("known"), F.col("seen"), F.lit(True).alias("reported"))
+    if "metric" in rows.columns:
+        latest = asof_latest(rows, as_of, **dates)
+        wide = latest.where(F.col("metric").isin(*metrics)).groupBy("entity").pivot("metric", metrics).agg(F.first(item("")))
+    else:
+        there = [m for m in metrics if m in rows.columns]
+        newest = _newest(rows, ["entity"], there, as_of, dates.get("period", "report_period"), dates.get("known", "announce_date"))
+        never = F.lit(None).cast("struct<value: double, known: date, seen: boolean, reported: boolean>")
+        wide = newest.select("entity", *[(item(f"{m}.") if m in there else never).alias(m) for m in metrics])
     return entities.join(wide, "entity", "left")
 
 
 def metric_factors(observations: DataFrame, entities: DataFrame, as_of: str, stale_days: int | None = STALE_DAYS) -> DataFrame:
     """The passed-through metrics and the ratios; a denominator of 0 or less makes a ratio NOT_APPLICABLE."""
     metrics = sorted({*PASSED, *(m for _, a, b in RATIOS for m in (a, b))})
-    wide = _wide(asof_latest(observations, as_of), entities, metrics)
+    wide = _wide(observations, entities, as_of, metrics)
 
     def one(m: str) -> Column:
         return status_of(as_of, F.col(f"{m}.value"), F.col(f"{m}.known"), F.col(f"{m}.reported"), F.coalesce(F.col(f"{m}.seen"), F.lit(False)), stale_days)
@@ -133,7 +161,7 @@ def metric_factors(observations: DataFrame, entities: DataFrame, as_of: str, sta
 def valuation_factors(valuations: DataFrame, entities: DataFrame, as_of: str) -> DataFrame:
     """The newest visible multiple of each kind; those that must be positive are NOT_APPLICABLE at 0 or less."""
     names = [n for n, _ in VALUATIONS]
-    wide = _wide(asof_latest(valuations, as_of, period="valuation_date", known="valuation_date"), entities, names)
+    wide = _wide(valuations, entities, as_of, names, period="valuation_date", known="valuation_date")
     items = []
     for n, positive in VALUATIONS:
         base = status_of(as_of, F.col(f"{n}.value"), F.col(f"{n}.known"), F.col(f"{n}.reported"), F.coalesce(F.col(f"{n}.seen"), F.lit(False)), None)
@@ -157,10 +185,13 @@ def dividend_yield(dividends: DataFrame, bars: DataFrame, as_of: str, days: int
     return close.join(cash, "entity", "left").select("entity", F.lit("dividend_yield_ttm").alias("factor"), status.alias("status"), value.alias("raw_value"))
 
 
-def panel(bars: DataFrame, observations: DataFrame, valuations: DataFrame, dividends: DataFrame, as_of: str) -> DataFrame:
-    """All factors of each entity with a visible bar: as_of, entity, factor, status, raw_value, unit, inputs, factor_version."""
+def panel(bars: DataFrame, observations: DataFrame, valuations: DataFrame, dividends: DataFrame, as_of: str, prices: DataFrame | None = None) -> DataFrame:
+    """All factors of each entity with a visible bar: as_of, entity, factor, status, raw_value, unit, inputs, factor_version.
+
+    observations and valuations are long or wide; prices, the price factors of bars, are made if they are not given.
+    """
     entities = visible(bars, as_of, "trade_date").select("entity").distinct()
-    parts = [price_factors(bars, as_of), metric_factors(observations, entities, as_of), valuation_factors(valuations, entities, as_of), dividend_yield(dividends, bars, as_of)]
+    parts = [price_factors(bars, as_of) if prices is None else prices, metric_factors(observations, entities, as_of), valuation_factors(valuations, entities, as_of), dividend_yield(dividends, bars, as_of)]
     described = F.create_map(*[x for f in UNITS for x in (F.lit(f), F.struct(F.lit(UNITS[f]).alias("unit"), F.array(*[F.lit(i) for i in INPUTS[f]]).alias("inputs")))])
     rows = reduce(DataFrame.unionByName, parts).withColumn("as_of", F.lit(as_of).cast("date")).withColumn("_d", described[F.col("factor")])
     return rows.select("entity", "factor", "status", "raw_value", "as_of", "_d.unit", "_d.inputs", F.lit(VERSION).alias("factor_version"))
@@ -175,7 +206,7 @@ def evidence(observations: DataFrame, as_of: str, *, source: str | None = None,
     unit = reduce(lambda found, u: F.when(F.col("metric") == u[0], u[1]).otherwise(found), (units or {}).items(), F.lit(None).cast("string"))
     told = lambda x: F.lit(x).cast("string")
     item = F.struct("metric", "period", "known", available_at(F.col("known")).alias("known_at"), "value", unit.alias("unit"), told(source).alias("source"), told(version).alias("version"))
-    return latest.groupBy("entity").agg(F.array_sort(F.collect_list(item)).alias("refs"))
+    return latest.groupBy("entity").agg(F.sort_array(F.collect_list(item)).alias("refs"))
 
 
 def values_wide(panel: DataFrame, names: list[str]) -> DataFrame:

@@ -73,27 +73,28 @@ VALUATION_METRICS = ("pe_ttm", "pb", "ps_ttm", "pe_percentile", "pcf_operating_t
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
-def _needs(name: str) -> list[str]:
-    """Views that name builds on, itself last."""
+def _needs(name: str, held: tuple[str, ...] = ()) -> list[str]:
+    """Views that name builds on, itself last, without those that are held and what these build on."""
     words = set(VIEWS[name].replace("(", " ").replace(")", " ").split())
     found: list[str] = []
     for other in VIEWS:
-        if other in words and other != name:
-            found += [x for x in _needs(other) if x not in found]
+        if other in words and other != name and other not in held:
+            found += [x for x in _needs(other, held) if x not in found]
     return [*found, name]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table of sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view, or a table of sf_dir. held: views that are there already, which are read in place of their SQL."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    chain = _needs(name)
+    held = held or {}
+    chain = _needs(name, tuple(held))
     text = "with " + ", ".join(f"{n} as ({VIEWS[n]})" for n in chain) + f" select * from {name}"
     words = set(text.replace("(", " ").replace(")", " ").split())
-    used = [t for t in TABLES if t in words]
-    for t in used:
+    read = {t: held[t] if t in held else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in (*TABLES, *held) if t in words}
+    for t in read:
         text = text.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t} ", f"join {{{t}}} ")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **read)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,27 @@ def test_rows_of_tables_are_not_walked_by_lambdas(spark):
     assert [(r.row_no, r.col_no, r.cell, r.header) for r in found.collect()] == [(1, 0, "", "a"), (1, 1, "-", "b"), (2, 0, "x", "a"), (2, 1, "y", "b")]
     # one for the header, one for the message of a row of another width
     assert count(found, r"\btransform\(") <= 2
+
+
+def test_newest_rows_are_combined_without_a_sort(spark):
+    day = datetime.date
+    rows = spark.createDataFrame(
+        [(1, "m", day(2001, 3, 31), day(2001, 5, 1), None), (1, "m", day(2000, 3, 31), day(2000, 5, 1), 2.0), (1, "m", day(2001, 6, 30), day(2001, 8, 1), 9.0), (2, "m", day(2001, 6, 30), day(2001, 8, 1), 4.0), (3, "m", None, day(2001, 1, 1), 5.0)],
+        "entity long, metric string, report_period date, announce_date date, value double",
+    )
+    expected = {(1, "m", 2.0, day(2000, 3, 31), day(2000, 5, 1), True), (2, "m", None, None, None, False), (3, "m", 5.0, None, day(2001, 1, 1), True)}
+    long = factors.asof_latest(rows, "2001-06-30")
+    assert {tuple(r) for r in long.collect()} == expected
+    wide = factors.asof_latest(rows.withColumnRenamed("value", "m"), "2001-06-30", metrics=["m"])
+    assert {tuple(r) for r in wide.collect()} == expected
+    for found in (long, wide):
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_metrics_give_the_factors_of_long_ones(spark):
+    day = datetime.date
+    rows = [(n, day(2000 + k, 3, 31), day(2000 + k, 5, 1), None if (n + k) % 3 == 0 else n / 7.0, 1.0 - k) for n in range(9) for k in range(3)]
+    wide = spark.createDataFrame(rows, "entity long, report_period date, announce_date date, roe_ttm double, inventory double")
+    long = normalize.unpivot_metrics(wide, ("entity", "report_period", "announce_date"), ("roe_ttm", "inventory"))
+    got = [sorted(map(tuple, factors.metric_factors(r, wide.select("entity").distinct(), "2001-06-30").collect()), key=repr) for r in (wide, long)]
+    assert got[0] == got[1] and len(got[0]) == 9 * 13
