@@ -36,7 +36,9 @@ class Day:
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
 
     def view(self, name: str) -> DataFrame:
-        return testbed.view(self.spark, self.sf_dir, name)
+        """A view; those that build on bars read the settled ones where there are any."""
+        held = {"bars": self.bars} if name != "bars" and "bars" in self.__dict__ else {}
+        return testbed.view(self.spark, self.sf_dir, name, held)
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -49,7 +51,8 @@ class Day:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return settle(factors.panel(self.bars, testbed.observations(self.spark, self.sf_dir), testbed.valuations(self.spark, self.sf_dir), self.view("dividends"), self.as_of), "panel")
+        bars = self.bars
+        return settle(factors.panel(bars, self.view("statements_wide"), self.view("valuations_wide"), self.view("dividends"), self.as_of, self.price_panel), "panel")
 
     @cached_property
     def price_panel(self) -> DataFrame:
@@ -57,7 +60,8 @@ class Day:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return settle(universe.build(self.view("securities"), self.bars, self.price_panel, self.as_of, floor=FLOOR, **LIMITS), "universe")
+        bars = self.bars
+        return settle(universe.build(self.view("securities"), bars, self.price_panel, self.as_of, floor=FLOOR, **LIMITS), "universe")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -83,7 +87,7 @@ class Day:
     @cached_property
     def published(self) -> DataFrame:
         """The candidates with their citations and lineage, as they are stored."""
-        return lineage.cite_results(self.candidates, self.qualified, self.cited)
+        return settle(lineage.cite_results(self.candidates, self.qualified, self.cited), "published")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -95,7 +99,8 @@ class Day:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return settle(market.evidence(self.panel, self.bars, self.view("industry"), self.view("benchmark_bars"), self.as_of), "evidence")
+        bars = self.bars
+        return settle(market.evidence(self.panel, bars, self.view("industry"), self.view("benchmark_bars"), self.as_of), "evidence")
 
     @cached_property
     def validated(self) -> DataFrame:
@@ -105,12 +110,13 @@ class Day:
 
     @cached_property
     def assembled(self) -> DataFrame:
-        return candidates.assemble(self.qualified, self.validated)
+        return settle(candidates.assemble(self.qualified, self.validated), "assembled")
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return candidates.build(candidates.select(self.assembled, self.qualified, each=2, cap=12))
+        return settle(candidates.build(candidates.select(self.assembled, self.qualified, each=2, cap=12)), "candidates")
 
     @cached_property
     def regime(self) -> DataFrame:
-        return market.regime(market.breadth(self.bars, self.as_of), market.benchmark_evidence(self.view("benchmark_bars"), self.as_of))
+        bars = self.bars
+        return market.regime(market.breadth(bars, self.as_of), market.benchmark_evidence(self.view("benchmark_bars"), self.as_of))

@@ -156,8 +156,9 @@ def _(d: Day):
 
 @register("d9_research_population", f"select u.entity, l.failed = '' as listed, len(u.failed) = 0 as researched from uni u join ({_listing}) l using (entity)")
 def _(d: Day):
+    researched = d.universe
     listed = universe.prefilter(d.view("securities"), AS_OF, **LIMITS).select("entity", (F.size("failed") == 0).alias("listed"))
-    return listed.join(d.universe.select("entity", F.col("included").alias("researched")), "entity")
+    return listed.join(researched.select("entity", F.col("included").alias("researched")), "entity")
 
 
 @register("d10_stride_sample", "select entity, rn from (select entity, row_number() over (order by entity) - 1 as rn from (select distinct entity from securities)) where rn % 3 = 0 and rn < 30")
@@ -528,8 +529,9 @@ def _(d: Day):
 
 @register("l12_valuation_field_coverage", "select metric, count(*) as n, round(count(*) / (select count(*) from members), 6) as ratio from lv join members using (entity) where value is not null group by metric")
 def _(d: Day):
-    latest = factors.asof_latest(testbed.valuations(d.spark, d.sf_dir), AS_OF, period="valuation_date", known="valuation_date")
-    return reports.field_coverage(latest, d.members).select("metric", "n", r6("ratio"))
+    members = d.members  # settles the bars, which valuations then read
+    latest = factors.asof_latest(d.view("valuations_wide"), AS_OF, period="valuation_date", known="valuation_date", metrics=testbed.VALUATION_METRICS)
+    return reports.field_coverage(latest, members).select("metric", "n", r6("ratio"))
 
 
 @register("l13_valuation_factor_coverage", "select factor, count(*) filter (status = 'VALUE') as n, count(*) as total from valuation_panel join members using (entity) group by factor")
