@@ -40,7 +40,7 @@ def candidate_rules(candidates: DataFrame, most: int = MOST) -> DataFrame:
     """
     held = F.filter("qualifications", lambda q: F.coalesce(q["qualified"], F.lit(False)) & ~F.isnull(q["strategy"]) & (F.trim(q["strategy"]) != ""))
     rows = candidates.withColumn("held", F.coalesce(held, F.array().cast(candidates.schema["qualifications"].dataType)))
-    best = F.array_sort(F.transform("held", lambda q: F.struct((-F.coalesce(q["rank_percentile"].cast("double"), F.lit(-1.0))).alias("p"), q["strategy"].alias("s"))))
+    best = F.sort_array(F.transform("held", lambda q: F.struct((-F.coalesce(q["rank_percentile"].cast("double"), F.lit(-1.0))).alias("p"), q["strategy"].alias("s"))))
     rows = rows.withColumns({"best": F.get(best, F.lit(0))["s"], "cites": F.coalesce(F.col("results.strategy"), F.array().cast("array<string>"))})
     without = rows.select("entity", F.explode(F.array_except("held.strategy", "cites")).alias("s"))
     warned = F.exists(F.coalesce("risks", F.array().cast("array<string>")), lambda r: reduce(lambda a, b: a | b, [F.contains(r, F.lit(w)) for w in WARNINGS]))

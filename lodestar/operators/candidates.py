@@ -12,7 +12,7 @@ RESERVE, CAP = 3, 50
 
 def assemble(qualified: DataFrame, validated: DataFrame) -> DataFrame:
     """entity, best, n_qualified, strategies, validation, signal of entities with a qualified strategy; missing evidence raises."""
-    each = qualified.where("qualified").groupBy("entity").agg(F.max("rank_percentile").alias("best"), F.count("*").alias("n_qualified"), F.array_sort(F.collect_list("strategy")).alias("strategies"))
+    each = qualified.where("qualified").groupBy("entity").agg(F.max("rank_percentile").alias("best"), F.count("*").alias("n_qualified"), F.sort_array(F.collect_list("strategy")).alias("strategies"))
     rows = each.join(validated.select("entity", "strategy", "validation", "signal"), "entity", "left").withColumnRenamed("strategy", "primary_strategy")
     fail_if_any(rows.where("validation is null or signal is null").select("entity"), "candidates without evidence")
     return rows

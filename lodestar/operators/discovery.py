@@ -66,9 +66,9 @@ def profiles(universe: DataFrame, panel: DataFrame, results: DataFrame, qualifie
     factors: name, status and value of each, ordered.  chosen: the day's candidates, None if
     none were published.  tracked: entity, state.
     """
-    values = panel.groupBy("entity").agg(F.count_if(F.col("status") == "VALUE").alias("n_values"), F.array_sort(F.collect_list(F.struct("factor", "status", "raw_value"))).alias("factors"))
-    ranked = results.where("rank_percentile is not null").groupBy("entity").agg(F.array_sort(F.collect_list("strategy")).alias("ranked_in"))
-    passed = qualified.where("qualified").groupBy("entity").agg(F.array_sort(F.collect_list("strategy")).alias("qualified_for"))
+    values = panel.groupBy("entity").agg(F.count_if(F.col("status") == "VALUE").alias("n_values"), F.sort_array(F.collect_list(F.struct("factor", "status", "raw_value"))).alias("factors"))
+    ranked = results.where("rank_percentile is not null").groupBy("entity").agg(F.sort_array(F.collect_list("strategy")).alias("ranked_in"))
+    passed = qualified.where("qualified").groupBy("entity").agg(F.sort_array(F.collect_list("strategy")).alias("qualified_for"))
     rows = universe.join(values, "entity", "left").join(ranked, "entity", "left").join(passed, "entity", "left").join(tracked.select("entity", F.col("state").alias("tracking")), "entity", "left")
     if chosen is None:
         rows = rows.withColumn("status", F.lit("not_published"))

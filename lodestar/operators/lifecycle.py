@@ -77,12 +77,12 @@ def snapshot_report(written: DataFrame, kinds: list[str], log: DataFrame) -> Dat
     written: kind, day; kinds is the fixed list of all.  log: day, stage, status.  A day that
     only written has is told too.  complete: nothing is missing and each run succeeded.
     """
-    there = written.where(F.col("kind").isin(*kinds)).groupBy("day").agg(F.array_sort(F.collect_set("kind")).alias("written"))
-    stopped = lambda s: F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("stage"))))
+    there = written.where(F.col("kind").isin(*kinds)).groupBy("day").agg(F.sort_array(F.collect_set("kind")).alias("written"))
+    stopped = lambda s: F.sort_array(F.collect_set(F.when(F.col("status") == s, F.col("stage"))))
     ran = log.groupBy("day").agg(stopped("BLOCKED").alias("blocked"), stopped("FAILED").alias("failed"), F.bool_and(F.col("status") == "SUCCESS").alias("_fine"))
     none = F.array().cast("array<string>")
     rows = ran.join(there, "day", "full_outer").withColumns({c: F.coalesce(c, none) for c in ("written", "blocked", "failed")})
-    rows = rows.withColumn("missing", F.array_except(F.array_sort(F.array(*[F.lit(k) for k in kinds])), "written"))
+    rows = rows.withColumn("missing", F.array_except(F.sort_array(F.array(*[F.lit(k) for k in kinds])), "written"))
     return rows.select("day", "written", "missing", "blocked", "failed", (F.coalesce("_fine", F.lit(False)) & (F.size("missing") == 0)).alias("complete"))
 
 

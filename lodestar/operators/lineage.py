@@ -22,7 +22,7 @@ DECLARED = ("factor", "strategy", "qualification", "candidate_policy", "regime",
 
 def _listed(values: Column) -> Column:
     """Distinct values in order, as text with commas; null if there are none."""
-    kept = F.array_sort(F.array_distinct(F.filter(values, lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")))
+    kept = F.sort_array(F.array_distinct(F.filter(values, lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")))
     return F.when(F.size(kept) > 0, F.array_join(kept, ","))
 
 
@@ -42,7 +42,7 @@ def cite_factors(results: DataFrame, panel: DataFrame, weights: DataFrame, versi
     needed = results.select("strategy", "entity").join(F.broadcast(weights.select("strategy", "factor", "pos")), "strategy")
     found = needed.join(panel.select("entity", "factor", "factor_version", "status", "raw_value"), ["entity", "factor"])
     item = F.struct("pos", F.struct("factor", "factor_version", "status", "raw_value").alias("f"))
-    cited = found.groupBy("strategy", "entity").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["f"]).alias("cited"))
+    cited = found.groupBy("strategy", "entity").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["f"]).alias("cited"))
     kind = cited.schema["cited"].dataType
     whole = results.join(cited, ["strategy", "entity"], "left").withColumn("cited", F.coalesce("cited", F.array().cast(kind)))
     return whole.withColumns({"strategy_version": _by_strategy(versions or STRATEGY_VERSIONS), "factor_versions": _listed(F.col("cited.factor_version"))})
@@ -59,7 +59,7 @@ def cite_results(candidates: DataFrame, qualified: DataFrame, cited: DataFrame,
     result = F.struct("strategy", "strategy_version", "score", "rank_percentile", "cited", "factor_versions")
     passed = F.struct("strategy", F.lit(policy["qualification"]).alias("qualification_version"), "qualified", "rank_percentile")
     there = F.col("strategy_version").isNotNull()
-    each = held.groupBy("entity").agg(F.array_sort(F.collect_list(F.when(there, result))).alias("results"), F.array_sort(F.collect_list(passed)).alias("qualifications"))
+    each = held.groupBy("entity").agg(F.sort_array(F.collect_list(F.when(there, result))).alias("results"), F.sort_array(F.collect_list(passed)).alias("qualifications"))
     told = {
         "factor": _listed(F.flatten(F.transform("results", lambda r: _parts(r["factor_versions"])))),
         "strategy": _listed(F.col("results.strategy_version")),

@@ -33,7 +33,7 @@ def absolute(ranked: DataFrame, panel: DataFrame, limits: DataFrame) -> DataFram
     inside = (F.col("low").isNull() | (F.col("raw_value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("raw_value") <= F.col("high")))
     ok = F.coalesce((F.col("status") == VALUE) & inside, F.lit(False))
     why = F.when(~ok, F.struct("pos", F.concat("factor", F.when(F.coalesce(F.col("status") == VALUE, F.lit(False)), F.lit(":limit")).otherwise(F.lit(":missing"))).alias("text")))
-    return met.groupBy("strategy", "entity").agg(F.bool_and(ok).alias("absolute_pass"), F.transform(F.array_sort(F.collect_list(why)), lambda x: x["text"]).alias("risks"))
+    return met.groupBy("strategy", "entity").agg(F.bool_and(ok).alias("absolute_pass"), F.transform(F.sort_array(F.collect_list(why)), lambda x: x["text"]).alias("risks"))
 
 
 def qualify(results: DataFrame, panel: DataFrame, limits: DataFrame, least: float = LEAST_PERCENTILE) -> DataFrame:

@@ -55,7 +55,7 @@ def industry_distribution(results: DataFrame, industry: DataFrame, cut: float =
 
 def overlap(results: DataFrame, strategies: list[str], cut: float = TOP) -> DataFrame:
     """first, second, n: entities in the top of both, for every pair of strategies; pairs are made within an entity's few strategies."""
-    sets = results.where(F.col("rank_percentile") >= cut).groupBy("entity").agg(F.array_sort(F.collect_set("strategy")).alias("s"))
+    sets = results.where(F.col("rank_percentile") >= cut).groupBy("entity").agg(F.sort_array(F.collect_set("strategy")).alias("s"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
     counted = sets.select(F.inline(pairs)).groupBy("first", "second").agg(F.count("*").alias("n"))
     names = sorted(strategies)

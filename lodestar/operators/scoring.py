@@ -37,7 +37,7 @@ def eligibility(panel: DataFrame, weights: DataFrame) -> DataFrame:
     joined = needed.join(panel.select("entity", "factor", "status", "raw_value"), ["entity", "factor"], "left")
     ok = F.coalesce(F.col("status") == VALUE, F.lit(False))
     why = F.when(~ok, F.struct("pos", F.concat(F.col("factor"), F.lit(": "), F.coalesce("status", F.lit("MISSING"))).alias("text")))
-    return joined.groupBy("entity", "strategy").agg(F.bool_and(ok).alias("eligible"), F.transform(F.array_sort(F.collect_list(why)), lambda x: x["text"]).alias("reasons"))
+    return joined.groupBy("entity", "strategy").agg(F.bool_and(ok).alias("eligible"), F.transform(F.sort_array(F.collect_list(why)), lambda x: x["text"]).alias("reasons"))
 
 
 def score(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
@@ -56,7 +56,7 @@ def score(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("strate
     ranked = with_percentile(oriented, [*keys, "factor"], "v", "percentile")
     share = F.abs("weight").cast("decimal(18,6)") * F.col("percentile").cast("decimal(18,12)")
     item = F.struct("pos", "factor", "percentile", "weight", (F.abs("weight") * F.col("percentile")).alias("weighted"), "raw_value")
-    blended = ranked.groupBy(*keys, "entity").agg((F.sum(share).cast("double") / F.sum(F.abs("weight"))).alias("blend"), F.array_sort(F.collect_list(item)).alias("contributions"))
+    blended = ranked.groupBy(*keys, "entity").agg((F.sum(share).cast("double") / F.sum(F.abs("weight"))).alias("blend"), F.sort_array(F.collect_list(item)).alias("contributions"))
     blended = settle(blended, "blended")
     sizes = blended.groupBy(*keys).agg(F.count("*").alias("n"))
     placed = with_percentile(blended, list(keys), "blend", "rank_percentile").join(sizes, list(keys)).withColumn("rank_percentile", F.when(F.col("n") > 1, F.col("rank_percentile")))

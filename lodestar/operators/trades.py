@@ -41,7 +41,7 @@ def context(intents: DataFrame, panel: DataFrame, results: DataFrame, candidates
     asked = intents.select(*key).distinct()
     value = lambda f: F.max(F.when((F.col("factor") == f) & (F.col("status") == "VALUE"), F.col("raw_value"))).alias(f)
     held = panel.where(F.col("factor").isin(*HELD)).join(asked, key, "left_semi").groupBy(*key).agg(*[value(f) for f in HELD])
-    scored = results.join(asked, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("strategy", "score", "rank_percentile"))).alias("strategies"))
+    scored = results.join(asked, key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("strategy", "score", "rank_percentile"))).alias("strategies"))
     chosen = candidates.select(*key, "validation", "signal", "lineage", F.lit(True).alias("_there"))
 
     # overlays are of one day, so an intent meets those of its entity and day alone
