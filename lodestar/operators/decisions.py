@@ -20,10 +20,20 @@ ALL, SHORT, EVENT = ("EVENT", "SWING", "POSITION"), ("EVENT", "SWING"), ("EVENT"
 GO, MAYBE, FOMO = 80.0, 70.0, 8
 
 
+#: Stands between names in _named, and in no name.
+_MARK = "\x1f"
+
+
+def _named(items: list[Column]) -> Column:
+    """Those of items, texts, that are not null, in order: as generated code, which a filter by a lambda is not."""
+    text = F.concat_ws(_MARK, *items)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, _MARK))
+
+
 def risk_columns(intents: DataFrame) -> DataFrame:
     """intents with position_value, max_loss, loss_share of net value, and violations."""
     checks = {"ENTRY": F.col("entry") <= 0, "QUANTITY": F.col("quantity") <= 0, "STOP": F.col("stop") >= F.col("entry")}
-    bad = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]))
+    bad = _named([F.when(test, F.lit(name)) for name, test in checks.items()])
     loss = (F.col("entry") - F.col("stop")) * F.col("quantity")
     return intents.withColumn("position_value", F.col("entry") * F.col("quantity")).withColumn("max_loss", loss).withColumn("loss_share", F.try_divide(loss, F.col("nav"))).withColumn("violations", bad)
 
@@ -38,12 +48,12 @@ def dimension_scores(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     known = F.lit(0.0)
     for d, w in weights.items():
         known = known + F.when(F.col(d).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(d))) * w).otherwise(0.0)
-    return rows.withColumn("score", known).withColumn("missing", F.array_compact(F.array(*[F.when(F.col(d).isNull(), F.lit(d)) for d in weights])))
+    return rows.withColumn("score", known).withColumn("missing", _named([F.when(F.col(d).isNull(), F.lit(d)) for d in weights]))
 
 
 def vetoes(checks: dict[str, tuple[str, Column]]) -> tuple[Column, Column]:
     """Names of the hard and of the conditional vetoes that hold."""
-    names = lambda kind: F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, (k, test) in checks.items() if k == kind]))
+    names = lambda kind: _named([F.when(test, F.lit(name)) for name, (k, test) in checks.items() if k == kind])
     return names("HARD"), names("CONDITIONAL")
 
 
@@ -104,7 +114,8 @@ def evaluate(rows: DataFrame) -> DataFrame:
     checks = veto_checks()
     hard, conditional = vetoes(checks)
     is_hard, is_conditional = (_any([test for k, test in checks.values() if k == kind]) for kind in ("HARD", "CONDITIONAL"))
-    missing = _by_profile(lambda name, weights: F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in needed(name, weights)])))
+    lacking = lambda before: lambda name, weights: [F.when(F.col(c).isNull(), F.lit(before + c)) for c in needed(name, weights)]
+    missing = _by_profile(lambda *of: _named(lacking("")(*of)))
     told = {
         "dimensions": _by_profile(lambda _, weights: F.array_compact(F.array(*[part(d, w) for d, w in weights.items()]))),
         "missing": missing, "hard": hard, "conditional": conditional,
@@ -115,7 +126,8 @@ def evaluate(rows: DataFrame) -> DataFrame:
     by_score = F.when(F.col("score") >= GO, "PASS").when(F.col("score") >= MAYBE, "WAIT").otherwise("NO_TRADE")
     held = held.withColumn("decision", F.when(F.col("_hard"), "NO_TRADE").when(F.col("_lacks") | F.col("_soft"), "WAIT").otherwise(by_score))
     none = F.array().cast("array<string>")
-    steps = F.concat(F.when(F.col("_lacks"), F.transform(missing, lambda m: F.concat(F.lit("complete "), m))).otherwise(none), F.when(F.col("_soft"), F.transform(conditional, lambda c: F.concat(F.lit("lift "), c))).otherwise(none))
+    lifts = [F.when(test, F.lit("lift " + code)) for code, (k, test) in checks.items() if k == "CONDITIONAL"]
+    steps = _by_profile(lambda *of: _named([*lacking("complete ")(*of), *lifts]))
     waits = F.when(F.col("_lacks") | F.col("_soft"), steps).otherwise(F.array(F.lit("market conditions change")))
     return held.withColumn("triggers", F.when(F.col("decision") == "WAIT", waits).otherwise(none)).drop("_lacks", "_hard", "_soft")
 

@@ -12,6 +12,7 @@ from lodestar.plans import testbed
 
 #: Limits for the testbed's scale of amounts.
 FLOOR, VETO_BELOW, PLENTY = 50_000.0, 52_000.0, 60_000.0
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 LIMITS = {"exchanges": ("AFRICA", "AMERICA", "ASIA", "EUROPE"), "least_days": 365, "most_suspended": 30}
 
 
@@ -34,6 +35,9 @@ class Day:
 
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = testbed.AS_OF):
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
+        # the JVM never compiles a longer method; where whole-stage code has one, Spark then runs its operators one by one
+        if spark.conf.get(METHOD_LIMIT) == "65535":  # Spark's own default
+            spark.conf.set(METHOD_LIMIT, "8000")
 
     def view(self, name: str) -> DataFrame:
         """A view; those that build on bars read the settled ones where there are any."""

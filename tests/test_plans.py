@@ -84,3 +84,14 @@ def test_wide_metrics_give_the_factors_of_long_ones(spark):
     long = normalize.unpivot_metrics(wide, ("entity", "report_period", "announce_date"), ("roe_ttm", "inventory"))
     got = [sorted(map(tuple, factors.metric_factors(r, wide.select("entity").distinct(), "2001-06-30").collect()), key=repr) for r in (wide, long)]
     assert got[0] == got[1] and len(got[0]) == 9 * 13
+
+
+def test_wide_decisions_do_not_run_as_one_long_method(spark):
+    from lodestar.plans import queries_data
+    from lodestar.plans.day import METHOD_LIMIT, Day
+
+    Day.of(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(METHOD_LIMIT)) <= 8000
+    lists = queries_data.QUERIES["m9_decision"](spark, "/root/testdata/sf0.001")
+    assert count(lists, r"\b(filter|transform)\(") == 0  # lambdas are never generated code
+    assert {t for r in lists.collect() for t in r.triggers.split(",") if r.decision == "WAIT"} >= {"market conditions change", "lift EXTREME_FOMO", "complete target"}
