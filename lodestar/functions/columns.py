@@ -66,7 +66,7 @@ def classify(cell: Column) -> tuple[Column, Column]:
     plain = F.lower(F.trim(cell))
     absent = cell.isNull() | plain.isin(*ABSENT)
     number = F.trim(cell).try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+    finite = F.abs(number) < F.lit(float("inf"))  # not so for NaN, which is above all
     value = F.when(~absent & finite, number)
     reason = F.when(absent, None).when(number.isNull(), "unparsable").when(~finite, "not_finite")
     return value, reason

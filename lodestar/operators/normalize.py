@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +134,18 @@ TABLE = rf"(?md)^{_row}\n{_b}\|?{_rule}(?:\|{_rule})*+\|?{_b}(?=\n|\z)(?:\n{_row
 PAIR = rf"(?md)^{_b}\*\*((?:(?!\*\*)[^\n])*+)\*\*[^:\n]*+:([^\n]*+)"
 
 
+def _may_have(text: Column, marks: str) -> Column:
+    """Whether text has one of the ASCII characters marks, or any that is not ASCII: cheap where a pattern costs much for each character."""
+    return reduce(lambda found, c: found | F.contains(text, F.lit(c)), marks, F.octet_length(text) > F.char_length(text))
+
+
 def _lines(text: Column) -> Column:
-    return F.regexp_replace(text, LINE_END, "\n")
+    return F.when(_may_have(text, "\r\x0b\x0c\x1c\x1d\x1e"), F.regexp_replace(text, LINE_END, "\n")).otherwise(text)
+
+
+def _spaced(table: Column) -> Column:
+    """table, in which only spaces are to be trimmed from lines and cells: blanks beside a bar or a line end are dropped where there are others than spaces."""
+    return F.when(_may_have(table, "\t\x1f"), bare(F.regexp_replace(table, rf"{_b}([|\n]){_b}", "$1"))).otherwise(table)
 
 
 def bare(text: Column) -> Column:
@@ -142,9 +153,14 @@ def bare(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def _trimmed(cell: Column) -> Column:
+    """For lambdas, which would give F.trim the place of the cell too."""
+    return F.trim(cell)
+
+
 def _split(line: Column) -> Column:
-    """The cells of a line that begins with a bar, as they are; one bar at its start and one at its end are not between cells."""
-    plain = bare(line)
+    """The cells of a line of a spaced table, with their spaces; one bar at its start and one at its end are not between cells."""
+    plain = F.trim(line)
     parts = F.split(plain, r"\|", -1)
     n = F.size(parts) - F.when(plain.endswith("|") & (F.size(parts) > 2), 2).otherwise(1)
     return F.slice(parts, F.lit(2), n)
@@ -152,25 +168,25 @@ def _split(line: Column) -> Column:
 
 def _cells(line: Column) -> Column:
     """The cells of a line, trimmed."""
-    return F.transform(_split(line), bare)
+    return F.transform(_split(line), _trimmed)
 
 
 def _wide_as(columns: Column, cells: Column) -> Column:
     """cells, which must be as many as columns."""
-    told = F.concat(F.lit("not as wide as its header: "), F.array_join(F.transform(cells, bare), " | "))
+    told = F.concat(F.lit("not as wide as its header: "), F.array_join(F.transform(cells, _trimmed), " | "))
     return F.when(F.size(cells) == F.size(columns), cells).otherwise(F.raise_error(told).cast("array<string>"))
 
 
 def found_tables(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, keep, table_no, columns, table: the Markdown tables within texts as they stand, with the trimmed cells of their headers."""
+    """doc_id, keep, table_no, columns, table: the Markdown tables within texts, spaced, with the trimmed cells of their headers."""
     # outer: for an inner explode Spark tests its array in a filter first, and so makes it twice
     every = F.posexplode_outer(F.regexp_extract_all(_lines(F.col(text_col)), F.lit(TABLE), F.lit(0))).alias("at", "table")
-    found = texts.select(F.col(id_col).alias("doc_id"), *keep, every).where("at is not null")
+    found = texts.select(F.col(id_col).alias("doc_id"), *keep, every).where("at is not null").withColumn("table", _spaced(F.col("table")))
     return found.select("doc_id", *keep, (F.col("at") + 1).alias("table_no"), _cells(F.substring_index("table", "\n", 1)).alias("columns"), "table")
 
 
 def rows_of(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, keep, table_no, row_no, columns, cells of found_tables: a row for each line below the rule; cells are not trimmed."""
+    """doc_id, keep, table_no, row_no, columns, cells of found_tables: a row for each line below the rule; cells may have spaces, and no other blanks, at their ends."""
     lines = found.select("doc_id", *keep, "table_no", "columns", F.posexplode_outer(F.split("table", "\n", -1)).alias("at", "line")).where("at > 1")
     split = lines.select("doc_id", *keep, "table_no", (F.col("at") - 1).alias("row_no"), "columns", _split(F.col("line")).alias("cells"))
     return split.withColumn("cells", _wide_as(F.col("columns"), F.col("cells")))
@@ -186,7 +202,7 @@ def tables(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     raises.  Null texts have no tables.
     """
     lines = found_tables(texts, id_col=id_col, text_col=text_col).withColumn("lines", F.split("table", "\n", -1))
-    rows = F.transform(F.slice("lines", F.lit(3), F.size("lines")), lambda line: F.transform(_wide_as(F.col("columns"), _split(line)), bare))
+    rows = F.transform(F.slice("lines", F.lit(3), F.size("lines")), lambda line: F.transform(_wide_as(F.col("columns"), _split(line)), _trimmed))
     return lines.select("doc_id", "table_no", "columns", rows.alias("rows"))
 
 
@@ -194,7 +210,7 @@ def table_cells(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, table_no, row_no, col_no, cell, header of the tables within texts; rows count from 1, columns from 0."""
     rows = rows_of(found_tables(texts, id_col=id_col, text_col=text_col))
     cells = rows.select("doc_id", "table_no", "row_no", "columns", F.posexplode_outer("cells").alias("col_no", "cell"))
-    return cells.select("doc_id", "table_no", "row_no", "col_no", bare(F.col("cell")).alias("cell"), F.get("columns", "col_no").alias("header"))
+    return cells.select("doc_id", "table_no", "row_no", "col_no", F.trim("cell").alias("cell"), F.get("columns", "col_no").alias("header"))
 
 
 def bold_pairs(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,8 +27,8 @@ _units = {"pe": "x", "total": "bn"}
 
 def _valued(d: Day) -> DataFrame:
     """Rows of two kinds of texts: those of entities hold a table, those of customers only a header."""
-    line = F.concat(F.lit("| "), F.date_format("trade_date", "yyyyMMdd"), F.lit(" | "), F.format_number(F.col("volume") * 1000, 0), F.lit(" |"))
-    texts = _lines(d.view("bars"), "**grade**: A, good\n**total**: 1,234.5\n| date | pe |\n|---|---|\n", line)
+    line = F.concat(F.lit("| "), F.replace(F.col("trade_date").cast("string"), F.lit("-"), F.lit("")), F.lit(" | "), F.format_number(F.col("volume") * 1000, 0), F.lit(" |"))
+    texts = _lines(d.bars_by_entity, "**grade**: A, good\n**total**: 1,234.5\n| date | pe |\n|---|---|\n", line)
     bare = d.view("customer").select((-1 - F.col("c_custkey")).alias("doc_id"), F.concat(F.lit("**total**: "), F.format_number("c_acctbal", 2)).alias("text"))
     # read three times: for cells, last days and pairs
     return blocks.valuation_rows(tables.settle(texts.unionByName(bare), "valued"), ("grade",), d.as_of, _units)

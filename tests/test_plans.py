@@ -62,6 +62,23 @@ def test_rows_of_tables_are_not_walked_by_lambdas(spark):
     assert count(found, r"\btransform\(") <= 2
 
 
+def test_texts_of_entities_are_made_with_one_shuffle(spark):
+    from lodestar.plans import queries_more
+    from lodestar.plans.day import Day
+
+    day = Day.of(spark, "/root/testdata/sf0.001")
+    for found in (queries_more._lines(day.bars_by_entity, "", "trade_date"),):
+        assert len(re.findall(r"\bExchange\b", found._jdf.queryExecution().executedPlan().toString())) == 1
+
+
+def test_cells_are_trimmed_of_spaces_alone_where_a_table_has_no_other_blanks(spark):
+    found = normalize.table_cells(texts(spark, "\t| a\u3000b\u00a0| c\x1f|\u2003\n|---|\t---|\n\u3000|\u00a01\t2 | \u2003 |\t\n| x | y\u3000\nend", "| p |\r\n|---|\r\n|  q r  |"))
+    assert sorted((r.doc_id, r.row_no, r.cell, r.header) for r in found.collect()) == [(0, 1, "", "c"), (0, 1, "1\t2", "a\u3000b"), (0, 2, "x", "a\u3000b"), (0, 2, "y", "c"), (1, 1, "q r", "p")]
+    # the other blanks stand only in what is done once for a table
+    last = optimized(found).split("Generate")[0]
+    assert "\u3000" not in last
+
+
 def test_newest_rows_are_combined_without_a_sort(spark):
     day = datetime.date
     rows = spark.createDataFrame(
