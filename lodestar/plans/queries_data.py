@@ -262,7 +262,7 @@ _some = "trade_date is not null"
 
 
 def _blocks(d: Day) -> DataFrame:
-    rows = d.view("bars").where(_some)
+    rows = d.bars_by_entity.where(_some)
     line = F.concat_ws(" | ", F.lit(""), F.col("trade_date").cast("string"), F.col("volume").cast("long").cast("string"), F.lit("--"))
     body = F.array_join(F.sort_array(F.collect_list(F.concat(F.trim(line), F.lit(" |")))), "\n")
     text = F.concat(F.lit("prose before\n\n**note**: first\n**count**: "), F.count("*").cast("string"), F.lit("\n| date | volume | other |\n|---|---|---|\n"), body, F.lit("\nprose after\n**note**: last | x\n"))

@@ -129,7 +129,7 @@ def _(d: Day):
 
 def _odd_texts(d: Day) -> DataFrame:
     """A text for each entity: a table with rows of dashes and blanks, some without a bar at the end, prose with bars, a rule without bars, and pairs in and out of place."""
-    bars, n = d.view("bars"), F.dayofmonth("trade_date") % 4
+    bars, n = d.bars_by_entity, F.dayofmonth("trade_date") % 4
     cell = F.col("volume").cast("long").cast("string")
     line = F.when(n == 0, "| - | -- |").when(n == 1, "|  |  |").when(n == 2, F.concat(F.lit("| "), F.col("trade_date").cast("string"), F.lit(" | "), cell)).otherwise(F.concat(F.lit("  | "), F.col("trade_date").cast("string"), F.lit(" | "), cell, F.lit(" |  ")))
     body = F.array_join(F.sort_array(F.collect_list(line)), "\n")

@@ -63,11 +63,11 @@ def test_rows_of_tables_are_not_walked_by_lambdas(spark):
 
 
 def test_texts_of_entities_are_made_with_one_shuffle(spark):
-    from lodestar.plans import queries_more
+    from lodestar.plans import queries_data, queries_more
     from lodestar.plans.day import Day
 
     day = Day.of(spark, "/root/testdata/sf0.001")
-    for found in (queries_more._lines(day.bars_by_entity, "", "trade_date"),):
+    for found in (queries_data.QUERIES["b7_markdown_tables"](spark, day.sf_dir), queries_more._lines(day.bars_by_entity, "", "trade_date")):
         assert len(re.findall(r"\bExchange\b", found._jdf.queryExecution().executedPlan().toString())) == 1
 
 
