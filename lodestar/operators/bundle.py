@@ -48,8 +48,10 @@ def assemble(spark: SparkSession, root: str, as_of: str, statements: dict[str, d
     raw = _landed(spark, root, "bars")
     if raw is None:
         raise FileNotFoundError(f"{root} has no bars")
-    typed, failures = normalize.bars(raw, list(BARS))
-    known = settle(typed.where(normalize.available_at(F.col("trade_date"), "UTC") <= F.lit(as_of).cast("timestamp")), "bundle-bars")
+    early = normalize.available_at(F.col("_day"), "UTC") <= F.lit(as_of).cast("timestamp")
+    # cells are parsed once: bars, issues and failures read what is settled
+    typed, failures = normalize.bars(raw, list(BARS), lambda parsed: settle(parsed.withColumn("_early", early), "bundle-bars"))
+    known = typed.where("_early").drop("_early")
     issues = settle(gates.bar_issues(known), "bundle-issues")
     told, absent, pending, observed, securities = [failures.withColumn("dataset", F.lit("bars"))], [], [], [], None
     dimension = _landed(spark, root, "securities")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,21 +26,46 @@ def unpivot_metrics(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]
 
 def numbers(raw: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """raw with columns as numbers, and its failures: row, column, cell, reason. raw has a column row."""
+    parsed = _parsed(raw, columns)
+    return parsed.drop(*map(_why, columns)), _unread(parsed, columns)
+
+
+def _why(column: str) -> str:
+    return f"_why_{column}"
+
+
+def _parsed(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """raw with columns as numbers, and for each a struct of the cell and its reason where it can't be read."""
     parts = {c: classify(F.col(c)) for c in columns}
-    typed = raw.withColumns({c: v for c, (v, _) in parts.items()})
-    items = [F.when(why.isNotNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("cell"), why.alias("reason"))) for c, (_, why) in parts.items()]
-    failures = raw.select("row", F.explode(F.array_compact(F.array(*items))).alias("f")).select("row", "f.*")
-    return typed, failures
+    told = {_why(c): F.when(why.isNotNull(), F.struct(F.col(c).alias("cell"), why.alias("reason"))) for c, (_, why) in parts.items()}
+    return raw.withColumns({c: v for c, (v, _) in parts.items()} | told)
+
 
+def _unread(parsed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """row, column, cell, reason of parsed rows: a row for each cell that can't be read."""
+    return _reported(parsed, {c: (F.col(_why(c)).isNotNull(), F.col(_why(c))["cell"], F.col(_why(c))["reason"]) for c in columns})
 
-def bars(raw: DataFrame, measures: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Bars of text cells: rows without an entity or an ISO date are rejected; cells that can't be read are null and reported."""
+
+def _reported(rows: DataFrame, found: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """row, column, cell, reason: a row for each column whose test holds. found: column to test, cell and reason; tests are made in generated code, not in a lambda."""
+    if not found:
+        return rows.select("row", F.lit("").alias("column"), F.lit("").alias("cell"), F.lit("").alias("reason")).where(F.lit(False))
+    items = [F.struct(F.lit(c).alias("column"), cell.alias("cell"), F.when(test, reason).alias("reason")) for c, (test, cell, reason) in found.items()]
+    return rows.where(reduce(Column.__or__, [test for test, _, _ in found.values()])).select("row", F.inline(F.array(*items))).where("reason is not null")
+
+
+def bars(raw: DataFrame, measures: Sequence[str], settled: Callable[[DataFrame], DataFrame] = lambda parsed: parsed) -> tuple[DataFrame, DataFrame]:
+    """Bars of text cells: rows without an entity or an ISO date are rejected; cells that can't be read are null and reported.
+
+    settled is given the parsed rows, their date in the column _day, and returns them, so that
+    a caller of both results can have cells parsed once; columns that it adds stay in the bars.
+    """
     day = iso_date("trade_date")
     bad = F.when(F.coalesce(F.trim("entity"), F.lit("")) == "", "entity_missing").when(day.isNull(), "date_invalid")
-    checked = raw.withColumn("_bad", bad)
-    typed, failures = numbers(checked.where("_bad is null"), measures)
-    rejected = checked.where("_bad is not null").select("row", F.lit("key").alias("column"), F.concat_ws("|", "entity", "trade_date").alias("cell"), F.col("_bad").alias("reason"))
-    return typed.withColumn("trade_date", day).drop("_bad"), failures.unionByName(rejected)
+    parsed = settled(_parsed(raw.withColumns({"_day": day, "_bad": bad}), measures))
+    sound = parsed.where("_bad is null")
+    rejected = parsed.where("_bad is not null").select("row", F.lit("key").alias("column"), F.concat_ws("|", "entity", "trade_date").alias("cell"), F.col("_bad").alias("reason"))
+    return sound.withColumn("trade_date", F.col("_day")).drop("_day", "_bad", *map(_why, measures)), _unread(sound, measures).unionByName(rejected)
 
 
 def iso_date(column: str) -> Column:
@@ -51,8 +76,7 @@ def iso_date(column: str) -> Column:
 
 def _failures(raw: DataFrame, bad: dict[str, Column], reason: str) -> DataFrame:
     """row, column, cell, reason: a row for each column whose test holds."""
-    items = [F.when(test, F.struct(F.lit(c).alias("column"), F.col(c).alias("cell"), F.lit(reason).alias("reason"))) for c, test in bad.items()]
-    return raw.select("row", F.explode(F.array_compact(F.array(*items))).alias("f")).select("row", "f.*")
+    return _reported(raw, {c: (test, F.col(c), F.lit(reason)) for c, test in bad.items()})
 
 
 def _require(raw: DataFrame, columns: Sequence[str]) -> None:

@@ -44,11 +44,13 @@ class Day:
         held = {"bars": self.bars} if name != "bars" and "bars" in self.__dict__ else {}
         return testbed.view(self.spark, self.sf_dir, name, held)
 
+    def by_entity(self, name: str) -> DataFrame:
+        """A view of lines with all lines of an entity in one partition, so that a grouping by entity shuffles nothing more. Few bars have two lines, so lines are not combined before their shuffle."""
+        return testbed.view(self.spark, self.sf_dir, name, {"lineitem": self.view("lineitem").repartition("l_suppkey")})
+
     @property
     def bars_by_entity(self) -> DataFrame:
-        """The bars view with all bars of an entity in one partition, so that a grouping by entity shuffles nothing more. Few bars have two lines, so lines are not combined before their shuffle."""
-        lines = self.view("lineitem").repartition("l_suppkey")
-        return testbed.view(self.spark, self.sf_dir, "bars", {"lineitem": lines})
+        return self.by_entity("bars")
 
     @cached_property
     def bars(self) -> DataFrame:

@@ -420,10 +420,10 @@ def _(d: Day):
     root, text = tables.fresh_path(d.spark, "raw"), lambda c: F.col(c).cast("string").alias(c)
     row = F.monotonically_increasing_id().alias("row")
     close = F.when(F.col("entity") % 9 == 0, "x").otherwise(F.col("close").cast("string"))
-    d.view("bars").select(row, text("entity"), text("trade_date"), close.alias("close"), *[text(c) for c in ("open", "high", "low", "volume", "amount")]).write.parquet(f"{root}/bars.parquet")
+    d.bars_by_entity.select(row, text("entity"), text("trade_date"), close.alias("close"), *[text(c) for c in ("open", "high", "low", "volume", "amount")]).write.parquet(f"{root}/bars.parquet")
     flags = {"is_st": F.lit("no"), "is_delisting": F.when(F.col("entity") % 2 == 1, "perhaps").otherwise("no"), "suspended_days": F.lit("")}
     d.view("securities").select(row, text("entity"), F.lit("n").alias("name"), text("exchange"), text("list_date"), *[c.alias(n) for n, c in flags.items()]).write.parquet(f"{root}/securities.parquet")
-    rows = testbed.observations(d.spark, d.sf_dir).where("metric = 'roe_ttm' and value is not null").select(row, text("entity"), text("report_period"), text("announce_date"), F.col("value").cast("string").alias("roe"))
+    rows = d.by_entity("statements_wide").where("roe_ttm is not null").select(row, text("entity"), text("report_period"), text("announce_date"), F.col("roe_ttm").cast("string").alias("roe"))
     rows.write.parquet(f"{root}/income.parquet")
     rows.limit(0).write.parquet(f"{root}/cash.parquet")
     metrics = {"roe": ("roe_ttm", "percent")}

@@ -79,6 +79,21 @@ def test_cells_are_trimmed_of_spaces_alone_where_a_table_has_no_other_blanks(spa
     assert "\u3000" not in last
 
 
+def test_cells_of_a_bundle_are_parsed_once(spark):
+    cols = "row long, entity string, trade_date string, a string, b string"
+    raw = spark.createDataFrame([(1, "e", "2001-01-02", "1", "x"), (2, "e", "2001-01-03", "y", "inf"), (3, " ", "2001-01-04", "z", "1"), (4, "e", "never", "1", "1"), (5, "e", "2001-01-05", "--", None), (6, None, None, "1", "2")], cols)
+    seen = []
+    typed, failures = normalize.bars(raw, ["a", "b"], lambda parsed: seen.append(parsed) or parsed)
+    day = datetime.date
+    assert len(seen) == 1 and typed.columns == raw.columns
+    assert sorted(map(tuple, typed.collect())) == [(1, "e", day(2001, 1, 2), 1.0, None), (2, "e", day(2001, 1, 3), None, None), (5, "e", day(2001, 1, 5), None, None)]
+    told = [(1, "b", "x", "unparsable"), (2, "a", "y", "unparsable"), (2, "b", "inf", "not_finite"), (3, "key", " |2001-01-04", "entity_missing"), (4, "key", "e|never", "date_invalid"), (6, "key", "", "entity_missing")]
+    assert sorted(map(tuple, failures.select("row", "column", "cell", "reason").collect())) == told
+    # reasons are found in generated code
+    assert count(failures, r"\b(filter|array_compact)\(") == count(failures, "lambdafunction") == 0
+    assert normalize.numbers(raw, [])[1].count() == 0
+
+
 def test_newest_rows_are_combined_without_a_sort(spark):
     day = datetime.date
     rows = spark.createDataFrame(
